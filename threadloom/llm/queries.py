@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from threadloom.llm import exact, quality, urls
+from threadloom.llm import bpe, exact, quality, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_url_filter": urls.op3_url_filter,
     "op4_exact_dedup": exact.op4_exact_dedup,
+    "op7_bpe": bpe.op7_bpe,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality.OP1_SQL,
