@@ -177,6 +177,11 @@ class Bpe:
         for k, (word, ids) in enumerate(zip(words, proposals)):
             self.cache[word] = tuple(self.merge(raw[k])) if k in failed else tuple(ids)
 
+    def trim(self) -> None:
+        """Forget all pre-tokens once there are too many."""
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens of a text without special tokens."""
         return self.find(text)
@@ -189,8 +194,7 @@ class Bpe:
         for ps in found:
             for p in ps:
                 new.update(p)
-        if len(self.cache) > CACHE:
-            self.cache.clear()
+        self.trim()
         self.learn(w for w in new if w not in self.cache and w not in self.special)
         cache = self.cache
         for ps in found:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from threadloom.llm import bpe, exact, quality, urls
+from threadloom.llm import bpe, counts, exact, quality, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_url_filter": urls.op3_url_filter,
     "op4_exact_dedup": exact.op4_exact_dedup,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_bpe": bpe.op7_bpe,
+    "op10_token_counts": counts.op10_token_counts,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality.OP1_SQL,

@@ -54,11 +54,11 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a run of texts: 64-bit hashes, byte spans in data, and per text the first word's index."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool):
-        """data: the texts' bytes, one after another; bounds: n + 1 offsets into it."""
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool, gaps: np.ndarray = _GAP):
+        """data: the texts' bytes, one after another; bounds: n + 1 offsets into it; gaps: bytes outside of words."""
         self.data = data
         seen = _LOWER[data] if lower else data
-        gap = _GAP[data]
+        gap = gaps[data]
         inside = np.ones(len(data) + 1, dtype=bool)
         inside[:-1] = gap
         starts_here = ~gap
@@ -75,6 +75,7 @@ class Words:
         power, inverse = _tables(len(data) + 1)
         sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(_BYTE[seen] * power[: len(data)], out=sums[1:])
+        self.sums, self.inverse = sums, inverse
         self.hashes = mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
         self.first = np.searchsorted(self.starts, bounds)
 
@@ -84,6 +85,12 @@ class Words:
     def of(self, k: int) -> np.ndarray:
         return self.hashes[self.first[k] : self.first[k + 1]]
 
+    def prefixes(self, n: int) -> np.ndarray:
+        """A hash of the first n bytes of each word, apart from whole words' hashes; 0 for words of n bytes or fewer."""
+        longer = self.ends - self.starts > n
+        ends = np.where(longer, self.starts + n, self.starts)
+        return np.where(longer, mix((self.sums[ends] - self.sums[self.starts]) * self.inverse[self.starts] + _U(n)), _U(0))
+
     def strings(self, a: int, b: int) -> list[bytes]:
         raw = self.data
         return [raw[s:e].tobytes() for s, e in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist())]
@@ -102,14 +109,14 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(column: pa.Array, lower: bool) -> Iterator[tuple[int, int, Words]]:
+def pieces(column: pa.Array, lower: bool, gaps: np.ndarray = _GAP) -> Iterator[tuple[int, int, Words]]:
     """Runs [a, b) of the column's rows with their words; a run has about PIECE_BYTES bytes, or is one text."""
     data, offsets = column_bytes(column)
     n, a = len(offsets) - 1, 0
     while a < n:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PIECE_BYTES, side="right")) - 1)
         b = min(b, n)
-        yield a, b, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower)
+        yield a, b, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower, gaps)
         a = b
 
 
