@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from threadloom.llm import bpe, counts, exact, quality, toxicity, urls
+from threadloom.llm import bpe, counts, exact, neardup, quality, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_near_duplicates": neardup.op2_near_duplicates,
     "op3_url_filter": urls.op3_url_filter,
     "op4_exact_dedup": exact.op4_exact_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality.OP1_SQL,
+    "op2_near_duplicates": neardup.OP2_SQL,
     "op3_url_filter": urls.OP3_SQL,
     "op4_exact_dedup": exact.OP4_SQL,
 }
