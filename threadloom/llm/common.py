@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Used only where a session names no shared folder, as in tests on one machine.
 FALLBACK_DIR = "file:///tmp/checkpoints/threadloom"
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Words are maximal runs of characters other than space and U+0009 to U+000D.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
@@ -32,7 +34,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/threadloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # the table takes the place of the shuffle files that led to it
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from threadloom.llm import bpe, counts, exact, neardup, quality, toxicity, urls
+from threadloom.llm import bpe, counts, exact, neardup, quality, substrings, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_near_duplicates": neardup.op2_near_duplicates,
     "op3_url_filter": urls.op3_url_filter,
     "op4_exact_dedup": exact.op4_exact_dedup,
+    "op5_repeated_passages": substrings.op5_repeated_passages,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_bpe": bpe.op7_bpe,
     "op10_token_counts": counts.op10_token_counts,
@@ -18,4 +19,5 @@ ORACLE_SQL = {
     "op2_near_duplicates": neardup.OP2_SQL,
     "op3_url_filter": urls.OP3_SQL,
     "op4_exact_dedup": exact.OP4_SQL,
+    "op5_repeated_passages": substrings.OP5_SQL,
 }
