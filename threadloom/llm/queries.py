@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.llm import bpe, counts, exact, neardup, quality, substrings, toxicity, urls
+from threadloom.llm import bpe, counts, exact, mixing, neardup, quality, substrings, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_repeated_passages": substrings.op5_repeated_passages,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_bpe": bpe.op7_bpe,
+    "op8_source_mixing": mixing.op8_source_mixing,
     "op10_token_counts": counts.op10_token_counts,
 }
 ORACLE_SQL = {
@@ -20,4 +21,5 @@ ORACLE_SQL = {
     "op3_url_filter": urls.OP3_SQL,
     "op4_exact_dedup": exact.OP4_SQL,
     "op5_repeated_passages": substrings.OP5_SQL,
+    "op8_source_mixing": mixing.OP8_SQL,
 }
