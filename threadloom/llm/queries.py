@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.llm import bpe, counts, exact, mixing, neardup, quality, substrings, toxicity, urls
+from threadloom.llm import bpe, counts, exact, lm, mixing, neardup, quality, substrings, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_bpe": bpe.op7_bpe,
     "op8_source_mixing": mixing.op8_source_mixing,
+    "op9_lm_scores": lm.op9_lm_scores,
     "op10_token_counts": counts.op10_token_counts,
 }
 ORACLE_SQL = {
