@@ -316,5 +316,20 @@ def score_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of docs that are not predicted toxic, as they are; nothing is shuffled."""
+    ship(docs.sparkSession)
+    tables = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fit_rows))  # of bounded size
+    at = docs.columns.index("text")
+
+    def run(batches):
+        restorer = Restorer(CharacterModel(tables.value["counts"]))
+        for batch in batches:
+            scores = [score_piece(data, bounds, tables.value, restorer) for _, _, data, bounds in _pieces(batch.column(at))]
+            yield batch.filter(pa.array(np.concatenate(scores) < THRESHOLD if scores else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
