@@ -247,10 +247,11 @@ def segments(docs: DataFrame, anchors: DataFrame, window: int, anchor: int) -> D
                     code[more] = mix(code[more] * _U(0xC2B2AE3D27D4EB4F) + h[first[more] + k])
                 code = mix(code + length.astype(_U)).view(np.int64)
                 doc = ids[a:b][text]
-                data, starts, ends = words.data, words.starts, words.ends
-                for c, d, s, m, x in zip(code.tolist(), doc.tolist(), first.tolist(), length.tolist(), key.view(np.int64).tolist()):
+                raw = words.data.tobytes()
+                begin, end = words.starts[first].tolist(), words.ends[first + length - 1].tolist()
+                for c, d, i, j, x in zip(code.tolist(), doc.tolist(), begin, end, key.view(np.int64).tolist()):
                     if c not in seen:
-                        seen[c] = [d, x, b" ".join(data[i:j].tobytes() for i, j in zip(starts[s : s + m].tolist(), ends[s : s + m].tolist()))]
+                        seen[c] = [d, x, b" ".join(raw[i:j].split())]  # splits at the same bytes as Words
                     elif d < seen[c][0]:
                         seen[c][0] = d
                 n = len(code)
@@ -370,21 +371,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
             lists = batch.column(2).to_pylist()
             counts, removed, spans, kept = [], [], [], []
             for a, b, words in pieces(batch.column(1), False):
+                raw = words.data.tobytes()
                 for k in range(b - a):
                     s, e = int(words.first[k]), int(words.first[k + 1])
-                    cover = np.zeros(e - s + 1, np.int64)
-                    if lists[a + k]:
-                        at = np.unique(np.array(lists[a + k], np.int64))
-                        cover[at] += 1
-                        np.subtract.at(cover, at + window, 1)
-                    gone = np.cumsum(cover)[:-1] > 0
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
+                    edges = _spans(lists[a + k], window)
                     counts.append(e - s)
-                    removed.append(int(gone.sum()))
-                    spans.append([{"start": x, "end": y} for x, y in edges.reshape(-1, 2).tolist()])
-                    stay = np.flatnonzero(~gone) + s
-                    data = words.data
-                    kept.append(b" ".join([data[i:j].tobytes() for i, j in zip(words.starts[stay].tolist(), words.ends[stay].tolist())]).decode())
+                    removed.append(sum(y - x for x, y in edges))
+                    spans.append([{"start": x, "end": y} for x, y in edges])
+                    stay, at = [], s
+                    for x, y in [*((s + x, s + y) for x, y in edges), (e, e)]:
+                        if x > at:  # bytes.split() splits at the same bytes as Words
+                            stay += raw[words.starts[at] : words.ends[x - 1]].split()
+                        at = y
+                    kept.append(b" ".join(stay).decode())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.string())],
                 names=["doc_id", "n_words", "n_removed", "spans", "kept_text"],
@@ -393,6 +392,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     return rows.select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string")
 
 
+def _spans(starts: list | None, window: int) -> list[tuple[int, int]]:
+    """The union of the windows that start there, as maximal runs."""
+    out: list[tuple[int, int]] = []
+    for at in sorted(starts or ()):
+        if out and at <= out[-1][1]:
+            out[-1] = (out[-1][0], at + window)
+        else:
+            out.append((at, at + window))
+    return out
+
+
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
