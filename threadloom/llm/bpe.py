@@ -16,7 +16,9 @@ from threadloom.llm.common import documents, ship
 #: The pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A worker remembers the ids of so many pre-tokens, then starts anew.
-CACHE = 200_000
+CACHE = 1_000_000
+
+_SHIFT = (1 << 24) - 1
 
 
 def byte_characters() -> dict[str, int]:
@@ -52,10 +54,11 @@ class Bpe:
         n = len(self.bytes)
         specials = set(self.special.values())
         self.ids = {t: i for i, t in enumerate(self.bytes) if t and i not in specials}
-        self.longest = max(map(len, self.ids))
         merges = np.array(spec["merges"], dtype=np.int64).reshape(-1, 3)
         rank = np.arange(len(merges))
         self.rank = {(a, b): (r, c) for r, (a, b, c) in enumerate(merges.tolist())}
+        # Rank and result in one number, whose order is that of the ranks.
+        self.code = {pair: r * (_SHIFT + 1) + c for pair, (r, c) in self.rank.items()}
         # How each token came about: its halves and the rank of its merge; single bytes have no halves.
         self.left, self.right = np.full(n, -1), np.full(n, -1)
         self.born = np.full(n, -1)
@@ -68,6 +71,11 @@ class Bpe:
         self.never = {i for t, i in self.ids.items() if len(t) > 1 and self.born[i] < 0}
         for i in self.never:
             del self.ids[self.bytes[i]]
+        # The longest token that starts with two bytes, so that no longer match is looked for.
+        self.longest: dict[bytes, int] = {}
+        for t in self.ids:
+            self.longest[t[:2]] = max(len(t), self.longest.get(t[:2], 1))
+        self.byte_ids = [self.ids.get(bytes([x]), -1) for x in range(256)]
         self.find = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")").split if self.special else None
         self.cache: dict[str, tuple[int, ...]] = {}
@@ -77,14 +85,15 @@ class Bpe:
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest matches from the left; every single byte is a token."""
-        ids, out, a, n = self.ids, [], 0, len(word)
+        ids, longest, out, a, n = self.ids, self.longest, [], 0, len(word)
         while a < n:
-            for b in range(min(n, a + self.longest), a, -1):
-                found = ids.get(word[a:b])
-                if found is not None:
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
+            b = a + longest.get(word[a : a + 2], 1)
+            if b > n:
+                b = n
+            while (found := ids.get(word[a:b])) is None:
+                b -= 1
+                if b == a:
+                    raise ValueError("the vocabulary lacks a byte")
             out.append(found)
             a = b
         return out
@@ -128,13 +137,31 @@ class Bpe:
     # -- exact merging ----------------------------------------------------------------------------
 
     def merge(self, word: bytes) -> list[int]:
-        """BPE as defined: join the pair of the least rank, leftmost first, until no pair has a rank.
-
-        A heap of candidate pairs over a linked list, so that long pre-tokens take n log n steps.
-        """
+        """BPE as defined: join the pair of the least rank, leftmost first, until no pair has a rank."""
+        ids = [self.byte_ids[x] for x in word]
+        return self._merge_long(ids) if len(ids) > 40 else self._merge_short(ids)
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """By looking for the least rank in the list of pairs, which is quick for a few bytes."""
+        code, none, shift = self.code.get, 1 << 60, _SHIFT
+        pairs = [code(p, none) for p in zip(ids, ids[1:])]
+        while pairs:
+            best = min(pairs)
+            if best == none:
+                break
+            k = pairs.index(best)
+            found = ids[k] = best & shift
+            del ids[k + 1], pairs[k]
+            if k:
+                pairs[k - 1] = code((ids[k - 1], found), none)
+            if k < len(pairs):
+                pairs[k] = code((found, ids[k + 1]), none)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """By a heap of candidate pairs over a linked list, so that long pre-tokens take n log n steps."""
         import heapq
 
-        ids = [self.ids[word[k : k + 1]] for k in range(len(word))]
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
