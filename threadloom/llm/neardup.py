@@ -17,10 +17,14 @@ from threadloom.llm.text import grams, mix, pieces
 TREES, DEPTH = 16, 6
 #: Neighbours share so many leading values; where more than CROWD texts do, regions are cut deeper, to LAST at most.
 FIRST, LAST, CROWD = 3, 5, 64
+#: In regions of up to so many texts all pairs are looked at, in larger ones those with a rare shingle in common.
+FEW = 8
 #: Candidates have an estimated similarity of at least this; at a true 0.85 an estimate is lower once in 50,000.
 ESTIMATE = 0.70
 #: Documents of which 100 * common shingles >= PERCENT * all shingles of both are linked.
 PERCENT = 85
+#: Buckets in which shingles of texts in larger regions are counted, to know the rare ones.
+BUCKETS = 1 << 21
 
 _K = TREES * DEPTH
 _rng = np.random.default_rng(77)
@@ -144,26 +148,34 @@ class Range:
             out[k : k + 20_000] = (self.sketch[a[k : k + 20_000]] == self.sketch[b[k : k + 20_000]]).mean(1)
         return (out - 1 / 16) / (15 / 16)
 
-    def pairs(self, wanted) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Row pairs of regions with a sufficient estimate among those that wanted(a, b) admits, in bounded portions."""
+    def pairs(self, wanted, crowded=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Row pairs of regions with a sufficient estimate among those that wanted(a, b) admits, in bounded portions.
+
+        crowded(start, end) gives the pairs to look at in a large region; without it all are looked at.
+        """
         size = self.ends - self.starts
-        small = size <= CROWD
+        small = size <= FEW
         region = np.repeat(np.arange(len(size)), size)
         last = self.ends[region] if len(region) else region
         for offset in range(1, int(size[small].max(initial=1))):
             a = np.flatnonzero((np.arange(len(region)) + offset < last) & small[region])
             b = a + offset
             fine = wanted(a, b)
-            a, b = a[fine], b[fine]
-            fine = self.estimate(a, b) >= ESTIMATE
-            yield a[fine], b[fine]
+            yield self._near(a[fine], b[fine])
         for s, e in zip(self.starts[~small].tolist(), self.ends[~small].tolist()):
+            if crowded:
+                for a, b in crowded(s, e):
+                    yield self._near(a, b)
+                continue
             for a in range(s, e - 1):
                 b = np.arange(a + 1, e)
                 b = b[wanted(np.full(len(b), a), b)]
                 if len(b):
-                    b = b[self.estimate(np.full(len(b), a), b) >= ESTIMATE]
-                    yield np.full(len(b), a), b
+                    yield self._near(np.full(len(b), a), b)
+
+    def _near(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        fine = self.estimate(a, b) >= ESTIMATE
+        return a[fine], b[fine]
 
     def leaders(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Rows with a leader of their region: the least node, and in larger regions the one nearest to the most frequent values."""
@@ -183,13 +195,13 @@ def _whole(batches) -> Range | None:
 
 
 def first_partners(rows: DataFrame) -> DataFrame:
-    """For each node with a candidate: its best partner so far (or none) and whether it lies in a crowded region."""
+    """For each node with a candidate: its best partner so far (or none) and whether it lies in a larger region."""
 
     def run(batches):
         r = _whole(batches)
         if r is None:
             return
-        crowd = np.repeat(r.ends - r.starts > CROWD, r.ends - r.starts)
+        crowd = np.repeat(r.ends - r.starts > FEW, r.ends - r.starts)
         known = np.zeros(len(r.node), bool)
         for a, b in r.pairs(lambda a, b: ~known[a] | ~known[b]):
             known[a] = known[b] = True
@@ -202,28 +214,78 @@ def first_partners(rows: DataFrame) -> DataFrame:
             fine = value >= ESTIMATE
             a, b, value = a[fine], b[fine], value[fine]
             known[a] = known[b] = True
-            rank = value + kind * (value >= 0.8)  # a leader joins a group in one step; a neighbour is the second choice
-            yield pa.RecordBatch.from_arrays([pa.array(r.node[a]), pa.array(r.node[b]), pa.array(rank), pa.array(crowd[a])], names=["node", "partner", "rank", "crowd"])
-        at = np.flatnonzero(known)
+            leads = np.full(len(a), kind) * (value >= 0.8)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(r.node[a]), pa.array(r.node[b]), pa.array(leads), pa.array(value), pa.array(crowd[a])], names=["node", "partner", "leads", "value", "crowd"]
+            )
+        at, zero = np.flatnonzero(known), np.zeros(int(known.sum()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(r.node[at]), pa.nulls(len(at), pa.int64()), pa.array(np.zeros(len(at))), pa.array(crowd[at])], names=["node", "partner", "rank", "crowd"]
+            [pa.array(r.node[at]), pa.nulls(len(at), pa.int64()), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(crowd[at])], names=["node", "partner", "leads", "value", "crowd"]
         )
 
-    found = rows.mapInArrow(run, "node long, partner long, rank double, crowd boolean")
-    return found.groupBy("node").agg(F.max(F.struct("rank", "partner")).alias("best"), F.max("crowd").alias("crowd")).select("node", "best.partner", "crowd")
+    found = rows.mapInArrow(run, "node long, partner long, leads long, value double, crowd boolean")
+    # The text from which others derive leads in most orders; a neighbour is the second choice.
+    votes = found.groupBy("node", "partner").agg(F.sum("leads").alias("leads"), F.max("value").alias("value"), F.max("crowd").alias("crowd"))
+    best = votes.groupBy("node").agg(F.max(F.struct("leads", "value", "partner")).alias("best"), F.max("crowd").alias("crowd"))
+    return best.select("node", "best.partner", "crowd")
+
 
+def further_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """All candidates (a, b) of different components.
 
-def further_pairs(rows: DataFrame) -> DataFrame:
-    """All candidates (a, b) of different components, except those that closed shows to be no links."""
+    In a large region only pairs with a rare shingle in common are looked at: the others cannot be links. Where many texts
+    derive from one, those too far from it have rare shingles of their own and hardly meet, so the pairs that are
+    looked at do not grow with the square of the region.
+    """
 
     def run(batches):
         r = _whole(batches)
         if r is None:
             return
-        component = r.table.column("component").to_numpy()
-        crowd, closed = r.table.column("crowd").to_numpy(zero_copy_only=False), r.table.column("closed").to_numpy(zero_copy_only=False)
-        wanted = lambda a, b: (component[a] != component[b]) & ~(crowd[a] & crowd[b] & (closed[a] | closed[b]))
-        for a, b in r.pairs(wanted):
+        component, n = r.table.column("component").to_numpy(), r.table.column("n_shingles").to_numpy()
+        rare = r.table.column("rare").to_pylist()
+
+        def crowded(s: int, e: int):
+            # Texts whose rare shingles are not known (their region was cut elsewhere before) meet all others.
+            for a in [a for a in range(s, e) if rare[a] is None]:
+                b = np.arange(s, e)
+                b = b[component[b] != component[a]]
+                yield np.full(len(b), a), b
+            known = [a for a in range(s, e) if rare[a] is not None]
+            if not known:
+                return
+            least = n[known].min()
+            tokens, owner = [], []
+            for a in known:
+                # Of partners with m shingles, this many of n must be common: percent * (n + m) / (100 + percent).
+                m = max(int(least), -(-percent * int(n[a]) // 100))
+                common = -(-percent * (int(n[a]) + m) // (100 + percent))
+                t = np.frombuffer(rare[a], np.uint32)[: max(1, int(n[a]) - common + 1)]
+                tokens.append(t)
+                owner.append(np.full(len(t), a))
+            tokens, owner = np.concatenate(tokens), np.concatenate(owner)
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+            sizes = np.diff(np.append(starts, len(tokens)))
+            c = component[owner]
+            mixed = np.maximum.reduceat(c, starts) != np.minimum.reduceat(c, starts)
+            pairs, held = [], 0
+            for k, m in zip(starts[mixed].tolist(), sizes[mixed].tolist()):
+                who = np.unique(owner[k : k + m])
+                names, count = np.unique(component[who], return_counts=True)
+                few = who[component[who] != names[count.argmax()]]
+                a, b = np.repeat(few, len(who)), np.tile(who, len(few))
+                fine = component[a] != component[b]
+                pairs.append(np.minimum(a, b)[fine] * len(r.node) + np.maximum(a, b)[fine])
+                held += len(a)
+                if held > 500_000:
+                    pairs, held = [np.unique(np.concatenate(pairs))], 0
+            if pairs:
+                code = np.unique(np.concatenate(pairs))
+                yield code // len(r.node), code % len(r.node)
+
+        for a, b in r.pairs(lambda a, b: component[a] != component[b], crowded):
             if len(a):
                 x, y = r.node[a], r.node[b]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
@@ -252,17 +314,42 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return joined.mapInArrow(run, "a long, b long")
 
 
-def unshared(texts: DataFrame, size: int) -> DataFrame:
-    """For each node the number of its shingles that no other node of the table has."""
+def bucket_counts(texts: DataFrame, size: int) -> np.ndarray:
+    """How many shingles of the texts fall into each of BUCKETS buckets; one row for each bucket a task has seen."""
 
     def run(batches):
+        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for node, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size)):
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), node))], names=["shingle", "node"])
+            for s in shingle_sets(batch.column(0), size):
+                np.add.at(total, (s % np.uint64(BUCKETS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
-    rows = texts.select("node", "text").mapInArrow(run, "shingle long, node long")
-    single = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).filter("node = other")
-    return single.groupBy("node").agg(F.count("*").alias("unshared"))
+    sums = texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int32)  # at most BUCKETS rows, for any corpus
+    out[sums.column("bucket").to_numpy()] = np.minimum(sums.column("n").to_numpy(), np.iinfo(np.int32).max)
+    return out
+
+
+def rarest(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, rare): so many of each text's rarest shingles that any two linked texts have one of them in common.
+
+    The order is one for all texts: by the bucket's count, then by hash. Of n shingles a partner must share percent in
+    100 at least, so among the n - that + 1 first ones there is a common one. Shingles are cut to 32 bits here, which can
+    only add candidates.
+    """
+    counts = texts.sparkSession.sparkContext.broadcast(bucket_counts(texts, size))  # of fixed size
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for s in shingle_sets(batch.column(1), size):
+                order = np.lexsort((s, counts.value[(s % np.uint64(BUCKETS)).astype(np.int64)]))
+                n = len(s) - -(-percent * len(s) // 100) + 1
+                out.append((mix(s[order[:n]]) >> np.uint64(32)).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "rare"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, rare binary")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -290,8 +377,8 @@ def near_groups(docs: DataFrame, size: int = 3, percent: int = PERCENT) -> DataF
     Words are lower-cased (A-Z). Documents with equal shingle sets are one node. An LSH forest proposes pairs and full
     sets confirm them, in two rounds: first each node with the best of its region's leaders and prefix neighbours, which
     joins most groups without looking at their pairs; then all further candidates between different components.
-    In crowded regions a text is closed, and its pairs there left out, if so many of its shingles occur in no
-    other crowded text that no similarity can reach the threshold: this is exact, not a cap.
+    In larger regions only texts with a rare shingle in common become candidates, as links must have: this is exact,
+    not a cap.
 
     Null and empty texts have no shingles and are linked with nothing. Rows of one doc_id are one document; a null
     doc_id is linked with nothing and has a null component_id. Empty tables give empty results; other columns are ignored.
@@ -309,19 +396,15 @@ def near_groups(docs: DataFrame, size: int = 3, percent: int = PERCENT) -> DataF
     links = saved(confirmed(saved(pairs.distinct(), "pairs"), texts, size, percent), "links")
     first = components(links)
 
-    crowded = texts.join(partners.filter("crowd").select("node"), "node", "left_semi")
-    alone = saved(unshared(crowded, size), "unshared")
+    crowded = saved(texts.join(partners.filter("crowd").select("node"), "node", "left_semi"), "crowded")
+    rare = saved(rarest(crowded, size, percent), "rare")
     open_nodes = (
-        nodes.join(partners.select("node", "crowd"), "node")
+        nodes.join(partners.select("node"), "node")
         .join(first, "node", "left")
-        .join(alone, "node", "left")
-        .select(
-            "node", "n_shingles", "signature", "crowd",
-            F.coalesce("component", "node").alias("component"),
-            (100 * (F.col("n_shingles") - F.coalesce("unshared", F.lit(0))) < percent * F.col("n_shingles")).alias("closed"),
-        )
-    )
-    more = saved(further_pairs(forest(saved(open_nodes, "open"), ["component", "crowd", "closed"])), "pairs")
+        .join(rare, "node", "left")
+        .select("node", "n_shingles", "signature", F.coalesce("component", "node").alias("component"), "rare")
+    )
+    more = saved(further_pairs(forest(saved(open_nodes, "open"), ["n_shingles", "component", "rare"]), percent), "pairs")
     links = links.union(confirmed(more, texts, size, percent))
     groups = components(saved(links, "links"))
     named = saved(nodes.select("digest", "node").join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component")), "groups")
