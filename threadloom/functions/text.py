@@ -104,7 +104,8 @@ PRONOUNS = {
 
 def pronoun_counts(text: Column, pronouns: dict[str, list[str]] | None = None) -> dict[str, Column]:
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b[a-z']+\b"), F.lit(0))
-    return {f"n_{k}": F.size(F.filter(found, lambda x, v=v: x.isin(*v))).cast("long") for k, v in (pronouns or PRONOUNS).items()}
+    among = lambda names: F.size(F.filter(found, lambda x: x.isin(*names))).cast("long")
+    return {f"n_{k}": among(v) for k, v in (pronouns or PRONOUNS).items()}
 
 
 def syllables(word: Column) -> Column:

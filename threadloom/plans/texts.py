@@ -1 +1,283 @@
-"""Queries."""
+"""Queries of text functions and markup parsing. Prose stands in for messages; markup is made from it by fixed templates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from threadloom.functions import text as X
+from threadloom.functions import wikitext as M
+from threadloom.operators import sequence as seq
+from threadloom.plans import bindings as B
+from threadloom.plans.registry import query
+
+t = B.table
+_D = "WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents)"
+_SENT = "CASE WHEN trim(t, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 0 ELSE greatest(1, len(regexp_split_to_array(trim(t, ' ' || chr(9) || chr(10) || chr(13)), '[.!?]+')) - 1) END"
+
+
+def _docs(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+
+
+def _round(columns):
+    return [(F.round(c, 6) if "avg" in k or "ratio" in k or k in ("fk_grade",) else c).alias(k) for k, c in columns.items()]
+
+
+def _rx(p):
+    """A pattern for RE2, whose \\b knows ASCII only."""
+    p = "(?:^|[^\\pL\\pN_])" + p[2:] if p.startswith(r"\b") else p
+    p = p[:-2] + "(?:$|[^\\pL\\pN_])" if p.endswith(r"\b") else p
+    return "'" + p.replace("'", "''") + "'"
+
+
+@query("b01_norm_user", "SELECT c_custkey, trim(replace(c_name, '#', ' ')) AS name FROM customer")
+def b01(spark, sf):
+    c = t(spark, sf, "customer")
+    return c.select("c_custkey", X.norm_user(F.concat(F.lit(" "), F.replace("c_name", F.lit("#"), F.lit("_")), F.lit(" "))).alias("name"))
+
+
+@query("b02_mentor_rows", "SELECT n_nationkey, n_name AS username, 'helps ' || n_name AS message FROM nation")
+def b02(spark, sf):
+    line = F.concat(F.lit("intro\n* [[User:"), "n_name", F.lit("|x]] - helps "), "n_name", F.lit("\nnot * [[User:Z]]"))
+    return t(spark, sf, "nation").select("n_nationkey", F.explode(M.mentor_rows(line)).alias("r")).select("n_nationkey", "r.*")
+
+
+@query("b03_json_mentors", "SELECT n_nationkey, n_nationkey::VARCHAR AS uid, n_name AS username, (n_regionkey)::INT AS weight FROM nation WHERE n_nationkey % 5 > 0")
+def b03(spark, sf):
+    inner = F.concat(F.lit('{"'), F.col("n_nationkey"), F.lit('":{"username":"'), "n_name", F.lit('","weight":'), F.col("n_regionkey"), F.lit("}}"))
+    text = F.when(F.col("n_nationkey") % 5 == 0, F.lit("{bad")).when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit('{"Mentors":'), inner, F.lit("}"))).otherwise(inner)
+    rows = t(spark, sf, "nation").select("n_nationkey", F.explode(M.json_mentors(text)).alias("uid", "m"))
+    return rows.select("n_nationkey", "uid", "m.username", "m.weight")
+
+
+@query("b04_content", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS content FROM documents")
+def b04(spark, sf):
+    d = t(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.struct(F.struct(F.col("lang").alias("content")).alias("main"))).alias("slots"), F.col("source").alias("content"))
+    from threadloom.sources.io import content_of
+
+    return content_of(d).select("doc_id", "content")
+
+
+def _pages(spark, sf):
+    """Talk pages made from conversations: a header, the question and an indented reply."""
+    c = B.turns(spark, sf)
+    flat = lambda x: F.regexp_replace(F.substring(F.coalesce(x, F.lit("none")), 1, 120), r"[\n\r=:*\[\]{}()|]", " ")
+    head = F.concat(F.lit("== Question from [[User:N"), F.col("conv_id"), F.lit("|N]]"), F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit(" on [[Page "), F.col("conv_id"), F.lit("]]"))).otherwise(""), F.lit(" (09:05, 7 July 2025) =="))
+    body = F.concat(F.lit("\n"), flat(F.col("question")), F.lit("\n:"), flat(F.col("reply")), F.lit("\n== Other ==\nx"))
+    return c.select("conv_id", flat(F.col("question")).alias("q"), flat(F.col("reply")).alias("r"), F.concat(head, body).alias("wt"))
+
+
+_FLAT = "regexp_replace(substr(coalesce({0}, 'none'), 1, 120), '[\\n\\r=:*\\[\\]{{}}()|]', ' ', 'g')"
+_PG = f"WITH {B.TURNS}, pg AS (SELECT conv_id, {_FLAT.format('question')} AS q, {_FLAT.format('reply')} AS r FROM turns)"
+
+
+@query("b05_b09_questions", _PG + " SELECT conv_id, 'N' || conv_id AS mentee, CASE WHEN conv_id % 2 = 0 THEN 'Page ' || conv_id END AS article, '09:05, 7 July 2025' AS asked, regexp_replace(q || chr(10) || ':' || r, '^\\s+|\\s+$', '', 'g') AS body FROM pg")
+def b05(spark, sf):
+    return _pages(spark, sf).select("conv_id", F.explode(M.questions(F.col("wt"))).alias("x")).select("conv_id", "x.*")
+
+
+@query("b06_header_dialects", _PG + " SELECT conv_id, true AS strict, true AS loose, true AS timed, true AS dotall, true AS name FROM pg")
+def b06(spark, sf):
+    return _pages(spark, sf).select("conv_id", *[F.col("wt").rlike(p).alias(k) for k, p in M.HEADERS.items()])
+
+
+@query("b07_mentor_from_title", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'U' || page_id END AS mentor FROM pages")
+def b07(spark, sf):
+    title = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("User talk:U"), F.col("page_id"), F.lit("/Archive 1"))).otherwise(F.concat(F.lit("Talk:U"), F.col("page_id")))
+    return t(spark, sf, "pages").select("page_id", M.mentor_from_title(title).alias("mentor"))
+
+
+@query("b08_wiki_times", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:00Z') AS iso FROM events")
+def b08(spark, sf):
+    month = F.get(F.array(*[F.lit(m.title()) for m in M.MONTHS]), F.month("ts") - 1)
+    text = F.concat(F.date_format("ts", "HH:mm"), F.lit(", "), F.dayofmonth("ts"), F.lit(" "), month, F.lit(" "), F.year("ts"), F.lit(" (UTC)"))
+    return t(spark, sf, "events").select("event_id", M.parse_wiki_time(text).alias("iso"))
+
+
+@query("b10_find_section", _PG + " SELECT conv_id, 'N' || conv_id AS found FROM pg")
+def b10(spark, sf):
+    p = _pages(spark, sf).withColumn("all", M.questions(F.concat(F.lit("== Question from [[User:Zed]] (01:00, 1 May 2024) ==\nhi\n"), "wt")))
+    who = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("n"), F.col("conv_id"))).otherwise("nobody")
+    return p.select("conv_id", M.find_section(F.col("all"), who)["mentee"].alias("found"))
+
+
+@query("b11_article", "SELECT page_id, CASE WHEN page_id % 3 > 0 THEN 'A ' || page_id END AS article FROM pages")
+def b11(spark, sf):
+    mid = F.when(F.col("page_id") % 3 > 0, F.concat(F.lit(" on [[A "), F.col("page_id"), F.lit("]] "))).otherwise(" ")
+    return t(spark, sf, "pages").select("page_id", M.extract_article(mid).alias("article"))
+
+
+@query("b12_split_reply", _PG + " SELECT conv_id, regexp_replace(q, '^\\s+|\\s+$', '', 'g') AS question, ':' || regexp_replace(r, '\\s+$', '') AS reply FROM pg")
+def b12(spark, sf):
+    body = F.concat(F.lit(": [[User talk:M]] is away\n"), "q", F.lit("\n:"), "r")
+    return _pages(spark, sf).select("conv_id", *[c.alias(k) for k, c in M.split_reply(body).items()])
+
+
+@query("b13_b14_reply_only", _PG + " SELECT conv_id, CASE WHEN trim(r) <> '' THEN 'R ' || trim(r) END AS rest, CASE WHEN length(q) >= 50 THEN NULL ELSE 'x' END AS fixed FROM pg")
+def b13(spark, sf):
+    p = _pages(spark, sf).withColumn("head", F.concat(F.lit("line one\n "), F.trim("q")))
+    rest = M.reply_only(F.col("head"), F.concat(F.lit("line one \n"), F.trim("q"), F.lit("\nR "), F.trim("r")))
+    return p.select("conv_id", F.when(F.trim("r") != "", rest).alias("rest"), M.fixed_reply(F.col("q"), F.when(F.length("q") >= 50, F.concat(F.lit("\n"), "q")).otherwise("x")).alias("fixed"))
+
+
+def _signed(spark, sf):
+    """A reply signed by the mentor, then by another user."""
+    c = t(spark, sf, "customer").select("c_custkey", F.concat(F.lit("M_"), F.col("c_custkey")).alias("mentor"))
+    raw = F.concat(F.lit("Hi there [[User:"), "mentor", F.lit("|me]] 10:0"), F.col("c_custkey") % 10, F.lit(", 3 March 2024 (UTC)\n:: and [[User talk:Other One#x|o]] 11:30, 4 March 2024 (UTC)"))
+    return c.withColumn("raw", raw).withColumn("sigs", M.signatures(raw))
+
+
+@query("b15_b18_signatures", "SELECT c_custkey, 2 AS n, 'm ' || c_custkey AS first_signer, '2024-03-03T10:0' || (c_custkey % 10) || ':00Z' AS first_ts, length('Hi there [[User:M_' || c_custkey || '|me]] 10:00, 3 March 2024 (UTC)')::INT AS first_end, ['m ' || c_custkey, 'other one'] AS signers FROM customer")
+def b15(spark, sf):
+    first = F.get("sigs", F.lit(0))
+    return _signed(spark, sf).select("c_custkey", F.size("sigs").alias("n"), first["signer"].alias("first_signer"), first["ts"].alias("first_ts"), first["end"].alias("first_end"), M.signers(F.col("sigs")).alias("signers"))
+
+
+@query("b16_b17_reply_time", "SELECT c_custkey, '2024-03-03T10:0' || (c_custkey % 10) || ':00Z' AS ts, 'Hi there [[User:M_' || c_custkey || '|me]] 10:0' || (c_custkey % 10) || ', 3 March 2024 (UTC)' AS cut FROM customer")
+def b16(spark, sf):
+    return _signed(spark, sf).select("c_custkey", M.reply_time(F.col("raw"), F.col("sigs"), F.col("mentor")).alias("ts"), M.truncate_reply(F.col("raw"), F.col("sigs"), F.col("mentor")).alias("cut"))
+
+
+@query("b19_repeated_question", "SELECT c_custkey, 'Answer ' || c_custkey AS reply FROM customer")
+def b19(spark, sf):
+    q = F.lit("How do I cite a newspaper that is not online?")
+    r = F.concat(F.lit("{{tq}} How do I cite a newspaper that is not online? [[User:N_"), F.col("c_custkey"), F.lit("]] 10:00, 3 March 2024 (UTC)\n Answer "), F.col("c_custkey"))
+    c = t(spark, sf, "customer")
+    return c.select("c_custkey", M.strip_repeated_question(q, r, M.signatures(r), F.concat(F.lit("N "), F.col("c_custkey"))).alias("reply"))
+
+
+@query("b20_section_cut", "SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS first_part FROM documents")
+def b20(spark, sf):
+    d = _docs(spark, sf)
+    return d.select("doc_id", M.section_cut(F.concat(F.split_part("t", F.lit("\n"), F.lit(1)), F.lit("\n== Next ==\nmore"))).alias("first_part"))
+
+
+@query("b21_clean_wikitext", _PG + " SELECT conv_id, regexp_replace(trim(q), '  +', ' ', 'g') || ' [POLICY] [WIKILINK] [LINK]' AS clean FROM pg WHERE regexp_matches(q, '^[A-Za-z ,]+$')")
+def b21(spark, sf):
+    p = _pages(spark, sf).filter(F.col("q").rlike("^[A-Za-z ,]+$"))
+    raw = F.concat(F.lit(":* "), F.trim("q"), F.lit(" [[WP:N|n]] [[WP:RS]] [[Some page]] <b>https://x.org/a</b> {{clear}} '' -- [[User:A B|A]] ([[User talk:A B|talk]]) 10:00, 3 March 2024 (UTC)"))
+    return p.select("conv_id", M.clean_wikitext(raw).alias("clean"))
+
+
+@query("b22_embedding_text", "SELECT c_custkey, 'Hello, thanks for your note.' AS emb FROM customer")
+def b22(spark, sf):
+    c = t(spark, sf, "customer").withColumn("mentee", F.concat(F.lit("New(user)+_"), F.col("c_custkey")))
+    clean = F.concat(F.lit("Hello @"), F.translate("mentee", "_", " "), F.lit(" , thanks for your note 0123456789 ."))
+    return c.select("c_custkey", M.embedding_text(clean, F.col("mentee"), F.lit("Mentor.X")).alias("emb"))
+
+
+@query("b23_is_english", "SELECT doc_id, length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) < 3 OR length(regexp_replace(coalesce(text, ''), '[^\\p{L}]', '', 'g')) = 0 OR length(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) >= 0.95 * length(regexp_replace(coalesce(text, ''), '[^\\p{L}]', '', 'g')) AS english FROM documents")
+def b23(spark, sf):
+    return _docs(spark, sf).select("doc_id", X.is_english(F.col("t"), 0.95).alias("english"))
+
+
+@query("b24_signer_classes", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'assigned_mentor' WHEN 1 THEN 'mentor_and_other' WHEN 2 THEN 'other_only' ELSE 'none' END AS reply_signer, CASE c_custkey % 4 WHEN 0 THEN ['m'] WHEN 1 THEN ['m', 'x'] WHEN 2 THEN ['x'] ELSE [] END AS actual_responders, c_custkey % 4 < 3 AS has_reply FROM customer")
+def b24(spark, sf):
+    k = F.col("c_custkey") % 4
+    found = F.when(k == 0, F.array(F.lit("m"), F.lit("n"))).when(k == 1, F.array(F.lit("x"), F.lit("m"))).when(k == 2, F.array(F.lit("n"), F.lit("x"))).otherwise(F.array(F.lit("n")))
+    return t(spark, sf, "customer").select("c_custkey", *[c.alias(n) for n, c in M.classify_signers(found, F.lit("M"), F.lit("N"), F.lit(True)).items()])
+
+
+@query("b25_json_answers", "SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN CASE WHEN quality = 1 THEN 'Y' ELSE 'N' END END AS q0, CASE WHEN doc_id % 3 < 2 THEN 'N' END AS q2 FROM labels")
+def b25(spark, sf):
+    yn = F.when(F.col("quality") == 1, "Y").otherwise("N")
+    good = F.concat(F.lit('```json\n{"Q0": "'), yn, F.lit('", "Q2": "N"}\n```'))
+    loose = F.concat(F.lit('Sure: "Q0": "'), yn, F.lit('" and then "Q2" : "N", more'))
+    bad = F.lit('{"Q0": "Y", "Q2": "maybe"}')
+    raw = F.when(F.col("doc_id") % 3 == 0, good).when(F.col("doc_id") % 3 == 1, loose).otherwise(bad)
+    labels = M.json_labels(raw, ["Q0", "Q2"])
+    return t(spark, sf, "labels").select("doc_id", labels["Q0"].alias("q0"), labels["Q2"].alias("q2"))
+
+
+@query("b27_annotations", "SELECT doc_id AS cid, max(quality)::INT AS q0 FROM labels WHERE doc_id % 4 > 0 GROUP BY 1")
+def b27(spark, sf):
+    l = t(spark, sf, "labels").select(F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("cid"), F.concat(F.lit("q_"), "doc_id").alias("id"), F.when(F.col("quality") == 1, "Y").otherwise("N").alias("Q0"), F.when(F.col("doc_id") % 4 == 0, "timeout").alias("error"), F.col("doc_id").alias("pos"))
+    l = l.withColumn("cid", F.coalesce("cid", F.regexp_replace("id", "^q_", "").cast("long")))
+    out = seq.last_valid(l, "cid", "pos", F.col("error").isNull() & F.col("Q0").isNotNull())
+    return out.select("cid", (F.col("Q0") == "Y").cast("int").alias("q0"))
+
+
+_TF = f"""SELECT doc_id, len(w)::BIGINT AS q_words, length(t) AS q_chars, ({_SENT})::BIGINT AS q_sentences, round(CASE WHEN len(w) > 0 THEN list_sum(list_transform(w, lambda x: length(x))) / len(w) ELSE 0 END, 6) AS q_avg_word_len,
+ round(CASE WHEN len(w) > 0 THEN len(list_distinct(list_transform(w, lambda x: lower(x)))) / len(w) ELSE 0 END, 6) AS q_type_token_ratio, round(len(w) / greatest({_SENT}, 1), 6) AS q_avg_sentence_len, ({_SENT} <= 1 AND t <> '')::INT AS q_is_single_sentence,
+ ((length(t) - length(replace(t, chr(10) || chr(10), ''))) // 2 + CASE WHEN t = '' THEN 0 ELSE 1 END)::BIGINT AS q_n_paragraphs, (length(t) - length(replace(t, '?', '')))::BIGINT AS q_n_question_marks, (length(t) - length(replace(t, '!', '')))::BIGINT AS q_n_exclamation, contains(t, '?')::INT AS q_has_question_mark,
+ """ + ", ".join(f"regexp_matches(lower(t), {_rx(p)})::INT AS q_{k}" for k, p in ({"has_greeting": X.GREETING} | X.FLAGS | X.TOPICS).items()) + """, regexp_matches(t, '(?m)^\\s*[\\*\\-\\#\\d]')::INT AS q_has_list,
+ """ + ", ".join(f"((length(t) - length(replace(t, '{p}', ''))) // {len(p)})::BIGINT AS q_{k}" for k, p in X.TOKENS.items()) + " FROM d"
+
+
+@query("i01_text_features", _D + " " + _TF)
+def i01(spark, sf):
+    return _docs(spark, sf).select("doc_id", *_round(X.text_features(F.col("t"), "q")))
+
+
+@query("i02_wiki_features", "SELECT doc_id, 1 AS has_signature, 0 AS has_unsigned, 2::BIGINT AS link_count, 1::BIGINT AS template_count, 1 AS has_url, 1::BIGINT AS mentions_wp, 1::BIGINT AS mentions_help, 1 AS is_indented FROM documents")
+def i02(spark, sf):
+    raw = F.concat(F.lit(":: [[WP:A]] and [[Help:B|b]] {{tl|x}} http://a.b "), F.regexp_replace(F.substring("t", 1, 20), r"[\[\]{}]", ""), F.lit(" -- 10:00, 3 March 2024 (UTC) [[more]]"))
+    f = X.wiki_features(raw)
+    return _docs(spark, sf).select("doc_id", *[f[k].alias(k) for k in list(f)[:8]])
+
+
+
+@query("i03_politeness", "WITH d AS (SELECT conv_id, turn, regexp_replace(lower(coalesce(text, '')), '^\\s+|\\s+$', '', 'g') AS t FROM conversations) SELECT conv_id, turn, " + ", ".join(f"regexp_matches(t, {_rx(p)})::INT AS polite_{k}" for k, p in X.POLITENESS.items()) + " FROM d")
+def i03(spark, sf):
+    return t(spark, sf, "conversations").select("conv_id", "turn", *[c.alias(k) for k, c in X.politeness(F.col("text")).items()])
+
+
+_PRON = ", ".join(f"len(list_filter(list_transform(regexp_extract_all(' ' || lower(replace(t, chr(10), ' ')) || ' ', '[^a-z'']([a-z'']+)', 1), lambda z: z), lambda z: z IN ({', '.join(chr(39) + x + chr(39) for x in v)})))::BIGINT AS n_{k}" for k, v in {"a": ["the", "of"], "b": ["and"]}.items())
+
+
+@query("i04_pronouns", f"WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z'' ]', ' ', 'g') AS t FROM documents) SELECT doc_id, {_PRON} FROM d")
+def i04(spark, sf):
+    d = _docs(spark, sf).withColumn("t", F.regexp_replace("t", "[^A-Za-z' ]", " "))
+    return d.select("doc_id", *[c.alias(k) for k, c in X.pronoun_counts(F.col("t"), {"a": ["the", "of"], "b": ["and"]}).items()])
+
+
+def _syl(w):
+    n = f"len(regexp_extract_all(lower({w}), '[aeiouy]+'))"
+    return f"CASE WHEN length({w}) <= 2 THEN 1 ELSE greatest(1, {n} - CASE WHEN ends_with(lower({w}), 'e') AND {n} > 1 THEN 1 ELSE 0 END) END"
+
+
+@query("i05_syllables", f"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-zA-Z]+')) AS w FROM benchmark) SELECT w, ({_syl('w')})::BIGINT AS n FROM w")
+def i05(spark, sf):
+    w = t(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0))).alias("w")).distinct()
+    return w.select("w", X.syllables(F.col("w")).alias("n"))
+
+
+@query("i06_readability", f"WITH d AS (SELECT item_id, regexp_extract_all(text, '[a-zA-Z]+') AS w, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x, ' ' || chr(10)) <> '')) AS s FROM benchmark), e AS (SELECT item_id, len(w) AS n, greatest(s, 1) AS s, list_sum(list_transform(w, lambda x: {_syl('x')})) AS y FROM d) SELECT item_id, round(0.39 * n / s + 11.8 * y / n - 15.59, 6) AS fk_grade, round(y / n, 6) AS avg_syllables FROM e")
+def i06(spark, sf):
+    return t(spark, sf, "benchmark").select("item_id", *_round(X.readability(F.col("text"))))
+
+
+@query("i07_steps", "SELECT doc_id, 3::BIGINT AS n_steps, 1 AS has_steps FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1::BIGINT, 0 FROM documents WHERE doc_id % 2 = 1")
+def i07(spark, sf):
+    made = F.when(F.col("doc_id") % 2 == 0, F.lit("1. a\n 2) b\n3. c step 1")).otherwise("see Step 2 of it")
+    return _docs(spark, sf).select("doc_id", *[c.alias(k) for k, c in X.step_count(made).items()])
+
+
+@query("i13_i15_arithmetic", "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_discount > 0 THEN l_tax / l_discount ELSE -1 END, 9) AS ratio, round(ln(1 + l_quantity), 9) AS log1p, round(log2(l_quantity + 1), 9) AS log2, round_even(l_quantity / 4, 0) AS half_even, greatest(5, least(l_quantity, 40)) AS clipped FROM lineitem")
+def i13(spark, sf):
+    from threadloom.functions.scalar import clip, finite, safe_div
+
+    return t(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.round(safe_div(F.col("l_tax"), F.col("l_discount"), -1), 9).alias("ratio"), F.round(F.log1p(finite(F.col("l_quantity"))), 9).alias("log1p"),
+        F.round(F.log2(F.col("l_quantity") + 1), 9).alias("log2"), F.bround(F.col("l_quantity") / 4, 0).alias("half_even"), clip(F.col("l_quantity"), F.lit(5.0), F.lit(40.0)).alias("clipped"),
+    )
+
+
+@query("i16_resources", "SELECT doc_id, 3::BIGINT AS n_resources, round(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) / 4, 6) AS word_ratio FROM documents")
+def i16(spark, sf):
+    d = _docs(spark, sf)
+    n = X.resource_count(F.lit("[LINK] [POLICY] x [WIKILINK]"))
+    return d.select("doc_id", n.alias("n_resources"), F.round(F.size(X.words(F.col("t"))) / 4, 6).alias("word_ratio"))
+
+
+@query("i17_e40_stars", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount < 0.001 THEN '***' WHEN l_discount < 0.01 THEN '**' WHEN l_discount < 0.05 THEN '*' ELSE '' END AS stars, CASE WHEN l_discount - 0.02 > 0 OR l_tax - 0.04 < 0 THEN '*' ELSE '' END AS sig FROM lineitem")
+def i17(spark, sf):
+    from threadloom.functions.scalar import stars
+    from threadloom.operators.stats import significant
+
+    return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", stars(F.col("l_discount")).alias("stars"), significant(F.col("l_discount") - 0.02, F.col("l_tax") - 0.04).alias("sig"))
+
+
+@query("html_links", "SELECT page_id, len(regexp_extract_all(html, '<a href=\"[^\"]*\"'))::BIGINT AS n_links, len(regexp_extract_all(html, '<!--'))::BIGINT AS n_comments FROM pages")
+def html(spark, sf):
+    return t(spark, sf, "pages").select("page_id", F.regexp_count("html", F.lit('<a href="[^"]*"')).cast("long").alias("n_links"), F.regexp_count("html", F.lit("<!--")).cast("long").alias("n_comments"))
