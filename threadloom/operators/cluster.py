@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadloom.sources.io import cut
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -41,7 +43,7 @@ def merged_labels(labels: DataFrame, edges: DataFrame, label: str = "label") ->
         spread = told.groupBy("l").agg(F.min("c").alias("c"))
         above = spread.select(F.col("l").alias("c"), F.col("c").alias("above"))
         new = spread.join(above, "c", "left").select("l", F.least("c", "above").alias("c"))
-        new = new.cache()
+        new = cut(new)
         if new.join(current.withColumnRenamed("c", "old"), "l").filter("c <> old").isEmpty():
             break
         current = new
@@ -111,8 +113,8 @@ def threshold_groups(rows: DataFrame, key: str, vector: str, least: float = 0.9,
 def matched_groups(rows: DataFrame, cell: list[str], columns: list[str], anchor: Column, key: str, n: int = 3) -> DataFrame:
     """For the anchor of each cell (the row where anchor is true, least key) its nearest rows by Mahalanobis distance (diagonal)."""
     spread = rows.agg(*[F.greatest(F.var_pop(c), F.lit(1e-12)).alias(f"__v_{c}") for c in columns])
-    first = rows.filter(anchor).groupBy(*cell).agg(F.min(F.struct(key, *columns)).alias("a"))
-    d2 = sum(((F.col(c) - F.col(f"a.{c}")) * (F.col(c) - F.col(f"a.{c}")) / F.col(f"__v_{c}") for c in columns), F.lit(0.0))
+    first = rows.filter(anchor).groupBy(*cell).agg(F.min(F.struct(key, *columns)).alias("__a"))
+    d2 = sum(((F.col(c) - F.col(f"__a.{c}")) * (F.col(c) - F.col(f"__a.{c}")) / F.col(f"__v_{c}") for c in columns), F.lit(0.0))
     near = rows.join(first, cell).crossJoin(F.broadcast(spread)).withColumn("distance", F.sqrt(d2))  # one row of variances
     w = W.partitionBy(*cell).orderBy("distance", key)
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select(*cell, key, "distance", "rank")

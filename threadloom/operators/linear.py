@@ -79,7 +79,7 @@ def ols(rows: DataFrame, columns: Sequence[str], y: str, report: Sequence[str] |
     for k, c in enumerate(columns):
         if report is None or c in report:
             t = beta[k] / se[k] if se[k] > 0 else float("nan")
-            out.append((c, float(beta[k]), float(se[k]), float(t), student_tail(float(t), n - p)))
+            out.append((c, float(beta[k]), float(se[k]), float(t), student_tail(float(t), float(n - p))))
     return spark.createDataFrame(out, shape)
 
 
@@ -134,7 +134,7 @@ def strat_dr(rows: DataFrame, covariates: Sequence[str], outcomes: Sequence[str]
                 continue
             beta = np.linalg.lstsq(g[:p, :p], g[:p, p], rcond=None)[0]
             total, weight = total + n * beta[0], weight + n
-        out.append((o, total / weight if weight else float("nan")))
+        out.append((o, float(total / weight) if weight else float("nan")))
     return rows.sparkSession.createDataFrame(out, "outcome string, dr double")
 
 
@@ -251,7 +251,7 @@ def mixed_model(rows: DataFrame, columns: Sequence[str], y: str, group: str) ->
     for k, c in enumerate(columns):
         se = math.sqrt(max(inverse[k, k] * s2, 0))
         z = beta[k] / se if se else float("nan")
-        out.append((c, float(beta[k]), se, float(z), math.erfc(abs(z) / math.sqrt(2)), r / (1 + r)))
+        out.append((c, float(beta[k]), se, float(z), math.erfc(abs(z) / math.sqrt(2)), float(r / (1 + r))))
     return spark.createDataFrame(out, "variable string, beta double, se double, z double, p double, icc double")
 
 

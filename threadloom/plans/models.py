@@ -1 +1,262 @@
-"""Queries."""
+"""Queries of linear models, embeddings, clusters and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from threadloom.operators import cluster as C
+from threadloom.operators import linear as L
+from threadloom.operators import stats as S
+from threadloom.plans import bindings as B
+from threadloom.plans.registry import query
+
+t = B.table
+X3 = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _vectors(spark, sf):
+    return t(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+def _rounded(df, digits=6):
+    return df.select(*[F.round(c, digits).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+
+
+@query("j01_j16_standardise", "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round(({c} - (SELECT avg({c}) FROM lineitem)) / (SELECT stddev_pop({c}) FROM lineitem), 6) AS {c}" for c in X3) + " FROM lineitem")
+def j01(spark, sf):
+    return _rounded(L.standardise(t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *X3), X3))
+
+
+@query("j16_reply_matrix", "WITH p AS (SELECT quantile_cont(l_quantity, 0.99) AS q FROM lineitem), c AS (SELECT l_orderkey, l_linenumber, greatest(0, least(coalesce(l_quantity, 0), q)) AS lag FROM lineitem, p) SELECT l_orderkey, l_linenumber, round((lag - (SELECT avg(lag) FROM c)) / (SELECT stddev_pop(lag) FROM c), 6) AS lag FROM c")
+def j16(spark, sf):
+    from threadloom.functions.scalar import clip, finite
+
+    l = t(spark, sf, "lineitem")
+    p = l.agg(F.percentile("l_quantity", F.lit(0.99)).alias("q"))
+    c = l.crossJoin(F.broadcast(p)).select("l_orderkey", "l_linenumber", clip(finite(F.col("l_quantity")), F.lit(0.0), F.col("q")).alias("lag"))  # one row of quantiles
+    return _rounded(L.standardise(c, ["lag"]))
+
+
+@query("j02_propensity")
+def j02(spark, sf):
+    s = B.sample(spark, sf).drop("ps")
+    return L.propensity(s, X3).select("id", "d", F.round("ps", 6).alias("ps"))
+
+
+@query("j04_coefficients")
+def j04(spark, sf):
+    s = L.standardise(B.sample(spark, sf), X3)
+    beta = L.logistic_beta(s, X3, "d")
+    table = spark.createDataFrame([(c, float(b)) for c, b in zip(X3, beta)], "variable string, coef double")
+    return L.rank_by_size(table, "coef", 20, "variable").withColumn("abs_coef", F.abs("coef"))
+
+
+@query("j05_ablation")
+def j05(spark, sf):
+    s, out = B.sample(spark, sf).drop("ps"), None
+    for name, columns in {"quantity": X3[:1], "price": ["l_extendedprice"], "all": [*X3, "l_extendedprice"]}.items():
+        scored = L.propensity(s, columns, folds=2)
+        att = S.strat_att(S.stratum_sums(S.qcut(scored, "ps", 5, "stratum"), ["y"]), ["outcome"]).select("att")
+        row = S.auc(scored).crossJoin(att).select(F.lit(name).alias("model"), F.lit(len(columns)).alias("p"), F.round("auc", 6).alias("auc"), F.round("att", 6).alias("att"))  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("j06_pca")
+def j06(spark, sf):
+    p = L.pca(_vectors(spark, sf), "embedding", 3, "pc")
+    return p.select("vec_id", *[F.round(F.get("pc", F.lit(k)), 6).alias(f"pc{k + 1}") for k in range(3)])
+
+
+@query("j07_one_hot", "SELECT doc_id, (lang = 'en')::INT AS lang_en, (lang = 'es')::INT AS lang_es, (lang = 'fr')::INT AS lang_fr FROM documents")
+def j07(spark, sf):
+    return L.one_hot(t(spark, sf, "documents").select("doc_id", "lang"), "lang", "lang_").drop("lang")
+
+
+@query("j13_independent_columns", "SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS variable")
+def j13(spark, sf):
+    l = t(spark, sf, "lineitem").select(*X3, F.lit(1.0).alias("constant"), (F.col("l_quantity") * 2 + F.col("l_tax")).alias("sum"))
+    kept = L.independent_columns(l, ["l_quantity", "constant", "l_discount", "l_tax", "sum"])
+    return spark.createDataFrame([(c,) for c in kept], "variable string")
+
+
+@query("j14_mixed_model")
+def j14(spark, sf):
+    return _rounded(L.mixed_model(B.sample(spark, sf), X3, "y", "cluster"), 5)
+
+
+@query("j15_ols", "SELECT 'l_quantity' AS variable, round(regr_slope(l_extendedprice, l_quantity), 4) AS beta, round(sqrt((1 - regr_r2(l_extendedprice, l_quantity)) * var_pop(l_extendedprice) / var_pop(l_quantity) / (count(*) - 2)), 4) AS se FROM lineitem")
+def j15(spark, sf):
+    o = L.ols(t(spark, sf, "lineitem"), ["l_quantity"], "l_extendedprice")
+    return o.select("variable", F.round("beta", 4).alias("beta"), F.round("se", 4).alias("se"))
+
+
+@query("j17_associations")
+def j17(spark, sf):
+    s, out = L.standardise(B.sample(spark, sf), X3), None
+    for y in ("y", "y2"):
+        part = L.mixed_model(s, X3, y, "cluster").withColumn("outcome", F.lit(y))
+        out = part if out is None else out.unionByName(part)
+    return _rounded(out, 5)
+
+
+@query("j19_residual", "WITH b AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem) SELECT l_orderkey, l_linenumber, round(l_extendedprice - a - b * l_quantity, 2) AS residual FROM lineitem, b")
+def j19(spark, sf):
+    r = L.residual(t(spark, sf, "lineitem"), ["l_quantity"], "l_extendedprice", 0.0, "residual")
+    return r.select("l_orderkey", "l_linenumber", F.round("residual", 2).alias("residual"))
+
+
+@query("j20_ridge_cv")
+def j20(spark, sf):
+    l = t(spark, sf, "lineitem")
+    base, more = L.ridge_cv_r2(l, ["l_discount"], "l_extendedprice", 10.0, "l_orderkey"), L.ridge_cv_r2(l, ["l_discount", "l_quantity"], "l_extendedprice", 10.0, "l_orderkey")
+    return spark.createDataFrame([(round(base, 6), round(more, 6), round(more - base, 6))], "r2_base double, r2 double, incremental double")
+
+
+@query("j21_direction")
+def j21(spark, sf):
+    v = _vectors(spark, sf).withColumn("c", (F.col("vec_id") % 7).cast("double"))
+    _, projected = L.direction(v.withColumn("y", F.col("label").cast("double")), "embedding", "y", ["c"])
+    return projected.select("vec_id", F.round("projection", 6).alias("projection"))
+
+
+@query("e31_strat_dr")
+def e31(spark, sf):
+    s = S.qcut(B.sample(spark, sf), "ps", 5, "stratum")
+    return _rounded(L.strat_dr(s, ["l_quantity", "l_tax"], ["y", "y2"]))
+
+
+_CENT = "cells AS (SELECT label, generate_subscripts(embedding, 1) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings), cent AS (SELECT label, k, avg(x) AS x FROM cells GROUP BY ALL), nrm AS (SELECT label, sqrt(sum(x * x)) + 1e-12 AS n FROM cent GROUP BY 1), cos AS (SELECT p.label AS a, q.label AS b, sum(p.x * q.x) / any_value(pn.n) / any_value(qn.n) AS cosine FROM cent p JOIN cent q ON p.k = q.k AND p.label < q.label JOIN nrm pn ON pn.label = p.label JOIN nrm qn ON qn.label = q.label GROUP BY ALL)"
+
+
+@query("j25_centroid_cosines", f"WITH {_CENT} SELECT a, b, round(cosine, 6) AS cosine FROM cos")
+def j25(spark, sf):
+    return _rounded(C.cosine_matrix(C.centroids(_vectors(spark, sf), "label", "embedding"), "label"))
+
+
+@query("d14_theta_edges", f"WITH {_CENT} SELECT a, b FROM cos WHERE cosine > 0.1")
+def d14(spark, sf):
+    return C.cosine_matrix(C.centroids(_vectors(spark, sf), "label", "embedding"), "label").filter("cosine > 0.1").select("a", "b")
+
+
+@query("j26_merged_clusters", f"WITH RECURSIVE {_CENT}, u AS (SELECT a, b FROM cos WHERE cosine > 0.1 UNION SELECT b, a FROM cos WHERE cosine > 0.1), r(l, root) AS (SELECT DISTINCT label, label FROM embeddings UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.l), m AS (SELECT l, min(root) AS c FROM r GROUP BY l) SELECT l AS label, (dense_rank() OVER (ORDER BY c) - 1)::INT AS merged FROM m")
+def j26(spark, sf):
+    v = _vectors(spark, sf)
+    edges = C.cosine_matrix(C.centroids(v, "label", "embedding"), "label").filter("cosine > 0.1")
+    return C.merged_labels(v, edges)
+
+
+_COH = "u AS (SELECT vec_id, label, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) + 1e-12 AS n, embedding FROM embeddings), c AS (SELECT label, generate_subscripts(embedding, 1) AS k, unnest(embedding)::DOUBLE / n AS x FROM u), s AS (SELECT label, k, sum(x) AS s, count(*) AS n FROM c GROUP BY ALL), coh AS (SELECT label, max(n) AS n, (sum(s * s) - max(n)) / (max(n) * (max(n) - 1)) AS coherence FROM s GROUP BY 1)"
+
+
+@query("j27_coherence", f"WITH {_COH} SELECT label, n, round(coherence, 6) AS coherence FROM coh")
+def j27(spark, sf):
+    return _rounded(C.coherence(_vectors(spark, sf), "label", "embedding"))
+
+
+@query("j27_dissolved", f"WITH {_COH} SELECT vec_id, CASE WHEN coherence < 0.35 AND n >= 5 THEN -1 ELSE embeddings.label END AS label FROM embeddings JOIN coh ON coh.label = embeddings.label")
+def j27b(spark, sf):
+    return C.dissolved(_vectors(spark, sf), "label", "embedding").select("vec_id", "label")
+
+
+@query("e46_j29_cluster_profile", "WITH r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id::VARCHAR), vec_id) AS r FROM embeddings) SELECT label, count(*) AS n, round_even(avg(vec_id), 4) AS vec_id, string_agg('t' || vec_id, ' ||| ' ORDER BY r) FILTER (r <= 5) AS samples FROM r GROUP BY label")
+def e46(spark, sf):
+    return C.profile(_vectors(spark, sf).withColumn("text", F.concat(F.lit("t"), "vec_id")), "label", ["vec_id"], "text", "vec_id")
+
+
+@query("j28_sub_cells")
+def j28(spark, sf):
+    v = _vectors(spark, sf).withColumns({"a": F.get("embedding", F.lit(0)), "b": F.get("embedding", F.lit(1))}).filter("label < 3")
+    return C.sub_cells(v, "label", ["a", "b"]).select("vec_id", "label", "cell")
+
+
+@query("j23_j24_threshold_groups", "WITH RECURSIVE u AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) + 1e-12 AS n FROM embeddings), e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / a.n / b.n >= 0.95), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(l, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.l), m AS (SELECT l, min(root) AS c FROM r GROUP BY l) SELECT l AS vec_id, (dense_rank() OVER (ORDER BY c) - 1)::INT AS merged FROM m")
+def j23(spark, sf):
+    return C.threshold_groups(_vectors(spark, sf), "vec_id", "embedding", least=0.95, bits=8, tables=8)
+
+
+@query("m03_moderation")
+def m03(spark, sf):
+    s = L.standardise(S.qcut(B.sample(spark, sf), "ps", 5, "stratum"), ["l_quantity"]).withColumn("dxm", F.col("d") * F.col("l_quantity"))
+    o = L.ols(s.withColumn("s", F.col("stratum").cast("double")), ["d", "dxm", "l_quantity", "s"], "y", ["d", "dxm"])
+    return _rounded(o)
+
+
+@query("m04_net_effects")
+def m04(spark, sf):
+    o = {r.variable: r.beta for r in m03(spark, sf).collect()}  # two rows
+    return spark.createDataFrame([(o["d"], o["dxm"], o["d"] + o["dxm"])], "beta_d double, beta_dxm double, net double")
+
+
+@query("m07_cluster_betas")
+def m07(spark, sf):
+    v = _vectors(spark, sf).withColumns({"a": F.get("embedding", F.lit(0)), "b": F.get("embedding", F.lit(1)), "y": F.get("embedding", F.lit(2))})
+    rows = []
+    for r in L.gram(v, ["a", "b"], "y", ["label"]).collect():  # a row for each label
+        g = L.unpack(r.g, 4)
+        beta = L.np.linalg.solve(g[:3, :3], g[:3, 3])
+        rss, tss = g[3, 3] - beta @ g[:3, 3], g[3, 3] - g[2, 3] ** 2 / g[2, 2]
+        rows.append((int(r.label), round(float(beta[0]), 6), round(float(beta[1]), 6), round(float(1 - rss / tss), 6)))
+    return spark.createDataFrame(rows, "label int, beta_a double, beta_b double, r2 double")
+
+
+@query("m08_matched_groups", "WITH v AS (SELECT vec_id, label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings), s AS (SELECT var_pop(a) AS va, var_pop(b) AS vb FROM v), f AS (SELECT label, arg_min(a, vec_id) AS fa, arg_min(b, vec_id) AS fb FROM v WHERE vec_id % 3 = 0 GROUP BY 1), d AS (SELECT label, vec_id, sqrt((a - fa) * (a - fa) / va + (b - fb) * (b - fb) / vb) AS distance FROM v JOIN f USING (label), s) SELECT label, vec_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id)::INT AS rank FROM d QUALIFY rank <= 3")
+def m08(spark, sf):
+    v = _vectors(spark, sf).withColumns({"a": F.get("embedding", F.lit(0)), "b": F.get("embedding", F.lit(1))})
+    return _rounded(C.matched_groups(v, ["label"], ["a", "b"], F.col("vec_id") % 3 == 0, "vec_id"))
+
+
+@query("a12_a13_i08_i09_plugins", "SELECT d.doc_id, l.toxic::DOUBLE AS toxicity, 0::DOUBLE AS compound FROM documents d LEFT JOIN labels l USING (doc_id)")
+def plugins(spark, sf):
+    from threadloom.functions.plugins import table_scores, zero_scores
+
+    scores = t(spark, sf, "labels").select("doc_id", F.col("toxic").cast("double").alias("toxicity"))
+    return zero_scores(table_scores(t(spark, sf, "documents").select("doc_id"), scores, "doc_id", ["toxicity"]), ["compound"])
+
+
+def _streamed(spark, sf, name):
+    """A table as a file stream."""
+    path = f"{sf}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    folder, leaf = path.rsplit("/", 1)
+    return spark.readStream.schema(schema).option("pathGlobFilter", leaf).parquet(folder) if not _is_dir(spark, path) else spark.readStream.schema(schema).parquet(path)
+
+
+def _is_dir(spark, path):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+def _drained(spark, frame, mode):
+    """The result of a stream once its files are read, by a memory table."""
+    import uuid
+
+    name = f"s{uuid.uuid4().hex}"
+    q = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@query("k02_stream_windows", "SELECT strftime(time_bucket(INTERVAL 1 day, ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def k02(spark, sf):
+    from threadloom.streaming.roster import windowed_counts
+
+    e = _streamed(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    w = _drained(spark, windowed_counts(e, "ts", ["event_type"], "1 day"), "complete")
+    return w.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query("k01_stream_ingest", "SELECT DISTINCT event_id, event_type FROM events")
+def k01(spark, sf):
+    from threadloom.streaming.roster import ingest
+
+    e = _streamed(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "event_type", "ts")
+    return _drained(spark, ingest(e, "event_id", "ts", "40 days"), "append").select("event_id", "event_type")
+
+
+@query("k03_stream_roster")
+def k03(spark, sf):
+    from threadloom.streaming.roster import roster_states
+
+    e = _streamed(spark, sf, "events").select(F.col("user_id").alias("member"), F.col("event_id").alias("seq"), (F.col("value") > 50).alias("present"))
+    return _drained(spark, roster_states(e), "append")

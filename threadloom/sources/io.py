@@ -53,3 +53,15 @@ def export_corpus(folder: str, **frames: DataFrame) -> None:
     """Each frame as JSON lines in a folder of its own name."""
     for name, frame in frames.items():
         frame.write.mode("overwrite").json(f"{folder}/{name}")
+
+
+#: Used only where a session names no shared folder, as on one machine.
+FALLBACK_CHECKPOINTS = "file:///tmp/checkpoints/threadloom"
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """rows without their lineage, in the shared folder of spark.checkpoint.dir: for loops that build on their own results."""
+    spark = rows.sparkSession
+    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(FALLBACK_CHECKPOINTS)
+    return rows.checkpoint()
