@@ -251,43 +251,43 @@ def further_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 b = np.arange(s, e)
                 b = b[component[b] != component[a]]
                 yield np.full(len(b), a), b
-            known = [a for a in range(s, e) if rare[a] is not None]
-            if not known:
+            known = np.array([a for a in range(s, e) if rare[a] is not None], np.int64)
+            if not len(known):
                 return
-            least = n[known].min()
-            tokens, owner = [], []
-            for a in known:
-                # Of partners with m shingles, this many of n must be common: percent * (n + m) / (100 + percent).
-                m = max(int(least), -(-percent * int(n[a]) // 100))
-                common = -(-percent * (int(n[a]) + m) // (100 + percent))
-                t = np.frombuffer(rare[a], np.uint32)[: max(1, int(n[a]) - common + 1)]
-                tokens.append(t)
-                owner.append(np.full(len(t), a))
-            tokens, owner = np.concatenate(tokens), np.concatenate(owner)
+            keys = [np.frombuffer(rare[a], np.uint64) for a in known]
+            padded = np.full((len(known), max(map(len, keys))), np.iinfo(np.uint64).max)
+            for i, k in enumerate(keys):
+                padded[i, : len(k)] = k
+            least, sizes, own = int(n[known].min()), n[known], component[known]
+            # Of partners with m shingles or more, this many of n must be common: percent * (n + m) / (100 + percent).
+            m = np.maximum(least, -(-percent * sizes // 100))
+            first = np.maximum(1, sizes - -(-percent * (sizes + m) // (100 + percent)) + 1)
+            owner = np.concatenate([np.full(min(len(k), f), i) for i, (k, f) in enumerate(zip(keys, first.tolist()))])
+            tokens = np.concatenate([k[:f] for k, f in zip(keys, first.tolist())])
             order = np.argsort(tokens, kind="stable")
             tokens, owner = tokens[order], owner[order]
             starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-            sizes = np.diff(np.append(starts, len(tokens)))
-            c = component[owner]
+            counts = np.diff(np.append(starts, len(tokens)))
+            c = own[owner]
             mixed = np.maximum.reduceat(c, starts) != np.minimum.reduceat(c, starts)
-            pairs, held = [], 0
-            for k, m in zip(starts[mixed].tolist(), sizes[mixed].tolist()):
+            for k, m in zip(starts[mixed].tolist(), counts[mixed].tolist()):
                 who = np.unique(owner[k : k + m])
-                names, count = np.unique(component[who], return_counts=True)
-                few = who[component[who] != names[count.argmax()]]
-                a, b = np.repeat(few, len(who)), np.tile(who, len(few))
-                fine = component[a] != component[b]
-                pairs.append(np.minimum(a, b)[fine] * len(r.node) + np.maximum(a, b)[fine])
-                held += len(a)
-                if held > 500_000:
-                    pairs, held = [np.unique(np.concatenate(pairs))], 0
-            if pairs:
-                code = np.unique(np.concatenate(pairs))
-                yield code // len(r.node), code % len(r.node)
-
+                names, size = np.unique(own[who], return_counts=True)
+                few = who[own[who] != names[size.argmax()]]
+                for row in np.array_split(few, -(-len(few) * len(who) // 1_000_000)):
+                    a, b = np.repeat(row, len(who)), np.tile(who, len(row))
+                    fine = own[a] != own[b]
+                    a, b = a[fine], b[fine]
+                    fine = may_link(padded, sizes, a, b, percent)
+                    yield known[a[fine]], known[b[fine]]
+
+        seen = np.zeros(0, np.int64)
         for a, b in r.pairs(lambda a, b: component[a] != component[b], crowded):
-            if len(a):
-                x, y = r.node[a], r.node[b]
+            code = np.minimum(a, b) * len(r.node) + np.maximum(a, b)
+            code = np.setdiff1d(code, seen)
+            if len(code):
+                seen = np.union1d(seen, code) if len(seen) < 1_000_000 else code
+                x, y = r.node[code // len(r.node)], r.node[code % len(r.node)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").filter("a < b").distinct()
@@ -334,9 +334,9 @@ def bucket_counts(texts: DataFrame, size: int) -> np.ndarray:
 def rarest(texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, rare): so many of each text's rarest shingles that any two linked texts have one of them in common.
 
-    The order is one for all texts: by the bucket's count, then by hash. Of n shingles a partner must share percent in
-    100 at least, so among the n - that + 1 first ones there is a common one. Shingles are cut to 32 bits here, which can
-    only add candidates.
+    Keys are the count of a shingle's bucket, then 32 bits of its hash, and are sorted: one order for all texts. Of n
+    shingles a partner must share percent in 100 at least, so among the n - that + 1 first ones there is a common one.
+    Cutting hashes to 32 bits can only add candidates.
     """
     counts = texts.sparkSession.sparkContext.broadcast(bucket_counts(texts, size))  # of fixed size
 
@@ -344,14 +344,32 @@ def rarest(texts: DataFrame, size: int, percent: int) -> DataFrame:
         for batch in batches:
             out = []
             for s in shingle_sets(batch.column(1), size):
-                order = np.lexsort((s, counts.value[(s % np.uint64(BUCKETS)).astype(np.int64)]))
-                n = len(s) - -(-percent * len(s) // 100) + 1
-                out.append((mix(s[order[:n]]) >> np.uint64(32)).astype(np.uint32).tobytes())
+                keys = counts.value[(s % np.uint64(BUCKETS)).astype(np.int64)].astype(np.uint64) << np.uint64(32) | mix(s) >> np.uint64(32)
+                keys.sort()
+                out.append(keys[: len(s) - -(-percent * len(s) // 100) + 1].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "rare"])
 
     return texts.select("node", "text").mapInArrow(run, "node long, rare binary")
 
 
+def may_link(rare: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets a and b can be similar enough, from their first keys (rows of rare, padded with the largest number).
+
+    Up to the smaller of the two last keys, w, all of both sets is known. Beyond it, no more can be common than the smaller rest.
+    """
+    top = np.iinfo(np.uint64).max
+    out = np.empty(len(a), bool)
+    for k in range(0, len(a), 20_000):
+        x, y, n, m = rare[a[k : k + 20_000]], rare[b[k : k + 20_000]], sizes[a[k : k + 20_000]], sizes[b[k : k + 20_000]]
+        last = lambda r: np.where(r == top, np.uint64(0), r).max(1)
+        w = np.minimum(last(x), last(y))[:, None]
+        both = np.sort(np.concatenate([x, y], 1), 1)
+        common = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] <= w)).sum(1)
+        rest = np.minimum(n - (x <= w).sum(1), m - (y <= w).sum(1))
+        out[k : k + 20_000] = (100 + percent) * (common + rest) >= percent * (n + m)
+    return out
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component: the least node that edges lead to. Labels spread along edges and jump to their labels' labels.
 
