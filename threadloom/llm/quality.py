@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import WORD_GAP, documents, saved, text_or_empty
 
 #: Good documents of a stratum that may be rejected in all, as a share, and the chance that this fails anywhere.
-ALPHA, DELTA = 0.02, 0.05
+ALPHA, DELTA = 0.03, 0.05
 #: Values of a rule's measure are counted on so many levels.
 LEVELS = 200
 #: Tables of thresholds up to so many strata are broadcast.
@@ -88,6 +88,7 @@ def _level(name: str) -> Column:
 
 def binomial_tail_sql(k: str, n: str, p: float) -> str:
     """SQL of P(X <= k) for X ~ Bin(n, p), exactly, by summing logarithms; 1 where k > n * p, where it decides nothing."""
+    p = f"CAST({p!r} AS double)"  # a bare literal would be a decimal
     t = f"(a.t + ln(({n} - i + 1) / i) + ln({p} / (1 - {p})))"
     first = f"({n} * ln(1 - {p}))"
     return (
@@ -102,9 +103,10 @@ def select_cutoffs(features: DataFrame, labels: DataFrame, stratum: str = "lang"
     """One row per stratum: a level for each measure above which documents are rejected, or null for none.
 
     On the labelled rows (quality 1: good, 0: bad) that pass the base rules, a cutoff that rejects k of n good
-    documents is admitted if P(Bin(n, alpha / measures) <= k) <= delta / (strata * measures * levels): the exact
-    upper bound of its false-rejection rate is then at most alpha / measures, for all cutoffs of all strata at once
-    with probability 1 - delta (Bonferroni). Of the admitted cutoffs the one with the largest surplus of bad over
+    documents is admitted if P(Bin(n, alpha / measures) <= k) <= delta / (strata * measures): the exact upper bound
+    of its false-rejection rate is then at most alpha / measures. A cutoff is admitted only if all looser ones are (k
+    grows as cutoffs fall), so that each sequence is tested in a fixed order and needs no correction in itself; over
+    strata and measures Bonferroni's correction holds, for all at once with probability 1 - delta. Of the admitted cutoffs the one with the largest surplus of bad over
     good rejections is chosen, the loosest on ties, none without a surplus. Strata too small to prove anything get
     none. A labelled document counts once per label row; null labels are ignored; null strata form one stratum.
     """
@@ -127,9 +129,8 @@ def select_cutoffs(features: DataFrame, labels: DataFrame, stratum: str = "lang"
     above = "aggregate(filter(map_entries(at), e -> e.key > cut), 0L, (a, e) -> a + e.value.{0})"
     grid = grid.select("stratum", "measure", "cut", "n", F.expr(above.format("good")).alias("k"), F.expr(above.format("bad")).alias("hit"))
     strata = counts.select("stratum").distinct().agg(F.greatest(F.count("*"), F.lit(1)).alias("n_strata"))
-    tests = len(MEASURES) * LEVELS
     admitted = grid.withColumn("tail", F.expr(binomial_tail_sql("k", "n", alpha / len(MEASURES)))).filter("hit > k AND n > 0")
-    admitted = admitted.join(F.broadcast(strata), F.col("tail") * F.col("n_strata") <= F.lit(delta / tests))  # one row
+    admitted = admitted.join(F.broadcast(strata), F.col("tail") * F.col("n_strata") <= F.lit(delta / len(MEASURES)))  # one row
     best = admitted.groupBy("stratum", "measure").agg(F.max_by("cut", F.struct(F.col("hit") - F.col("k"), "cut")).alias("cut"))
     return best.groupBy("stratum").agg(*[F.max(F.when(F.col("measure") == m, F.col("cut"))).alias(f"cut_{m}") for m in MEASURES])
 
@@ -186,7 +187,7 @@ cuts AS (SELECT stratum, m, cut, count(*) FILTER (quality = 1) AS n, count(*) FI
 ok AS (SELECT *, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
       + i * ln({ALPHA / len(MEASURES)}) + (n - i) * ln(1 - {ALPHA / len(MEASURES)})))) AS tail FROM cuts WHERE hit > k AND n > 0 AND k <= n * {ALPHA / len(MEASURES)}),
 best AS (SELECT stratum, m, max_by(cut, (hit - k) * 1000 + cut) AS cut FROM ok
-  WHERE tail * (SELECT count(DISTINCT stratum) FROM s) <= {DELTA / (len(MEASURES) * LEVELS)} GROUP BY stratum, m),
+  WHERE tail * (SELECT count(DISTINCT stratum) FROM s) <= {DELTA / len(MEASURES)} GROUP BY stratum, m),
 bad AS (SELECT DISTINCT doc_id FROM m JOIN best ON best.stratum = m.stratum AND best.m = m.x.m AND m.x.v > best.cut)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM g
