@@ -1,0 +1,365 @@
+import hashlib
+import math
+import os
+import random
+import sys
+
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, os.path.dirname(__file__))
+import brute  # noqa: E402
+
+from threadloom.llm import common, exact, lm, mixing, neardup, quality, substrings, toxicity, urls  # noqa: E402
+
+VOCABULARY = ["alpha", "beta", "Gamma", "delta", "eps", "the", "of", "and", "zeta", "été", "漢字", "x1", "long-word", "."] + [f"w{k}" for k in range(300)]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(VOCABULARY) for _ in range(n))
+
+
+def edited(rng, text, share):
+    w = text.split()
+    return " ".join(rng.choice(VOCABULARY) if rng.random() < share else x for x in w)
+
+
+def documents(spark, rows):
+    """Rows with columns whose names clash with the operators' own."""
+    full = [(i, t, "en" if k % 3 else None, f"s{k % 3}" if k % 5 else None, len(t or ""), k, "x") for k, (i, t) in enumerate(rows)]
+    return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, n_words long, digest string")
+
+
+ODD = [(1, "same"), (2, "same"), (2, "same"), (3, None), (4, ""), (None, "same"), (None, None), (5, " \n\t"), (6, "a b"), (7, "A  B"), (8, "x" * 100_000), (9, "word " * 20_000), (10, "été 漢字 😀 \x85 \u2028")]
+
+
+def test_every_operator_takes_odd_rows_and_none(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for rows in (ODD, []):
+        docs = documents(spark, rows)
+        assert exact.exact_groups(docs).count() == len(rows)
+        assert neardup.near_groups(docs).count() == len(rows)
+        assert substrings.remove_repeats(docs).count() == len(rows)
+        assert quality.judge_quality(docs, labels).count() == quality.judge_quality(docs, labels.limit(0)).count() == len(rows)
+        assert toxicity.score_documents(docs, labels).count() == len(rows)
+        assert lm.score_documents(docs).count() == len(rows)
+        assert mixing.mix_sources(docs).select("doc_id").distinct().count() == len({i for i, _ in rows})
+
+
+# -- exact ----------------------------------------------------------------------------------------------------------------------
+
+
+def test_exact_groups(spark):
+    got = {(r.doc_id, r.text_sha256): r for r in exact.exact_groups(documents(spark, ODD)).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert (got[1, sha("same")].keep_id, got[1, sha("same")].group_size, got[1, sha("same")].kept) == (2, 4, False)
+    assert got[2, sha("same")].kept and not got[None, sha("same")].kept
+    assert (got[3, sha("")].keep_id, got[3, sha("")].group_size) == (4, 3)
+
+
+def test_kept_rows(spark):
+    docs = documents(spark, ODD)
+    kept = exact.drop_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.filter("doc_id < 8").collect()) == [(2, "same"), (4, ""), (5, " \n\t"), (6, "a b"), (7, "A  B")]
+
+
+# -- urls -----------------------------------------------------------------------------------------------------------------------
+
+
+def test_urls(spark):
+    rows = [
+        (1, "http://A.Example.NET/en/x?q#f", "a.example.net", "/en/x", "example.net/en/", "allow"),
+        (2, "https://example.net/", "example.net", "/", "net/", "block"),
+        (3, "https://www.example.com/de/", "www.example.com", "/de/", "example.com/de/", "block"),
+        (4, "https://notexample.com/de/", "notexample.com", "/de/", None, "allow"),
+        (5, "x://b.org/fr/://net/", "b.org", "/fr/://net/", "org/fr/", "allow"),
+        (6, None, "", "", None, "allow"),
+        (7, "no scheme net/", "", "", None, "allow"),
+        (8, "http://net", "net", "", None, "allow"),
+        (9, "http://net?x/", "net", "", None, "allow"),
+        (10, "http://" + "a." * 5000 + "net/" + "p" * 50_000, "a." * 5000 + "net", "/" + "p" * 50_000, "net/", "block"),
+        (2, "https://example.net/", "example.net", "/", "net/", "block"),
+    ]
+    pages = spark.createDataFrame([r[:2] + ("clash", "clash") for r in rows], "page_id long, url string, host string, digest string")
+    got = sorted((tuple(r) for r in urls.judge_urls(pages, urls.rule_table(spark)).collect()), key=str)
+    assert got == sorted(((r[0], *r[2:]) for r in rows), key=str)
+    assert urls.judge_urls(pages.limit(0), urls.rule_table(spark)).count() == 0
+    assert urls.judge_urls(pages, urls.rule_table(spark).limit(0)).filter("verdict = 'block'").count() == 0
+
+
+def test_many_rules_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(urls, "BROADCAST_RULES", 3)
+    rng = random.Random(1)
+    rules = [(f"h{rng.randint(0, 30)}.net", "/" + "ab"[: rng.randint(0, 2)], rng.choice(["allow", "block"])) for _ in range(40)]
+    pages = [(k, f"http://s.h{rng.randint(0, 40)}.net/{'abc'[: rng.randint(0, 3)]}") for k in range(200)]
+    got = {r.page_id: r.rule for r in urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), urls.rule_table(spark, rules)).collect()}
+    for k, u in pages:
+        host, _, path = u[7:].partition("/")
+        fits = [h + p for h, p, _ in rules if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        assert got[k] == (max(fits, key=len) if fits else None)
+
+
+# -- quality --------------------------------------------------------------------------------------------------------------------
+
+
+def test_features_equal_brute_force(spark):
+    rng = random.Random(2)
+    texts = ["", "a b c a b c", "x x x x", "a\nb\na\n \n\na", "#|$ <>", *(prose(rng, rng.randint(0, 60)) + "\n" + prose(rng, 5) for _ in range(40)), *("the of and " * rng.randint(1, 9) for _ in range(5))]
+    out = quality.text_features(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in out:
+        t = texts[r.doc_id]
+        lines = [x for x in t.split("\n") if brute.words(x)]
+        assert (r.n_words, r.word_chars, r.n_symbols) == (len(brute.words(t)), sum(map(len, brute.words(t))), sum(c in "#*$%&|<>" for c in t))
+        assert (r.n_lines, r.n_dup_lines, r.n_repeat_words) == (len(lines), len(lines) - len(set(lines)), brute.repeated_words(t))
+
+
+def test_binomial_tail_is_exact(spark):
+    for k, n, p in [(0, 100, 0.02), (1, 100, 0.02), (3, 1000, 0.01), (40, 10_000, 0.004)]:
+        got = spark.sql(f"SELECT CAST({k} AS bigint) AS k, CAST({n} AS bigint) AS n").select(F.expr(quality.binomial_tail_sql("k", "n", p))).first()[0]
+        assert got == pytest.approx(1.0 if k > n * p else sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), rel=1e-9)
+
+
+def test_false_rejections_stay_within_the_limit(spark):
+    rng = random.Random(3)
+    rows, labels = [], []
+    for k in range(3000):
+        bad = k % 4 == 0
+        t = prose(rng, 80)
+        rows.append((k, " ".join(w + "$#" for w in t.split()) if bad and rng.random() < 0.8 else t))
+        labels.append((k, int(not bad), 0))
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    out = quality.judge_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    good = [r.kept for r in out if r.doc_id % 4]
+    assert sum(good) >= (1 - quality.ALPHA) * len(good)
+    assert sum(not r.kept for r in out if r.doc_id % 4 == 0) > 500
+
+
+# -- near duplicates ------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_near_groups_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = [(k, prose(rng, rng.randint(0, 90))) for k in range(0, 60)]
+    base = prose(rng, 110)
+    rows += [(1000 + k, edited(rng, base, rng.choice([0.0, 0.01, 0.02, 0.03, 0.05, 0.1]))) for k in range(170)]  # a crowd around a base that is not among them
+    rows += [(500 + k, edited(rng, rows[k][1], 0.02)) for k in range(30)]
+    rows += [(2000, "One two"), (2001, "one TWO"), (2002, "two one"), (2003, None), (2004, "  ")]
+    want = brute.near_groups(rows)
+    got = {r.doc_id: r for r in neardup.near_groups(documents(spark, rows)).collect()}
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
+    stay = {r.doc_id for r in neardup.drop_near_copies(documents(spark, rows)).collect()}
+    assert stay == {i for i, (_, c) in want.items() if i == c}
+
+
+def test_bound_never_rejects_links():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    sets = []
+    base = rng.integers(0, 1 << 60, 120, dtype=np.uint64)
+    for _ in range(80):
+        keep = rng.random(120) < rng.choice([1, 0.97, 0.9, 0.8])
+        sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 1 << 60, rng.integers(0, 20), dtype=np.uint64)])))
+    n = np.array([len(s) for s in sets])
+    first = [s[: len(s) - -(-85 * len(s) // 100) + 1] for s in sets]
+    rare = np.full((len(sets), max(map(len, first))), np.iinfo(np.uint64).max)
+    for k, f in enumerate(first):
+        rare[k, : len(f)] = f
+    a, b = map(np.array, zip(*[(i, j) for i in range(80) for j in range(i)]))
+    may = neardup.may_link(rare, n, a, b, 85)
+    linked = np.array([100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j])) for i, j in zip(a, b)])
+    assert linked.any() and may[linked].all() and not may.all()
+
+
+# -- repeated passages ----------------------------------------------------------------------------------------------------------
+
+
+def passages(rng, n=80):
+    shared = [prose(rng, rng.randint(10, 60)) for _ in range(6)]
+    rows = []
+    for k in range(n):
+        parts = [prose(rng, rng.randint(0, 40)) for _ in range(3)] + rng.sample(shared, rng.randint(0, 2))
+        rng.shuffle(parts)
+        rows.append((k, "  ".join(parts)))
+    return rows + [(n + 1, rows[3][1]), (n + 2, "the " * 60), (n + 3, "the " * 30), (n + 4, None), (3, rows[3][1]), (n + 5, "short")]
+
+
+@pytest.mark.parametrize("heavy", [2_000, 3])
+def test_repeats_equal_brute_force(spark, monkeypatch, heavy):
+    monkeypatch.setattr(substrings, "HEAVY", heavy)
+    rows = passages(random.Random(heavy))
+    out = substrings.remove_repeats(documents(spark, rows))
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in out.collect())
+    assert got == sorted(brute.repeats(rows))
+    assert sum(r[2] for r in got) > 100
+    assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in out.collect())
+
+
+def test_automaton():
+    rng = random.Random(5)
+    texts = [[rng.choice("ab") for _ in range(rng.randint(1, 30))] for _ in range(12)]
+    a = substrings.SuffixAutomaton()
+    for k, t in reversed(list(enumerate(texts))):
+        a.add(t, k)
+    a.close()
+    for query in [*texts, [rng.choice("abc") for _ in range(40)]]:
+        for size in (1, 3, 6):
+            want = []
+            for k in range(len(query) - size + 1):
+                g = query[k : k + size]
+                want.append(min((d for d, t in enumerate(texts) if any(t[i : i + size] == g for i in range(len(t)))), default=None))
+            assert a.first_documents(query, size) == want
+
+
+# -- toxicity -------------------------------------------------------------------------------------------------------------------
+
+
+def test_toxicity_learns_and_restores(spark):
+    rng = random.Random(6)
+    bad = ["idiot", "moron", "scumbag"]
+    rows, labels = [], []
+    for k in range(1500):
+        w = prose(rng, 40).split()
+        if k % 6 == 0:
+            for _ in range(3):
+                w[rng.randrange(40)] = rng.choice(bad) + rng.choice(["", "", "ic", "s"])
+        rows.append((k, " ".join(w)))
+        labels.append((k, 1, int(k % 6 == 0)))
+    hidden = [(9001, "you 1d10t and m0r0n"), (9002, "such an i d i o t here"), (9003, "what a mooooron he is"), (9004, "a fine alpha beta"), (9005, None)]
+    out = toxicity.score_documents(documents(spark, rows + hidden), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r for r in out.collect()}
+    held = [(r.predicted, int(i % 6 == 0)) for i, r in got.items() if r.held_out and i < 9000]
+    assert sum(p != t for p, t in held) <= 0.01 * len(held)
+    assert [got[9000 + k].predicted for k in range(1, 6)] == [1, 1, 1, 0, 0]
+    assert all(0 <= r.score <= 1 for r in got.values())
+    kept = toxicity.drop_toxic(documents(spark, rows + hidden), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
+
+
+def test_held_out_rows_teach_nothing(spark):
+    rows = [(k, prose(random.Random(k), 30) + (" nastyword" if k % 2 else "")) for k in range(300)]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(300)], "doc_id long, quality int, toxic int").filter(toxicity.held_out())
+    out = toxicity.score_documents(documents(spark, rows), labels)
+    assert {round(r.score, 9) for r in out.collect()} == {toxicity.BASE}
+
+
+# -- mixing ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_exponent():
+    t = mixing.exponent_for_repeats(0.01, 0.5, 2.0)
+    assert (0.5 / 0.01) ** (1 - t) == pytest.approx(2.0) and mixing.exponent_for_repeats(0.2, 0.3, 2.0) == 0
+
+
+def test_entropy_target(spark):
+    q = [0.6, 0.3, 0.05, 0.05]
+    t = mixing.exponent_for_entropy(spark.createDataFrame([(x,) for x in q], "q double"), 1.2)
+    z = sum(x**t for x in q)
+    assert -sum(x**t / z * math.log(x**t / z) for x in q) == pytest.approx(1.2, abs=1e-6)
+
+
+def test_budgets_are_met(spark):
+    rng = random.Random(7)
+    rows = [(k, prose(rng, rng.randint(1, 30)), ["big"] * 8 + ["mid", "small"], k) for k in range(3000)]
+    docs = spark.createDataFrame([(i, t, s[i % 10]) for i, t, s, _ in rows], "doc_id long, text string, source string")
+    n = {i: len(brute.words(t)) for i, t, _, _ in rows}
+    size = {s: sum(n[i] for i, _, x, _ in rows if x[i % 10] == s) for s in ("big", "mid", "small")}
+    out = mixing.mix_sources(docs, max_repeats=3.0)
+    uses = {}
+    for r in out.collect():
+        uses[r.source] = uses.get(r.source, 0) + n[r.doc_id]
+    assert uses["big"] == size["big"]  # the largest source once
+    e = mixing.exponent_for_repeats(min(size.values()) / sum(size.values()), size["big"] / sum(size.values()), 3.0)
+    for s in ("mid", "small"):
+        assert uses[s] == pytest.approx(size[s] * (size["big"] / size[s]) ** (1 - e), abs=40)
+    assert out.groupBy("doc_id", "pass").count().filter("count > 1").count() == 0
+    half = mixing.mix_sources(docs, budget=sum(n.values()) / 2.0, exponent=1.0)
+    assert sum(n[r.doc_id] for r in half.collect()) == pytest.approx(sum(n.values()) / 2, abs=100)
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in mixing.mix_sources(docs.repartition(7), max_repeats=3.0).collect()}
+
+
+# -- language model -------------------------------------------------------------------------------------------------------------
+
+
+def test_gradients():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    net = lm.Network(rng.normal(size=lm.PARAMETERS) * 0.1)
+    around, targets = rng.integers(0, lm._SIZE, (32, 2 * lm.REACH)), np.sort(rng.integers(0, lm._SIZE, 32))
+    before = net.values.astype(float).copy()
+    net.squares[:] = 0
+    loss = net.step(around, targets)
+    assert lm.Network(net.values).forward(around, targets)[0].mean() > loss  # a step helps
+    moved = np.flatnonzero(net.values != before.astype(np.float32))
+    for k in rng.choice(moved, 12):
+        def at(d, k=k):
+            v = before.copy()
+            v[k] += d
+            return float(lm.Network(v).forward(around, targets)[0].astype(float).mean())
+        slope = (at(0.02) - at(-0.02)) / 0.04
+        if abs(slope) > 1e-3:
+            assert np.sign(slope) == np.sign(net.values[k] - before[k])  # parameters move uphill
+
+
+def test_ordered_text_scores_higher(spark):
+    rng = random.Random(9)
+    phrase = "the cat sat on the mat and the dog lay by the door".split()
+    def text():
+        k = rng.randrange(12)
+        return " ".join((phrase * 6)[k : k + 40])
+    rows = [(k, text()) for k in range(600)]
+    mixed = []
+    for k in range(50):
+        w = text().split()
+        rng.shuffle(w)
+        mixed.append((10_000 + k, " ".join(w)))
+    got = {r.doc_id: r for r in lm.score_documents(documents(spark, rows + mixed + [(1, ""), (2, None)])).collect()}
+    fine = [r.mean_log_likelihood for i, r in got.items() if 2 < i < 10_000]
+    worse = [r.mean_log_likelihood for i, r in got.items() if i >= 10_000]
+    assert sum(fine) / len(fine) > sum(worse) / len(worse) + 0.3
+    assert all(r.log_likelihood <= 0 for r in got.values())
+
+
+# -- pipeline -------------------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_equals_plain_stages(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from threadloom.llm.bpe import default_tokenizer
+
+    rng = random.Random(10)
+    rows = []
+    for k in range(400):
+        rows.append((k, prose(rng, rng.randint(20, 60)) + (" idiot moron idiot" if k % 9 == 0 else "")))
+    rows += [(1000 + k, rows[k][1]) for k in range(0, 60)] + [(2000 + k, edited(rng, rows[k][1], 0.02)) for k in range(60, 120)]
+    docs = documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, int("idiot" in t)) for i, t in rows]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    current, plain = spark.read.parquet(f"{tmp_path}/documents.parquet"), dict(rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.saved(stage(spark, current, str(tmp_path)), "test")
+        assert out.columns == docs.columns
+        if name == "toxicity":
+            plain = {i: t for i, t in plain.items() if "idiot" not in t}
+        elif name == "exact_dedup":
+            best = {t: i for i, t in sorted(plain.items())}
+            plain = {i: t for i, t in plain.items() if best[t] == i}
+        elif name == "near_dedup":
+            groups = brute.near_groups(list(plain.items()))
+            plain = {i: t for i, t in plain.items() if groups[i][1] == i}
+        assert {(r.doc_id, r.text) for r in out.collect()} == set(plain.items())
+        if name != "source_mixing":
+            assert out.count() == len(plain)
+        current = out
+    final = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    library = Tokenizer.from_file(default_tokenizer())
+    assert len(final) == current.count() and {r.doc_id for r in final} == set(plain)
+    assert all(r.n_tokens == len(library.encode(plain[r.doc_id], add_special_tokens=False).ids) for r in final[:50])
+    assert all(r.decoded_sha256 == hashlib.sha256(plain[r.doc_id].encode()).hexdigest() for r in final)
