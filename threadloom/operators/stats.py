@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 def qcut_edges(rows: DataFrame, x: str, k: int, group: list[str] = ()) -> DataFrame:
     """Distinct linear-interpolated quantiles of x at 0, 1/k ... 1 per group."""
     at = [i / k for i in range(k + 1)]
-    return rows.groupBy(*group).agg(F.array_distinct(F.percentile(x, F.array(*[F.lit(p) for p in at]))).alias("edges"))
+    edges = F.percentile(x, F.array(*[F.lit(p) for p in at]))
+    return rows.groupBy(*group).agg(F.array_distinct(F.transform(edges, lambda e: e + F.lit(0.0))).alias("edges"))  # -0.0 is 0.0
 
 
 def bin_of(x: Column, edges: Column) -> Column:
@@ -65,8 +66,8 @@ def strat_att(sums: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
 def naive_difference(sums: DataFrame, keys: list[str]) -> DataFrame:
     """Raw difference of arm means, and its size in standard deviations (population) of the controls; 0 without spread."""
     n_t, n_c = F.sum("n_t"), F.sum("n_c")
-    m_t, m_c = F.sum("y_t") / n_t, F.sum("y_c") / n_c
-    second = F.sum(F.col("n_c") * F.col("v_c") + F.when(F.col("n_c") > 0, F.col("y_c") * F.col("y_c") / F.col("n_c")).otherwise(0.0)) / n_c
+    m_t, m_c = F.try_divide(F.sum("y_t"), n_t), F.try_divide(F.sum("y_c"), n_c)
+    second = F.try_divide(F.sum(F.col("n_c") * F.col("v_c") + F.when(F.col("n_c") > 0, F.col("y_c") * F.col("y_c") / F.col("n_c")).otherwise(0.0)), n_c)
     sd = F.sqrt(F.greatest(second - m_c * m_c, F.lit(0.0)))
     return sums.groupBy(*keys).agg((m_t - m_c).alias("naive"), m_t.alias("treated_mean"), m_c.alias("control_mean"), sd.alias("control_sd")).withColumn(
         "cohen_d", F.when(F.col("control_sd") > 1e-12, F.col("naive") / F.col("control_sd")).otherwise(0.0)
@@ -99,7 +100,7 @@ def auc(rows: DataFrame, score: str = "ps", group: list[str] = ()) -> DataFrame:
     """Area under the ROC curve with ties at half. Rows are first counted by score, so that the sequence is over distinct scores."""
     by = rows.groupBy(*group, score).agg(F.sum("d").cast("double").alias("n1"), (F.count("*") - F.sum("d")).cast("double").alias("n0"))
     w = W.partitionBy(*group).orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-    return by.withColumn("below", F.coalesce(F.sum("n0").over(w), F.lit(0.0))).groupBy(*group).agg((F.sum(F.col("n1") * (F.col("below") + F.col("n0") / 2)) / (F.sum("n1") * F.sum("n0"))).alias("auc"))
+    return by.withColumn("below", F.coalesce(F.sum("n0").over(w), F.lit(0.0))).groupBy(*group).agg(F.try_divide(F.sum(F.col("n1") * (F.col("below") + F.col("n0") / 2)), F.sum("n1") * F.sum("n0")).alias("auc"))
 
 
 def spearman(rows: DataFrame, x: str, y: str, group: list[str] = ()) -> DataFrame:
@@ -109,7 +110,8 @@ def spearman(rows: DataFrame, x: str, y: str, group: list[str] = ()) -> DataFram
         return F.rank().over(w.orderBy(c)) + (F.count("*").over(W.partitionBy(*group, c)) - 1) / 2
 
     r = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__x", ranked(x)).withColumn("__y", ranked(y))
-    return r.groupBy(*group).agg(F.when((F.stddev_pop("__x") > 0) & (F.stddev_pop("__y") > 0), F.corr("__x", "__y")).alias("rho"), F.count("*").alias("n"))
+    rho = F.try_divide(F.covar_pop("__x", "__y"), F.stddev_pop("__x") * F.stddev_pop("__y"))
+    return r.groupBy(*group).agg(rho.alias("rho"), F.count("*").alias("n"))
 
 
 def e_value(att: Column, low: Column) -> dict[str, Column]:
