@@ -451,7 +451,13 @@ def a02(spark, sf):
     return seq.resumed_scan(e.filter("event_id % 3 <> 0"), e, "event_id", "us")
 
 
-@query("w_running_window", "SELECT event_id, count(*) OVER w AS n_before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 604800000000 PRECEDING AND 1 PRECEDING)")
+@query("c07_auto_only", f"WITH {_HISTORY}, a AS (SELECT p.event_id, {_LATEST} AS w FROM probe p) SELECT event_id FROM a WHERE w >= 1")
+def c07(spark, sf):
+    out = T.as_of(_probe(spark, sf), _history(spark, sf), "user_id", "weight")
+    return out.filter(T.pool(F.col("weight")) == "auto").select("event_id")
+
+
+@query("k04_look_back_window", "SELECT event_id, count(*) OVER w AS n_before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 604800000000 PRECEDING AND 1 PRECEDING)")
 def k04(spark, sf):
     w = W.partitionBy("user_id").orderBy("us").rangeBetween(-7 * DAY, -1)
     return B.edits(spark, sf).select("event_id", F.count("*").over(w).alias("n_before"))

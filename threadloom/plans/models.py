@@ -231,8 +231,11 @@ def _drained(spark, frame, mode):
     """The result of a stream once its files are read, by a memory table."""
     import uuid
 
+    from threadloom.sources.io import shared_folder
+
     name = f"s{uuid.uuid4().hex}"
-    q = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    sink = frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_folder(frame.sparkSession)}/{name}")
+    q = sink.trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
 
@@ -260,3 +263,21 @@ def k03(spark, sf):
 
     e = _streamed(spark, sf, "events").select(F.col("user_id").alias("member"), F.col("event_id").alias("seq"), (F.col("value") > 50).alias("present"))
     return _drained(spark, roster_states(e), "append")
+
+
+@query("k04_stream_interval_join", "SELECT q.event_id AS question, e.event_id AS event FROM events q JOIN events e ON e.user_id = q.user_id AND e.ts < q.ts AND e.ts >= q.ts - INTERVAL 2 DAYS WHERE q.event_type = 'signup' AND q.value > 60")
+def k04(spark, sf):
+    from threadloom.streaming.roster import interval_pairs
+
+    e = _streamed(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    asked = e.filter("event_type = 'signup' AND value > 60").select("user_id", F.col("event_id").alias("question"), F.col("ts").alias("asked"))
+    pairs = interval_pairs(asked, e.select("user_id", F.col("event_id").alias("event"), "ts"), "user_id", 2)
+    return _drained(spark, pairs.select("question", "event"), "append")
+
+
+@query("a20_sinks", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
+def a20(spark, sf):
+    """Counts that were written to the shared folder and read again."""
+    from threadloom.sources.io import cut
+
+    return cut(t(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n")))

@@ -59,9 +59,14 @@ def export_corpus(folder: str, **frames: DataFrame) -> None:
 FALLBACK_CHECKPOINTS = "file:///tmp/checkpoints/threadloom"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_CHECKPOINTS
+
+
 def cut(rows: DataFrame) -> DataFrame:
-    """rows without their lineage, in the shared folder of spark.checkpoint.dir: for loops that build on their own results."""
+    """rows without their lineage, by a checkpoint in the shared folder: for loops that build on their own results."""
     spark = rows.sparkSession
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and not spark.conf.get("spark.checkpoint.dir", None):
+    if shared_folder(spark) == FALLBACK_CHECKPOINTS:
         spark.sparkContext.setCheckpointDir(FALLBACK_CHECKPOINTS)
     return rows.checkpoint()
