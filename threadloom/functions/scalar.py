@@ -15,7 +15,8 @@ def safe_div(a: Column, b: Column, default: float = 0.0) -> Column:
 
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a timestamp without a zone; exact, and free of the session's zone."""
-    return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), ts)
+    seconds = F.date_part(F.lit("SECONDS"), ts) * 1_000_000
+    return F.unix_date(F.to_date(ts)).cast("long") * DAY + F.hour(ts) * F.lit(HOUR) + F.minute(ts) * F.lit(60_000_000).cast("long") + seconds.cast("long")
 
 
 def parse_ts(text: Column) -> Column:
