@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import sys
 import tempfile
 import uuid
@@ -33,7 +35,10 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     returned table has a plain exchange on that side, which adaptive execution can split where a key is hot.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/threadloom-{name}-{uuid.uuid4().hex}"
+    folder = shared_dir(spark)
+    path = f"{folder}/threadloom-{name}-{uuid.uuid4().hex}"
+    if folder == FALLBACK_DIR:  # one machine: nothing else cleans up there
+        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")  # the table takes the place of the shuffle files that led to it
     try:
@@ -46,14 +51,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Arrow batches of texts, whose rows can be long, are cut by size too, so that executors hold little of them at once.
+BATCH_BYTES = 4 << 20
+
 _shipped: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, which need not share the driver's import path.
+    """Send this package to the Python workers, which need not share the driver's import path, and bound Arrow batches.
 
-    Only sources travel; each worker holds one copy. Called again for the same application it does nothing.
+    Only sources travel; each worker holds one copy. Called again for the same application it sends nothing. A limit for
+    batches that the application was started with stays.
     """
+    if not spark.sparkContext.getConf().contains(_BATCH_BYTES):
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
