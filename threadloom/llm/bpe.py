@@ -16,7 +16,7 @@ from threadloom.llm.common import documents, ship
 #: The pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A worker remembers the ids of so many pre-tokens, then starts anew.
-CACHE = 1_000_000
+CACHE = 500_000
 
 _SHIFT = (1 << 24) - 1
 
@@ -71,10 +71,11 @@ class Bpe:
         self.never = {i for t, i in self.ids.items() if len(t) > 1 and self.born[i] < 0}
         for i in self.never:
             del self.ids[self.bytes[i]]
-        # The longest token that starts with two bytes, so that no longer match is looked for.
+        # The longest token that starts with four bytes, so that no longer match is looked for.
         self.longest: dict[bytes, int] = {}
         for t in self.ids:
-            self.longest[t[:2]] = max(len(t), self.longest.get(t[:2], 1))
+            if len(t) > 3:
+                self.longest[t[:4]] = max(len(t), self.longest.get(t[:4], 3))
         self.byte_ids = [self.ids.get(bytes([x]), -1) for x in range(256)]
         self.find = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")").split if self.special else None
@@ -87,7 +88,7 @@ class Bpe:
         """Greedy longest matches from the left; every single byte is a token."""
         ids, longest, out, a, n = self.ids, self.longest, [], 0, len(word)
         while a < n:
-            b = a + longest.get(word[a : a + 2], 1)
+            b = a + longest.get(word[a : a + 4], 3)
             if b > n:
                 b = n
             while (found := ids.get(word[a:b])) is None:
@@ -264,7 +265,7 @@ class Tables:
 
 
 #: Texts are encoded in groups of about so many characters.
-GROUP_CHARACTERS = 1 << 19
+GROUP_CHARACTERS = 1 << 20
 
 
 def groups(sizes: Iterable[int], limit: int = GROUP_CHARACTERS) -> Iterator[tuple[int, int]]:
