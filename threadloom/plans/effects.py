@@ -190,17 +190,17 @@ def m05(spark, sf):
     return S.spearman(e, "x", "label", ["feature"]).select("feature", F.round("rho", 8).alias("rho"), F.round(F.abs("rho"), 8).alias("abs_rho"))
 
 
-@query("j08_anchor_fixed", f"WITH {B.EDITS}, {B.ASKED}, r AS (SELECT a.user_id AS id, min(e.us) FILTER (e.us > q AND ns = 3) - any_value(q) AS lag FROM asked a LEFT JOIN edits e USING (user_id) GROUP BY 1), s AS (SELECT quantile_cont(lag, 0.5) AS median, quantile_cont(lag, 0.25) AS p25, quantile_cont(lag, 0.75) AS p75 FROM r) SELECT id, unnest(['median', 'p25', 'p75', 'zero']) AS strategy, round(unnest([median, p25, p75, 0]), 3) AS lag FROM r, s WHERE id % 5 = 0")
+@query("j08_anchor_fixed", f"WITH {B.EDITS}, {B.ASKED}, r AS (SELECT a.user_id AS id, min(e.us) FILTER (e.us > q AND ns = 3) - any_value(q) AS lag FROM asked a LEFT JOIN edits e USING (user_id) GROUP BY 1), s AS (SELECT quantile_cont(lag, 0.5) AS median, quantile_cont(lag, 0.25) AS p25, quantile_cont(lag, 0.75) AS p75 FROM r) SELECT id, unnest(['median', 'p25', 'p75', 'zero']) AS strategy, round(unnest([median, p25, p75, 0]), 3) AS lag FROM r, s")
 def j08(spark, sf):
     x = B.asked(spark, sf).join(B.edits(spark, sf), "user_id", "left").groupBy(F.col("user_id").alias("id")).agg((F.min(F.when((F.col("us") > F.col("q")) & (F.col("ns") == 3), F.col("us"))) - F.first("q")).alias("lag"))
-    out = S.anchor_lags(x.filter("lag IS NOT NULL"), x.filter("id % 5 = 0").select("id"))
+    out = S.anchor_lags(x.filter("lag IS NOT NULL"), x.select("id"))
     return out.filter("strategy IN ('median', 'p25', 'p75', 'zero')").select("id", "strategy", F.round("lag", 3).alias("lag"))
 
 
 @query("j08_anchor_sampled")
 def j08b(spark, sf):
     x = B.asked(spark, sf).join(B.edits(spark, sf), "user_id", "left").groupBy(F.col("user_id").alias("id")).agg((F.min(F.when((F.col("us") > F.col("q")) & (F.col("ns") == 3), F.col("us"))) - F.first("q")).alias("lag"))
-    return S.anchor_lags(x.filter("lag IS NOT NULL"), x.filter("id % 5 = 0").select("id")).filter("strategy IN ('sample', 'mean20')")
+    return S.anchor_lags(x.filter("lag IS NOT NULL"), x.select("id")).filter("strategy IN ('sample', 'mean20')")
 
 
 @query("j09_treatments", f"WITH {B.EDITS}, {B.ASKED}, r AS (SELECT a.user_id, (min(e.us) FILTER (e.us > q AND ns = 3) - any_value(q)) / 3600000000 AS lag FROM asked a LEFT JOIN edits e USING (user_id) GROUP BY 1) SELECT user_id, (lag IS NOT NULL)::INT AS y_treat, coalesce((lag <= 48)::INT, 0) AS y_treat_48h FROM r")

@@ -445,10 +445,11 @@ def e03(spark, sf):
     return B.table(spark, sf, "orders").groupBy(F.substring(F.date_format("o_orderdate", "yyyy-MM-dd"), 1, 4).alias("year")).agg(F.count("*").alias("n"))
 
 
-@query("a02_k01_resumed_scan", "SELECT event_id, user_id, epoch_us(ts) AS us FROM events WHERE event_id % 3 <> 0 OR epoch_us(ts) >= (SELECT max(epoch_us(ts)) FROM events WHERE event_id % 3 <> 0)")
+@query("a02_k01_resumed_scan", "SELECT event_id, user_id, epoch_us(ts) AS us FROM events WHERE (event_type <> 'error' AND value < 200) OR epoch_us(ts) >= (SELECT max(epoch_us(ts)) FROM events WHERE event_type <> 'error' AND value < 200)")
 def a02(spark, sf):
-    e = B.edits(spark, sf).select("event_id", "user_id", "us")
-    return seq.resumed_scan(e.filter("event_id % 3 <> 0"), e, "event_id", "us")
+    e = B.edits(spark, sf)
+    seen = e.filter("ns <> 118 AND sizediff < 150").select("event_id", "user_id", "us")
+    return seq.resumed_scan(seen, e.select("event_id", "user_id", "us"), "event_id", "us")
 
 
 @query("c07_auto_only", f"WITH {_HISTORY}, a AS (SELECT p.event_id, {_LATEST} AS w FROM probe p) SELECT event_id FROM a WHERE w >= 1")

@@ -229,7 +229,7 @@ def d01(spark, sf):
 
 
 _TIERS = """tags AS (SELECT l_orderkey AS owner, l_suppkey AS name, strftime(l_shipdate, '%Y%m%d-%H%M') AS minute, l_returnflag = 'R' AS reverted FROM lineitem),
- parsed AS (SELECT l_orderkey AS owner, l_suppkey AS name, CASE WHEN l_linenumber % 2 = 0 THEN strftime(l_shipdate, '%Y%m%d-%H%M') ELSE 'x' END AS minute FROM lineitem WHERE l_partkey % 3 > 0),
+ parsed AS (SELECT l_orderkey AS owner, l_suppkey AS name, CASE WHEN l_tax > 0.03 THEN strftime(l_shipdate, '%Y%m%d-%H%M') ELSE 'x' END AS minute FROM lineitem WHERE l_discount > 0.02),
  tiers AS (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM parsed p WHERE p.owner = t.owner AND p.name = t.name AND p.minute = t.minute) THEN 'matched' WHEN EXISTS (SELECT 1 FROM parsed p WHERE p.owner = t.owner AND p.name = t.name) THEN 'name_only' ELSE 'missing' END AS tier FROM tags t)"""
 
 
@@ -237,7 +237,7 @@ def _tiers(spark, sf):
     l = t(spark, sf, "lineitem")
     minute = F.date_format("l_shipdate", "yyyyMMdd-HHmm")
     tags = l.select(F.col("l_orderkey").alias("owner"), F.col("l_suppkey").alias("name"), minute.alias("minute"), (F.col("l_returnflag") == "R").alias("reverted"))
-    parsed = l.filter("l_partkey % 3 > 0").select(F.col("l_orderkey").alias("owner"), F.col("l_suppkey").alias("name"), F.when(F.col("l_linenumber") % 2 == 0, minute).otherwise("x").alias("minute"))
+    parsed = l.filter("l_discount > 0.02").select(F.col("l_orderkey").alias("owner"), F.col("l_suppkey").alias("name"), F.when(F.col("l_tax") > 0.03, minute).otherwise("x").alias("minute"))
     return seq.coverage_tiers(tags, parsed, "owner", "name", "minute")
 
 
@@ -291,16 +291,16 @@ def e33(spark, sf):
     return K.totals(K.utterances(c), K.speakers(c))
 
 
-@query("d16_role_union", "SELECT name, list_sort(list(DISTINCT role)) AS roles FROM (SELECT c_name AS name, 'mentor' AS role FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_name, 'mentor' FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT c_name, 'mentee' FROM customer WHERE c_custkey % 2 = 0) GROUP BY name")
+@query("d16_role_union", "SELECT name, list_sort(list(DISTINCT role)) AS roles FROM (SELECT c_name AS name, 'mentor' AS role FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT c_name, 'mentor' FROM customer WHERE c_acctbal > 8000 UNION ALL SELECT c_name, 'mentee' FROM customer WHERE c_acctbal > 0) GROUP BY name")
 def d16(spark, sf):
-    c = t(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("name"))
-    return seq.role_union([c.filter("c_custkey % 3 = 0"), c.filter("c_custkey % 5 = 0")], c.filter("c_custkey % 2 = 0"))
+    c = t(spark, sf, "customer").withColumn("name", F.col("c_name"))
+    return seq.role_union([c.filter("c_mktsegment = 'BUILDING'"), c.filter("c_acctbal > 8000")], c.filter("c_acctbal > 0"))
 
 
-@query("d17_resolve_ids", "SELECT c_name AS name, coalesce(CASE WHEN c_custkey % 4 = 0 THEN c_custkey END, CASE WHEN c_custkey % 3 = 0 THEN -c_custkey END) AS id FROM customer WHERE c_custkey % 4 = 0 OR c_custkey % 3 = 0")
+@query("d17_resolve_ids", "SELECT c_name AS name, coalesce(CASE WHEN c_acctbal > 5000 THEN c_custkey END, CASE WHEN c_mktsegment = 'BUILDING' THEN -c_custkey END) AS id FROM customer WHERE c_acctbal > 5000 OR c_mktsegment = 'BUILDING'")
 def d17(spark, sf):
-    c = t(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("id"))
-    return seq.resolve_ids(c, c.filter("id % 4 = 0"), c.filter("id % 3 = 0").withColumn("id", -F.col("id")))
+    c = t(spark, sf, "customer").withColumns({"name": F.col("c_name"), "id": F.col("c_custkey")})
+    return seq.resolve_ids(c, c.filter("c_acctbal > 5000"), c.filter("c_mktsegment = 'BUILDING'").withColumn("id", -F.col("id")))
 
 
 # -- reports ------------------------------------------------------------------------------------------------------------------
@@ -358,10 +358,10 @@ def m09(spark, sf):
     return t(spark, sf, "embeddings").select("vec_id").join(t(spark, sf, "labels"), F.col("vec_id") == F.col("doc_id"), "left_anti")
 
 
-@query("m12_before_after", "SELECT coalesce(a.source, b.source) AS source, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM (SELECT source, count(*) AS n FROM documents WHERE doc_id % 7 < 2 GROUP BY 1) a FULL JOIN (SELECT source, count(*) AS n FROM documents WHERE lang <> 'en' GROUP BY 1) b USING (source)")
+@query("m12_before_after", "SELECT coalesce(a.source, b.source) AS source, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM (SELECT source, count(*) AS n FROM documents WHERE n_chars > 1000 GROUP BY 1) a FULL JOIN (SELECT source, count(*) AS n FROM documents WHERE lang <> 'en' GROUP BY 1) b USING (source)")
 def m12(spark, sf):
     d = t(spark, sf, "documents")
-    a = d.filter("doc_id % 7 < 2").groupBy("source").agg(F.count("*").alias("before"))
+    a = d.filter("n_chars > 1000").groupBy("source").agg(F.count("*").alias("before"))
     b = d.filter("lang <> 'en'").groupBy("source").agg(F.count("*").alias("after"))
     return a.join(b, "source", "full").select("source", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after")).withColumn("delta", F.col("after") - F.col("before"))
 
@@ -408,10 +408,11 @@ def g06(spark, sf):
     return seq.both_tails(t(spark, sf, "events").select("event_id", "value"), 15, "value", "event_id")
 
 
-@query("f13_h05_first_wins", "SELECT lower(c_mktsegment) AS k, c_custkey AS pos, src FROM (SELECT c_mktsegment, c_custkey, 0 AS src FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_mktsegment, c_custkey, 1 FROM customer) QUALIFY row_number() OVER (PARTITION BY lower(c_mktsegment) ORDER BY src, c_custkey) = 1")
+@query("f13_h05_first_wins", "SELECT lower(c_mktsegment) AS k, c_custkey AS pos, src FROM (SELECT c_mktsegment, c_custkey, 0 AS src FROM customer WHERE c_acctbal > 0 UNION ALL SELECT c_mktsegment, c_custkey, 1 FROM customer) QUALIFY row_number() OVER (PARTITION BY lower(c_mktsegment) ORDER BY src, c_custkey) = 1")
 def f13(spark, sf):
-    c = t(spark, sf, "customer").select(F.lower("c_mktsegment").alias("k"), F.col("c_custkey").alias("pos"))
-    return seq.first_wins([c.filter("pos % 2 = 0").withColumn("src", F.lit(0)), c.withColumn("src", F.lit(1))], ["k"], "pos")
+    c = t(spark, sf, "customer")
+    rows = lambda x, src: x.select(F.lower("c_mktsegment").alias("k"), F.col("c_custkey").alias("pos"), F.lit(src).alias("src"))
+    return seq.first_wins([rows(c.filter("c_acctbal > 0"), 0), rows(c, 1)], ["k"], "pos")
 
 
 @query("f14_cell_sort", "SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id % 7 DESC, vec_id)::INT AS place FROM embeddings")

@@ -61,13 +61,13 @@ def b04(spark, sf):
 def _pages(spark, sf):
     """Talk pages made from conversations: a header, the question and an indented reply."""
     c = B.turns(spark, sf)
-    flat = lambda x: F.regexp_replace(F.substring(F.coalesce(x, F.lit("none")), 1, 120), r"[\n\r=:*\[\]{}()|]", " ")
+    flat = lambda x: F.regexp_replace(F.coalesce(x, F.lit("none")), r"[\n\r=:*\[\]{}()|]", " ")
     head = F.concat(F.lit("== Question from [[User:N"), F.col("conv_id"), F.lit("|N]]"), F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit(" on [[Page "), F.col("conv_id"), F.lit("]]"))).otherwise(""), F.lit(" (09:05, 7 July 2025) =="))
     body = F.concat(F.lit("\n"), flat(F.col("question")), F.lit("\n:"), flat(F.col("reply")), F.lit("\n== Other ==\nx"))
     return c.select("conv_id", flat(F.col("question")).alias("q"), flat(F.col("reply")).alias("r"), F.concat(head, body).alias("wt"))
 
 
-_FLAT = "regexp_replace(substr(coalesce({0}, 'none'), 1, 120), '[\\n\\r=:*\\[\\]{{}}()|]', ' ', 'g')"
+_FLAT = "regexp_replace(coalesce({0}, 'none'), '[\\n\\r=:*\\[\\]{{}}()|]', ' ', 'g')"
 _PG = f"WITH {B.TURNS}, pg AS (SELECT conv_id, {_FLAT.format('question')} AS q, {_FLAT.format('reply')} AS r FROM turns)"
 
 
@@ -146,16 +146,16 @@ def b19(spark, sf):
     return c.select("c_custkey", M.strip_repeated_question(q, r, M.signatures(r), F.concat(F.lit("N "), F.col("c_custkey"))).alias("reply"))
 
 
-@query("b20_section_cut", "SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS first_part FROM documents")
+@query("b20_section_cut", "SELECT doc_id, coalesce(text, '') AS first_part FROM documents")
 def b20(spark, sf):
     d = _docs(spark, sf)
-    return d.select("doc_id", M.section_cut(F.concat(F.split_part("t", F.lit("\n"), F.lit(1)), F.lit("\n== Next ==\nmore"))).alias("first_part"))
+    return d.select("doc_id", M.section_cut(F.concat("t", F.lit("\n== Next ==\nmore"))).alias("first_part"))
 
 
-@query("b21_clean_wikitext", _PG + " SELECT conv_id, regexp_replace(trim(q), '  +', ' ', 'g') || ' [POLICY] [WIKILINK] [LINK]' AS clean FROM pg WHERE regexp_matches(q, '^[A-Za-z ,]+$')")
+@query("b21_clean_wikitext", _PG + " SELECT conv_id, trim(regexp_replace(q, '[^A-Za-z]+', ' ', 'g')) || ' [POLICY] [WIKILINK] [LINK]' AS clean FROM pg")
 def b21(spark, sf):
-    p = _pages(spark, sf).filter(F.col("q").rlike("^[A-Za-z ,]+$"))
-    raw = F.concat(F.lit(":* "), F.trim("q"), F.lit(" [[WP:N|n]] [[WP:RS]] [[Some page]] <b>https://x.org/a</b> {{clear}} '' -- [[User:A B|A]] ([[User talk:A B|talk]]) 10:00, 3 March 2024 (UTC)"))
+    p = _pages(spark, sf)
+    raw = F.concat(F.lit(":* "), F.trim(F.regexp_replace("q", "[^A-Za-z]+", " ")), F.lit(" [[WP:N|n]] [[WP:RS]] [[Some page]] <b>https://x.org/a</b> {{clear}} '' -- [[User:A B|A]] ([[User talk:A B|talk]]) 10:00, 3 March 2024 (UTC)"))
     return p.select("conv_id", M.clean_wikitext(raw).alias("clean"))
 
 
@@ -211,7 +211,7 @@ def i01(spark, sf):
 
 @query("i02_wiki_features", "SELECT doc_id, 1 AS has_signature, 0 AS has_unsigned, 2::BIGINT AS link_count, 1::BIGINT AS template_count, 1 AS has_url, 1::BIGINT AS mentions_wp, 1::BIGINT AS mentions_help, 1 AS is_indented FROM documents")
 def i02(spark, sf):
-    raw = F.concat(F.lit(":: [[WP:A]] and [[Help:B|b]] {{tl|x}} http://a.b "), F.regexp_replace(F.substring("t", 1, 20), r"[\[\]{}]", ""), F.lit(" -- 10:00, 3 March 2024 (UTC) [[more]]"))
+    raw = F.concat(F.lit(":: [[WP:A]] and [[Help:B|b]] {{tl|x}} http://a.b "), F.regexp_replace("t", "[^A-Za-z]+", " "), F.lit(" -- 10:00, 3 March 2024 (UTC) [[more]]"))
     f = X.wiki_features(raw)
     return _docs(spark, sf).select("doc_id", *[f[k].alias(k) for k in list(f)[:8]])
 
