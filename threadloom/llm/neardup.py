@@ -224,18 +224,22 @@ def first_partners(rows: DataFrame) -> DataFrame:
         )
 
     found = rows.mapInArrow(run, "node long, partner long, leads long, value double, crowd boolean")
-    # The text from which others derive leads in most orders; a neighbour is the second choice.
+    # The text from which others derive leads in most orders and for most texts; a neighbour is the second choice.
     votes = found.groupBy("node", "partner").agg(F.sum("leads").alias("leads"), F.max("value").alias("value"), F.max("crowd").alias("crowd"))
-    best = votes.groupBy("node").agg(F.max(F.struct("leads", "value", "partner")).alias("best"), F.max("crowd").alias("crowd"))
-    return best.select("node", "best.partner", "crowd")
+    votes = saved(votes, "votes")
+    led = saved(votes.filter("leads > 0").groupBy("partner").agg(F.count("*").alias("led")), "leaders")
+    ranked = votes.join(led, "partner", "left").withColumn("led", F.when(F.col("leads") > 0, F.col("led")).otherwise(0))
+    # A node's rows are a few for each order.
+    best = ranked.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("led", "leads", "value", "partner")), asc=False).alias("best"), F.max("crowd").alias("crowd"))
+    return best.select("node", F.transform(F.slice("best", 1, 2), lambda b: b["partner"]).alias("partners"), "crowd")
 
 
 def further_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """All candidates (a, b) of different components.
 
     In a large region only pairs with a rare shingle in common are looked at: the others cannot be links. Where many texts
-    derive from one, those too far from it have rare shingles of their own and hardly meet, so the pairs that are
-    looked at do not grow with the square of the region.
+    derive from one, those too far from it have rare shingles of their own and hardly meet. The sets of texts in large
+    regions travel with them, so that only pairs which are similar enough leave the task.
     """
 
     def run(batches):
@@ -243,7 +247,15 @@ def further_pairs(rows: DataFrame, percent: int) -> DataFrame:
         if r is None:
             return
         component, n = r.table.column("component").to_numpy(), r.table.column("n_shingles").to_numpy()
-        rare = r.table.column("rare").to_pylist()
+        rare, full = r.table.column("rare").to_pylist(), r.table.column("full").to_pylist()
+
+        def may(a: int, b: int) -> bool:
+            """Whether the sets, as far as they are known here, are similar enough: 32 bits of a hash can only add to what is common."""
+            if full[a] is None or full[b] is None:
+                return True
+            both = np.concatenate([np.frombuffer(full[a], np.uint32), np.frombuffer(full[b], np.uint32)])
+            both.sort()
+            return (100 + percent) * int((both[1:] == both[:-1]).sum()) >= percent * int(n[a] + n[b])
 
         def crowded(s: int, e: int):
             # Texts whose rare shingles are not known (their region was cut elsewhere before) meet all others.
@@ -287,6 +299,7 @@ def further_pairs(rows: DataFrame, percent: int) -> DataFrame:
             code = np.setdiff1d(code, seen)
             if len(code):
                 seen = np.union1d(seen, code) if len(seen) < 1_000_000 else code
+                code = code[[may(i, j) for i, j in zip((code // len(r.node)).tolist(), (code % len(r.node)).tolist())]]
                 x, y = r.node[code // len(r.node)], r.node[code % len(r.node)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
@@ -332,7 +345,7 @@ def bucket_counts(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def rarest(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, rare): so many of each text's rarest shingles that any two linked texts have one of them in common.
+    """(node, rare, full): full has 32 bits of every shingle's hash, sorted; rare holds so many of each text's rarest shingles that any two linked texts have one of them in common.
 
     Keys are the count of a shingle's bucket, then 32 bits of its hash, and are sorted: one order for all texts. Of n
     shingles a partner must share percent in 100 at least, so among the n - that + 1 first ones there is a common one.
@@ -342,14 +355,15 @@ def rarest(texts: DataFrame, size: int, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
+            out, full = [], []
             for s in shingle_sets(batch.column(1), size):
+                full.append(np.sort((mix(s) >> np.uint64(32)).astype(np.uint32)).tobytes())
                 keys = counts.value[(s % np.uint64(BUCKETS)).astype(np.int64)].astype(np.uint64) << np.uint64(32) | mix(s) >> np.uint64(32)
                 keys.sort()
                 out.append(keys[: len(s) - -(-percent * len(s) // 100) + 1].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(full, pa.binary())], names=["node", "rare", "full"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, rare binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, rare binary, full binary")
 
 
 def may_link(rare: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -393,7 +407,7 @@ def near_groups(docs: DataFrame, size: int = 3, percent: int = PERCENT) -> DataF
     """One row per row of docs: doc_id, n_shingles, component_id, kept (doc_id = component_id).
 
     Words are lower-cased (A-Z). Documents with equal shingle sets are one node. An LSH forest proposes pairs and full
-    sets confirm them, in two rounds: first each node with the best of its region's leaders and prefix neighbours, which
+    sets confirm them, in two rounds: first each node with the two best of its regions' leaders and prefix neighbours, which
     joins most groups without looking at their pairs; then all further candidates between different components.
     In larger regions only texts with a rare shingle in common become candidates, as links must have: this is exact,
     not a cap.
@@ -410,7 +424,8 @@ def near_groups(docs: DataFrame, size: int = 3, percent: int = PERCENT) -> DataF
     partners = saved(first_partners(forest(nodes, [])), "partners")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(partners.select("node"), "node", "left_semi")
     texts = saved(texts, "texts")
-    pairs = partners.filter("partner IS NOT NULL").select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b"))
+    pairs = partners.select("node", F.explode("partners").alias("partner")).filter("partner IS NOT NULL")
+    pairs = pairs.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b"))
     links = saved(confirmed(saved(pairs.distinct(), "pairs"), texts, size, percent), "links")
     first = components(links)
 
@@ -420,9 +435,9 @@ def near_groups(docs: DataFrame, size: int = 3, percent: int = PERCENT) -> DataF
         nodes.join(partners.select("node"), "node")
         .join(first, "node", "left")
         .join(rare, "node", "left")
-        .select("node", "n_shingles", "signature", F.coalesce("component", "node").alias("component"), "rare")
+        .select("node", "n_shingles", "signature", F.coalesce("component", "node").alias("component"), "rare", "full")
     )
-    more = saved(further_pairs(forest(saved(open_nodes, "open"), ["n_shingles", "component", "rare"]), percent), "pairs")
+    more = saved(further_pairs(forest(saved(open_nodes, "open"), ["n_shingles", "component", "rare", "full"]), percent), "pairs")
     links = links.union(confirmed(more, texts, size, percent))
     groups = components(saved(links, "links"))
     named = saved(nodes.select("digest", "node").join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component")), "groups")
