@@ -13,13 +13,40 @@ from threadloom.llm.bpe import Bpe, Tables, default_tokenizer, groups, model
 from threadloom.llm.common import documents, ship
 
 #: Pre-tokens in a leaf of the tree.
-LEAF = 32
+LEAF = 16
+#: So few new pre-tokens, as after an edit, are merged exactly at once: checking proposals pays for many.
+FEW = 32
 #: How many characters past its end a pre-token's match may depend on (contractions take three, from an apostrophe on).
 REACH = 2
 
 EDITS = "array<struct<start:bigint,end:bigint,text:string>>"
 
 
+def split_text(bpe: Bpe, text: str) -> list[str]:
+    """Pre-tokens of a text; strings of special tokens stand alone."""
+    if not bpe.split or not any(s in text for s in bpe.special):
+        return bpe.pieces(text)
+    out: list[str] = []
+    for part in bpe.split(text):
+        out.extend([part] if part in bpe.special else bpe.pieces(part))
+    return out
+
+
+def know(bpe: Bpe, texts: list[list[str]]) -> None:
+    """Have bpe learn all pre-tokens of some texts at once. A special token's string is never an ordinary pre-token."""
+    for s, i in bpe.special.items():
+        bpe.cache[s] = (i,)
+    new = set()
+    for pieces in texts:
+        new.update(pieces)
+    new = [w for w in new if w not in bpe.cache]
+    if len(new) < FEW:
+        for w in new:
+            bpe.cache[w] = tuple(bpe.merge(w.encode()))
+    else:
+        bpe.learn(new)
+
+
 class CountTree:
     """Sums of characters and tokens over runs of pre-tokens, in a binary tree over leaves of LEAF pre-tokens.
 
@@ -28,15 +55,21 @@ class CountTree:
     the text there is unchanged.
     """
 
-    def __init__(self, bpe: Bpe, text: str):
+    def __init__(self, bpe: Bpe, text: str, pieces: list[str] | None = None):
+        """pieces: what split_text() gives for the text, if all of them are known to bpe already."""
         self.bpe = bpe
-        pieces = self._split(text)
+        if pieces is None:
+            pieces = split_text(bpe, text)
+            know(bpe, [pieces])
         self.leaves = [pieces[k : k + LEAF] for k in range(0, len(pieces), LEAF)] or [[]]
         self.recounted = 0
         self.size = 1 << max(0, (len(self.leaves) - 1).bit_length())
         self.characters, self.tokens = np.zeros(2 * self.size, np.int64), np.zeros(2 * self.size, np.int64)
-        for k, leaf in enumerate(self.leaves):
-            self.characters[self.size + k], self.tokens[self.size + k] = self._sums(leaf)
+        if pieces:
+            starts, n = np.arange(0, len(pieces), LEAF), len(pieces)
+            ends = self.size + len(starts)
+            self.characters[self.size : ends] = np.add.reduceat(np.fromiter(map(len, pieces), np.int64, n), starts)
+            self.tokens[self.size : ends] = np.add.reduceat(np.fromiter(map(len, map(bpe.cache.__getitem__, pieces)), np.int64, n), starts)
         level = self.size
         while level > 1:
             for sums in (self.characters, self.tokens):
@@ -44,17 +77,15 @@ class CountTree:
             level //= 2
 
     def _split(self, text: str) -> list[str]:
-        if not self.bpe.split or not any(s in text for s in self.bpe.special):
-            return self.bpe.pieces(text)
-        out: list[str] = []
-        for part in self.bpe.split(text):
-            out.extend([part] if part in self.bpe.special else self.bpe.pieces(part))
-        return out
+        return split_text(self.bpe, text)
 
     def _sums(self, leaf: list[str]) -> tuple[int, int]:
-        cache, special = self.bpe.cache, self.bpe.special
-        self.bpe.learn({p for p in leaf if p not in cache and p not in special})
-        return sum(map(len, leaf)), sum(1 if p in special else len(cache[p]) for p in leaf)
+        try:
+            tokens = sum(map(len, map(self.bpe.cache.__getitem__, leaf)))
+        except KeyError:
+            know(self.bpe, [leaf])
+            tokens = sum(map(len, map(self.bpe.cache.__getitem__, leaf)))
+        return sum(map(len, leaf)), tokens
 
     @property
     def n_tokens(self) -> int:
@@ -145,12 +176,14 @@ def edited_counts(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", te
     def run(batches: Iterable[pa.RecordBatch]):
         bpe = model(tables)
         for batch in batches:
-            sizes = [len(t) if t else 0 for t in batch.column(1).to_pylist()]
-            for a, b in groups(sizes):
+            texts, edit_lists = [t or "" for t in batch.column(1).to_pylist()], batch.column(2).to_pylist()
+            for a, b in groups(map(len, texts)):
                 rows = []
-                for text, edits in zip(batch.column(1).slice(a, b - a).to_pylist(), batch.column(2).slice(a, b - a).to_pylist()):
-                    bpe.trim()
-                    tree = CountTree(bpe, text or "")
+                bpe.trim()
+                split = [split_text(bpe, x) for x in texts[a:b]]
+                know(bpe, split)
+                for text, pieces, edits in zip(texts[a:b], split, edit_lists[a:b]):
+                    tree = CountTree(bpe, text, pieces)
                     before, done = tree.n_tokens, 0
                     for e in edits or []:
                         if e is not None and e["start"] is not None:
