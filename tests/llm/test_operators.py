@@ -324,6 +324,35 @@ def test_ordered_text_scores_higher(spark):
     assert all(r.log_likelihood <= 0 for r in got.values())
 
 
+def test_words_of_one_bucket_have_their_own_scores(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from threadloom.llm.text import pieces
+
+    names = [f"v{k}" for k in range(600)] + [f"rare{k}" for k in range(600)]
+    bucket = dict(zip(names, (next(pieces(pa.array([" ".join(names)]), False))[2].hashes % np.uint64(lm.RARE)).tolist()))
+    real, once = next((a, b) for a in names[600:] for b in names[600:] if a < b and bucket[a] == bucket[b])
+    rng = random.Random(11)
+    common = [names[k] for k in range(600) for _ in range(40)]
+    rng.shuffle(common)
+    rows = [(k, " ".join(common[k * 40 : k * 40 + 40] + [real] * (k % 30 == 0))) for k in range(600)]
+    rows += [(1001, f"v1 v2 {real} v3 v4"), (1002, f"v1 v2 {once} v3 v4")]
+    docs = documents(spark, rows).coalesce(1)
+    got = {r.doc_id: r.log_likelihood for r in lm.score_documents(docs).collect()}
+    assert got[1001] - got[1002] == pytest.approx(math.log(21), abs=1e-3)  # 21 occurrences against one
+    joined = {r.doc_id: r.log_likelihood for r in lm.score_documents(docs, held=0).collect()}
+    assert joined == pytest.approx(got, abs=1e-3)
+
+
+def test_network_grows_with_the_corpus():
+    sizes = [(lm.network_words(10**k), lm.rounds(10**k)) for k in range(3, 12)]
+    assert sizes[0] == (lm.FREQUENT, lm.ROUNDS) and sizes[-1][0] >= 32 * sizes[0][0] and sizes[-1][1] > lm.ROUNDS
+    assert sizes == sorted(sizes)
+    layout = lm.Layout(4096)
+    assert layout.classes * layout.group == layout.size
+
+
 # -- pipeline -------------------------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,43 +10,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import documents, ship
+from threadloom.llm.common import documents, saved, ship
 from threadloom.llm.text import pieces
 
-#: The vocabulary: the most frequent words of the corpus, and buckets into which all others fall by their hash.
+#: The network's tokens: the most frequent words of the corpus (so many at least, see network_words), and buckets into which all
+#: others fall by their hash. Within its bucket each word has its share of the bucket's occurrences in the corpus.
 FREQUENT, RARE = 512, 512
-#: Tokens are predicted in two steps: their class, then which of its GROUP tokens.
-GROUP = 32
-#: Tokens on each side, values for each of them, hidden units, tokens in a step, rounds of averaging.
+#: Counts of so many words are held by every task; those of all others are joined. Results do not depend on it.
+HELD = 1 << 18
+#: Tokens on each side, values for each of them, hidden units, tokens in a step, rounds of averaging at least.
 REACH, WIDTH, HIDDEN, BATCH, ROUNDS = 2, 8, 16, 4096, 2
 RATE = 0.3
 SEED = 11
 
-_SIZE = FREQUENT + RARE
-_CLASSES = _SIZE // GROUP
-_SHAPES = {
-    "embedding": (_SIZE + 1, WIDTH),  # the last row stands for places outside of the text
-    "hidden": (2 * REACH * WIDTH, HIDDEN),
-    "hidden_bias": (HIDDEN,),
-    "classes": (HIDDEN, _CLASSES),
-    "class_bias": (_CLASSES,),
-    "members": (_CLASSES, HIDDEN, GROUP),
-    "member_bias": (_CLASSES, GROUP),
-}
-PARAMETERS = sum(int(np.prod(s)) for s in _SHAPES.values())
+
+def network_words(tokens: int) -> int:
+    """Words that are tokens of their own in the network: a power of two, 8 times the cube root of the corpus's words at least."""
+    return max(FREQUENT, 1 << (math.ceil(8 * tokens ** (1 / 3)) - 1).bit_length())
+
+
+def rounds(tokens: int) -> int:
+    """Rounds of averaging: one more for each fourfold corpus."""
+    return max(ROUNDS, (tokens.bit_length() - 18) // 2)
+
+
+class Layout:
+    """Sizes of a network with so many words of their own. Tokens are predicted in two steps: their class, then which of its tokens."""
+
+    def __init__(self, frequent: int = FREQUENT):
+        self.frequent, self.size = frequent, frequent + RARE
+        self.group = 1 << round(math.log2(self.size) / 2)
+        self.classes = self.size // self.group
+        self.shapes = {
+            "embedding": (self.size + 1, WIDTH),  # the last row stands for places outside of the text
+            "hidden": (2 * REACH * WIDTH, HIDDEN),
+            "hidden_bias": (HIDDEN,),
+            "classes": (HIDDEN, self.classes),
+            "class_bias": (self.classes,),
+            "members": (self.classes, HIDDEN, self.group),
+            "member_bias": (self.classes, self.group),
+        }
+        self.parameters = sum(int(np.prod(s)) for s in self.shapes.values())
+
+
+#: The least network.
+_SIZE, PARAMETERS = Layout().size, Layout().parameters
 
 
 class Vocabulary:
-    """Token numbers by word hash: the FREQUENT first, in order of their class, then RARE buckets."""
+    """Token numbers by word hash: the frequent ones first, in order of their class, then RARE buckets."""
 
-    def __init__(self, frequent: np.ndarray):
+    def __init__(self, frequent: np.ndarray, layout: Layout):
         # Dealt over the classes in turn, so that no class holds all of the most frequent words.
-        number = np.arange(len(frequent)) * GROUP % FREQUENT + np.arange(len(frequent)) * GROUP // FREQUENT
+        number = np.arange(len(frequent)) * layout.group
+        number = number % layout.frequent + number // layout.frequent
         order = np.argsort(frequent)
-        self.words, self.number = frequent[order], number[order]
+        self.words, self.number, self.frequent = frequent[order], number[order], layout.frequent
 
     def tokens(self, hashes: np.ndarray) -> np.ndarray:
-        out = (FREQUENT + hashes % np.uint64(RARE)).astype(np.int64)
+        out = (hashes % np.uint64(RARE)).astype(np.int64) + self.frequent
         if len(self.words):
             at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
             out = np.where(self.words[at] == hashes, self.number[at], out)
@@ -55,14 +78,15 @@ class Vocabulary:
 class Network:
     """Embeddings of the tokens on both sides, one hidden layer, and a softmax over classes and over a class's members."""
 
-    def __init__(self, values: np.ndarray | None = None):
+    def __init__(self, values: np.ndarray | None = None, layout: Layout | None = None):
+        self.layout = layout = layout or Layout()
         if values is None:
             rng = np.random.default_rng(SEED)
-            values = np.concatenate([(rng.standard_normal(s) * (0 if "bias" in n else 0.2)).ravel() for n, s in _SHAPES.items()])
+            values = np.concatenate([(rng.standard_normal(s) * (0 if "bias" in n else 0.2)).ravel() for n, s in layout.shapes.items()])
         self.values = values.astype(np.float32)
-        self.squares = np.full(PARAMETERS, 1e-2, np.float32)
+        self.squares = np.full(layout.parameters, 1e-2, np.float32)
         self.parts, at = {}, 0
-        for name, shape in _SHAPES.items():
+        for name, shape in layout.shapes.items():
             n = int(np.prod(shape))
             self.parts[name] = self.values[at : at + n].reshape(shape)
             at += n
@@ -73,13 +97,12 @@ class Network:
         x = p["embedding"][around].reshape(len(around), -1)
         h = np.tanh(x @ p["hidden"] + p["hidden_bias"])
         top = _log_softmax(h @ p["classes"] + p["class_bias"])
-        group, member = targets // GROUP, targets % GROUP
-        runs = np.searchsorted(group, np.arange(_CLASSES + 1))
-        low = np.empty((len(targets), GROUP), np.float32)
-        for c in range(_CLASSES):
+        group, member = targets // self.layout.group, targets % self.layout.group
+        runs = np.searchsorted(group, np.arange(self.layout.classes + 1))
+        low = np.empty((len(targets), self.layout.group), np.float32)
+        for c in np.flatnonzero(np.diff(runs)).tolist():
             a, b = runs[c], runs[c + 1]
-            if b > a:
-                low[a:b] = h[a:b] @ p["members"][c] + p["member_bias"][c]
+            low[a:b] = h[a:b] @ p["members"][c] + p["member_bias"][c]
         low = _log_softmax(low)
         rows = np.arange(len(targets))
         return top[rows, group] + low[rows, member], (x, h, top, low, group, member, runs)
@@ -97,18 +120,17 @@ class Network:
         grad = {"classes": h.T @ d_top, "class_bias": d_top.sum(0)}
         members, bias = np.zeros_like(p["members"]), np.zeros_like(p["member_bias"])
         d_h = d_top @ p["classes"].T
-        for c in range(_CLASSES):
+        for c in np.flatnonzero(np.diff(runs)).tolist():
             a, b = runs[c], runs[c + 1]
-            if b > a:
-                members[c] = h[a:b].T @ d_low[a:b]
-                bias[c] = d_low[a:b].sum(0)
-                d_h[a:b] += d_low[a:b] @ p["members"][c].T
+            members[c] = h[a:b].T @ d_low[a:b]
+            bias[c] = d_low[a:b].sum(0)
+            d_h[a:b] += d_low[a:b] @ p["members"][c].T
         d_h *= 1 - h * h
         d_x = (d_h @ p["hidden"].T).reshape(-1, WIDTH)
         flat = around.ravel()
-        embedding = np.stack([np.bincount(flat, d_x[:, k], _SIZE + 1) for k in range(WIDTH)], 1)
+        embedding = np.stack([np.bincount(flat, d_x[:, k], self.layout.size + 1) for k in range(WIDTH)], 1)
         grad |= {"members": members, "member_bias": bias, "hidden": x.T @ d_h, "hidden_bias": d_h.sum(0), "embedding": embedding}
-        g = np.concatenate([grad[name].ravel() for name in _SHAPES]).astype(np.float32)
+        g = np.concatenate([grad[name].ravel() for name in self.layout.shapes]).astype(np.float32)
         self.squares += g * g
         self.values -= RATE * g / np.sqrt(self.squares)
         return float(value.mean())
@@ -120,12 +142,12 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def windows(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each token the REACH tokens before and after it in its own text."""
+def windows(tokens: np.ndarray, first: np.ndarray, outside: int = _SIZE) -> np.ndarray:
+    """For each token the REACH tokens before and after it in its own text; outside stands for places beyond it."""
     n = len(tokens)
     text = np.searchsorted(first, np.arange(n), side="right") - 1
     start, end = first[text], first[text + 1]
-    out = np.full((n, 2 * REACH), _SIZE, np.int64)
+    out = np.full((n, 2 * REACH), outside, np.int64)
     at = np.arange(n)
     for k, o in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
         fine = (at + o >= start) & (at + o < end)
@@ -133,12 +155,12 @@ def windows(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _by_class(tokens: np.ndarray, a: int, b: int) -> np.ndarray:
-    return a + np.argsort(tokens[a:b] // GROUP, kind="stable")
+def _by_class(tokens: np.ndarray, a: int, b: int, group: int) -> np.ndarray:
+    return a + np.argsort(tokens[a:b] // group, kind="stable")
 
 
-def frequent_words(docs: DataFrame) -> np.ndarray:
-    """Hashes of the FREQUENT most frequent words over all texts. Tasks send one row for each word and block."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): the hash of every distinct word and its occurrences over all texts. Tasks send one row for each word and block."""
 
     def rows(held: list) -> Iterator[pa.RecordBatch]:
         keys, counts = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
@@ -159,76 +181,125 @@ def frequent_words(docs: DataFrame) -> np.ndarray:
             yield from rows(held)
 
     counted = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    return np.array([r.word for r in top], np.int64).view(np.uint64)
-
-
-def trained(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent words and parameters. In each round a share of all documents trains, task by task from the same start.
+    return saved(counted, "words")
+
+
+class Model:
+    """What the corpus taught: the network, its words, occurrences of buckets, and the counts of held words (sorted by hash)."""
+
+    def __init__(self, counts: DataFrame, held: int):
+        self.tokens = counts.agg(F.sum("n")).first()[0] or 0
+        self.layout = Layout(network_words(self.tokens))
+        top = counts.orderBy(F.desc("n"), "word").limit(max(held, self.layout.frequent)).toArrow()
+        words, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
+        self.frequent = words[: self.layout.frequent]
+        order = np.argsort(words)
+        self.words, self.logs = words[order], np.log(n[order])
+        total = np.zeros(RARE)
+        # RARE is a power of two: a hash's bucket is its low bits, whatever its sign.
+        for r in counts.groupBy(F.col("word").bitwiseAND(F.lit(RARE - 1)).alias("bucket")).agg(F.sum("n").alias("n")).collect():
+            total[r.bucket] = r.n
+        own = self.layout.frequent
+        total -= np.bincount((words[:own] % np.uint64(RARE)).astype(np.int64), n[:own], RARE)
+        self.buckets = np.log(np.maximum(total, 1))
+        self.values = Network(layout=self.layout).values
+
+    def within(self, hashes: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-shares of words in their buckets (0 for the network's own words), and where a count has to be added by a join."""
+        out = np.zeros(len(hashes))
+        rare = np.flatnonzero(tokens >= self.layout.frequent)
+        out[rare] = -self.buckets[tokens[rare] - self.layout.frequent]
+        at = np.minimum(np.searchsorted(self.words, hashes[rare]), len(self.words) - 1)
+        known = self.words[at] == hashes[rare]
+        out[rare[known]] += self.logs[at[known]]
+        return out, rare[~known]
+
+
+def trained(docs: DataFrame, counts: DataFrame, held: int = HELD) -> Model:
+    """The model of all documents. In each round a share of them trains, task by task from the same start.
 
     Every document is used in one round (by a hash of its text), so one pass over the whole corpus is made. A task's
     parameters count by its tokens; their means are added up where the rows are, and the driver gets one set.
     """
     spark = docs.sparkSession
-    frequent = frequent_words(docs)
-    values = Network().values
-    for turn in range(ROUNDS):
-        start = spark.sparkContext.broadcast((frequent, values))  # of fixed size
+    model = Model(counts, held)
+    layout, turns = model.layout, rounds(model.tokens)
+    for turn in range(turns):
+        start = spark.sparkContext.broadcast((model.frequent, model.values))
 
         def run(batches, start=start):
             words, first = start.value
-            vocabulary, net, seen = Vocabulary(words), Network(first.copy()), 0
+            vocabulary, net, seen = Vocabulary(words, layout), Network(first.copy(), layout), 0
             for batch in batches:
                 for _, _, w in pieces(batch.column(0), False):
                     tokens = vocabulary.tokens(w.hashes)
-                    around = windows(tokens, w.first)
+                    around = windows(tokens, w.first, layout.size)
                     for a in range(0, len(tokens), BATCH):
-                        at = _by_class(tokens, a, min(a + BATCH, len(tokens)))
+                        at = _by_class(tokens, a, min(a + BATCH, len(tokens)), layout.group)
                         net.step(around[at], tokens[at])
                     seen += len(tokens)
             if seen:
+                n = layout.parameters
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(PARAMETERS)), pa.array(net.values.astype(float) * seen), pa.array(np.full(PARAMETERS, seen))], names=["k", "value", "weight"]
+                    [pa.array(np.arange(n)), pa.array(net.values.astype(float) * seen), pa.array(np.full(n, seen))], names=["k", "value", "weight"]
                 )
 
-        part = docs.filter(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn).select("text")
-        sums = part.mapInArrow(run, "k long, value double, weight long").groupBy("k").agg((F.sum("value") / F.sum("weight")).alias("value"))
-        for r in sums.collect():
-            values[r.k] = r.value
-    return frequent, values
+        part = docs.filter(F.pmod(F.xxhash64("text"), F.lit(turns)) == turn).select("text")
+        sums = part.mapInArrow(run, "k long, value double, weight long").groupBy("k").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow()
+        model.values[sums.column("k").to_numpy()] = sums.column("value").to_numpy()
+    return model
 
 
-def score_documents(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def score_documents(docs: DataFrame, id_column: str = "doc_id", held: int = HELD) -> DataFrame:
     """One row per document: the id, n_tokens, log_likelihood (sum of log-probabilities of its tokens given both sides), mean.
 
-    The model is trained on all documents first. Null and empty texts have no tokens, a sum of 0 and a null mean;
-    repeated rows are each scored; columns other than the id and text are ignored; an empty table gives an empty result.
-    Parameters depend on how rows are dealt to tasks, so scores of two runs agree closely, not exactly.
+    The model is trained on all documents first. A word that is no token of the network has the probability of its bucket
+    times its share of the bucket's occurrences, so every distinct word of the corpus has a probability of its own. Counts
+    of the held most frequent words travel with the network; those of other words that occur twice or more are joined.
+
+    Null and empty texts have no tokens, a sum of 0 and a null mean; repeated rows are each scored; columns other than the
+    id and text are ignored; an empty table gives an empty result. Parameters depend on how rows are dealt to tasks, so
+    scores of two runs agree closely, not exactly.
     """
     ship(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(trained(docs))  # of fixed size
+    counts = word_counts(docs)
+    learned = trained(docs, counts, held)
+    model = docs.sparkSession.sparkContext.broadcast(learned)
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
-        vocabulary, net = Vocabulary(model.value[0]), Network(model.value[1])
+        m = model.value
+        layout = m.layout
+        vocabulary, net = Vocabulary(m.frequent, layout), Network(m.values, layout)
         for batch in batches:
-            counts, sums = [], []
-            for a, b, w in pieces(batch.column(1), False):
+            n_tokens, sums, others = [], [], []
+            for _, _, w in pieces(batch.column(2), False):
                 tokens = vocabulary.tokens(w.hashes)
-                around = windows(tokens, w.first)
-                value = np.zeros(len(tokens))
+                around = windows(tokens, w.first, layout.size)
+                value, other = m.within(w.hashes, tokens)
                 for k in range(0, len(tokens), BATCH):
-                    at = _by_class(tokens, k, min(k + BATCH, len(tokens)))
-                    value[at] = net.forward(around[at], tokens[at])[0]
+                    at = _by_class(tokens, k, min(k + BATCH, len(tokens)), layout.group)
+                    value[at] += net.forward(around[at], tokens[at])[0]
                 total = np.concatenate([[0.0], np.cumsum(value)])
                 sums.append(total[w.first[1:]] - total[w.first[:-1]])
-                counts.append(np.diff(w.first))
+                n_tokens.append(np.diff(w.first))
+                edges = np.searchsorted(other, w.first)
+                others += [w.hashes[other[a:b]].view(np.int64) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
             sums = np.concatenate(sums) if sums else np.zeros(0)
-            counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.astype(np.int64)), pa.array(sums)], names=[id_column, "n_tokens", "log_likelihood"])
-
-    scored = docs.select(id_column, "text").mapInArrow(run, f"`{id_column}` {kind}, n_tokens long, log_likelihood double")
-    return scored.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
+            n_tokens = np.concatenate(n_tokens) if n_tokens else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(n_tokens.astype(np.int64)), pa.array(sums), pa.array(others, pa.list_(pa.int64()))],
+                names=["__row", id_column, "n_tokens", "value", "others"],
+            )
+
+    rows = docs.select(F.monotonically_increasing_id().alias("__row"), id_column, "text")
+    scored = saved(rows.mapInArrow(run, f"__row long, `{id_column}` {kind}, n_tokens long, value double, others array<long>"), "scores")
+    # A word that occurs once adds log(1).
+    open_words = scored.select("__row", F.explode("others").alias("word"))
+    more = open_words.join(counts.filter("n > 1"), "word").groupBy("__row").agg(F.sum(F.log("n")).alias("more"))
+    out = scored.join(more, "__row", "left").withColumn("log_likelihood", F.col("value") + F.coalesce("more", F.lit(0.0)))
+    out = out.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
+    return out.select(id_column, "n_tokens", "log_likelihood", "mean_log_likelihood")
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
