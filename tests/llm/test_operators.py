@@ -239,6 +239,25 @@ def test_toxicity_learns_and_restores(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
 
 
+def test_toxicity_restores_runs_ends_and_spacing(spark):
+    rng = random.Random(16)
+    bad = ["asshole", "pissant", "moron", "idiot", "shit", "fag"]
+    rows, labels = [], []
+    for k in range(2400):
+        w = prose(rng, 40).split()
+        if k % 6 == 0:
+            for _ in range(3):
+                w[rng.randrange(40)] = rng.choice(bad)
+        rows.append((k, " ".join(w)))
+        labels.append((k, 1, int(k % 6 == 0)))
+    toxic = ["an a$$hole here", "a pi$$ant he is", "such shi+ again", "you i d 1 o t", "you m 0 r o n", "you i  d  i  o  t", "you i. d. i. o. t", "a f a g", "a mor-on", "an id.iot", "a morron", "an iidiot"]
+    clean = ["a fine *** alpha *** beta", "**alpha** and __beta__", "alpha!! beta (gamma)", "1 2 3 4 5 6", "a letter - tall grass", "well-known, don't $5 + $6", "", None]
+    hidden = [(9000 + k, t) for k, t in enumerate(toxic + clean)]
+    out = toxicity.score_documents(documents(spark, rows + hidden), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.predicted for r in out.collect()}
+    assert {t: got[i] for i, t in hidden} == {**dict.fromkeys(toxic, 1), **dict.fromkeys(clean, 0)}
+
+
 def test_held_out_rows_teach_nothing(spark):
     rows = [(k, prose(random.Random(k), 30) + (" nastyword" if k % 2 else "")) for k in range(300)]
     labels = spark.createDataFrame([(k, 1, k % 2) for k in range(300)], "doc_id long, quality int, toxic int").filter(toxicity.held_out())

@@ -29,8 +29,18 @@ LEET = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou",
 }
+ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 #: Logarithms of the channel's probabilities.
 SUBSTITUTED, DROPPED, REPEATED = -1.0, -9.0, -0.5
+#: Runs of up to so many symbols may stand for letters, each for its own; longer ones are decoration.
+SHORT = 3
+
+#: Letters and what may stand for them, one by one, with one or two other characters between them: any, or always the same.
+_UNIT, _STOP = rb"[A-Za-z013-9@$!|+*(]", rb"(?![A-Za-z0-9\x80-\xff])"
+_APART = rb"[^A-Za-z0-9\x80-\xff]{1,2}"
+_STEP = re.compile(_APART + _UNIT + _STOP)
+_SPACED = re.compile(rb"(?<![A-Za-z0-9\x80-\xff])" + _UNIT + rb"(?:" + _STEP.pattern + rb"){2,}")
+_EVENLY = re.compile(rb"(?<![A-Za-z0-9\x80-\xff])" + _UNIT + rb"(" + _APART + rb")" + _UNIT + _STOP + rb"(?:\1" + _UNIT + _STOP + rb")+")
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -39,6 +49,11 @@ _LEET[[ord(c) for c in LEET]] = True
 _SYMBOL = _LEET.copy()
 _SYMBOL[48:58] = False
 _NOT_LETTER = ~_LETTER
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+#: Symbols that end sentences or open brackets are no letters at a word's end.
+_INSIDE = np.zeros(256, bool)
+_INSIDE[[ord("!"), ord("(")]] = True
 #: Bytes of words in few classes: 0 for what is not a letter, 26 letters, 32 for continuation bytes, 8 for lead bytes.
 _CLASS = np.zeros(256, np.int64)
 _CLASS[65:91] = _CLASS[97:123] = np.arange(1, 27)
@@ -56,20 +71,26 @@ class CharacterModel:
         one = two.sum(1)
         p1 = (three.sum((0, 1)) + 1) / (three.sum() + CLASSES)
         p2 = (two + k * p1) / (one[:, None] + k)
-        self.log = np.log((three + k * p2[None, :, :]) / (two[:, :, None] + k)).tolist()
+        self.table = np.log((three + k * p2[None, :, :]) / (two[:, :, None] + k))
+        self.log = self.table.tolist()
 
-    def restore(self, token: str) -> str:
+    def restore(self, token: str, runs: bool = False) -> str:
         """The likeliest reading of a token: leetspeak undone, noise dropped, runs of three or more letters shortened.
 
+        With runs, short runs of symbols stand for letters instead of being decoration, and double letters may be one.
         Viterbi search over a lattice with a node for each position and pair of last byte classes.
         """
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for options in _lattice(token):
+        for options in _lattice(token, runs):
+            if len(options) == len(ALPHABET):
+                states = self._masked(states)
+                continue
+            steps = [(letters, channel, _CLASS[list(letters.encode())].tolist()) for letters, channel in options]
             after: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, text) in states.items():
-                for letters, channel in options:
+                for letters, channel, classes in steps:
                     x, y, s = a, b, score + channel
-                    for z in _CLASS[list(letters.encode())].tolist():
+                    for z in classes:
                         s += self.log[x][y][z]
                         x, y = y, z
                     if (x, y) not in after or after[x, y][0] < s:
@@ -78,24 +99,43 @@ class CharacterModel:
         return max(((s + self.log[a][b][0], t) for (a, b), (s, t) in states.items()), default=(0.0, ""))[1]
 
 
-def _lattice(token: str) -> Iterator[list[tuple[str, float]]]:
+    def _masked(self, states: dict[tuple[int, int], tuple[float, str]]) -> dict[tuple[int, int], tuple[float, str]]:
+        """The states after a character that may be any letter."""
+        keys, held = np.array(list(states)), list(states.values())
+        values = np.array([s for s, _ in held])[:, None] + SUBSTITUTED + self.table[keys[:, 0], keys[:, 1], 1:27]
+        after = {}
+        for b in np.unique(keys[:, 1]).tolist():
+            rows = np.flatnonzero(keys[:, 1] == b)
+            best = rows[values[rows].argmax(0)]
+            for z, (row, value) in enumerate(zip(best.tolist(), values[best, np.arange(26)].tolist())):
+                after[b, z + 1] = (value, held[row][1] + ALPHABET[z])
+        return after
+
+
+def _lattice(token: str, runs: bool = False) -> Iterator[list[tuple[str, float]]]:
     """For each run of a character: what it may stand for, with the channel's logarithm."""
     for run in re.finditer(r"(.)\1*", token, re.DOTALL):
         c, n = run[1], len(run[0])
         if c in LEET:
             single = [(x, SUBSTITUTED) for x in LEET[c]]
-            if n > 1 and not c.isdigit():
+            if runs and 1 < n <= SHORT and not c.isdigit():
+                for _ in range(n):  # a mask hides any letters
+                    yield [(x, SUBSTITUTED) for x in (ALPHABET if c == "*" else LEET[c])]
+            elif n > 1 and not c.isdigit():
                 yield [("", 0.0)]  # a run of symbols is decoration
             else:
                 yield [("", DROPPED * n), *single, *((x * 2, 2 * s) for x, s in single if n > 1)]
         elif c.isalpha():
+            if runs and n == 2:
+                yield [(c * 2, 0.0), (c, REPEATED)]
+                continue
             yield [(c * n, 0.0)] if n < 3 else [(c, REPEATED), (c * 2, REPEATED)]
         else:
             yield [("", 0.0)]
 
 
 def suspicious(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of bytes that hint at leetspeak or long runs inside of words, and where chains of four single letters start."""
+    """Positions of bytes that hint at leetspeak, separators or runs inside of words, and where chains of four single letters start."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < 4:
@@ -104,14 +144,16 @@ def suspicious(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     before, after = np.zeros(n, bool), np.zeros(n, bool)
     before[1:], after[:-1] = letter[:-1], letter[1:]
     same = data[1:] == data[:-1]
-    doubled = np.zeros(n, bool)
-    doubled[1:] |= same
-    doubled[:-1] |= same
-    symbol = _SYMBOL[data]
-    # Symbols count in single use: between letters, or $ and @ at a word's start; runs of them are decoration.
-    hint = leet & (before | after) & ~(symbol & doubled) & (~symbol | after)
+    # Digits and symbols count next to a letter, marks of a sentence's end only before one.
+    hint = leet & (before | after) & (~_INSIDE[data] | after)
+    # Up to three other characters between letters may be separators.
+    other = ~letter & ~_SPACE[data]
+    between = other & before
+    for k in range(1, 4):
+        hint[: n - k] |= between[: n - k] & letter[k:]
+        between[: n - k] &= other[k:]
     run = np.zeros(n, bool)
-    run[2:] = letter[2:] & same[1:] & same[:-1] & (data[2:] < 128)
+    run[1:] = letter[1:] & same & (data[1:] < 128)
     single = letter & ~before & ~after & (data < 128)
     chain = np.zeros(n, bool)
     if n > 7:
@@ -125,24 +167,39 @@ class Restorer:
     def __init__(self, model: CharacterModel, memory: int = 100_000):
         self.model, self.memory, self.cache = model, memory, {}
 
-    def read(self, token: str) -> str:
+    def read(self, token: str) -> list[str]:
+        """The readings of a token: with runs as decoration, and with runs as letters where it has any."""
         if token not in self.cache:
             if len(self.cache) >= self.memory:
                 self.cache.clear()
-            self.cache[token] = self.model.restore(token)
+            found = [self.model.restore(token)]
+            if re.search(r"(\D)\1", token):
+                found.append(self.model.restore(token, True))
+            self.cache[token] = list(dict.fromkeys(found))
         return self.cache[token]
 
     def words(self, words: Words) -> tuple[list[int], list[str]]:
         """Text numbers and restored words of what is obfuscated; words is split at white space."""
         hints, chains = suspicious(words.data)
         owners, found = [], []
+
+        def add(i: int, token: str) -> None:
+            for reading in self.read(token):
+                owners.append(i)
+                found.append(reading)
+
+        def chain(i: int, units: bytes) -> None:
+            # A word of one letter may stand before or after.
+            for part in {units, units[1:], units[:-1], units[1:-1]}:
+                if len(part) > 2 and sum(_LETTER[list(part)]) > 1:
+                    add(i, part.decode().lower())
+
         at = np.unique(np.searchsorted(words.starts, hints, side="right") - 1)
         at = at[at >= 0]
         text_of = np.searchsorted(words.first, at, side="right") - 1
         for k, i in zip(at.tolist(), text_of.tolist()):
             token = words.data[words.starts[k] : words.ends[k]].tobytes().decode("utf-8", "replace").lower().strip(".,;:!?\"'()[]{}<>")
-            owners.append(i)
-            found.append(self.read(token))
+            add(i, token)
         end, data = -1, words.data
         bounds = words.bounds
         for p in chains.tolist():
@@ -154,8 +211,13 @@ class Restorer:
                 letters.append(chr(data[q]))
                 q += 2
             end = q
-            owners.append(i)
-            found.append(self.read("".join(letters).lower()))
+            add(i, "".join(letters).lower())
+        for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            text = data[a:b].tobytes()
+            for m in _SPACED.finditer(text):
+                chain(i, m[0][:1] + b"".join(x[0][-1:] for x in _STEP.finditer(text, m.start() + 1, m.end())))
+            for m in _EVENLY.finditer(text):
+                chain(i, m[0][:: 1 + len(m[1])])
         return owners, found
 
 
