@@ -239,3 +239,10 @@ def test_files(spark, tmp_path):
 @pytest.mark.parametrize(("text", "us"), [("1970-01-02T00:00:00Z", DAY), ("1970-01-01 00:00:01", 1_000_000), ("1970-01-01T00:00:01+00:00", 1_000_000), ("", None), ("2024-13-01T00:00:00Z", None), (None, None)])
 def test_parse_ts(spark, text, us):
     assert spark.createDataFrame([(text,)], "t string").select(parse_ts(F.col("t"))).first()[0] == us
+
+
+def test_one_hot_drops_no_value(spark):
+    rows = spark.range(10_001).select(F.col("id").cast("string").alias("v"))
+    with pytest.raises(ValueError, match="v has more than 10000 distinct values"):
+        L.one_hot(rows, "v", "is_")
+    assert L.one_hot(rows.limit(4), "v", "is_", most=4).columns[1:] == ["is_1", "is_2", "is_3"]

@@ -188,9 +188,12 @@ def pca(rows: DataFrame, vector: str, k: int, out: str) -> DataFrame:
     return model.transform(centred).withColumn(out, signed).drop("__v", "__c", "__p")
 
 
-def one_hot(rows: DataFrame, column: str, prefix: str, drop_first: bool = True) -> DataFrame:
-    """0/1 columns for the sorted values of a column of few values, without the first."""
-    values = [r[0] for r in rows.select(column).distinct().orderBy(column).limit(10_000).collect()][1 if drop_first else 0 :]
+def one_hot(rows: DataFrame, column: str, prefix: str, drop_first: bool = True, most: int = 10_000) -> DataFrame:
+    """0/1 columns for the sorted values of a column of few values, without the first; an error where there are over most values."""
+    values = [r[0] for r in rows.select(column).distinct().orderBy(column).limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"{column} has more than {most} distinct values")
+    values = values[1 if drop_first else 0 :]
     return rows.withColumns({f"{prefix}{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in values})
 
 
