@@ -6,6 +6,7 @@ character is one of these, so this equals splitting the text on those characters
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +17,12 @@ _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+#: Masks of the first k bytes of a little-endian 8-byte block.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Words longer than this are hashed one by one.
+LONG_WORD = 1024
+#: Seeds of the two independent hashes of a word.
+SEEDS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 #: Texts are taken in pieces of about so many bytes, so that the arrays over a piece stay small.
 PIECE_BYTES = 1 << 20
 
@@ -33,26 +37,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(PIECE_BYTES.bit_length(), n.bit_length())
-    if size not in _cache:
-        _cache.clear()
-        _cache[size] = (_powers(_BASE, size), _powers(_INVERSE, size))
-    return _cache[size]
-
-
 class Words:
-    """The words of a run of texts: 64-bit hashes, byte spans in data, and per text the first word's index."""
+    """The words of a run of texts: 64-bit hashes, byte spans in data, and per text the first word's index.
+
+    Beside the bytes, arrays take about 3 bytes a byte of text and 24 a word, however long a text is.
+    """
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool, gaps: np.ndarray = _GAP):
         """data: the texts' bytes, one after another; bounds: n + 1 offsets into it; gaps: bytes outside of words."""
@@ -72,12 +61,11 @@ class Words:
         last = last[last >= 0]
         ends_here[last] = ~gap[last]
         self.ends = np.flatnonzero(ends_here) + 1
-        power, inverse = _tables(len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[seen] * power[: len(data)], out=sums[1:])
-        self.sums, self.inverse = sums, inverse
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
         self.first = np.searchsorted(self.starts, bounds)
+        self.seen = np.concatenate([seen, np.zeros(8, np.uint8)])
+        #: The 8 bytes from every position on, as numbers.
+        self.blocks = np.ndarray(len(seen) + 1, "<u8", self.seen, strides=(1,))
+        self.hashes = self.hashed(SEEDS[0])
 
     def __len__(self) -> int:
         return len(self.first) - 1
@@ -85,11 +73,32 @@ class Words:
     def of(self, k: int) -> np.ndarray:
         return self.hashes[self.first[k] : self.first[k + 1]]
 
+    def hashed(self, seed: int) -> np.ndarray:
+        """A 64-bit hash of each word: its length, then its 8-byte blocks, each mixed into what came before.
+
+        A step is a bijection of the block, so words of one length that differ in their last block alone never collide; no
+        sum or product of bytes is involved that words could be built to cancel.
+        """
+        size = self.ends - self.starts
+        out = mix(size.astype(_U) + _U(seed))
+        rows, at, left = np.arange(len(size)), self.starts, size
+        long = np.flatnonzero(size > LONG_WORD)
+        if len(long):
+            for k in long.tolist():
+                raw = self.seen[self.starts[k] : self.ends[k]]
+                out[k] = int.from_bytes(hashlib.blake2b(raw, digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
+            rows = np.flatnonzero(size <= LONG_WORD)
+            at, left = at[rows], left[rows]
+        while len(rows):
+            out[rows] = mix(out[rows] ^ (self.blocks[at] & _MASK[np.minimum(left, 8)]))
+            more = np.flatnonzero(left > 8)
+            rows, at, left = rows[more], at[more] + 8, left[more] - 8
+        return out
+
     def prefixes(self, n: int) -> np.ndarray:
-        """A hash of the first n bytes of each word, apart from whole words' hashes; 0 for words of n bytes or fewer."""
+        """A hash of the first n bytes (8 at most) of each word, apart from whole words' hashes; 0 for words of n bytes or fewer."""
         longer = self.ends - self.starts > n
-        ends = np.where(longer, self.starts + n, self.starts)
-        return np.where(longer, mix((self.sums[ends] - self.sums[self.starts]) * self.inverse[self.starts] + _U(n)), _U(0))
+        return np.where(longer, mix((self.blocks[self.starts] & _MASK[n]) ^ mix(np.full(1, _U(SEEDS[1]) + _U(n)))), _U(0))
 
     def strings(self, a: int, b: int) -> list[bytes]:
         raw = self.data
