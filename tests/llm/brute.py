@@ -61,3 +61,21 @@ def repeated_words(text):
     w = words(text)
     g = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
     return len({k + d for k, x in enumerate(g) if g.count(x) > 1 for d in range(3)})
+
+
+def paths(codes, options):
+    """All readings of a lattice with their channel's logarithm, by enumeration."""
+    found = [(b"", 0.0)]
+    for c in codes:
+        found = [(text + (bytes([byte]) if byte else b""), cost + more) for text, cost in found for byte, more in options[c]]
+    return found
+
+
+def path_score(text, cost, table, classes):
+    """The channel's logarithm plus that of the reading under byte-class trigrams."""
+    a = b = 0
+    for byte in [*text, 0]:
+        z = int(classes[byte]) if byte else 0
+        cost += table[a][b][z]
+        a, b = b, z
+    return cost

@@ -258,6 +258,69 @@ def test_toxicity_restores_runs_ends_and_spacing(spark):
     assert {t: got[i] for i, t in hidden} == {**dict.fromkeys(toxic, 1), **dict.fromkeys(clean, 0)}
 
 
+def character_model(rng):
+    import numpy as np
+
+    text = " ".join(rng.choice(["idiot", "moron", "asshole", "letter", "suck", "well", "known", "the", "bottle"]) for _ in range(4000))
+    c = np.concatenate([[0, 0], toxicity._CLASS[np.frombuffer(text.encode(), np.uint8)], [0]])
+    n = toxicity.CLASSES
+    return toxicity.CharacterModel(np.bincount((c[:-2] * n + c[1:-1]) * n + c[2:], minlength=n**3))
+
+
+def test_lattice_search_equals_all_paths():
+    import numpy as np
+
+    rng = random.Random(12)
+    model = character_model(rng)
+    letters = [ord(c) for c in "idiotsuckaehlm"]
+    pool = [*letters, *(toxicity.PAIR + c for c in letters), *(toxicity.RUN + c for c in letters), *(toxicity.AS_LEET + ord(c) for c in toxicity.LEET), toxicity.DECORATION, toxicity.SEPARATOR, toxicity.GAP, toxicity.WIDE]
+    lattices = [[rng.choice(pool) for _ in range(rng.randint(1, 9))] for _ in range(150)]
+    lattices += [[ord("f"), toxicity.MASK, toxicity.MASK, ord("k")], [ord("s"), toxicity.MASK, ord("i"), toxicity.MASK, ord("t")]]
+    lattices += [[rng.choice(pool) for _ in range(70)], [toxicity.AS_LEET + ord("*")] * 12]  # longer than a grid, and more states than there is room for
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in lattices])])
+    raw, ends = model.restored(np.array([c for x in lattices for c in x]), bounds)
+    for k, codes in enumerate(lattices):
+        got = raw[ends[k] : ends[k + 1]].tobytes()
+        assert model.restore(codes) == got or len(codes) <= 9
+        if len(codes) <= 9:
+            score = {t: brute.path_score(t, c, model.table, toxicity._CLASS) for t, c in sorted(brute.paths(codes, toxicity.OPTIONS), key=lambda x: x[1])}
+            assert score[got] == pytest.approx(max(score.values()), abs=1e-9)
+
+
+def test_spacing_and_breaks_are_in_the_lattice():
+    model = character_model(random.Random(13))
+    read = lambda text: toxicity.readings(text, model)
+    assert "idiot" in read("you i d 1 o t") and "idiot" in read("i  d  i  o  t") and "idiot" in read("i. d. i. o. t")
+    assert {"idiot", "suck"} <= set(read("i d i o t s u c k")) and {"moron", "idiot"} <= set(read("m o r o n  i d i o t"))
+    assert read("asshole") == ["asshole"] and set(read("a$$hole")) >= {"asshole"} and read("mor-on") == ["moron"] and read("iiiidiot") == ["idiot"]
+    assert read("a fine day") == read("") == read("1 2 3 4 5") == read("été 漢字") == []
+
+
+def test_scores_equal_a_plain_scorer(spark):
+    import pyarrow as pa
+
+    from threadloom.llm.text import pieces
+
+    rng = random.Random(14)
+    rows = [(k, prose(rng, 30) + rng.choice(["", " idiot", " 1d1ot", " i d i o t", " idiotic moron"]) * (k % 3 == 0)) for k in range(900)]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, 1, int(t.endswith(("idiot", "1d1ot", "t", "moron")) and i % 3 == 0)) for i, t in rows], "doc_id long, quality int, toxic int")
+    tables = toxicity.fit(docs, labels)
+    weight = dict(zip(tables["keys"].tolist(), tables["weights"].tolist()))
+    model = toxicity.CharacterModel(tables["counts"])
+    got = {r.doc_id: r.score for r in toxicity.score_documents(docs, labels).collect()}
+    assert weight
+    for i, t in rows[:200]:
+        log, seen = math.log1p(-toxicity.BASE), set()
+        for w in [*("".join(c if c.isalpha() else " " for c in brute.lower(t)).split()), *toxicity.readings(t, model)]:
+            if w not in seen:
+                seen.add(w)
+                one = next(pieces(pa.array([w]), True))[2]
+                keys = [int(one.hashes[0]), *(int(one.prefixes(n)[0]) for n in toxicity.BEGINNINGS)]
+                log += min(0.0, *(weight.get(k, 0.0) for k in keys))
+        assert got[i] == pytest.approx(1 - math.exp(log), abs=1e-9)
+
+
 def test_held_out_rows_teach_nothing(spark):
     rows = [(k, prose(random.Random(k), 30) + (" nastyword" if k % 2 else "")) for k in range(300)]
     labels = spark.createDataFrame([(k, 1, k % 2) for k in range(300)], "doc_id long, quality int, toxic int").filter(toxicity.held_out())
