@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import sys
 import tempfile
@@ -13,7 +14,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where a session names no shared folder, as in tests on one machine.
+#: Used only on a local master whose session names no shared folder, as in tests on one machine.
 FALLBACK_DIR = "file:///tmp/checkpoints/threadloom"
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -25,6 +26,8 @@ WORD_GAP = "[\\x20\\x09-\\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found or FALLBACK_DIR
 
 
@@ -35,10 +38,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     returned table has a plain exchange on that side, which adaptive execution can split where a key is hot.
     """
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    path = f"{folder}/threadloom-{name}-{uuid.uuid4().hex}"
-    if folder == FALLBACK_DIR:  # one machine: nothing else cleans up there
+    path = f"{shared_dir(spark)}/threadloom-{name}-{uuid.uuid4().hex}"
+    if path.startswith(FALLBACK_DIR):  # one machine: its files can be removed without Spark
         atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
+    else:
+        atexit.register(_delete, spark, path)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")  # the table takes the place of the shuffle files that led to it
     try:
@@ -48,7 +52,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of saved() that nothing reads any more; those still left go when the driver ends."""
+    for t in tables:
+        _delete(t.sparkSession, t.saved_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # stopped sessions delete nothing
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
