@@ -13,16 +13,16 @@ def lower(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
-def shingles(text, size=3):
+def shingles(text, size):
     w = words(lower(text))
     if not w:
         return set()
     return {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)}
 
 
-def near_groups(rows, percent=85):
+def near_groups(rows, size=5, percent=80):
     """doc_id -> (n_shingles, component)."""
-    sets = [(i, shingles(t)) for i, t in rows]
+    sets = [(i, shingles(t, size)) for i, t in rows]
     parent = {i: i for i, _ in sets}
 
     def root(i):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,19 +11,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import documents, saved, ship
+from threadloom.llm.common import documents, release, saved, ship
 from threadloom.llm.text import grams, mix, pieces
 
 #: Sorted orders, and the MinHash values by which each is sorted.
 TREES, DEPTH = 16, 6
-#: Neighbours share so many leading values; where more than CROWD texts do, regions are cut deeper, to LAST at most.
-FIRST, LAST, CROWD = 3, 5, 64
+#: Neighbours share so many leading values at least; where more than CROWD texts do, regions are cut deeper, to so many at
+#: most. Both are less where a link at the least similarity would else part in all orders with a chance over MISS.
+FIRST, LAST, CROWD, MISS = 3, 5, 64, 3e-4
+#: Rows of a range, of which a task holds one.
+RANGE_ROWS = 50_000
 #: In regions of up to so many texts all pairs are looked at, in larger ones those with a rare shingle in common.
 FEW = 8
-#: Candidates have an estimated similarity of at least this; at a true 0.85 an estimate is lower once in 50,000.
-ESTIMATE = 0.70
-#: Documents of which 100 * common shingles >= PERCENT * all shingles of both are linked.
-PERCENT = 85
+#: The chance that a link at the least similarity has too low an estimate.
+UNDERRATED = 2e-5
+#: Words in a shingle; documents of which 100 * common shingles >= PERCENT * all shingles of both are linked.
+SIZE, PERCENT = 5, 80
 #: Buckets in which shingles of texts in larger regions are counted, to know the rare ones.
 BUCKETS = 1 << 21
 
@@ -32,6 +36,21 @@ _A = _rng.integers(0, 1 << 63, _K, dtype=np.uint64) * np.uint64(2) + np.uint64(1
 _B = _rng.integers(0, 1 << 63, _K, dtype=np.uint64)
 
 
+class Limits:
+    """Depths of regions (first, last) and the least estimate of candidates (estimate) that go with a least similarity."""
+
+    def __init__(self, percent: int):
+        p = self.similarity = percent / 100
+        deep = [d for d in range(1, LAST + 1) if (1 - p**d) ** TREES <= MISS] or [1]
+        self.last = deep[-1]
+        self.first = min(FIRST, self.last)
+        # Of _K values of 4 bits each, so many agree: binomial, as values agree by chance once in 16.
+        q, below, at = p + (1 - p) / 16, 0.0, 0
+        while at < _K and (below := below + math.comb(_K, at) * q**at * (1 - q) ** (_K - at)) <= UNDERRATED:
+            at += 1
+        self.estimate = (at / _K - 1 / 16) / (15 / 16)
+
+
 def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
     """Sorted distinct shingle hashes; with fewer words the whole sequence is one shingle."""
     n = len(words)
@@ -100,15 +119,16 @@ def forest(nodes: DataFrame, columns: list[str]) -> DataFrame:
 
     shape = "node long, key binary, sketch binary" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in extra)
     rows = nodes.filter("n_shingles > 0").select("node", "signature", *columns).mapInArrow(run, shape)
-    return rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+    ranges = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() * TREES // RANGE_ROWS + 1)
+    return rows.repartitionByRange(ranges, "key", "node").sortWithinPartitions("key", "node")
 
 
 class Range:
     """The rows of one range: nodes, sketches (a byte for each value) and regions as runs [starts, ends)."""
 
-    def __init__(self, batches: list[pa.RecordBatch]):
+    def __init__(self, batches: list[pa.RecordBatch], percent: int):
         table = pa.Table.from_batches(batches)
-        self.table = table
+        self.table, self.limits = table, Limits(percent)
         self.node = table.column("node").to_numpy()
         n = len(self.node)
         keys = np.frombuffer(b"".join(table.column("key").to_pylist()), np.uint8).reshape(n, 1 + 4 * DEPTH)
@@ -121,14 +141,14 @@ class Range:
         same[:, 1:] = values[1:] == values[:-1]
         #: Leading values that a row shares with the one before it; -1 between trees.
         self.common = np.concatenate([[-1], np.logical_and.accumulate(same, 1).sum(1) - 1])
-        self.starts, self.ends = self._regions(0, n, FIRST)
+        self.starts, self.ends = self._regions(0, n, self.limits.first)
 
     def _regions(self, a: int, b: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Runs whose rows share depth leading values; crowded ones are cut deeper."""
         cut = np.flatnonzero(self.common[a:b] < depth) + a
         starts = np.union1d(cut, [a])
         ends = np.append(starts[1:], b)
-        if depth == LAST:
+        if depth >= self.limits.last:
             return starts, ends
         crowded = np.flatnonzero(ends - starts > CROWD)
         if not len(crowded):
@@ -174,7 +194,7 @@ class Range:
                     yield self._near(np.full(len(b), a), b)
 
     def _near(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        fine = self.estimate(a, b) >= ESTIMATE
+        fine = self.estimate(a, b) >= self.limits.estimate
         return a[fine], b[fine]
 
     def leaders(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -189,16 +209,16 @@ class Range:
             yield np.arange(s, e), np.full(e - s, s + int((part == votes.argmax(0)).sum(1).argmax()))
 
 
-def _whole(batches) -> Range | None:
+def _whole(batches, percent: int) -> Range | None:
     batches = [b for b in batches if b.num_rows]
-    return Range(batches) if batches else None
+    return Range(batches, percent) if batches else None
 
 
-def first_partners(rows: DataFrame) -> DataFrame:
+def first_partners(rows: DataFrame, percent: int) -> DataFrame:
     """For each node with a candidate: its best partner so far (or none) and whether it lies in a larger region."""
 
     def run(batches):
-        r = _whole(batches)
+        r = _whole(batches, percent)
         if r is None:
             return
         crowd = np.repeat(r.ends - r.starts > FEW, r.ends - r.starts)
@@ -206,15 +226,15 @@ def first_partners(rows: DataFrame) -> DataFrame:
         for a, b in r.pairs(lambda a, b: ~known[a] | ~known[b]):
             known[a] = known[b] = True
         near = np.arange(1, len(r.node))
-        near = near[r.common[1:] >= FIRST]
+        near = near[r.common[1:] >= r.limits.first]
         for kind, (a, b) in [(1, x) for x in r.leaders()] + [(0, (near, near - 1)), (0, (near - 1, near))]:
             fine = r.node[a] != r.node[b]
             a, b = a[fine], b[fine]
             value = r.estimate(a, b)
-            fine = value >= ESTIMATE
+            fine = value >= r.limits.estimate
             a, b, value = a[fine], b[fine], value[fine]
             known[a] = known[b] = True
-            leads = np.full(len(a), kind) * (value >= 0.8)
+            leads = np.full(len(a), kind) * (value >= r.limits.similarity - 0.05)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(r.node[a]), pa.array(r.node[b]), pa.array(leads), pa.array(value), pa.array(crowd[a])], names=["node", "partner", "leads", "value", "crowd"]
             )
@@ -243,7 +263,7 @@ def further_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """
 
     def run(batches):
-        r = _whole(batches)
+        r = _whole(batches, percent)
         if r is None:
             return
         component, n = r.table.column("component").to_numpy(), r.table.column("n_shingles").to_numpy()
@@ -398,12 +418,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         above = spread.select(F.col("node").alias("component"), F.col("component").alias("above"))
         jumped = saved(spread.join(above, "component", "left").select("node", F.least("component", "above").alias("component")), "labels")
         old = labels.select("node", F.col("component").alias("old"))
-        if jumped.join(old, "node").filter("component <> old").isEmpty():
+        done = jumped.join(old, "node").filter("component <> old").isEmpty()
+        release(spread, labels)
+        if done:
+            release(both)
             return jumped
         labels = jumped
 
 
-def near_groups(docs: DataFrame, size: int = 3, percent: int = PERCENT) -> DataFrame:
+def near_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept (doc_id = component_id).
 
     Words are lower-cased (A-Z). Documents with equal shingle sets are one node. An LSH forest proposes pairs and full
@@ -421,7 +444,7 @@ def near_groups(docs: DataFrame, size: int = 3, percent: int = PERCENT) -> DataF
         F.min(F.struct("doc_id", "n_shingles", "signature")).alias("x")
     )
     nodes = saved(nodes.select("digest", F.col("x.doc_id").alias("node"), "x.n_shingles", "x.signature"), "nodes")
-    partners = saved(first_partners(forest(nodes, [])), "partners")
+    partners = saved(first_partners(forest(nodes, []), percent), "partners")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(partners.select("node"), "node", "left_semi")
     texts = saved(texts, "texts")
     pairs = partners.select("node", F.explode("partners").alias("partner")).filter("partner IS NOT NULL")
@@ -449,14 +472,14 @@ def near_groups(docs: DataFrame, size: int = 3, percent: int = PERCENT) -> DataF
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_copies(docs: DataFrame, size: int = 3, percent: int = PERCENT) -> DataFrame:
+def drop_near_copies(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id; columns unchanged."""
     kept = near_groups(docs, size, percent).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(saved(kept, "kept"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(documents(spark, sf_dir))
+    return near_groups(documents(spark, sf_dir), size=3, percent=85)
 
 
 OP2_SQL = """
