@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts are cut to so many characters before scoring, and shorter ones than two are not scored.
-MOST_CHARACTERS, LEAST_CHARACTERS = 15_000, 2
+#: Texts shorter than this are not scored.
+LEAST_CHARACTERS = 2
 
 
 def table_scores(rows: DataFrame, scores: DataFrame, key: str, attributes: list[str]) -> DataFrame:
@@ -17,19 +17,27 @@ def table_scores(rows: DataFrame, scores: DataFrame, key: str, attributes: list[
     return rows.join(scores.select(key, *attributes), key, "left")
 
 
-def score_with(rows: DataFrame, text: str, key: str, attributes: list[str], scorer: Callable[[pd.Series], pd.DataFrame]) -> DataFrame:
-    """Scores of a function over batches of texts (pandas); a failing batch gives nulls and its message in `error`."""
+def score_with(rows: DataFrame, text: str, key: str, attributes: list[str], scorer: Callable[[pd.Series], pd.DataFrame], most_characters: int | None = None) -> DataFrame:
+    """Scores of a function over batches of texts (pandas). Where a batch fails its texts are scored one by one; one that fails has nulls and the message in `error`.
+
+    most_characters: a limit that a service sets for its texts; without it texts are scored whole.
+    """
     schema = f"{key} {rows.schema[key].dataType.simpleString()}" + "".join(f", `{a}` double" for a in attributes) + ", error string"
+    least = LEAST_CHARACTERS
 
     def run(batches: Iterator[pd.DataFrame]):
         for batch in batches:
-            texts = batch[text].fillna("").str.slice(0, MOST_CHARACTERS)
+            texts = batch[text].fillna("").str.slice(0, most_characters)
             out = pd.DataFrame({key: batch[key], **{a: float("nan") for a in attributes}, "error": None})
-            fine = texts.str.len() >= LEAST_CHARACTERS
+            fine = texts.index[texts.str.len() >= least]
             try:
                 out.loc[fine, attributes] = scorer(texts[fine])[attributes].to_numpy()
-            except Exception as e:  # a service's fault is data here: the row stays, with its message
-                out["error"] = str(e)
+            except Exception:  # a service's fault is data here: the row stays, with its message
+                for i in fine:
+                    try:
+                        out.loc[[i], attributes] = scorer(texts[[i]])[attributes].to_numpy()
+                    except Exception as e:
+                        out.loc[i, "error"] = str(e)
             yield out
 
     return rows.select(key, text).mapInPandas(run, schema)

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadloom.operators.stats import quantiles
+from threadloom.sources.io import cut
+
 
 def standardise(rows: DataFrame, columns: Sequence[str], group: list[str] = ()) -> DataFrame:
     """Columns less their mean over their population deviation; constant columns are centred only."""
@@ -19,16 +22,64 @@ def standardise(rows: DataFrame, columns: Sequence[str], group: list[str] = ())
     return out.withColumns(z).drop(*[f"__{k}_{c}" for c in columns for k in "ms"])
 
 
-def gram(rows: DataFrame, columns: Sequence[str], y: str, group: list[str] = ()) -> DataFrame:
-    """Sums of all products of (columns, 1, y), row-major upper triangle in an array, and n: one aggregation with partial sums.
+def _added(rows: DataFrame, schema: str, run, keys: list[str]) -> DataFrame:
+    """The arrays g that run() makes of each task's rows, added up cell by cell within keys."""
+    cells = rows.mapInArrow(run, schema).select(*keys, F.posexplode("g").alias("k", "x"))
+    return cells.groupBy(*keys, "k").agg(F.sum("x").alias("x")).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("g"))
+
+
+def _vector(columns: Sequence[str | Column]) -> Column:
+    return F.array(*[(F.col(c) if isinstance(c, str) else c).cast("double") for c in columns])
 
-    Products are summed as array cells, which keeps the plan small for many columns.
+
+def gram_of(rows: DataFrame, vector: Column, p: int, group: list[str] = ()) -> DataFrame:
+    """Sums of all products of an array column's p cells, row-major upper triangle in an array g, per group.
+
+    A task multiplies blocks of its rows as matrices and sends p x p numbers for each group, so that rows are read once and never
+    multiplied, however many columns there are. Rows with a null among the cells are left out.
     """
-    v = F.array(*[F.col(c).cast("double") for c in columns], F.lit(1.0), F.col(y).cast("double"))
-    p = len(columns) + 2
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(p) for j in range(i, p)])
-    cells = rows.select(*group, v.alias("v")).select(*group, F.posexplode(F.transform(pairs, lambda ij: F.get("v", ij["i"]) * F.get("v", ij["j"]))).alias("k", "x"))
-    return cells.groupBy(*group, "k").agg(F.sum("x").alias("x")).groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("g"))
+    group = list(group)
+    picked = rows.select(*group, vector.alias("__v"))
+    fields = [picked.schema[c] for c in group]
+    upper = np.triu_indices(p)
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: dict = {}
+
+        def out():
+            keys = list(held)
+            return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], t) for i, t in enumerate(kinds)), pa.array([held[k][upper] for k in keys], pa.list_(pa.float64()))], names=[*group, "g"])
+
+        kinds = []
+        for batch in batches:
+            kinds = [batch.column(i).type for i in range(len(group))]
+            x = batch.column(len(group)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, p)
+            codes, names = np.zeros(len(x), np.int64), [()]
+            for i in range(len(group)):
+                d = batch.column(i).dictionary_encode()
+                values = [*d.dictionary.to_pylist(), None]
+                code = d.indices.fill_null(len(values) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+                both, codes = np.unique(codes * len(values) + code, return_inverse=True)
+                names = [(*names[b // len(values)], values[b % len(values)]) for b in both.tolist()]
+            fine = ~np.isnan(x).any(1)
+            x, codes = x[fine], codes[fine]
+            for k in np.unique(codes).tolist():
+                own = x if len(names) == 1 else x[codes == k]
+                held[names[k]] = held.get(names[k], 0) + own.T @ own
+            if len(held) * p * p > 50_000_000:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    return _added(picked, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "g array<double>"]), run, group)
+
+
+def gram(rows: DataFrame, columns: Sequence[str], y: str, group: list[str] = ()) -> DataFrame:
+    """gram_of() of (columns, 1, y)."""
+    return gram_of(rows, _vector([*columns, F.lit(1.0), y]), len(columns) + 2, group)
 
 
 def unpack(g: Sequence[float], p: int) -> np.ndarray:
@@ -106,9 +157,8 @@ def residual(rows: DataFrame, columns: Sequence[str], y: str, alpha: float, out:
 def ridge_cv_r2(rows: DataFrame, columns: Sequence[str], y: str, alpha: float, order: str, folds: int = 5) -> float:
     """Mean R2 over contiguous folds in the given order; sums are taken per fold, so one pass serves all fits."""
     p = len(columns) + 1
-    n = rows.count()
-    # Contiguous folds of a total order: range partitions by rank would need a global sort; ntile over exact percentiles does not.
-    edges = [0.0] if n == 0 else rows.agg(F.percentile(order, F.array(*[F.lit(k / folds) for k in range(1, folds)]))).first()[0]
+    found = quantiles(rows, order, [k / folds for k in range(1, folds)]).first()
+    edges = list(found[0]) if found else [0.0]
     fold = sum(((F.col(order) > F.lit(e)).cast("int") for e in edges), F.lit(0))
     parts = {r.fold: unpack(r.g, p + 1) for r in gram(rows.withColumn("fold", fold), columns, y, ["fold"]).collect()}  # folds rows
     whole, scores = sum(parts.values()), []
@@ -138,35 +188,56 @@ def strat_dr(rows: DataFrame, covariates: Sequence[str], outcomes: Sequence[str]
     return rows.sparkSession.createDataFrame(out, "outcome string, dr double")
 
 
-def logistic_beta(rows: DataFrame, columns: Sequence[str], y: str, c: float = 1.0, steps: int = 25, tolerance: float = 1e-8) -> np.ndarray:
-    """L2 logistic regression by Newton steps (intercept last, not penalised); each step is one aggregation of p x p sums."""
+def logistic_betas(rows: DataFrame, columns: Sequence[str], y: str, folds: int, fold: Column, c: float = 1.0, steps: int = 25, tolerance: float = 1e-8) -> list[np.ndarray]:
+    """L2 logistic regressions by Newton steps (intercept last, not penalised), each over the rows that are not in its fold.
+
+    A step is one pass for all folds: a task adds up gradients and second derivatives of its rows as matrices.
+    """
     p = len(columns) + 1
-    beta = np.zeros(p)
-    x = F.array(*[F.col(k).cast("double") for k in columns], F.lit(1.0))
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(p) for j in range(i, p)])
-    base = rows.select(x.alias("x"), F.col(y).cast("double").alias("y"))
+    base = rows.select(_vector([*columns, F.lit(1.0), y]).alias("v"), fold.cast("int").alias("fold"))
+    betas = np.zeros((folds, p))
+    upper, width = np.triu_indices(p), p + p * (p + 1) // 2
+
+    def run_with(betas):
+        def run(batches):
+            import pyarrow as pa
+
+            total = np.zeros((folds, width))
+            for batch in batches:
+                v = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, p + 1)
+                own = batch.column(1).to_numpy(zero_copy_only=False)
+                fine = ~np.isnan(v).any(1)
+                for k in range(folds):
+                    part = v[fine & (own != k)]
+                    x = part[:, :p]
+                    m = 1 / (1 + np.exp(-np.clip(x @ betas[k], -700, 700)))
+                    total[k, :p] += x.T @ (part[:, p] - m)
+                    total[k, p:] += (x.T @ (x * (m * (1 - m))[:, None]))[upper]
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["g"])
+
+        return run
+
+    penalty = np.diag([1.0 / c] * (p - 1) + [0.0])
     for _ in range(steps):
-        z = F.aggregate(F.zip_with("x", F.array(*[F.lit(float(b)) for b in beta]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-        m = base.withColumn("m", 1 / (1 + F.exp(-z)))
-        cells = F.concat(F.transform("x", lambda a: a * (F.col("y") - F.col("m"))), F.transform(pairs, lambda ij: F.get("x", ij["i"]) * F.get("x", ij["j"]) * F.col("m") * (1 - F.col("m"))))
-        sums = m.select(F.posexplode(cells).alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()  # p + p * (p + 1) / 2 rows
-        v = np.zeros(p + p * (p + 1) // 2)
-        for r in sums:
-            v[r.k] = r.v
-        penalty = np.diag([1.0 / c] * (p - 1) + [0.0])
-        step = np.linalg.solve(unpack(v[p:], p) + penalty + 1e-12 * np.eye(p), v[:p] - penalty @ beta)
-        beta = beta + step
-        if np.abs(step).max() < tolerance:
+        row = _added(base, "g array<double>", run_with(betas), []).first()
+        sums = np.array(row.g if row and row.g else [0.0] * folds * width).reshape(folds, width)
+        moves = np.array([np.linalg.solve(unpack(sums[k, p:], p) + penalty + 1e-12 * np.eye(p), sums[k, :p] - penalty @ betas[k]) for k in range(folds)])
+        betas = betas + moves
+        if np.abs(moves).max() < tolerance:
             break
-    return beta
+    return list(betas)
+
+
+def logistic_beta(rows: DataFrame, columns: Sequence[str], y: str, c: float = 1.0, steps: int = 25, tolerance: float = 1e-8) -> np.ndarray:
+    """L2 logistic regression over all rows (intercept last, not penalised)."""
+    return logistic_betas(rows, columns, y, 1, F.lit(-1), c, steps, tolerance)[0]
 
 
 def propensity(rows: DataFrame, columns: Sequence[str], treatment: str = "d", folds: int = 5, c: float = 1.0, id_column: str = "id") -> DataFrame:
     """rows with ps, the out-of-fold probability of treatment. Columns are standardised once; folds come from a hash of the id within classes."""
     z = standardise(rows, columns).withColumn("__fold", F.pmod(F.xxhash64(F.col(id_column), F.lit(42)), F.lit(folds)))
     score = F.lit(None).cast("double")
-    for k in range(folds):
-        beta = logistic_beta(z.filter(F.col("__fold") != k), columns, treatment, c)
+    for k, beta in enumerate(logistic_betas(z, columns, treatment, folds, F.col("__fold"), c)):
         score = F.when(F.col("__fold") == k, 1 / (1 + F.exp(-linear_value(columns, beta)))).otherwise(score)
     return z.withColumn("ps", score).drop("__fold")
 
@@ -220,27 +291,34 @@ def mixed_model(rows: DataFrame, columns: Sequence[str], y: str, group: str) ->
     """Linear model with a random intercept per group by REML: beta, se, z, p, and the share of variance between groups (icc).
 
     For a variance ratio r, a group of n rows adds X'X - c (sum x)(sum x)' with c = r / (1 + n r): only Gram matrices and
-    groups' sums are needed. These are summed for a grid of ratios at once; the profile is refined around its best point.
+    groups' sums are needed. These are added up for a grid of ratios at once, as matrices in each task; the profile is refined around its best point.
     """
     spark, p = rows.sparkSession, len(columns) + 1
-    v = F.array(*[F.col(k).cast("double") for k in columns], F.lit(1.0), F.col(y).cast("double"))
-    sums = rows.select(group, v.alias("v")).select(group, F.posexplode("v").alias("k", "x")).groupBy(group, "k").agg(F.sum("x").alias("x"))
-    sums = sums.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("s"))
     whole = unpack(gram(rows, columns, y).first().g, p + 1)
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(p + 1) for j in range(i, p + 1)])
-    n_cells, total = (p + 1) * (p + 2) // 2, whole[p - 1, p - 1]
+    names = [f"__s{k}" for k in range(p + 1)]
+    sums = cut(rows.groupBy(group).agg(*[F.sum(c.cast("double")).alias(n) for c, n in zip([*(F.col(k) for k in columns), F.lit(1.0), F.col(y)], names)]).select(_vector(names).alias("v")))
+    upper, total = np.triu_indices(p + 1), whole[p - 1, p - 1]
+    n_cells = len(upper[0])
 
     def profile(ratios: list[float]):
-        grid = sums.withColumn("r", F.explode(F.array(*[F.lit(float(r)) for r in ratios]))).withColumn("n", F.get("s", F.lit(p - 1)))
-        cells = F.concat(F.transform(pairs, lambda ij: F.get("s", ij["i"]) * F.get("s", ij["j"]) * F.col("r") / (1 + F.col("n") * F.col("r"))), F.array(F.log(1 + F.col("n") * F.col("r"))))
-        got = {(x.r, x.k): x.v for x in grid.select("r", F.posexplode(cells).alias("k", "v")).groupBy("r", "k").agg(F.sum("v").alias("v")).collect()}  # ratios x cells
-        out = []
-        for r in ratios:
-            g = whole - unpack([got[(r, k)] for k in range(n_cells)], p + 1)
+        def run(batches):
+            import pyarrow as pa
+
+            out = np.zeros((len(ratios), n_cells + 1))
+            for batch in batches:
+                s = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, p + 1)
+                for i, r in enumerate(ratios):
+                    out[i, :n_cells] += (s.T @ (s * (r / (1 + s[:, p - 1] * r))[:, None]))[upper]
+                    out[i, n_cells] += np.log1p(s[:, p - 1] * r).sum()
+            yield pa.RecordBatch.from_arrays([pa.array([out.ravel()], pa.list_(pa.float64()))], names=["g"])
+
+        got, out = np.array(_added(sums, "g array<double>", run, []).first().g).reshape(len(ratios), n_cells + 1), []
+        for i, r in enumerate(ratios):
+            g = whole - unpack(got[i, :n_cells], p + 1)
             a, b = g[:p, :p], g[:p, p]
             beta = np.linalg.solve(a, b)
             s2 = (g[p, p] - beta @ b) / (total - p)
-            value = -0.5 * ((total - p) * math.log(s2) + got[(r, n_cells)] + np.linalg.slogdet(a)[1])
+            value = -0.5 * ((total - p) * math.log(s2) + got[i, n_cells] + np.linalg.slogdet(a)[1])
             out.append((value, r, beta, s2, np.linalg.inv(a)))
         return max(out, key=lambda x: x[0])
 
@@ -264,10 +342,10 @@ def direction(rows: DataFrame, vector: str, y: str, controls: Sequence[str], alp
     All coefficients come from one Gram matrix of (controls, dimensions, y): residual sums follow by matrix algebra.
     """
     d = len(rows.select(vector).first()[0])
-    named = rows.withColumns({f"__e{k}": F.get(vector, F.lit(k)).cast("double") for k in range(d)})
-    columns = [*controls, *[f"__e{k}" for k in range(d)]]
-    p, q = len(columns) + 1, len(controls)
-    g = unpack(gram(named, columns, y).first().g, p + 1)
+    q = len(controls)
+    p = q + d + 1
+    whole = F.concat(_vector(controls), F.col(vector).cast("array<double>"), _vector([F.lit(1.0), y])) if controls else F.concat(F.col(vector).cast("array<double>"), _vector([F.lit(1.0), y]))
+    g = unpack(gram_of(rows, whole, p + 1).first().g, p + 1)
     ctrl, rest = [*range(q), p - 1], [*range(q, p - 1), p]
     cc, cr, rr = g[np.ix_(ctrl, ctrl)], g[np.ix_(ctrl, rest)], g[np.ix_(rest, rest)]
     b = np.linalg.solve(cc + alpha * np.diag([1.0] * q + [0.0]), cr)

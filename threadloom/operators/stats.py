@@ -9,11 +9,61 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left with right's other columns, where the keys are equal or both null; without keys right is one row."""
+    if not keys:
+        return left.join(F.broadcast(right), F.lit(True), how)
+    named = right.select(*[F.col(k).alias(f"__of_{k}") if k in keys else F.col(k) for k in right.columns])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    return left.join(named, same, how).drop(*[f"__of_{k}" for k in keys])
+
+
+def cumulative(counts: DataFrame, x: str, columns: list[str], group: list[str] = ()) -> DataFrame:
+    """counts (one row for each group and x) with below_c: the sum of c over the group's smaller x.
+
+    Rows are cut into ranges of (group, x); each range adds up its own rows, and what lies before it comes from the ranges' totals. No
+    task sees more than one range, or one row for each range, however many values there are.
+    """
+    from threadloom.sources.io import cut
+
+    parts = cut(counts.repartitionByRange(*group, x).withColumn("__range", F.spark_partition_id()))
+    totals = parts.groupBy(*group, "__range").agg(*[F.sum(c).alias(f"__t_{c}") for c in columns])
+    earlier = W.partitionBy(*group).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    totals = totals.select(*group, "__range", *[F.coalesce(F.sum(f"__t_{c}").over(earlier), F.lit(0)).alias(f"__e_{c}") for c in columns])
+    own = W.partitionBy(*group, "__range").orderBy(x).rowsBetween(W.unboundedPreceding, -1)
+    below = {f"below_{c}": F.col(f"__e_{c}") + F.coalesce(F.sum(c).over(own), F.lit(0)) for c in columns}
+    return meet(parts, totals, [*group, "__range"]).select(*counts.columns, *[c.alias(k) for k, c in below.items()])
+
+
+def quantiles(rows: DataFrame, x: str, at: list[float], group: list[str] = (), out: str = "quantiles") -> DataFrame:
+    """Exact linear-interpolated quantiles of x per group as an array, nulls left out; groups of nulls have none (no row without rows).
+
+    Values are counted, ranked by cumulative(), and only those at the wanted ranks go on: two rows for each quantile.
+    """
+    counts = rows.filter(F.col(x).isNotNull()).groupBy(*group, x).agg(F.count("*").alias("n"))
+    ranked = cumulative(counts, x, ["n"], group)
+    sizes = ranked.groupBy(*group).agg(F.sum("n").alias("__size"))
+    joined = meet(ranked, sizes, list(group))
+    wanted = F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(len(at) - 1)), lambda k: F.struct(k.alias("k"), (F.get(F.array(*[F.lit(float(p)) for p in at]), k) * (F.col("__size") - 1)).alias("p"))),
+        lambda w: (F.floor(w["p"]) < F.col("below_n") + F.col("n")) & (F.ceil(w["p"]) >= F.col("below_n")),
+    )
+    hits = joined.select(*group, F.col(x).cast("double").alias("__x"), "n", "below_n", F.explode(wanted).alias("w"))
+    low = F.max(F.when((F.floor("w.p") >= F.col("below_n")) & (F.floor("w.p") < F.col("below_n") + F.col("n")), F.col("__x")))
+    high = F.max(F.when((F.ceil("w.p") >= F.col("below_n")) & (F.ceil("w.p") < F.col("below_n") + F.col("n")), F.col("__x")))
+    at_p = F.first("w.p")
+    # The two neighbours, each times its nearness.
+    value = F.when(F.floor(at_p) == F.ceil(at_p), low).when(low == high, low).otherwise((F.ceil(at_p) - at_p) * low + (at_p - F.floor(at_p)) * high)
+    each = hits.groupBy(*group, F.col("w.k").alias("k")).agg(value.alias("v"))
+    return each.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias(out))
+
+
 def qcut_edges(rows: DataFrame, x: str, k: int, group: list[str] = ()) -> DataFrame:
     """Distinct linear-interpolated quantiles of x at 0, 1/k ... 1 per group."""
-    at = [i / k for i in range(k + 1)]
-    edges = F.percentile(x, F.array(*[F.lit(p) for p in at]))
-    return rows.groupBy(*group).agg(F.array_distinct(F.transform(edges, lambda e: e + F.lit(0.0))).alias("edges"))  # -0.0 is 0.0
+    edges = quantiles(rows, x, [i / k for i in range(k + 1)], group, "edges")
+    return edges.withColumn("edges", F.array_distinct(F.transform("edges", lambda e: e + F.lit(0.0))))  # -0.0 is 0.0
 
 
 def bin_of(x: Column, edges: Column) -> Column:
@@ -25,7 +75,7 @@ def bin_of(x: Column, edges: Column) -> Column:
 def qcut(rows: DataFrame, x: str, k: int, out: str, group: list[str] = ()) -> DataFrame:
     """rows with the quantile bin of x, within groups if given. Edges are k + 1 numbers for each group."""
     edges = qcut_edges(rows, x, k, list(group))
-    joined = rows.join(edges, list(group)) if group else rows.crossJoin(F.broadcast(edges))  # one row of edges
+    joined = rows.join(edges, list(group)) if group else rows.join(F.broadcast(edges), F.lit(True), "left")  # one row of edges
     return joined.withColumn(out, bin_of(F.col(x), F.col("edges"))).drop("edges")
 
 
@@ -97,19 +147,21 @@ def balance(rows: DataFrame, covariates: list[str], stratum: str = "stratum", si
 
 
 def auc(rows: DataFrame, score: str = "ps", group: list[str] = ()) -> DataFrame:
-    """Area under the ROC curve with ties at half. Rows are first counted by score, so that the sequence is over distinct scores."""
+    """Area under the ROC curve with ties at half. Rows are counted by score; the running sum over scores is by ranges."""
     by = rows.groupBy(*group, score).agg(F.sum("d").cast("double").alias("n1"), (F.count("*") - F.sum("d")).cast("double").alias("n0"))
-    w = W.partitionBy(*group).orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-    return by.withColumn("below", F.coalesce(F.sum("n0").over(w), F.lit(0.0))).groupBy(*group).agg(F.try_divide(F.sum(F.col("n1") * (F.col("below") + F.col("n0") / 2)), F.sum("n1") * F.sum("n0")).alias("auc"))
+    return cumulative(by, score, ["n0"], group).groupBy(*group).agg(F.try_divide(F.sum(F.col("n1") * (F.col("below_n0") + F.col("n0") / 2)), F.sum("n1") * F.sum("n0")).alias("auc"))
 
 
-def spearman(rows: DataFrame, x: str, y: str, group: list[str] = ()) -> DataFrame:
-    """Rank correlation with average ranks for ties; constant input gives null."""
-    def ranked(c: str) -> Column:
-        w = W.partitionBy(*group)
-        return F.rank().over(w.orderBy(c)) + (F.count("*").over(W.partitionBy(*group, c)) - 1) / 2
+def average_ranks(rows: DataFrame, x: str, out: str, group: list[str] = ()) -> DataFrame:
+    """rows with the rank of x within its group, ties at their mean; rows without x are left out."""
+    ranked = cumulative(rows.filter(F.col(x).isNotNull()).groupBy(*group, x).agg(F.count("*").alias("n")), x, ["n"], group)
+    return meet(rows, ranked, [*group, x]).select(*rows.columns, (F.col("below_n") + (F.col("n") + 1) / 2).alias(out))
+
 
-    r = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__x", ranked(x)).withColumn("__y", ranked(y))
+def spearman(rows: DataFrame, x: str, y: str, group: list[str] = ()) -> DataFrame:
+    """Rank correlation with average ranks for ties; constant input gives null. Ranks are joined by value, so no task sorts a whole group."""
+    r = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, F.col(x).alias("__u"), F.col(y).alias("__v"))
+    r = average_ranks(average_ranks(r, "__u", "__x", group), "__v", "__y", group)
     rho = F.try_divide(F.covar_pop("__x", "__y"), F.stddev_pop("__x") * F.stddev_pop("__y"))
     return r.groupBy(*group).agg(rho.alias("rho"), F.count("*").alias("n"))
 
@@ -132,8 +184,8 @@ def normal_tail(z: Column) -> Column:
     return F.when(z >= 0, upper).otherwise(1 - upper)
 
 
-def rosenbaum(sums: DataFrame, gammas: list[float], keys: list[str], parity: bool = True) -> DataFrame:
-    """p-values of the stratified difference per gamma. parity: gamma plays no part; else z is shrunk by log(gamma)'s bound on the mean."""
+def rosenbaum(sums: DataFrame, gammas: list[float], keys: list[str], parity: bool = False) -> DataFrame:
+    """p-values of the stratified difference per gamma. parity: gamma plays no part, as in the published table; else z is shrunk by log(gamma)'s bound on the mean."""
     n_t, n_c = F.col("n_t"), F.col("n_c")
     fine = (n_t > 0) & (n_c > 0)
     total = F.sum(F.when(fine, n_t * (F.col("y_t") / n_t - F.col("y_c") / n_c)))
@@ -145,17 +197,24 @@ def rosenbaum(sums: DataFrame, gammas: list[float], keys: list[str], parity: boo
 
 
 def anchor_lags(lags: DataFrame, units: DataFrame, draws: int = 20) -> DataFrame:
-    """Lags (us) for units without one: sampled (by a hash of id and draw from the sorted lags), median, p25, p75, zero; one row each.
+    """Lags (us) for units without one: sampled (an observed lag, by a hash of id and draw), median, p25, p75, zero.
 
-    lags: (lag), units: (id). The sorted lags are bounded to 10,001 exact quantiles, so that the table stays small.
+    lags: (lag), units: (id). A draw is a rank; ranks meet the observed lag that covers them by an equi-join: distinct lags are numbered
+    by cumulative() and cut into blocks of ranks, of which a frequent lag has several.
     """
-    at = [i / 10_000 for i in range(10_001)]
-    sorted_lags = lags.agg(F.percentile("lag", F.array(*[F.lit(p) for p in at])).alias("lags"), F.percentile("lag", F.lit(0.5)).alias("median"), F.percentile("lag", F.lit(0.25)).alias("p25"), F.percentile("lag", F.lit(0.75)).alias("p75"))
-    drawn = lambda k: F.get(F.col("lags"), F.pmod(F.xxhash64("id", k), F.size("lags")).cast("int"))
-    kinds = F.array(F.struct(F.lit("sample").alias("strategy"), F.lit(0).alias("draw")), *[F.struct(F.lit(s).alias("strategy"), F.lit(0).alias("draw")) for s in ("median", "p25", "p75", "zero")], *[F.struct(F.lit("mean20").alias("strategy"), F.lit(k).alias("draw")) for k in range(1, draws + 1)])
-    rows = units.crossJoin(F.broadcast(sorted_lags)).withColumn("k", F.explode(kinds))  # one row of quantiles
-    lag = F.when(F.col("k.strategy") == "median", F.col("median")).when(F.col("k.strategy") == "p25", F.col("p25")).when(F.col("k.strategy") == "p75", F.col("p75")).when(F.col("k.strategy") == "zero", F.lit(0.0)).otherwise(drawn(F.col("k.draw")))
-    return rows.select("id", "k.strategy", "k.draw", lag.alias("lag"))
+    counts = lags.filter("lag IS NOT NULL").groupBy("lag").agg(F.count("*").alias("n"))
+    ranked = cumulative(counts, "lag", ["n"]).select("lag", F.col("below_n").alias("low"), (F.col("below_n") + F.col("n")).alias("high"))
+    size = int(ranked.agg(F.max("high")).first()[0] or 0)
+    block = max(1, size // 4096)
+    spread = ranked.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor((F.col("high") - 1) / block))))
+    kinds = [("sample", 0), *(("mean20", k) for k in range(1, draws + 1))]
+    drawn = units.select("id", F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), F.lit(k).alias("draw")) for s, k in kinds])).alias("k"))
+    drawn = drawn.withColumn("rank", F.pmod(F.xxhash64("id", "k.draw"), F.lit(max(size, 1)))).withColumn("block", F.floor(F.col("rank") / block))
+    sampled = drawn.join(spread, (drawn["block"] == spread["block"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")), "left").select("id", "k.strategy", "k.draw", F.col("lag").cast("double").alias("lag"))
+    found = quantiles(lags, "lag", [0.5, 0.25, 0.75]).first()
+    middle = list(found[0]) if found else [None] * 3
+    fixed = F.array(*[F.struct(F.lit(s).alias("strategy"), F.lit(0).alias("draw"), F.lit(v).cast("double").alias("lag")) for s, v in zip(("median", "p25", "p75", "zero"), [*middle, 0.0])])
+    return sampled.union(units.select("id", F.explode(fixed).alias("k")).select("id", "k.strategy", "k.draw", "k.lag"))
 
 
 def cluster_bootstrap(rows: DataFrame, outcomes: list[str], cluster: str = "cluster", stratum: str = "stratum", replicates: int = 500, seed: int = 42, least_finite: int = 50) -> DataFrame:
@@ -199,5 +258,6 @@ def score_tails(rows: DataFrame, score: str = "ps", below: list[float] = (0.01,
 
 def summary(rows: DataFrame, x: str, group: list[str] = (), at: list[float] = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)) -> DataFrame:
     """n, mean, sample deviation, min, exact percentiles and max."""
-    q = [F.percentile(x, F.lit(p)).alias(f"p{round(100 * p)}") for p in at]
-    return rows.groupBy(*group).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), *q, F.max(x).alias("max"))
+    sums = rows.groupBy(*group).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    q = quantiles(rows, x, list(at), group)
+    return meet(sums, q, list(group), "left").select(*group, "n", "mean", "std", "min", *[F.get("quantiles", F.lit(k)).alias(f"p{round(100 * p)}") for k, p in enumerate(at)], "max")

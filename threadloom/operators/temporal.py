@@ -73,6 +73,17 @@ def _count(condition: Column) -> Column:
     return F.coalesce(F.count_if(condition), F.lit(0)).cast("long")
 
 
+def _distinct(values: Column) -> Column:
+    """How many different values: a set for each group, so that rows are not multiplied as by several count(DISTINCT)."""
+    return F.size(F.collect_set(values)).cast("long")
+
+
+def _active_days(condition: Column, origin: Column, first: int = 0) -> Column:
+    """Different days of events that meet a condition, as bits of one number: days from the origin's day + first on, 62 at most."""
+    bit = day(F.col("us")) - day(origin) - first
+    return F.coalesce(F.bit_count(F.bit_or(F.when(condition, F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))))), F.lit(0)).cast("long")
+
+
 def lookback_features(days: list[int] = LOOKBACK, pages: str = "title") -> dict[str, Column]:
     """Ten measures for each look-back window [q - days, q): aggregates over events_around(), by question."""
     out = {}
@@ -85,12 +96,12 @@ def lookback_features(days: list[int] = LOOKBACK, pages: str = "title") -> dict[
             f"n_mainspace{s}": main,
             f"n_usertalk{s}": _count(inside & (F.col("ns") == 3)),
             f"n_draft{s}": draft,
-            f"n_unique_ns{s}": F.count_distinct(F.when(inside, F.col("ns"))),
+            f"n_unique_ns{s}": _distinct(F.when(inside, F.col("ns"))),
             f"mainspace_ratio{s}": safe_div(main, n),
             f"draft_ratio{s}": safe_div(draft, n),
             f"avg_sizediff{s}": F.coalesce(F.avg(F.when(inside, F.col("sizediff"))), F.lit(0.0)),
             f"neg_sizediff_ratio{s}": safe_div(_count(inside & (F.col("sizediff") < 0)), n),
-            f"n_unique_articles{s}": F.count_distinct(F.when(inside, F.col(pages))),
+            f"n_unique_articles{s}": _distinct(F.when(inside, F.col(pages))),
         }
     return out
 
@@ -103,7 +114,7 @@ def history_features() -> dict[str, Column]:
     last, first = F.max(own(F.col("us"))), F.min(own(F.col("us")))
     return {
         "n_edits_all": n,
-        "n_unique_ns_all": F.count_distinct(own(F.col("ns"))),
+        "n_unique_ns_all": _distinct(own(F.col("ns"))),
         "mainspace_ratio_all": safe_div(_count(inside & (F.col("ns") == 0)), n),
         "draft_ratio_all": safe_div(_count(inside & (F.col("ns") == 118)), n),
         "avg_sizediff_all": F.coalesce(F.avg(own(F.col("sizediff"))), F.lit(0.0)),
@@ -114,7 +125,7 @@ def history_features() -> dict[str, Column]:
         "active_span_hours": F.when(n > 1, (last - first) / HOUR).otherwise(0.0),
         "weekend_ratio": safe_div(_count(inside & (weekday(F.col("us")) >= 5)), n),
         "night_ratio": safe_div(_count(inside & (hour(F.col("us")) < 6)), n),
-        "burstiness": safe_div(n, F.count_distinct(own(day(F.col("us"))))),
+        "burstiness": safe_div(n, _distinct(own(day(F.col("us"))))),
         "n_reverts_pre": _count(inside & F.array_contains("tags", REVERTED)),
         "revert_rate_pre": safe_div(_count(inside & F.array_contains("tags", REVERTED)), n),
     }
@@ -137,7 +148,7 @@ def retention_outcomes(windows: dict[str, tuple[int, int]] = RETENTION) -> dict[
     out = {}
     for name, (a, b) in windows.items():
         inside = (F.col("us") > F.col("q")) & (F.col("ns") % 2 == 0) & (F.col("us") >= F.col("q") + a * DAY) & (F.col("us") < F.col("q") + b * DAY)
-        n, days = _count(inside), F.count_distinct(F.when(inside, day(F.col("us"))))
+        n, days = _count(inside), _active_days(inside, F.col("q"), a)
         out |= {name: (n >= 1).cast("int"), f"{name}_count": n, f"{name}_5plus": (n >= 5).cast("int"), f"{name}_active_days": days, f"{name}_crossday": (days >= 2).cast("int")}
     return out
 
@@ -158,8 +169,8 @@ def continuous_outcomes(cap_first: int = 60, cap_fifth: int = 37) -> dict[str, C
     own = F.when(after, F.col("us"))
     q = F.first("q")
     inside = after & (F.col("us") >= F.col("q") + 7 * DAY) & (F.col("us") < F.col("q") + 37 * DAY)
-    # The least five only are looked at; array_agg of one user's events is bounded by that user's events.
-    fifth = F.get(F.array_sort(F.collect_list(own)), 4)
+    # Later events are cut to the cap anyway, so the list holds those of cap_fifth days only.
+    fifth = F.get(F.array_sort(F.collect_list(F.when(after & (F.col("us") < F.col("q") + cap_fifth * DAY), F.col("us")))), 4)
     elapsed = F.floor((F.col("us") - F.col("q")) / DAY)
     return {
         "log1p_edits_7_37": F.log1p(_count(inside)),
@@ -167,7 +178,7 @@ def continuous_outcomes(cap_first: int = 60, cap_fifth: int = 37) -> dict[str, C
         "days_to_5th": F.least(F.lit(float(cap_fifth)), F.coalesce((fifth - q) / DAY, F.lit(float(cap_fifth)))),
         "last_edit_days_post_q": F.coalesce((F.max(own) - q) / DAY, F.lit(0.0)),
         "any_edit_post": (_count(F.col("us") > F.col("q")) >= 1).cast("int"),
-        "session_weeks_60d": F.count_distinct(F.when(after & (elapsed < 60), F.floor(elapsed / 7))),
+        "session_weeks_60d": F.bit_count(F.coalesce(F.bit_or(F.when(after & (elapsed < 60), F.call_function("shiftleft", F.lit(1).cast("long"), F.floor(elapsed / 7).cast("int")))), F.lit(0).cast("long"))).cast("long"),
     }
 
 
@@ -180,8 +191,8 @@ def quality_outcomes() -> dict[str, Column]:
         "reverted_count": bad,
         "revert_rate_post": safe_div(bad, n),
         "productive_edits": n - bad,
-        "unique_ns": F.count_distinct(F.when(inside, F.col("ns"))),
-        "unique_articles": F.count_distinct(F.when(inside, F.col("title"))),
+        "unique_ns": _distinct(F.when(inside, F.col("ns"))),
+        "unique_articles": _distinct(F.when(inside, F.col("title"))),
         "mainspace_ratio_post": safe_div(_count(inside & (F.col("ns") == 0)), n),
     }
 
@@ -192,7 +203,7 @@ def anchor_outcomes() -> dict[str, Column]:
     within = lambda a, b: (t > a * DAY) & (t <= b * DAY)
     main, even = F.col("ns") == 0, F.col("ns") % 2 == 0
     bad = F.coalesce(F.array_contains("tags", REVERTED), F.lit(False))
-    days = lambda c: F.count_distinct(F.when(c, day(F.col("us"))))
+    days = lambda c: _active_days(c, F.col("anchor"))  # noqa: E731  60 days at most
     flag = lambda c: (_count(c) >= 1).cast("int")
     return {
         "primary": flag(main & within(0, 14)),
@@ -204,7 +215,7 @@ def anchor_outcomes() -> dict[str, Column]:
         "active_days_14d": days(even & within(0, 14)),
         "active_days_30d": days(even & within(0, 30)),
         "constructive_days_30d": days(even & ~bad & within(0, 30)),
-        "unique_ns": F.count_distinct(F.when(even & within(0, 14), F.col("ns"))),
+        "unique_ns": _distinct(F.when(even & within(0, 14), F.col("ns"))),
         "cross_day_constructive_14d": (days(main & ~bad & within(0, 14)) >= 2).cast("int"),
         "cross_day_any_14d": (days(main & within(0, 14)) >= 2).cast("int"),
         "mainspace_15_30d": flag(main & within(14, 30)),
@@ -239,25 +250,29 @@ def abuse_counts() -> dict[str, Column]:
 def mentor_history(conversations: DataFrame) -> DataFrame:
     """For each conversation (id, mentor, mentee, us, replied) its mentor's record strictly before it, and over the last 30 days.
 
-    Running sums over each mentor's conversations in time give all but the distinct mentees; these are counted from the mentees' first
-    (and, for 30 days, latest earlier) conversations. Peers at the same time do not count. One shuffle by mentor.
+    Running sums over each mentor's conversations in time give all. A mentee counts once from its first conversation on; for the last
+    30 days (elapsed whole days) it counts from each conversation until its next one or the window's end, as a step up and a step down in the
+    same order. Peers at the same time do not count.
     """
-    w = W.partitionBy("mentor").orderBy("us")
-    before = w.rangeBetween(W.unboundedPreceding, -1)
-    recent = w.rangeBetween(-31 * DAY + 1, -1)  # elapsed whole days of at most 30
     mentee = W.partitionBy("mentor", "mentee").orderBy("us", "id")
-    marked = conversations.withColumn("__first", (F.row_number().over(mentee) == 1).cast("long"))
+    base = conversations.select("id", "mentor", "us", F.col("us").alias("at"), F.col("replied").cast("long").alias("replied"), F.lit(0).cast("long").alias("step"), (F.row_number().over(mentee) == 1).cast("long").alias("__first"), F.lead("us").over(mentee).alias("__next"))
+    end = F.col("us") + 31 * DAY - 1
+    steps = F.array(F.struct((F.col("us") + 1).alias("at"), F.lit(1).cast("long").alias("step")), F.struct((F.least(end, F.col("__next")) + 1).alias("at"), F.lit(-1).cast("long").alias("step")))
+    more = base.select("mentor", F.explode(steps).alias("s")).select("mentor", "s.at", "s.step")
+    w = W.partitionBy("mentor").orderBy("at")
+    before, so_far = w.rangeBetween(W.unboundedPreceding, -1), w.rangeBetween(W.unboundedPreceding, 0)
+    recent = w.rangeBetween(-31 * DAY + 1, -1)
     n, n30 = F.count("id").over(before), F.count("id").over(recent)
-    return marked.select(
+    return base.drop("__next").unionByName(more, allowMissingColumns=True).select(
         "id",
         F.coalesce(F.sum("__first").over(before), F.lit(0)).alias("m_prior_mentees"),
         n.alias("m_prior_conversations"),
-        safe_div(F.sum(F.col("replied").cast("long")).over(before), n).alias("m_prior_reply_rate"),
+        safe_div(F.sum("replied").over(before), n).alias("m_prior_reply_rate"),
         F.coalesce(F.floor((F.col("us") - F.min("us").over(before)) / DAY), F.lit(0)).alias("m_days_active"),
-        F.size(F.coalesce(F.collect_set("mentee").over(recent), F.array())).cast("long").alias("m_mentees_30d"),
+        F.sum("step").over(so_far).alias("m_mentees_30d"),
         n30.alias("m_conversations_30d"),
-        safe_div(F.sum(F.col("replied").cast("long")).over(recent), n30).alias("m_reply_rate_30d"),
-    )
+        safe_div(F.sum("replied").over(recent), n30).alias("m_reply_rate_30d"),
+    ).filter("id IS NOT NULL")
 
 
 def entropy_of(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:

@@ -32,7 +32,7 @@ def j16(spark, sf):
     from threadloom.functions.scalar import clip, finite
 
     l = t(spark, sf, "lineitem")
-    p = l.agg(F.percentile("l_quantity", F.lit(0.99)).alias("q"))
+    p = S.quantiles(l, "l_quantity", [0.99]).select(F.get("quantiles", F.lit(0)).alias("q"))
     c = l.crossJoin(F.broadcast(p)).select("l_orderkey", "l_linenumber", clip(finite(F.col("l_quantity")), F.lit(0.0), F.col("q")).alias("lag"))  # one row of quantiles
     return _rounded(L.standardise(c, ["lag"]))
 
@@ -106,7 +106,24 @@ def j19(spark, sf):
     return r.select("l_orderkey", "l_linenumber", F.round("residual", 2).alias("residual"))
 
 
-@query("j20_ridge_cv")
+def _solve_sql(name, table, columns, y, keys="", ridge=0.0):
+    """SQL of the least squares of y on two columns, centred: sums by keys, then Cramer's rule; with a ridge on both."""
+    a, b = columns
+    by = f"{keys}, " if keys else ""
+    group = f" GROUP BY {keys}" if keys else ""
+    return (
+        f"{name}_m AS (SELECT {by}count(*)::DOUBLE AS n, avg({a}) AS ma, avg({b}) AS mb, avg({y}) AS my, var_pop({a}) * count(*) + {ridge} AS aa, var_pop({b}) * count(*) + {ridge} AS bb, "
+        f"covar_pop({a}, {b}) * count(*) AS ab, covar_pop({a}, {y}) * count(*) AS ay, covar_pop({b}, {y}) * count(*) AS by_, var_pop({y}) * count(*) AS yy FROM {table}{group}), "
+        f"{name} AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS ba, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS bb_ FROM {name}_m)"
+    )
+
+
+_FOLDS = """e AS (SELECT [quantile_cont(l_orderkey, 0.2), quantile_cont(l_orderkey, 0.4), quantile_cont(l_orderkey, 0.6), quantile_cont(l_orderkey, 0.8)] AS e FROM lineitem),
+l AS (SELECT l_discount AS a, l_quantity AS b, l_extendedprice AS y, len(list_filter(e, lambda z: z < l_orderkey)) AS fold FROM lineitem, e),
+tr AS (SELECT f, a, b, y FROM l, range(5) r(f) WHERE fold <> f)"""
+
+
+@query("j20_ridge_cv", f"WITH {_FOLDS}, {_solve_sql('s', 'tr', ['a', 'b'], 'y', 'f', 10.0)}, r AS (SELECT f, 1 - sum((y - my - ay / aa * (a - ma)) ** 2) / (var_pop(y) * count(*)) AS r1, 1 - sum((y - my - ba * (a - ma) - bb_ * (b - mb)) ** 2) / (var_pop(y) * count(*)) AS r2 FROM l JOIN s ON fold = f GROUP BY f) SELECT round(avg(r1), 6) AS r2_base, round(avg(r2), 6) AS r2, round(avg(r2) - avg(r1), 6) AS incremental FROM r")
 def j20(spark, sf):
     l = t(spark, sf, "lineitem")
     base, more = L.ridge_cv_r2(l, ["l_discount"], "l_extendedprice", 10.0, "l_orderkey"), L.ridge_cv_r2(l, ["l_discount", "l_quantity"], "l_extendedprice", 10.0, "l_orderkey")
@@ -120,7 +137,23 @@ def j21(spark, sf):
     return projected.select("vec_id", F.round("projection", 6).alias("projection"))
 
 
-@query("e31_strat_dr")
+def _det3(*rows):
+    (a, b, c), (d, e, f), (g, h, i) = rows
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+def _dr_sql():
+    """In each stratum the coefficient of d beside l_quantity and l_tax, by Cramer's rule on centred sums."""
+    x = ["d", "l_quantity", "l_tax"]
+    inner = [f"covar_pop({a}, {b}) * count(*) AS c{i}{j}" for i, a in enumerate(x) for j, b in enumerate(x)] + [f"covar_pop({a}, v) * count(*) AS y{i}" for i, a in enumerate(x)]
+    below, above = [[f"c{i}{j}" for j in range(3)] for i in range(3)], [[f"y{i}", f"c{i}1", f"c{i}2"] for i in range(3)]
+    return f"""WITH {B.SAMPLE}, e AS (SELECT list_sort(list_distinct([{", ".join(f"quantile_cont(ps, {k / 5})" for k in range(6))}])) AS e FROM sample),
+st AS (SELECT sample.*, len(list_filter(e[2:len(e) - 1], lambda z: z < ps)) AS stratum FROM sample, e), g AS (SELECT stratum, d, l_quantity, l_tax, unnest(['y', 'y2']) AS outcome, unnest([y, y2]) AS v FROM st),
+s AS (SELECT outcome, stratum, count(*) AS n, {", ".join(inner)} FROM g GROUP BY ALL HAVING sum(d) >= 2 AND count(*) - sum(d) >= 2)
+SELECT outcome, round(sum(n * {_det3(*above)} / {_det3(*below)}) / sum(n), 6) AS dr FROM s GROUP BY 1"""
+
+
+@query("e31_strat_dr", _dr_sql())
 def e31(spark, sf):
     s = S.qcut(B.sample(spark, sf), "ps", 5, "stratum")
     return _rounded(L.strat_dr(s, ["l_quantity", "l_tax"], ["y", "y2"]))
@@ -188,7 +221,7 @@ def m04(spark, sf):
     return spark.createDataFrame([(o["d"], o["dxm"], o["d"] + o["dxm"])], "beta_d double, beta_dxm double, net double")
 
 
-@query("m07_cluster_betas")
+@query("m07_cluster_betas", f"WITH v AS (SELECT label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS y FROM embeddings), {_solve_sql('s', 'v', ['a', 'b'], 'y', 'label')} SELECT label::INT AS label, round(ba, 6) AS beta_a, round(bb_, 6) AS beta_b, round((ba * ay + bb_ * by_) / yy, 6) AS r2 FROM s")
 def m07(spark, sf):
     v = _vectors(spark, sf).withColumns({"a": F.get("embedding", F.lit(0)), "b": F.get("embedding", F.lit(1)), "y": F.get("embedding", F.lit(2))})
     rows = []
@@ -228,16 +261,16 @@ def _is_dir(spark, path):
 
 
 def _drained(spark, frame, mode):
-    """The result of a stream once its files are read, by a memory table."""
-    import uuid
-
-    from threadloom.sources.io import shared_folder
+    """The result of a stream once its files are read, from a table in the shared folder: appended to, or written anew by each batch."""
+    from threadloom.sources.io import scratch
 
-    name = f"s{uuid.uuid4().hex}"
-    sink = frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_folder(frame.sparkSession)}/{name}")
-    q = sink.trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    path, seen = scratch(spark, "stream"), scratch(spark, "stream-checkpoint")
+    if mode == "append":
+        out = frame.writeStream.format("parquet").option("path", path)
+    else:
+        out = frame.writeStream.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path))
+    out.outputMode(mode).option("checkpointLocation", seen).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 @query("k02_stream_windows", "SELECT strftime(time_bucket(INTERVAL 1 day, ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -257,7 +290,7 @@ def k01(spark, sf):
     return _drained(spark, ingest(e, "event_id", "ts", "40 days"), "append").select("event_id", "event_type")
 
 
-@query("k03_stream_roster")
+@query("k03_stream_roster", "SELECT member, seq, CASE WHEN p THEN 'joined' ELSE 'left' END AS event FROM (SELECT user_id AS member, event_id AS seq, value > 50 AS p, lag(value > 50, 1, false) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE p <> before")
 def k03(spark, sf):
     from threadloom.streaming.roster import roster_states
 
@@ -275,9 +308,29 @@ def k04(spark, sf):
     return _drained(spark, pairs.select("question", "event"), "append")
 
 
-@query("a20_sinks", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
+@query("a20_sinks", "SELECT unnest(['appended', 'csv', 'json', 'json array', 'text']) AS sink, l_orderkey, n FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)")
 def a20(spark, sf):
-    """Counts that were written to the shared folder and read again."""
-    from threadloom.sources.io import cut
-
-    return cut(t(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n")))
+    """Counts written to the shared folder as JSON lines, CSV, text, one JSON array for each file, and two appended halves, and read again."""
+    from threadloom.sources import io
+
+    n, shape = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")), "l_orderkey long, n long"
+    at = {k: io.scratch(spark, f"sink-{k.replace(' ', '-')}") for k in ("json", "csv", "text", "appended", "json array")}
+    io.write(n, at["json"], "json")
+    io.write(n, at["csv"], "csv")
+    n.select(F.concat_ws("\t", "l_orderkey", "n").alias("value")).write.text(at["text"])
+    for odd in (0, 1):
+        io.write(n.filter(F.col("l_orderkey") % 2 == odd), at["appended"], "parquet", "append")
+    n.groupBy(F.floor(F.col("l_orderkey") / 10_000).alias("file")).agg(F.to_json(F.collect_list(F.struct("l_orderkey", "n"))).alias("value")).select("value").write.text(at["json array"])
+    cells = F.split("value", "\t")
+    back = {
+        "json": io.read_json(spark, at["json"], shape),
+        "csv": spark.read.schema(shape).option("header", True).csv(at["csv"]),
+        "text": spark.read.text(at["text"]).select(cells[0].cast("long").alias("l_orderkey"), cells[1].cast("long").alias("n")),
+        "appended": spark.read.schema(shape).parquet(at["appended"]),
+        "json array": spark.read.text(at["json array"]).select(F.explode(F.from_json("value", f"array<struct<{shape.replace(' long', ': long')}>>")).alias("r")).select("r.*"),
+    }
+    out = None
+    for name, rows in back.items():
+        part = rows.select(F.lit(name).alias("sink"), "l_orderkey", "n")
+        out = part if out is None else out.union(part)
+    return out

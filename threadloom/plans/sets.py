@@ -55,10 +55,11 @@ def a11(spark, sf):
 
 @query("a14_a16_json_lines", "SELECT event_id, user_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE event_id % 10 <> 0")
 def a14(spark, sf):
-    e = t(spark, sf, "events")
+    """Lines written as a file, every tenth of them broken, and read by the tolerant reader."""
     line = F.when(F.col("event_id") % 10 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct("event_id", "user_id", F.from_json("props", "k long").alias("props"))))
-    row = F.from_json(line, "event_id long, user_id long, props struct<k: long>, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    return e.select(row.alias("r")).filter("r._bad IS NULL").select("r.event_id", "r.user_id", F.col("r.props.k").alias("k"))
+    t(spark, sf, "events").select(line.alias("value")).write.text(path := io.scratch(spark, "lines"))
+    rows = io.read_json(spark, path, "event_id long, user_id long, props struct<k: long>", tolerant=True)
+    return rows.select("event_id", "user_id", F.col("props.k").alias("k"))
 
 
 @query("a15_semi_join_scan", "SELECT event_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
@@ -69,9 +70,12 @@ def a15(spark, sf):
 
 @query("a17_csv_scores", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0 THEN l_discount END AS score FROM lineitem WHERE l_discount > 0 OR l_tax > 0.01")
 def a17(spark, sf):
-    row = F.to_csv(F.struct("l_orderkey", "l_linenumber", F.when(F.col("l_discount") > 0, F.col("l_discount")).alias("a"), F.when(F.col("l_tax") > 0.01, F.col("l_tax")).alias("b")))
-    read = t(spark, sf, "lineitem").select(F.from_csv(row, F.lit("l_orderkey long, l_linenumber int, a double, b double"), {"nullValue": ""}).alias("r")).select("r.*")
-    return read.filter(F.coalesce("a", "b").isNotNull()).select("l_orderkey", "l_linenumber", F.col("a").alias("score"))
+    """Scores written as CSV with a header and empty fields, and read again; rows without any score are left out."""
+    l = t(spark, sf, "lineitem")
+    rows = l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.when(F.col("l_discount") > 0, F.col("l_discount")).alias("a"), F.when(F.col("l_tax") > 0.01, F.col("l_tax")).alias("b"))
+    io.write(rows, path := io.scratch(spark, "scores"), "csv")
+    read = io.read_scores(spark, path, ["a", "b"], "line")
+    return read.select(F.floor(F.col("line") / 10).alias("l_orderkey"), (F.col("line") % 10).alias("l_linenumber"), F.col("a").alias("score"))
 
 
 @query("a19_named_arrays", "SELECT vec_id, label, len(embedding)::INT AS dim, round(embedding[1]::DOUBLE, 5) AS first FROM embeddings")
@@ -291,6 +295,17 @@ def e33(spark, sf):
     return K.totals(K.utterances(c), K.speakers(c))
 
 
+@query("a22_corpus_files", f"WITH {_CONV}, u AS (SELECT count(*) AS q, count(*) FILTER (has_reply) AS r FROM conv) SELECT 'utterances' AS file, (SELECT q + r FROM u) AS n UNION ALL SELECT 'corpus', 1 UNION ALL SELECT 'index', 6 + 2 + 2 UNION ALL SELECT 'questions', (SELECT q FROM u)")
+def a22(spark, sf):
+    """The corpus exported as files and read again: rows of each, and what the metadata say."""
+    c = _cleaned(spark, sf)
+    u = K.utterances(c)
+    n = u.agg(F.count_if(F.col("reply_to").isNull()).alias("q"), F.count("reply_to").alias("r")).first()
+    io.export_corpus(folder := io.scratch(spark, "corpus"), {"num_questions": n.q, "num_replies": n.r}, utterances=u, speakers=K.speakers(c))
+    rows = [spark.read.json(f"{folder}/{k}").agg(F.lit(k).alias("file"), F.count("*").alias("n")) for k in ("utterances", "corpus", "index")]
+    return rows[0].union(rows[1]).union(rows[2]).union(spark.read.json(f"{folder}/corpus").select(F.lit("questions"), "num_questions"))
+
+
 @query("d16_role_union", "SELECT name, list_sort(list(DISTINCT role)) AS roles FROM (SELECT c_name AS name, 'mentor' AS role FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT c_name, 'mentor' FROM customer WHERE c_acctbal > 8000 UNION ALL SELECT c_name, 'mentee' FROM customer WHERE c_acctbal > 0) GROUP BY name")
 def d16(spark, sf):
     c = t(spark, sf, "customer").withColumn("name", F.col("c_name"))
@@ -308,7 +323,10 @@ def d17(spark, sf):
 
 @query("e02_summary", "SELECT lang, count(*) AS n, round(avg(n_chars), 6) AS mean, quantile_cont(n_chars, 0.5) AS median, max(n_chars) AS most FROM documents GROUP BY 1")
 def e02(spark, sf):
-    return t(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"), F.percentile("n_chars", F.lit(0.5)).alias("median"), F.max("n_chars").alias("most"))
+    d = t(spark, sf, "documents")
+    sums = d.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"), F.max("n_chars").alias("most"))
+    q = St.quantiles(d, "n_chars", [0.5], ["lang"])
+    return St.meet(sums, q, ["lang"], "left").select("lang", "n", "mean", F.get("quantiles", F.lit(0)).alias("median"), "most")
 
 
 _P = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
@@ -323,7 +341,8 @@ def e25(spark, sf):
 @query("e43_describe", "SELECT 'l_quantity' AS variable, count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS std, min(l_quantity) AS min, quantile_cont(l_quantity, 0.5) AS median, max(l_quantity) AS max FROM lineitem UNION ALL SELECT 'l_discount', count(l_discount), round(avg(l_discount), 6), round(stddev_samp(l_discount), 6), min(l_discount), quantile_cont(l_discount, 0.5), max(l_discount) FROM lineitem")
 def e43(spark, sf):
     long = t(spark, sf, "lineitem").select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("x")) for c in ("l_quantity", "l_discount")])).alias("v")).select("v.*")
-    return long.groupBy("variable").agg(F.count("x").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_samp("x"), 6).alias("std"), F.min("x").alias("min"), F.percentile("x", F.lit(0.5)).alias("median"), F.max("x").alias("max"))
+    out = St.summary(long, "x", ["variable"], [0.5])
+    return out.select("variable", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", F.col("p50").alias("median"), "max")
 
 
 @query("e44_pivot", "SELECT lang, count(*) FILTER (quality = 0) AS bad, count(*) FILTER (quality = 1) AS good FROM documents JOIN labels USING (doc_id) GROUP BY 1")
@@ -375,15 +394,22 @@ def m13(spark, sf):
 # -- sorts and sets -----------------------------------------------------------------------------------------------------------
 
 
-@query("g01_sort", "SELECT event_id, user_id FROM events ORDER BY ts, user_id LIMIT 50")
+def _ordered(rows, keys):
+    """All rows with their position in the order of keys (equal keys share one), which is found by ranges of the order."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n")).select(F.struct(*keys).alias("k"), "n")
+    places = St.cumulative(counts, "k", ["n"]).select("k.*", (F.col("below_n") + 1).alias("position"))
+    return St.meet(rows, places, keys).orderBy("position")
+
+
+@query("g01_sort", "SELECT event_id, user_id, rank() OVER (ORDER BY ts, user_id) AS position FROM events")
 def g01(spark, sf):
-    return t(spark, sf, "events").orderBy("ts", "user_id").select("event_id", "user_id").limit(50)
+    return _ordered(t(spark, sf, "events").select("event_id", "ts", "user_id"), ["ts", "user_id"]).select("event_id", "user_id", "position")
 
 
-@query("g02_coverage_order", f"WITH {_TIERS} SELECT owner, round(count(*) FILTER (tier = 'matched') / greatest(count(*), 1), 6) AS share FROM tiers GROUP BY 1 HAVING count(*) > 0 ORDER BY share, owner LIMIT 20")
+@query("g02_coverage_order", f"WITH {_TIERS}, s AS (SELECT owner, round(count(*) FILTER (tier = 'matched') / greatest(count(*), 1), 6) AS share FROM tiers GROUP BY 1 HAVING count(*) > 0) SELECT owner, share, rank() OVER (ORDER BY share, owner) AS position FROM s")
 def g02(spark, sf):
     g = _tiers(spark, sf).groupBy("owner").agg(F.round(F.count_if(F.col("tier") == "matched") / F.greatest(F.count("*"), F.lit(1)), 6).alias("share"))
-    return g.orderBy("share", "owner").limit(20)
+    return _ordered(g, ["share", "owner"]).select("owner", "share", "position")
 
 
 @query("g03_top_k", "SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10")

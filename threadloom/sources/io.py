@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,19 +54,43 @@ def with_defaults(rows: DataFrame, defaults: dict) -> DataFrame:
     return rows.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 
-def export_corpus(folder: str, **frames: DataFrame) -> None:
-    """Each frame as JSON lines in a folder of its own name."""
+#: What the corpus index calls the types of fields.
+INDEX_TYPES = {"string": "<class 'str'>", "bigint": "<class 'int'>", "int": "<class 'int'>", "double": "<class 'float'>", "boolean": "<class 'bool'>", "array": "<class 'list'>"}
+
+
+def export_corpus(folder: str, meta: dict | None = None, **frames: DataFrame) -> None:
+    """Each frame as JSON lines in a folder of its own name; corpus has the metadata, index the names and types of all fields.
+
+    The index follows from the frames' schemas: a line has index ("utterances-index" for the frame utterances, "overall-index" for the
+    metadata), field and type.
+    """
     for name, frame in frames.items():
         frame.write.mode("overwrite").json(f"{folder}/{name}")
+    spark = next(iter(frames.values())).sparkSession
+    overall = spark.createDataFrame([tuple((meta or {"version": "1"}).values())], list(meta or {"version": "1"}))
+    overall.coalesce(1).write.mode("overwrite").json(f"{folder}/corpus")
+    fields = [(f"{name}-index", c, INDEX_TYPES.get(k.split("<")[0], k)) for name, frame in {**frames, "overall": overall}.items() for c, k in frame.dtypes]
+    spark.createDataFrame(fields, "index string, field string, type string").coalesce(1).write.mode("overwrite").json(f"{folder}/index")
 
 
-#: Used only where a session names no shared folder, as on one machine.
+#: Used only on a local master whose session names no shared folder, as on one machine.
 FALLBACK_CHECKPOINTS = "file:///tmp/checkpoints/threadloom"
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_CHECKPOINTS
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or FALLBACK_CHECKPOINTS
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    path = f"{shared_folder(spark)}/threadloom-{name}-{uuid.uuid4().hex}"
+    if path.startswith(FALLBACK_CHECKPOINTS):
+        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
+    return path
 
 
 def cut(rows: DataFrame) -> DataFrame:
