@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import documents, saved, ship
-from threadloom.llm.text import Words, grams, mix, pieces
+from threadloom.llm.text import SEEDS, Words, grams, mix, pieces
 
 #: Words in a window, and in the anchor by which equal windows meet.
 WINDOW, ANCHOR = 13, 5
@@ -217,14 +217,15 @@ def _and_none(batches):
 def segments(docs: DataFrame, anchors: DataFrame, window: int, anchor: int) -> DataFrame:
     """Two kinds of rows of the segments at shared anchors, in one table.
 
-    A place: doc_id, text_hash (with doc_id it names the row), start (its first window), segment (a hash). A reference, once
-    for a task: segment, anchor, words (joined by spaces), least (doc_id in this task).
+    A place: doc_id, text_hash (with doc_id it names the row), start (its first window), segment and other (two independent hashes
+    of the words, 128 bits, by which places meet their references). A reference, once for a task: segment, other, anchor, words
+    (joined by spaces), least (doc_id in this task).
     """
     mine = anchors.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))  # no more than the document's words
     rows = docs.join(mine, "doc_id").select("doc_id", F.xxhash64("text").alias("text_hash"), "text", "anchors")
 
     def run(batches):
-        seen: dict[int, list] = {}
+        seen: dict[tuple, list] = {}
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             lists = batch.column(3)
@@ -239,47 +240,51 @@ def segments(docs: DataFrame, anchors: DataFrame, window: int, anchor: int) -> D
                 at = np.minimum(np.searchsorted(table, probe), len(table) - 1)
                 fine = np.flatnonzero(table[at] == probe)
                 text, first, last, key = text[fine], first[fine], last[fine], key[fine]
-                h = words.hashes
-                code = key.copy()
                 length = last - first + window
-                for k in range(int(length.max(initial=0))):
-                    more = k < length
-                    code[more] = mix(code[more] * _U(0xC2B2AE3D27D4EB4F) + h[first[more] + k])
-                code = mix(code + length.astype(_U)).view(np.int64)
+                code, other = _run_hash(words.hashes, first, length), _run_hash(words.hashed(SEEDS[1]), first, length)
                 doc = ids[a:b][text]
                 raw = words.data.tobytes()
                 begin, end = words.starts[first].tolist(), words.ends[first + length - 1].tolist()
-                for c, d, i, j, x in zip(code.tolist(), doc.tolist(), begin, end, key.view(np.int64).tolist()):
+                for c, d, i, j, x in zip(zip(code.tolist(), other.tolist()), doc.tolist(), begin, end, key.view(np.int64).tolist()):
                     if c not in seen:
                         seen[c] = [d, x, b" ".join(raw[i:j].split())]  # splits at the same bytes as Words
                     elif d < seen[c][0]:
                         seen[c][0] = d
                 n = len(code)
-                yield _segment_rows(doc, texts[a:b][text], first - words.first[text], code, n, None)
+                yield _segment_rows(doc, texts[a:b][text], first - words.first[text], code, other, n, None)
                 if len(seen) > 100_000:
-                    yield _segment_rows(None, None, None, None, 0, seen)
+                    yield _segment_rows(None, None, None, None, None, 0, seen)
                     seen = {}
         if seen:
-            yield _segment_rows(None, None, None, None, 0, seen)
+            yield _segment_rows(None, None, None, None, None, 0, seen)
 
-    return rows.mapInArrow(run, "doc_id long, text_hash long, start int, segment long, anchor long, words binary, least long")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, start int, segment long, other long, anchor long, words binary, least long")
 
 
-def _segment_rows(doc, text_hash, start, code, n: int, seen: dict | None) -> pa.RecordBatch:
-    names = ["doc_id", "text_hash", "start", "segment", "anchor", "words", "least"]
+def _run_hash(h: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash of each run of words, from the words' hashes."""
+    code = length.astype(_U)
+    for k in range(int(length.max(initial=0))):
+        more = k < length
+        code[more] = mix(code[more] * _U(0xC2B2AE3D27D4EB4F) + h[first[more] + k])
+    return mix(code).view(np.int64)
+
+
+def _segment_rows(doc, text_hash, start, code, other, n: int, seen: dict | None) -> pa.RecordBatch:
+    names = ["doc_id", "text_hash", "start", "segment", "other", "anchor", "words", "least"]
     if seen is None:
-        columns = [pa.array(doc), pa.array(text_hash), pa.array(start.astype(np.int32)), pa.array(code), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())]
+        columns = [pa.array(doc), pa.array(text_hash), pa.array(start.astype(np.int32)), pa.array(code), pa.array(other), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())]
     else:
         n, v = len(seen), list(seen.values())
-        columns = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(list(seen), pa.int64()),
+        columns = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array([c for c, _ in seen], pa.int64()), pa.array([c for _, c in seen], pa.int64()),
                    pa.array([x[1] for x in v], pa.int64()), pa.array([x[2] for x in v], pa.binary()), pa.array([x[0] for x in v], pa.int64())]
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def first_of_segments(references: DataFrame, window: int) -> DataFrame:
-    """(segment, firsts): for each window of a segment the least document that has it.
+    """(segment, other, firsts): for each window of a segment the least document that has it.
 
-    references: (segment, shard, words, least), distinct by segment. Rows are dealt and sorted by shard; a task
+    references: (segment, other, shard, words, least), distinct by segment, other and words. Rows are dealt and sorted by shard; a task
     builds the automaton of a few whole shards, streams their segments through it and lets it go.
     """
 
@@ -287,26 +292,26 @@ def first_of_segments(references: DataFrame, window: int) -> DataFrame:
         shards: list[list] = []
         held, current = 0, None
         for batch in batches:
-            for segment, shard, words, least in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for segment, other, shard, words, least in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if held >= SHARD_WORDS and shard != current:
                     yield from statistics(shards)
                     shards, held = [], 0
                 current = shard
-                shards.append((segment, words.split(b" "), least))
-                held += len(shards[-1][1])
+                shards.append((segment, other, words.split(b" "), least))
+                held += len(shards[-1][2])
         if shards:
             yield from statistics(shards)
 
     def statistics(rows):
         automaton = SuffixAutomaton()
-        for _, words, least in rows:
+        for _, _, words, least in rows:
             automaton.add(words, least)
         automaton.close()
-        firsts = [automaton.first_documents(words, window) for _, words, _ in rows]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], names=["segment", "firsts"])
+        firsts = [automaton.first_documents(words, window) for _, _, words, _ in rows]
+        yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)), pa.array(firsts, pa.list_(pa.int64()))], names=["segment", "other", "firsts"])
 
-    rows = references.select("segment", "shard", "words", "least").repartition("shard").sortWithinPartitions("shard")
-    return rows.mapInArrow(run, "segment long, firsts array<long>")
+    rows = references.select("segment", "other", "shard", "words", "least").repartition("shard").sortWithinPartitions("shard")
+    return rows.mapInArrow(run, "segment long, other long, firsts array<long>")
 
 
 def heavy_windows(references: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
@@ -315,25 +320,25 @@ def heavy_windows(references: DataFrame, window: int) -> tuple[DataFrame, DataFr
     def run(batches):
         for batch in batches:
             out = []
-            for segment, words, least in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for segment, other, words, least in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 w = words.split(b" ")
-                out.extend((segment, k, b" ".join(w[k : k + window]), least) for k in range(len(w) - window + 1))
+                out.extend((segment, other, k, b" ".join(w[k : k + window]), least) for k in range(len(w) - window + 1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary()), pa.array([r[3] for r in out], pa.int64())],
-                names=["segment", "at", "words", "least"],
+                [*(pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.binary()), pa.array([r[4] for r in out], pa.int64())],
+                names=["segment", "other", "at", "words", "least"],
             )
 
-    rows = references.select("segment", "words", "least").mapInArrow(run, "segment long, at int, words binary, least long")
-    places = saved(rows.withColumn("code", F.xxhash64("words", F.lit(WINDOW))), "windows")
-    own = places.groupBy("code", "words").agg(F.min("least").alias("least"))
-    return own.select(F.col("code").alias("segment"), F.col("code").alias("shard"), "words", "least"), places.select("segment", "at", "code")
+    rows = references.select("segment", "other", "words", "least").mapInArrow(run, "segment long, other long, at int, words binary, least long")
+    places = saved(rows.withColumn("code", F.xxhash64("words", F.lit(WINDOW))).withColumn("code2", F.xxhash64(F.lit(WINDOW), F.reverse(F.hex("words")))), "windows")
+    own = places.groupBy("code", "code2", "words").agg(F.min("least").alias("least"))
+    return own.select(F.col("code").alias("segment"), F.col("code2").alias("other"), F.col("code").alias("shard"), "words", "least"), places.select("segment", "other", "at", "code", "code2")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, text_hash, starts): the windows of each text that also start in a document with a smaller doc_id."""
     anchors = saved(shared_anchors(docs, window, anchor), "anchors")
     table = saved(segments(docs, anchors, window, anchor), "segments")
-    references = table.filter("words IS NOT NULL").groupBy("segment", "anchor", "words").agg(F.min("least").alias("least"))
+    references = table.filter("words IS NOT NULL").groupBy("segment", "other", "anchor", "words").agg(F.min("least").alias("least"))
     references = saved(references.withColumnRenamed("anchor", "shard"), "references")
     heavy = saved(references.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > HEAVY).select("shard"), "heavy")
     if heavy.isEmpty():
@@ -341,12 +346,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     else:
         light = references.join(heavy, "shard", "left_anti")
         own, places = heavy_windows(references.join(heavy, "shard", "left_semi"), window)
-        firsts = saved(first_of_segments(light.select("segment", "shard", "words", "least").union(saved(own, "own-windows")), window), "firsts")
-        single = firsts.select(F.col("segment").alias("code"), F.col("firsts")[0].alias("first"))
-        again = saved(places.join(single, "code"), "heavy-firsts").groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("at", "first"))).alias("f"))
-        firsts = saved(firsts.union(again.select("segment", F.col("f.first"))), "firsts")
-    places = table.filter("words IS NULL").select("doc_id", "text_hash", "start", "segment")
-    found = places.join(firsts, "segment").select(
+        firsts = saved(first_of_segments(light.select("segment", "other", "shard", "words", "least").union(saved(own, "own-windows")), window), "firsts")
+        single = firsts.select(F.col("segment").alias("code"), F.col("other").alias("code2"), F.col("firsts")[0].alias("first"))
+        again = saved(places.join(single, ["code", "code2"]), "heavy-firsts").groupBy("segment", "other").agg(F.array_sort(F.collect_list(F.struct("at", "first"))).alias("f"))
+        firsts = saved(firsts.union(again.select("segment", "other", F.col("f.first"))), "firsts")
+    places = table.filter("words IS NULL").select("doc_id", "text_hash", "start", "segment", "other")
+    found = places.join(firsts, ["segment", "other"]).select(
         "doc_id", "text_hash", F.expr("filter(transform(firsts, (f, k) -> CASE WHEN f < doc_id THEN start + k END), x -> x IS NOT NULL)").alias("starts")
     )
     found = saved(found.filter(F.size("starts") > 0), "repeats")
