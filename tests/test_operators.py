@@ -246,3 +246,64 @@ def test_one_hot_drops_no_value(spark):
     with pytest.raises(ValueError, match="v has more than 10000 distinct values"):
         L.one_hot(rows, "v", "is_")
     assert L.one_hot(rows.limit(4), "v", "is_", most=4).columns[1:] == ["is_1", "is_2", "is_3"]
+
+
+def test_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(31)
+    rows = [(g, float(x)) for g in ("a", None) for x in rng.choice([0.0, 1.5, *rng.normal(size=60)], 151)] + [("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    at = [0.0, 0.05, 1 / 3, 0.5, 0.9, 1.0]
+    got = {r.g: r.q for r in S.quantiles(df, "x", at, ["g"], "q").collect()}
+    assert set(got) == {"a", None}
+    for g, q in got.items():
+        assert q == pytest.approx(np.quantile([x for k, x in rows if k == g and x is not None], at))
+    assert S.quantiles(df.limit(0), "x", at).count() == 0
+
+
+def test_anchor_lags_are_observed_ones(spark):
+    lags = spark.createDataFrame([(k * k,) for k in range(30_000)], "lag long")
+    out = S.anchor_lags(lags, spark.range(500), draws=3)
+    drawn = [r.lag for r in out.filter("strategy IN ('sample', 'mean20')").collect()]
+    assert len(drawn) == 2000 and all(int(x**0.5 + 0.5) ** 2 == x for x in drawn) and len(set(drawn)) > 1500
+    assert {r.lag for r in out.filter("strategy = 'median'").collect()} == {float(np.median([k * k for k in range(30_000)]))}
+
+
+def test_gram_of_many_columns(spark):
+    rng = np.random.default_rng(32)
+    x = rng.normal(size=(300, 41))
+    df = spark.createDataFrame([(int(i % 3), *map(float, r)) for i, r in enumerate(x)], ["part", *[f"c{k}" for k in range(41)]])
+    for r in L.gram(df, [f"c{k}" for k in range(40)], "c40", ["part"]).collect():
+        own = np.insert(x[np.arange(300) % 3 == r.part], 40, 1.0, axis=1)
+        assert np.allclose(L.unpack(r[1], 42), own.T @ own)
+
+
+def test_sub_cells_find_blobs(spark):
+    rng = np.random.default_rng(33)
+    rows = [(g, k, float(4 * (k % 3) + rng.normal(scale=0.1)), float(4 * (k % 3) + rng.normal(scale=0.1))) for g in (0, 1) for k in range(60)] + [(7, 0, 0.0, 0.0)]
+    got = C.sub_cells(spark.createDataFrame(rows, "label int, id int, a double, b double"), "label", ["a", "b"], "id").collect()
+    cells = {}
+    for r in got:
+        cells.setdefault((r.label, r.cell), set()).add(r.id % 3 if r.label < 7 else 0)
+    assert all(len(v) == 1 for v in cells.values()) and len(cells) == 7
+
+
+def test_threshold_groups_equal_brute_force(spark):
+    rng = np.random.default_rng(34)
+    base = rng.normal(size=(40, 16))
+    v = [*base, *(b + rng.normal(scale=s, size=16) for b in base for s in (0.3, 0.45, 0.6)), *base[:5]]
+    got = {r.i: r.merged for r in C.threshold_groups(spark.createDataFrame([(i, [float(z) for z in x]) for i, x in enumerate(v)], "i long, v array<double>"), "i", "v", least=0.9, bits=6).collect()}
+    u = np.array([x / np.linalg.norm(x) for x in v])
+    root = list(range(len(v)))
+    for _ in range(len(v)):
+        root = [min(root[j] for j in np.flatnonzero(u @ u[i] >= 0.9)) if (u @ u[i] >= 0.9).any() else i for i in range(len(v))]
+    names = {c: k for k, c in enumerate(sorted(set(root)))}
+    assert got == {i: names[c] for i, c in enumerate(root)} and 40 < len(names) < 160
+
+
+def test_recent_mentees_are_steps_in_time(spark):
+    rng = np.random.default_rng(35)
+    day = 86_400_000_000
+    rows = [(i, int(rng.integers(2)), int(rng.integers(6)), int(rng.integers(120)) * day // 2, bool(rng.integers(2))) for i in range(300)]
+    got = {r.id: r.m_mentees_30d for r in T.mentor_history(spark.createDataFrame(rows, "id long, mentor int, mentee int, us long, replied boolean")).collect()}
+    for i, m, _, at, _ in rows:
+        assert got[i] == len({w for _, m2, w, t, _ in rows if m2 == m and t < at and (at - t) // day <= 30})

@@ -55,7 +55,16 @@ def test_scorers(spark):
         raise RuntimeError("service is down")
 
     assert {r.id: r.n for r in plugins.score_with(rows, "text", "id", ["n"], length).fillna(-1.0).collect()} == {1: 3.0, 2: -1.0, 3: -1.0, 4: 4.0}
-    assert {r.error for r in plugins.score_with(rows, "text", "id", ["n"], broken).collect()} == {"service is down"}
+    assert {r.error for r in plugins.score_with(rows, "text", "id", ["n"], broken).collect()} == {"service is down", None}
+
+    def one_fails(texts):
+        if (texts == "boom").any():
+            raise RuntimeError("bad text")
+        return length(texts)
+
+    out = {r.id: (r.n, r.error) for r in plugins.score_with(rows, "text", "id", ["n"], one_fails).fillna(-1.0).collect()}
+    assert out == {1: (3.0, None), 2: (-1.0, None), 3: (-1.0, None), 4: (-1.0, "bad text")}
+    assert plugins.score_with(spark.createDataFrame([(1, "x" * 20_000)], "id long, text string"), "text", "id", ["n"], length).first().n == 20_000
     scores = spark.createDataFrame([(1, 0.5)], "id long, s double")
     assert {r.id: r.s for r in plugins.table_scores(rows, scores, "id", ["s"]).collect()} == {1: 0.5, 2: None, 3: None, 4: None}
     assert plugins.zero_scores(rows, ["v"]).first().v == 0

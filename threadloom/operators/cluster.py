@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadloom.operators.stats import cumulative, meet
 from threadloom.sources.io import cut
 
 
@@ -47,7 +48,8 @@ def merged_labels(labels: DataFrame, edges: DataFrame, label: str = "label") ->
         if new.join(current.withColumnRenamed("c", "old"), "l").filter("c <> old").isEmpty():
             break
         current = new
-    numbered = new.withColumn("merged", F.dense_rank().over(W.orderBy("c")) - 1).select(F.col("l").alias(label), F.col("merged").cast("int"))
+    places = cumulative(new.select("c").distinct().withColumn("n", F.lit(1)), "c", ["n"])
+    numbered = meet(new, places, ["c"]).select(F.col("l").alias(label), F.col("below_n").cast("int").alias("merged"))
     noise = labels.select(label).distinct().filter(F.col(label) == -1).withColumn("merged", F.lit(-1))
     return numbered.union(noise)
 
@@ -74,40 +76,120 @@ def profile(rows: DataFrame, label: str, outcomes: list[str], text: str, key: st
     return means.join(picked, label).withColumn("samples", F.array_join("t", " ||| ")).drop("t")
 
 
-def sub_cells(rows: DataFrame, label: str, columns: list[str], seed: int = 42, least: int = 40, per_cell: int = 20, most: int = 5) -> DataFrame:
-    """k-means cells within each label of at least so many rows; k = min(max(2, n / per_cell), most); others have one cell."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+def sub_cells(rows: DataFrame, label: str, columns: list[str], key: str, seed: int = 42, least: int = 40, per_cell: int = 20, most: int = 5, starts: int = 10, steps: int = 30) -> DataFrame:
+    """k-means cells within each label of at least so many rows; k = min(max(2, n / per_cell), most); others have one cell.
+
+    All labels and all starts take their steps together: a step is one pass in which each task adds up its rows by nearest centre. A
+    start's centres are rows of the least hashes; of the starts the one with the least sum of squares counts. The driver
+    holds the centres: labels x starts x k points.
+    """
+    import numpy as np
 
     from threadloom.operators.linear import standardise
 
-    z = VectorAssembler(inputCols=columns, outputCol="__x").transform(standardise(rows.withColumns({c: F.col(c).cast("double") for c in columns}), columns))
+    z = standardise(rows.withColumns({c: F.col(c).cast("double") for c in columns}), columns).withColumn("__x", F.array(*columns))
     sizes = {r[0]: r[1] for r in z.groupBy(label).count().collect()}  # a row for each label
-    out = z.filter(~F.col(label).isin([k for k, n in sizes.items() if n >= least])).withColumn("cell", F.lit(0))
-    for k, n in sorted(sizes.items()):
-        if n >= least:
-            part = z.filter(F.col(label) == k)
-            model = KMeans(k=min(max(2, n // per_cell), most), seed=seed, featuresCol="__x", predictionCol="cell").fit(part)
-            out = out.unionByName(model.transform(part))
-    return out.drop("__x")
+    many = {k: min(max(2, n // per_cell), most) for k, n in sizes.items() if n >= least}
+    if not many:
+        return z.withColumn("cell", F.lit(0)).drop("__x")
+    p, kind = len(columns), z.schema[label].dataType.simpleString()
+    order = W.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    first: dict = {}
+    for r in z.filter(F.col(label).isin(list(many))).withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= most * starts).select(label, "__r", "__x").collect():
+        first.setdefault(r[0], {})[r["__r"] - 1] = r["__x"]
+    # A start takes the next k rows; they begin again where a label has fewer.
+    centres = {g: np.array([[first[g][(s * k + j) % len(first[g])] for j in range(k)] for s in range(starts)]) for g, k in many.items()}
+
+    def nearest(x, c):
+        return ((x[:, None, None, :] - c[None]) ** 2).sum(-1)  # rows x starts x cells
+
+    def step(centres):
+        def run(batches):
+            import pyarrow as pa
+
+            held, kind = {g: np.zeros((starts, c.shape[1], p + 2)) for g, c in centres.items()}, None
+            for batch in batches:
+                kind = batch.column(0).type
+                labels, x = np.array(batch.column(0).to_pylist()), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+                for g, c in centres.items():
+                    own = x[labels == g]
+                    for a in range(0, len(own), 10_000):
+                        part = own[a : a + 10_000]
+                        d = nearest(part, c)
+                        at = d.argmin(2)
+                        for s in range(starts):
+                            one = (at[:, s, None] == np.arange(c.shape[1])).astype(float)
+                            held[g][s, :, :p] += one.T @ part
+                            held[g][s, :, p] += one.sum(0)
+                            held[g][s, :, p + 1] += one.T @ d[:, s].min(1)
+            if kind is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), kind), pa.array([h.ravel() for h in held.values()], pa.list_(pa.float64()))], names=[label, "g"])
+
+        return run
+
+    part = z.filter(F.col(label).isin(list(many))).select(label, "__x")
+    for _ in range(steps):
+        cells = part.mapInArrow(step(centres), f"`{label}` {kind}, g array<double>").select(label, F.posexplode("g").alias("k", "x")).groupBy(label, "k").agg(F.sum("x").alias("x"))
+        sums = {r[0]: np.array(r[1]).reshape(starts, -1, p + 2) for r in cells.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"])).collect()}
+        new = {g: np.where(h[:, :, p, None] > 0, h[:, :, :p] / np.maximum(h[:, :, p, None], 1), centres[g]) for g, h in sums.items()}
+        still = all(np.allclose(new[g], centres[g], atol=1e-9) for g in new)
+        centres = new
+        if still:
+            break
+    best = {g: centres[g][sums[g][:, :, p + 1].sum(1).argmin()] for g in centres}
+    distance = lambda c: sum(((F.col(k) - float(v)) * (F.col(k) - float(v)) for k, v in zip(columns, c)), F.lit(0.0))
+    cell = F.lit(0)
+    for g, c in best.items():
+        d = F.array(*[distance(x) for x in c])
+        cell = F.when(F.col(label) == g, F.array_position(d, F.array_min(d)).cast("int") - 1).otherwise(cell)
+    return z.withColumn("cell", cell).drop("__x")
+
+
+def hash_tables(least: float, bits: int, miss: float = 1e-4) -> int:
+    """How many tables of so many random signs it takes until rows at the least cosine share no block with a chance of miss at most."""
+    import math
+
+    together = (1 - math.acos(least) / math.pi) ** bits
+    return max(1, math.ceil(math.log(miss) / math.log(1 - together)))
 
 
-def threshold_groups(rows: DataFrame, key: str, vector: str, least: float = 0.9, bits: int = 12, tables: int = 8, seed: int = 5) -> DataFrame:
+def threshold_groups(rows: DataFrame, key: str, vector: str, least: float = 0.9, bits: int = 12, miss: float = 1e-4, seed: int = 5) -> DataFrame:
     """A stand-in for density clustering: components of the graph of rows whose cosine is at least so much.
 
-    Signs of random projections give blocks; neighbours are confirmed by the exact cosine within a block of a table.
+    Equal vectors are one node first, so that copies make no pairs. Signs of random projections give blocks; there are as many tables of
+    blocks as it takes to miss a link at the bound with a chance of miss at most. Neighbours are confirmed by the exact cosine. Where very many
+    different vectors are alike, a block's pairs are many: take more bits.
     """
     import numpy as np
 
-    d = len(rows.select(vector).first()[0])
-    planes = np.random.default_rng(seed).standard_normal((tables * bits, d))
-    sign = lambda w: F.when(dot(F.col(vector), F.array(*[F.lit(float(x)) for x in w])) > 0, "1").otherwise("0")
-    blocks = F.array(*[F.concat(F.lit(f"{t}:"), *[sign(planes[t * bits + b]) for b in range(bits)]) for t in range(tables)])
-    b = rows.select(key, vector, F.explode(blocks).alias("block"))
-    other = b.select(F.col(key).alias("__k"), F.col(vector).alias("__v"), "block")
-    near = b.join(other, "block").filter(F.col(key) < F.col("__k")).filter(dot(F.col(vector), F.col("__v")) / (norm(F.col(vector)) * norm(F.col("__v"))) >= least)
-    edges = near.select(F.col(key).alias("a"), F.col("__k").alias("b")).distinct()
-    return merged_labels(rows.select(F.col(key).alias("label")), edges, "label").withColumnRenamed("label", key)
+    tables = hash_tables(least, bits, miss)
+    v = rows.select(F.col(key).alias("__key"), F.col(vector).cast("array<double>").alias("__v"))
+    nodes = cut(v.groupBy("__v").agg(F.min("__key").alias("__k")))
+
+    def run(batches):
+        import pyarrow as pa
+
+        planes = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+            if planes is None:
+                planes = np.random.default_rng(seed).standard_normal((x.shape[1], tables * bits))
+            signs = (x @ planes > 0).reshape(n, tables, bits)
+            code = (signs << np.arange(bits)).sum(2) + (np.arange(tables) << bits)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), tables)), pa.array(code.ravel())], names=["__k", "block"])
+
+    kind = nodes.schema["__k"].dataType.simpleString()
+    blocks = nodes.select("__k", "__v").mapInArrow(run, f"__k {kind}, block long")
+    pairs = blocks.join(blocks.select(F.col("__k").alias("__o"), "block"), "block").filter(F.col("__k") < F.col("__o")).select("__k", "__o").distinct()
+    unit = nodes.select("__k", F.transform("__v", lambda x: x / norm(F.col("__v"))).alias("u"))
+    near = pairs.join(unit, "__k").join(unit.select(F.col("__k").alias("__o"), F.col("u").alias("w")), "__o").filter(dot(F.col("u"), F.col("w")) >= least)
+    edges = near.select(F.col("__k").alias("a"), F.col("__o").alias("b"))
+    groups = merged_labels(nodes.select(F.col("__k").alias("label")), edges, "label")
+    named = nodes.join(groups, nodes["__k"] == groups["label"]).select("__v", "merged")
+    return v.join(named, "__v").select(F.col("__key").alias(key), "merged")
 
 
 def matched_groups(rows: DataFrame, cell: list[str], columns: list[str], anchor: Column, key: str, n: int = 3) -> DataFrame:

@@ -57,7 +57,7 @@ def quantiles(rows: DataFrame, x: str, at: list[float], group: list[str] = (), o
     # The two neighbours, each times its nearness.
     value = F.when(F.floor(at_p) == F.ceil(at_p), low).when(low == high, low).otherwise((F.ceil(at_p) - at_p) * low + (at_p - F.floor(at_p)) * high)
     each = hits.groupBy(*group, F.col("w.k").alias("k")).agg(value.alias("v"))
-    return each.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias(out))
+    return each.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias(out)).filter(F.size(out) > 0)
 
 
 def qcut_edges(rows: DataFrame, x: str, k: int, group: list[str] = ()) -> DataFrame:

@@ -64,8 +64,8 @@ def j05(spark, sf):
 
 @query("j06_pca")
 def j06(spark, sf):
-    p = L.pca(_vectors(spark, sf), "embedding", 3, "pc")
-    return p.select("vec_id", *[F.round(F.get("pc", F.lit(k)), 6).alias(f"pc{k + 1}") for k in range(3)])
+    p = L.pca(_vectors(spark, sf), "embedding", 20, "pc")
+    return p.select("vec_id", *[F.round(F.get("pc", F.lit(k)), 6).alias(f"pc{k + 1}") for k in range(20)])
 
 
 @query("j07_one_hot", "SELECT doc_id, (lang = 'en')::INT AS lang_en, (lang = 'es')::INT AS lang_es, (lang = 'fr')::INT AS lang_fr FROM documents")
@@ -200,12 +200,21 @@ def e46(spark, sf):
 @query("j28_sub_cells")
 def j28(spark, sf):
     v = _vectors(spark, sf).withColumns({"a": F.get("embedding", F.lit(0)), "b": F.get("embedding", F.lit(1))})
-    return C.sub_cells(v, "label", ["a", "b"]).select("vec_id", "label", "cell")
+    return C.sub_cells(v, "label", ["a", "b"], "vec_id").select("vec_id", "label", "cell")
 
 
-@query("j23_j24_threshold_groups", "WITH RECURSIVE u AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) + 1e-12 AS n FROM embeddings), e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / a.n / b.n >= 0.95), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(l, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.l), m AS (SELECT l, min(root) AS c FROM r GROUP BY l) SELECT l AS vec_id, (dense_rank() OVER (ORDER BY c) - 1)::INT AS merged FROM m")
+_NEAR = """v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings UNION ALL SELECT vec_id + 1000000, list_transform(embedding::DOUBLE[], lambda x, i: CASE WHEN i <= 2 THEN 0.0 ELSE x END) FROM embeddings WHERE label % 2 = 0
+  UNION ALL SELECT vec_id + 2000000, embedding::DOUBLE[] FROM embeddings WHERE label = 1)"""
+
+
+@query("j23_j24_threshold_groups", f"WITH RECURSIVE {_NEAR}, u AS (SELECT id, v, sqrt(list_dot_product(v, v)) + 1e-12 AS n FROM v), e AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id < b.id WHERE list_dot_product(a.v, b.v) / a.n / b.n >= 0.95), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(l, root) AS (SELECT id, id FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.l), m AS (SELECT l, min(root) AS c FROM r GROUP BY l) SELECT l AS vec_id, (dense_rank() OVER (ORDER BY c) - 1)::INT AS merged FROM m")
 def j23(spark, sf):
-    return C.threshold_groups(_vectors(spark, sf), "vec_id", "embedding", least=0.95, bits=8, tables=8)
+    """Vectors, those of even labels again with two values cut, and those of one label copied: links around the bound."""
+    v = _vectors(spark, sf)
+    cut_off = F.transform("embedding", lambda x, i: F.when(i < 2, 0.0).otherwise(x))
+    near = v.filter("label % 2 = 0").select((F.col("vec_id") + 1000000).alias("vec_id"), cut_off.alias("embedding"))
+    copies = v.filter("label = 1").select((F.col("vec_id") + 2000000).alias("vec_id"), "embedding")
+    return C.threshold_groups(v.select("vec_id", "embedding").union(near).union(copies), "vec_id", "embedding", least=0.95, bits=8)
 
 
 @query("m03_moderation")
