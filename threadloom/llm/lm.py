@@ -21,6 +21,8 @@ HELD = 1 << 18
 #: Tokens on each side, values for each of them, hidden units, tokens in a step, rounds of averaging at least.
 REACH, WIDTH, HIDDEN, BATCH, ROUNDS = 2, 8, 16, 4096, 2
 RATE = 0.3
+#: Sums of exponentials of values up to this are far from the limits of single precision.
+SAFE = 50
 SEED = 11
 
 
@@ -52,6 +54,14 @@ class Layout:
         }
         self.parameters = sum(int(np.prod(s)) for s in self.shapes.values())
 
+    def views(self, values: np.ndarray) -> dict[str, np.ndarray]:
+        """The parts of the network in an array of all its parameters."""
+        out, at = {}, 0
+        for name, shape in self.shapes.items():
+            out[name] = values[at : at + math.prod(shape)].reshape(shape)
+            at += math.prod(shape)
+        return out
+
 
 #: The least network.
 _SIZE, PARAMETERS = Layout().size, Layout().parameters
@@ -85,78 +95,108 @@ class Network:
             values = np.concatenate([(rng.standard_normal(s) * (0 if "bias" in n else 0.2)).ravel() for n, s in layout.shapes.items()])
         self.values = values.astype(np.float32)
         self.squares = np.full(layout.parameters, 1e-2, np.float32)
-        self.parts, at = {}, 0
-        for name, shape in layout.shapes.items():
-            n = int(np.prod(shape))
-            self.parts[name] = self.values[at : at + n].reshape(shape)
-            at += n
+        self.grad = np.zeros(layout.parameters, np.float32)
+        self.parts, self.slopes = layout.views(self.values), layout.views(self.grad)
+        # Arrays of a batch are kept from step to step: fresh ones of this size cost more than what is computed in them.
+        self.top = np.empty((BATCH, layout.classes), np.float32)
+        self.low = np.empty((BATCH, layout.group), np.float32)
 
     def forward(self, around: np.ndarray, targets: np.ndarray):
-        """Log-probabilities of targets (sorted by class) given the tokens around them, and what backward() needs."""
-        p = self.parts
-        x = p["embedding"][around].reshape(len(around), -1)
-        h = np.tanh(x @ p["hidden"] + p["hidden_bias"])
-        top = _log_softmax(h @ p["classes"] + p["class_bias"])
-        group, member = targets // self.layout.group, targets % self.layout.group
-        runs = np.searchsorted(group, np.arange(self.layout.classes + 1))
-        low = np.empty((len(targets), self.layout.group), np.float32)
-        for c in np.flatnonzero(np.diff(runs)).tolist():
-            a, b = runs[c], runs[c + 1]
-            low[a:b] = h[a:b] @ p["members"][c] + p["member_bias"][c]
-        low = _log_softmax(low)
-        rows = np.arange(len(targets))
-        return top[rows, group] + low[rows, member], (x, h, top, low, group, member, runs)
+        """Log-probabilities of targets (sorted by class, BATCH at most) given the tokens around them, and what step() needs.
+
+        The probabilities of all classes and of the members of a target's class are in arrays that the next call fills anew.
+        """
+        p, n = self.parts, len(targets)
+        x = p["embedding"][around].reshape(n, -1)
+        h = x @ p["hidden"]
+        h += p["hidden_bias"]
+        np.tanh(h, out=h)
+        top, low = np.matmul(h, p["classes"], out=self.top[:n]), self.low[:n]
+        top += p["class_bias"]
+        group, member = np.divmod(targets, self.layout.group)
+        edges = np.searchsorted(group, np.arange(self.layout.classes + 1))
+        runs = [(c, int(edges[c]), int(edges[c + 1])) for c in np.flatnonzero(np.diff(edges)).tolist()]
+        for c, i, j in runs:
+            np.matmul(h[i:j], p["members"][c], out=low[i:j])
+            low[i:j] += p["member_bias"][c]
+        small = max(_largest(p["classes"], p["class_bias"]), _largest(p["members"], p["member_bias"])) < SAFE
+        value = _chosen(top, group, small)
+        value += _chosen(low, member, small)
+        return value, (x, h, top, low, group, member, runs)
 
     def step(self, around: np.ndarray, targets: np.ndarray) -> float:
         """One step of Adagrad on a batch; the mean log-probability before it."""
-        p, n = self.parts, len(targets)
+        p, g, n = self.parts, self.slopes, len(targets)
         value, (x, h, top, low, group, member, runs) = self.forward(around, targets)
         rows = np.arange(n)
-        d_top, d_low = np.exp(top), np.exp(low)
-        d_top[rows, group] -= 1
-        d_low[rows, member] -= 1
-        d_top /= n
-        d_low /= n
-        grad = {"classes": h.T @ d_top, "class_bias": d_top.sum(0)}
-        members, bias = np.zeros_like(p["members"]), np.zeros_like(p["member_bias"])
-        d_h = d_top @ p["classes"].T
-        for c in np.flatnonzero(np.diff(runs)).tolist():
-            a, b = runs[c], runs[c + 1]
-            members[c] = h[a:b].T @ d_low[a:b]
-            bias[c] = d_low[a:b].sum(0)
-            d_h[a:b] += d_low[a:b] @ p["members"][c].T
+        for d, at in ((top, group), (low, member)):
+            d[rows, at] -= 1
+            d *= np.float32(1 / n)
+        np.matmul(h.T, top, out=g["classes"])
+        g["class_bias"][:] = _column_sums(top)
+        d_h = top @ p["classes"].T
+        g["members"][:] = 0
+        g["member_bias"][:] = 0
+        for c, i, j in runs:
+            np.matmul(h[i:j].T, low[i:j], out=g["members"][c])
+            g["member_bias"][c] = _column_sums(low[i:j])
+            d_h[i:j] += low[i:j] @ p["members"][c].T
         d_h *= 1 - h * h
-        d_x = (d_h @ p["hidden"].T).reshape(-1, WIDTH)
-        flat = around.ravel()
-        embedding = np.stack([np.bincount(flat, d_x[:, k], self.layout.size + 1) for k in range(WIDTH)], 1)
-        grad |= {"members": members, "member_bias": bias, "hidden": x.T @ d_h, "hidden_bias": d_h.sum(0), "embedding": embedding}
-        g = np.concatenate([grad[name].ravel() for name in self.layout.shapes]).astype(np.float32)
-        self.squares += g * g
-        self.values -= RATE * g / np.sqrt(self.squares)
+        np.matmul(x.T, d_h, out=g["hidden"])
+        g["hidden_bias"][:] = d_h.sum(0)
+        d_x = d_h @ p["hidden"].T
+        cells = (around.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+        g["embedding"][:] = np.bincount(cells, d_x.ravel(), p["embedding"].size).reshape(-1, WIDTH)
+        self.squares += self.grad * self.grad
+        self.grad *= np.float32(RATE)
+        self.grad /= np.sqrt(self.squares)
+        self.values -= self.grad
         return float(value.mean())
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
-    return x
+def _largest(weights: np.ndarray, bias: np.ndarray) -> float:
+    """No output is larger, as hidden units are between -1 and 1."""
+    return float((np.abs(weights).sum(-2) + np.abs(bias)).max())
+
+
+def _chosen(x: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
+    """Log-probability of the chosen column of each row; x, of unscaled logarithms, becomes its softmax.
+
+    Small ones need not be set off by the row's largest before they are raised.
+    """
+    if not small:
+        x -= x.max(1, keepdims=True)
+    value = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], np.float32)
+    x *= (1 / total)[:, None]
+    return value - np.log(total)
+
+
+def _column_sums(x: np.ndarray) -> np.ndarray:
+    return np.ones(len(x), np.float32) @ x
 
 
 def windows(tokens: np.ndarray, first: np.ndarray, outside: int = _SIZE) -> np.ndarray:
     """For each token the REACH tokens before and after it in its own text; outside stands for places beyond it."""
     n = len(tokens)
-    text = np.searchsorted(first, np.arange(n), side="right") - 1
-    start, end = first[text], first[text + 1]
-    out = np.full((n, 2 * REACH), outside, np.int64)
-    at = np.arange(n)
+    beyond = np.full(REACH, outside)
+    line = np.concatenate([beyond, tokens, beyond])
+    out = np.empty((n, 2 * REACH), np.int64)
+    start, end = first[:-1], first[1:]
     for k, o in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
-        fine = (at + o >= start) & (at + o < end)
-        out[fine, k] = tokens[at[fine] + o]
+        out[:, k] = line[REACH + o : REACH + o + n]
+        for j in range(abs(o)):  # the places of each text from which this one lies beyond its start or end
+            at = start + j if o < 0 else end - 1 - j
+            out[at[(at >= start) & (at < end)], k] = outside
     return out
 
 
-def _by_class(tokens: np.ndarray, a: int, b: int, group: int) -> np.ndarray:
-    return a + np.argsort(tokens[a:b] // group, kind="stable")
+def _batches(tokens: np.ndarray, group: int) -> Iterator[np.ndarray]:
+    """The places of tokens, BATCH at a time, each batch in order of the tokens' classes."""
+    classes = (tokens // group).astype(np.uint16)  # numpy sorts these by radix
+    for a in range(0, len(tokens), BATCH):
+        yield a + np.argsort(classes[a : a + BATCH], kind="stable")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -234,8 +274,7 @@ def trained(docs: DataFrame, counts: DataFrame, held: int = HELD) -> Model:
                 for _, _, w in pieces(batch.column(0), False):
                     tokens = vocabulary.tokens(w.hashes)
                     around = windows(tokens, w.first, layout.size)
-                    for a in range(0, len(tokens), BATCH):
-                        at = _by_class(tokens, a, min(a + BATCH, len(tokens)), layout.group)
+                    for at in _batches(tokens, layout.group):
                         net.step(around[at], tokens[at])
                     seen += len(tokens)
             if seen:
@@ -277,8 +316,7 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", held: int = HELD
                 tokens = vocabulary.tokens(w.hashes)
                 around = windows(tokens, w.first, layout.size)
                 value, other = m.within(w.hashes, tokens)
-                for k in range(0, len(tokens), BATCH):
-                    at = _by_class(tokens, k, min(k + BATCH, len(tokens)), layout.group)
+                for at in _batches(tokens, layout.group):
                     value[at] += net.forward(around[at], tokens[at])[0]
                 total = np.concatenate([[0.0], np.cumsum(value)])
                 sums.append(total[w.first[1:]] - total[w.first[:-1]])
