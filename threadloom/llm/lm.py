@@ -21,6 +21,8 @@ HELD = 1 << 18
 #: Tokens on each side, values for each of them, hidden units, tokens in a step, rounds of averaging at least.
 REACH, WIDTH, HIDDEN, BATCH, ROUNDS = 2, 8, 16, 4096, 2
 RATE = 0.3
+#: Parameters travel in runs of so many.
+BLOCK = 64
 #: Sums of exponentials of values up to this are far from the limits of single precision.
 SAFE = 50
 SEED = 11
@@ -255,6 +257,28 @@ class Model:
         return out, rare[~known]
 
 
+_BLOCKS = "k long, value binary, weight long"
+
+
+def _blocks(found: dict[int, tuple[np.ndarray, int]]) -> pa.RecordBatch:
+    """Runs of parameters (of number k on) as single-precision bytes, and the tokens they stand for."""
+    values = [v.astype(np.float32).tobytes() for v, _ in found.values()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(found, pa.int64()), pa.array(values, pa.binary()), pa.array([n for _, n in found.values()], pa.int64())], names=["k", "value", "weight"]
+    )
+
+
+def _mean_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One mean for each run of parameters; holds a sum for each, however many tasks sent it."""
+    held = {}
+    for batch in batches:
+        for k, value, n in zip(*(c.to_pylist() for c in batch.columns)):
+            total, weight = held.get(k, (0.0, 0))
+            held[k] = total + np.frombuffer(value, np.float32).astype(float) * n, weight + n
+    if held:
+        yield _blocks({k: (total / weight, weight) for k, (total, weight) in held.items()})
+
+
 def trained(docs: DataFrame, counts: DataFrame, held: int = HELD) -> Model:
     """The model of all documents. In each round a share of them trains, task by task from the same start.
 
@@ -278,14 +302,12 @@ def trained(docs: DataFrame, counts: DataFrame, held: int = HELD) -> Model:
                         net.step(around[at], tokens[at])
                     seen += len(tokens)
             if seen:
-                n = layout.parameters
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(n)), pa.array(net.values.astype(float) * seen), pa.array(np.full(n, seen))], names=["k", "value", "weight"]
-                )
+                yield _blocks({k: (net.values[k : k + BLOCK], seen) for k in range(0, layout.parameters, BLOCK)})
 
         part = docs.filter(F.pmod(F.xxhash64("text"), F.lit(turns)) == turn).select("text")
-        sums = part.mapInArrow(run, "k long, value double, weight long").groupBy("k").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow()
-        model.values[sums.column("k").to_numpy()] = sums.column("value").to_numpy()
+        means = part.mapInArrow(run, _BLOCKS).repartition("k").mapInArrow(_mean_blocks, _BLOCKS).toArrow()
+        for k, value in zip(means.column("k").to_pylist(), means.column("value").to_pylist()):
+            model.values[k : k + BLOCK] = np.frombuffer(value, np.float32)
     return model
 
 
