@@ -434,6 +434,45 @@ def test_gradients():
             assert np.sign(slope) == np.sign(net.values[k] - before[k])  # parameters move uphill
 
 
+@pytest.mark.parametrize("scale", [0.1, 40.0])  # larger parameters need the row's largest output taken off
+def test_network_equals_a_loop_over_masked_places(scale):
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    layout = lm.Layout(1024)
+    net = lm.Network(rng.normal(size=layout.parameters) * scale, layout)
+    p = {k: v.astype(float) for k, v in net.parts.items()}
+    first = np.array([0, 0, 1, 3, 10, 10, 40])
+    tokens = rng.integers(0, layout.size, first[-1])
+
+    def log_share(z, k):
+        z = z - z.max()
+        return z[k] - math.log(np.exp(z).sum())
+
+    expected = []
+    for a, b in zip(first[:-1], first[1:]):
+        text = tokens[a:b].tolist()
+        for k, token in enumerate(text):
+            near = [text[j] if 0 <= j < len(text) else layout.size for j in range(k - lm.REACH, k + lm.REACH + 1) if j != k]
+            h = np.tanh(np.concatenate([p["embedding"][j] for j in near]) @ p["hidden"] + p["hidden_bias"])
+            c, m = divmod(token, layout.group)
+            expected.append(log_share(h @ p["classes"] + p["class_bias"], c) + log_share(h @ p["members"][c] + p["member_bias"][c], m))
+    around, got = lm.windows(tokens, first, layout.size), np.zeros(len(tokens))
+    for at in lm._batches(tokens, layout.group):
+        got[at] = net.forward(around[at], tokens[at])[0]
+    assert np.allclose(got, expected, rtol=1e-3, atol=1e-3)
+
+
+def test_mean_of_parameter_blocks_is_weighted():
+    import numpy as np
+
+    sent = [lm._blocks({0: (np.full(64, v), n), 64: (np.arange(5.0) * v, n)}) for v, n in ((1, 1), (5, 3))]
+    (out,) = lm._mean_blocks(iter(sent))
+    got = {k: np.frombuffer(v, np.float32).tolist() for k, v in zip(out.column("k").to_pylist(), out.column("value").to_pylist())}
+    assert got == {0: [4.0] * 64, 64: [0.0, 4.0, 8.0, 12.0, 16.0]}
+    assert list(lm._mean_blocks(iter([]))) == []
+
+
 def test_ordered_text_scores_higher(spark):
     rng = random.Random(9)
     phrase = "the cat sat on the mat and the dog lay by the door".split()
