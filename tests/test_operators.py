@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.scalar import DAY, parse_ts
 from threadloom.operators import cluster as C
 from threadloom.operators import corpus as K
+from threadloom.operators import designs as D
 from threadloom.operators import linear as L
 from threadloom.operators import sequence as Q
 from threadloom.operators import stats as S
@@ -307,3 +308,52 @@ def test_recent_mentees_are_steps_in_time(spark):
     got = {r.id: r.m_mentees_30d for r in T.mentor_history(spark.createDataFrame(rows, "id long, mentor int, mentee int, us long, replied boolean")).collect()}
     for i, m, _, at, _ in rows:
         assert got[i] == len({w for _, m2, w, t, _ in rows if m2 == m and t < at and (at - t) // day <= 30})
+
+
+def test_moderation_equals_least_squares_with_stratum_dummies(spark):
+    rng = np.random.default_rng(36)
+    n = 1200
+    s, c, d = rng.integers(4, size=n), rng.integers(150, size=n), rng.integers(2, size=n)
+    m, k = rng.normal(size=n), (rng.uniform(size=n) < 0.4).astype(float)
+    y = 0.4 * d + 0.7 * d * m - 0.2 * m + s + rng.normal(size=n)
+    rows = [(int(a), int(b), int(e), float(f), float(g), float(h)) for a, b, e, f, g, h in zip(s, c, d, m, k, y)] + [(None, 1, 1, 0.0, 0.0, 9.0), (1, 1, 1, None, 0.0, 9.0)]
+    df = spark.createDataFrame(rows, "stratum int, cluster int, d int, m double, k double, y double").withColumn("z", F.col("y") * 2)
+    got = {(r.moderator, r.outcome): r for r in D.moderation(df, ["m", "k"], ["y", "z"], replicates=200).collect()}
+    dummies = (s[:, None] == np.arange(4)).astype(float)
+    for name, x in (("m", m), ("k", k)):
+        beta = np.linalg.lstsq(np.column_stack([d, x, d * x, dummies]), y, rcond=None)[0]
+        r = got[name, "y"]
+        assert (r.beta_d, r.beta_dxm) == pytest.approx((beta[0], beta[2])) and got[name, "z"].beta_dxm == pytest.approx(2 * beta[2])
+        assert r.ci_low < beta[2] < r.ci_high and abs(r.boot_mean - beta[2]) < r.boot_se
+    assert got["m", "y"].significant and 0.04 < got["m", "y"].boot_se < 0.08  # 1 / sqrt(n var(d)) is 0.058
+    constant = D.moderation(df.withColumn("m", F.lit(1.0)), ["m"], ["y"]).first()
+    assert constant.beta_d is None and constant.boot_se is None
+    w = D.multiplicities(np.arange(5000), 40)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.03 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.05
+
+
+def test_ablation_equals_one_set_at_a_time(spark):
+    units = _units(spark, 1500).withColumns({"noise": F.sin(F.col("id") * 12.9), "u": F.col("x") + F.col("noise")}).cache()
+    unions = {"x": ["x"], "noise": ["noise"], "both": ["u", "noise"]}
+    got = {r.model: r for r in D.ablation(units, unions, "y", replicates=100).collect()}
+    for name, columns in unions.items():
+        rows = S.qcut(L.propensity(units, columns), "ps", 5, "stratum").cache()
+        balance = S.balance(rows.drop(*columns).join(units.select("id", *columns), "id"), columns).collect()
+        r = got[name]
+        assert r.p == len(columns) and r.smd_above == sum(b.strat > 0.1 for b in balance)
+        assert r.auc == pytest.approx(S.auc(rows).first().auc) and r.att == pytest.approx(S.strat_att(S.stratum_sums(rows, ["y"]), ["outcome"]).first().att)
+        assert r.ci_low < r.att < r.ci_high and r.sig == "*"
+    assert got["noise"].att > got["x"].att + 0.3
+
+
+def test_mixed_models_of_many_outcomes_equal_single_ones(spark):
+    rng = np.random.default_rng(37)
+    g = np.repeat(np.arange(40), 12)
+    x = rng.normal(size=480)
+    df = spark.createDataFrame([(int(a), float(b), float(0.3 * b + rng.normal() + a % 5), float(rng.normal())) for a, b in zip(g, x)], "g int, x double, y double, z double")
+    both = {r.outcome: r for r in L.mixed_models(df, ["x"], ["y", "z"], "g").collect()}
+    for y in ("y", "z"):
+        one = L.mixed_model(df, ["x"], y, "g").first()
+        assert (both[y].beta, both[y].se, both[y].icc) == pytest.approx((one.beta, one.se, one.icc))
+    assert both["y"].icc > 0.4 and both["z"].icc < 0.1
+    assert L.mixed_models(df.filter("false"), ["x"], ["y"], "g").count() == 0

@@ -36,7 +36,7 @@ def gram_of(rows: DataFrame, vector: Column, p: int, group: list[str] = ()) -> D
     """Sums of all products of an array column's p cells, row-major upper triangle in an array g, per group.
 
     A task multiplies blocks of its rows as matrices and sends p x p numbers for each group, so that rows are read once and never
-    multiplied, however many columns there are. Rows with a null among the cells are left out.
+    multiplied, however many columns there are. Rows with a null among the cells are left out; no rows give no row.
     """
     group = list(group)
     picked = rows.select(*group, vector.alias("__v"))
@@ -74,7 +74,7 @@ def gram_of(rows: DataFrame, vector: Column, p: int, group: list[str] = ()) -> D
         if held:
             yield out()
 
-    return _added(picked, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "g array<double>"]), run, group)
+    return _added(picked, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "g array<double>"]), run, group).filter(F.size("g") > 0)
 
 
 def gram(rows: DataFrame, columns: Sequence[str], y: str, group: list[str] = ()) -> DataFrame:
@@ -188,44 +188,60 @@ def strat_dr(rows: DataFrame, covariates: Sequence[str], outcomes: Sequence[str]
     return rows.sparkSession.createDataFrame(out, "outcome string, dr double")
 
 
-def logistic_betas(rows: DataFrame, columns: Sequence[str], y: str, folds: int, fold: Column, c: float = 1.0, steps: int = 25, tolerance: float = 1e-8) -> list[np.ndarray]:
-    """L2 logistic regressions by Newton steps (intercept last, not penalised), each over the rows that are not in its fold.
+def logistic_subsets(
+    rows: DataFrame, columns: Sequence[str], y: str, subsets: Sequence[Sequence[int]], folds: int, fold: Column, c: float = 1.0, steps: int = 25, tolerance: float = 1e-8
+) -> list[list[np.ndarray]]:
+    """L2 logistic regressions by Newton steps (intercept last, not penalised): for each subset of the columns one over the rows outside of each fold.
 
-    A step is one pass for all folds: a task adds up gradients and second derivatives of its rows as matrices.
+    A step is one pass for all that have not settled: a task adds up gradients and second derivatives of its rows as matrices.
     """
     p = len(columns) + 1
     base = rows.select(_vector([*columns, F.lit(1.0), y]).alias("v"), fold.cast("int").alias("fold"))
-    betas = np.zeros((folds, p))
-    upper, width = np.triu_indices(p), p + p * (p + 1) // 2
+    models = [(np.array([*s, p - 1]), k) for s in subsets for k in range(folds)]
+    betas = [np.zeros(len(at)) for at, _ in models]
+    widths = [len(at) + len(at) * (len(at) + 1) // 2 for at, _ in models]
 
-    def run_with(betas):
+    def run_with(open_now, betas):
         def run(batches):
             import pyarrow as pa
 
-            total = np.zeros((folds, width))
+            total = {i: np.zeros(widths[i]) for i in open_now}
             for batch in batches:
                 v = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, p + 1)
                 own = batch.column(1).to_numpy(zero_copy_only=False)
                 fine = ~np.isnan(v).any(1)
-                for k in range(folds):
-                    part = v[fine & (own != k)]
-                    x = part[:, :p]
-                    m = 1 / (1 + np.exp(-np.clip(x @ betas[k], -700, 700)))
-                    total[k, :p] += x.T @ (part[:, p] - m)
-                    total[k, p:] += (x.T @ (x * (m * (1 - m))[:, None]))[upper]
-            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["g"])
+                parts = {k: v[fine & (own != k)] for k in {models[i][1] for i in open_now}}
+                for i in open_now:
+                    at, k = models[i]
+                    x, q = parts[k][:, at], len(at)
+                    m = 1 / (1 + np.exp(-np.clip(x @ betas[i], -700, 700)))
+                    total[i][:q] += x.T @ (parts[k][:, p] - m)
+                    total[i][q:] += (x.T @ (x * (m * (1 - m))[:, None]))[np.triu_indices(q)]
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(list(total.values()))], pa.list_(pa.float64()))], names=["g"])
 
         return run
 
-    penalty = np.diag([1.0 / c] * (p - 1) + [0.0])
+    open_now = list(range(len(models)))
     for _ in range(steps):
-        row = _added(base, "g array<double>", run_with(betas), []).first()
-        sums = np.array(row.g if row and row.g else [0.0] * folds * width).reshape(folds, width)
-        moves = np.array([np.linalg.solve(unpack(sums[k, p:], p) + penalty + 1e-12 * np.eye(p), sums[k, :p] - penalty @ betas[k]) for k in range(folds)])
-        betas = betas + moves
-        if np.abs(moves).max() < tolerance:
+        row = _added(base, "g array<double>", run_with(open_now, betas), []).first()
+        sums = np.split(np.array(row.g if row and row.g else [0.0] * sum(widths[i] for i in open_now)), np.cumsum([widths[i] for i in open_now])[:-1])
+        still = []
+        for i, g in zip(open_now, sums):
+            q = len(betas[i])
+            penalty = np.diag([1.0 / c] * (q - 1) + [0.0])
+            move = np.linalg.solve(unpack(g[q:], q) + penalty + 1e-12 * np.eye(q), g[:q] - penalty @ betas[i])
+            betas[i] = betas[i] + move
+            if np.abs(move).max() >= tolerance:
+                still.append(i)
+        open_now = still
+        if not open_now:
             break
-    return list(betas)
+    return [betas[i : i + folds] for i in range(0, len(models), folds)]
+
+
+def logistic_betas(rows: DataFrame, columns: Sequence[str], y: str, folds: int, fold: Column, c: float = 1.0, steps: int = 25, tolerance: float = 1e-8) -> list[np.ndarray]:
+    """L2 logistic regressions on all columns, each over the rows that are not in its fold."""
+    return logistic_subsets(rows, columns, y, [range(len(columns))], folds, fold, c, steps, tolerance)[0]
 
 
 def logistic_beta(rows: DataFrame, columns: Sequence[str], y: str, c: float = 1.0, steps: int = 25, tolerance: float = 1e-8) -> np.ndarray:
@@ -287,53 +303,70 @@ def independent_columns(rows: DataFrame, columns: Sequence[str], least_std: floa
     return [columns[k] for k in kept]
 
 
-def mixed_model(rows: DataFrame, columns: Sequence[str], y: str, group: str) -> DataFrame:
-    """Linear model with a random intercept per group by REML: beta, se, z, p, and the share of variance between groups (icc).
+def mixed_models(rows: DataFrame, columns: Sequence[str], ys: Sequence[str], group: str) -> DataFrame:
+    """For each outcome a linear model with a random intercept per group by REML: beta, se, z, p, and the share of variance between groups (icc).
 
     For a variance ratio r, a group of n rows adds X'X - c (sum x)(sum x)' with c = r / (1 + n r): only Gram matrices and
-    groups' sums are needed. These are added up for a grid of ratios at once, as matrices in each task; the profile is refined around its best point.
+    groups' sums are needed. These are added up for the ratios of all outcomes at once, as matrices in each task; the profile is refined
+    around each outcome's best point. Rows with a null among the columns or outcomes are left out.
     """
-    spark, p = rows.sparkSession, len(columns) + 1
-    whole = unpack(gram(rows, columns, y).first().g, p + 1)
-    names = [f"__s{k}" for k in range(p + 1)]
-    sums = cut(rows.groupBy(group).agg(*[F.sum(c.cast("double")).alias(n) for c, n in zip([*(F.col(k) for k in columns), F.lit(1.0), F.col(y)], names)]).select(_vector(names).alias("v")))
-    upper, total = np.triu_indices(p + 1), whole[p - 1, p - 1]
+    spark, p, q = rows.sparkSession, len(columns) + 1, len(columns) + 1 + len(ys)
+    vector = _vector([*columns, F.lit(1.0), *ys])
+    rows = rows.dropna(subset=[*columns, *ys])
+    names = [f"__s{k}" for k in range(q)]
+    shape = "outcome string, variable string, beta double, se double, z double, p double, icc double"
+    got = gram_of(rows, vector, q).first()
+    if got is None:
+        return spark.createDataFrame([], shape)
+    whole = unpack(got.g, q)
+    sums = cut(rows.groupBy(group).agg(*[F.sum(F.get(vector, F.lit(k))).alias(n) for k, n in enumerate(names)]).select(_vector(names).alias("v")))
+    upper, total = np.triu_indices(q), whole[p - 1, p - 1]
     n_cells = len(upper[0])
 
-    def profile(ratios: list[float]):
+    def profile(ratios: dict[int, list[float]]) -> list:
+        """For each outcome the best of its ratios: likelihood, ratio, beta, variance, inverse."""
+        distinct = sorted({r for rs in ratios.values() for r in rs})
+
         def run(batches):
             import pyarrow as pa
 
-            out = np.zeros((len(ratios), n_cells + 1))
+            out = np.zeros((len(distinct), n_cells + 1))
             for batch in batches:
-                s = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, p + 1)
-                for i, r in enumerate(ratios):
+                s = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, q)
+                for i, r in enumerate(distinct):
                     out[i, :n_cells] += (s.T @ (s * (r / (1 + s[:, p - 1] * r))[:, None]))[upper]
                     out[i, n_cells] += np.log1p(s[:, p - 1] * r).sum()
             yield pa.RecordBatch.from_arrays([pa.array([out.ravel()], pa.list_(pa.float64()))], names=["g"])
 
-        got, out = np.array(_added(sums, "g array<double>", run, []).first().g).reshape(len(ratios), n_cells + 1), []
-        for i, r in enumerate(ratios):
-            g = whole - unpack(got[i, :n_cells], p + 1)
-            a, b = g[:p, :p], g[:p, p]
-            beta = np.linalg.solve(a, b)
-            s2 = (g[p, p] - beta @ b) / (total - p)
-            value = -0.5 * ((total - p) * math.log(s2) + got[i, n_cells] + np.linalg.slogdet(a)[1])
-            out.append((value, r, beta, s2, np.linalg.inv(a)))
-        return max(out, key=lambda x: x[0])
-
-    ratios = [0.0, *(10.0**k for k in range(-6, 3))]
-    best = profile(ratios)
+        cells, best = np.array(_added(sums, "g array<double>", run, []).first().g).reshape(len(distinct), n_cells + 1), []
+        for j in range(len(ys)):
+            found = []
+            for r in ratios[j]:
+                own = cells[distinct.index(r)]
+                g, y = whole - unpack(own[:n_cells], q), p + j
+                beta = np.linalg.solve(g[:p, :p], g[:p, y])
+                s2 = max((g[y, y] - beta @ g[:p, y]) / (total - p), 1e-300)
+                value = -0.5 * ((total - p) * math.log(s2) + own[n_cells] + np.linalg.slogdet(g[:p, :p])[1])
+                found.append((value, r, beta, s2, np.linalg.inv(g[:p, :p])))
+            best.append(max(found, key=lambda x: x[0]))
+        return best
+
+    best = profile({j: [0.0, *(10.0**k for k in range(-6, 3))] for j in range(len(ys))})
     for _ in range(4):
-        r = best[1]
-        best = max(best, profile([r * f for f in (0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0)] if r else [0.0, 1e-7]), key=lambda x: x[0])
-    _, r, beta, s2, inverse = best
+        finer = profile({j: [b[1] * f for f in (0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0)] if b[1] else [0.0, 1e-7] for j, b in enumerate(best)})
+        best = [max(a, b, key=lambda x: x[0]) for a, b in zip(best, finer)]
     out = []
-    for k, c in enumerate(columns):
-        se = math.sqrt(max(inverse[k, k] * s2, 0))
-        z = beta[k] / se if se else float("nan")
-        out.append((c, float(beta[k]), se, float(z), math.erfc(abs(z) / math.sqrt(2)), float(r / (1 + r))))
-    return spark.createDataFrame(out, "variable string, beta double, se double, z double, p double, icc double")
+    for y, (_, r, beta, s2, inverse) in zip(ys, best):
+        for k, c in enumerate(columns):
+            se = math.sqrt(max(inverse[k, k] * s2, 0))
+            z = beta[k] / se if se else float("nan")
+            out.append((y, c, float(beta[k]), se, float(z), math.erfc(abs(z) / math.sqrt(2)), float(r / (1 + r))))
+    return spark.createDataFrame(out, shape)
+
+
+def mixed_model(rows: DataFrame, columns: Sequence[str], y: str, group: str) -> DataFrame:
+    """mixed_models() of one outcome."""
+    return mixed_models(rows, columns, [y], group).drop("outcome")
 
 
 def direction(rows: DataFrame, vector: str, y: str, controls: Sequence[str], alpha: float = 1.0) -> tuple[np.ndarray, DataFrame]:

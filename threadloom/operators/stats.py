@@ -217,17 +217,17 @@ def anchor_lags(lags: DataFrame, units: DataFrame, draws: int = 20) -> DataFrame
     return sampled.union(units.select("id", F.explode(fixed).alias("k")).select("id", "k.strategy", "k.draw", "k.lag"))
 
 
-def cluster_bootstrap(rows: DataFrame, outcomes: list[str], cluster: str = "cluster", stratum: str = "stratum", replicates: int = 500, seed: int = 42, least_finite: int = 50) -> DataFrame:
-    """95 % intervals of strat_att() under resampling of clusters with replacement; strata stay as they are.
+def cluster_bootstrap(rows: DataFrame, outcomes: list[str], cluster: str = "cluster", stratum: str = "stratum", replicates: int = 500, seed: int = 42, least_finite: int = 50, keys: list[str] = ()) -> DataFrame:
+    """95 % intervals of strat_att(), by keys if given, under resampling of clusters with replacement; strata stay as they are.
 
     Rows are summed by cluster, stratum and arm first. A cluster's multiplicity in a replicate is a Poisson(1) draw from a hash of (seed,
     replicate, cluster), the large-sample form of drawing as many clusters as there are: every cluster draws for itself, so
     nothing is gathered and the replicates are an explode over the sums. Deterministic by seed.
     """
     parts = F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).cast("double").alias("y")) for o in outcomes])
-    long = rows.select(F.col(cluster).alias("c"), F.col(stratum).alias("s"), "d", F.explode(parts).alias("o")).filter(F.col("o.y").isNotNull() & F.col("s").isNotNull())
+    long = rows.select(*keys, F.col(cluster).alias("c"), F.col(stratum).alias("s"), "d", F.explode(parts).alias("o")).filter(F.col("o.y").isNotNull() & F.col("s").isNotNull())
     arm = lambda d: F.col("d") == d
-    sums = long.groupBy("c", "s", F.col("o.outcome").alias("outcome")).agg(
+    sums = long.groupBy(*keys, "c", "s", F.col("o.outcome").alias("outcome")).agg(
         F.count_if(arm(1)).alias("n_t"), F.count_if(arm(0)).alias("n_c"), F.coalesce(F.sum(F.when(arm(1), F.col("o.y"))), F.lit(0.0)).alias("y_t"), F.coalesce(F.sum(F.when(arm(0), F.col("o.y"))), F.lit(0.0)).alias("y_c"),
     )
     u = F.pmod(F.xxhash64(F.lit(seed), "r", "c"), F.lit(1 << 40)) / (1 << 40)
@@ -237,9 +237,9 @@ def cluster_bootstrap(rows: DataFrame, outcomes: list[str], cluster: str = "clus
         times = times + (u >= total).cast("int")
         p /= k + 1
     drawn = sums.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("m", times).filter("m > 0")
-    by = drawn.groupBy("outcome", "r", "s").agg(*[F.sum(F.col(c) * F.col("m")).alias(c) for c in ("n_t", "n_c", "y_t", "y_c")])
-    atts = strat_att(by, ["outcome", "r"]).filter("att IS NOT NULL")
-    return atts.groupBy("outcome").agg(
+    by = drawn.groupBy(*keys, "outcome", "r", "s").agg(*[F.sum(F.col(c) * F.col("m")).alias(c) for c in ("n_t", "n_c", "y_t", "y_c")])
+    atts = strat_att(by, [*keys, "outcome", "r"]).filter("att IS NOT NULL")
+    return atts.groupBy(*keys, "outcome").agg(
         F.when(F.count("*") > least_finite, F.percentile("att", F.lit(0.025))).alias("ci_low"), F.when(F.count("*") > least_finite, F.percentile("att", F.lit(0.975))).alias("ci_high"), F.count("*").alias("replicates"),
     )
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threadloom.functions.scalar import stars
 from threadloom.operators import cluster as C
+from threadloom.operators import designs as D
 from threadloom.operators import linear as L
 from threadloom.operators import stats as S
 from threadloom.plans import bindings as B
+from threadloom.plans import effects as E
 from threadloom.plans.registry import query
 
 t = B.table
@@ -51,15 +54,34 @@ def j04(spark, sf):
     return L.rank_by_size(table, "coef", 20, "variable").withColumn("abs_coef", F.abs("coef"))
 
 
+def _blocks():
+    """Blocks of columns of the sample, by name, and the expressions of those that it does not have."""
+    q, x, c, w = (F.col(f"l_{k}") for k in ("quantity", "extendedprice", "discount", "tax"))
+    made = {
+        "emb": {"e0": F.sin(q), "e1": F.cos(q), "e2": F.sin(x / 1000)},
+        "emb_full": {"e0": F.sin(q), "e1": F.cos(q), "e2": F.sin(x / 1000), "e3": F.cos(x / 1000), "e4": F.sin(100 * c)},
+        "temporal": {f"t{k}": (F.col("id") % 4 == k).cast("int") for k in range(1, 4)},
+        "qtype": {"cheap": (c < 0.05).cast("int"), "low_tax": (w < 0.04).cast("int")},
+        "mentor": {"m0": F.col("cluster") % 7},
+    }
+    blocks = {"history": ["l_quantity", "l_extendedprice"], "qtext": ["l_discount"], "qpersp": ["l_tax"], **{k: list(v) for k, v in made.items()}}
+    return blocks, {c: e for v in made.values() for c, e in v.items()}
+
+
+def _unions(blocks):
+    """The sixteen named sets: all, all but one, all with the whole embedding, single blocks and pairs, all with the mentor's columns."""
+    full = ["history", "qtext", "qpersp", "qtype", "emb", "temporal"]
+    sets = {"full": full, **{f"full - {b}": [x for x in full if x != b] for b in ("qtype", "temporal", "emb", "qtext", "qpersp")}}
+    sets |= {"full + whole emb": ["emb_full" if x == "emb" else x for x in full], "history": ["history"], **{f"history + {b}": ["history", b] for b in ("emb", "qtext", "qpersp", "qtype")}}
+    sets |= {"question": ["qtext", "qpersp", "qtype"], "emb": ["emb"], "qtype": ["qtype"], "full + mentor": [*full, "mentor"]}
+    return {name: [c for b in bs for c in blocks[b]] for name, bs in sets.items()}
+
+
 @query("j05_ablation")
 def j05(spark, sf):
-    s, out = B.sample(spark, sf).drop("ps"), None
-    for name, columns in {"quantity": X3[:1], "price": ["l_extendedprice"], "all": [*X3, "l_extendedprice"]}.items():
-        scored = L.propensity(s, columns, folds=2)
-        att = S.strat_att(S.stratum_sums(S.qcut(scored, "ps", 5, "stratum"), ["y"]), ["outcome"]).select("att")
-        row = S.auc(scored).crossJoin(att).select(F.lit(name).alias("model"), F.lit(len(columns)).alias("p"), F.round("auc", 6).alias("auc"), F.round("att", 6).alias("att"))  # one row each
-        out = row if out is None else out.unionByName(row)
-    return out
+    blocks, made = _blocks()
+    out = D.ablation(B.sample(spark, sf).drop("ps").withColumns(made), _unions(blocks), "y", replicates=200)
+    return _rounded(out)
 
 
 @query("j06_pca")
@@ -91,13 +113,24 @@ def j15(spark, sf):
     return o.select("variable", F.round("beta", 4).alias("beta"), F.round("se", 4).alias("se"))
 
 
+_BASE = {"q": "l_quantity", "x": "l_extendedprice", "c": "l_discount", "w": "l_tax", "g": "id % 7", "h": "id % 11"}
+_GROUPS = {"all": "true", "large": "l_quantity > 25", "small": "l_quantity <= 25", "cheap": "l_discount < 0.05", "dear": "l_extendedprice > 30000", "taxed": "l_tax > 0.04", "untaxed": "l_tax <= 0.04"}
+
+
 @query("j17_associations")
 def j17(spark, sf):
-    s, out = L.standardise(B.sample(spark, sf), X3), None
-    for y in ("y", "y2"):
-        part = L.mixed_model(s, X3, y, "cluster").withColumn("outcome", F.lit(y))
+    """Six outcomes on 21 features (six columns and their products), over all rows and in six subgroups of 200 rows at least."""
+    s = L.standardise(B.sample(spark, sf).withColumns({k: F.expr(e).cast("double") for k, e in _BASE.items()}), list(_BASE))
+    pairs = {f"{a}_{b}": F.col(a) * F.col(b) for i, a in enumerate(_BASE) for b in list(_BASE)[i + 1 :]}
+    ys = {"y3": F.col("l_extendedprice") * (1 - F.col("l_discount")) / 10_000, "y4": F.col("y") * F.col("y2"), "y5": F.log1p("l_extendedprice"), "y6": (F.col("id") % 5).cast("double")}
+    s, out = L.standardise(s.withColumns(pairs | ys), list(pairs)), None
+    for name, rule in _GROUPS.items():
+        own = s.filter(rule)
+        if own.count() < 200:
+            continue
+        part = L.mixed_models(own, [*_BASE, *pairs], ["y", "y2", *ys], "cluster").withColumn("subgroup", F.lit(name))
         out = part if out is None else out.unionByName(part)
-    return _rounded(out, 5)
+    return _rounded(out.withColumn("stars", stars(F.col("p"))), 5)
 
 
 @query("j19_residual", "WITH b AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem) SELECT l_orderkey, l_linenumber, round(l_extendedprice - a - b * l_quantity, 2) AS residual FROM lineitem, b")
@@ -217,17 +250,50 @@ def j23(spark, sf):
     return C.threshold_groups(v.select("vec_id", "embedding").union(near).union(copies), "vec_id", "embedding", least=0.95, bits=8)
 
 
-@query("m03_moderation")
+_MODERATORS = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax"}
+_FLAGS = {"cheap": "l_discount < 0.05", "taxed": "l_tax > 0.04", "even": "id % 2 = 0", "dear": "l_extendedprice > 30000"}
+_OUTCOMES = {"y": "y", "y2": "y2", "paid": "l_extendedprice * (1 - l_discount) / 10000", "both": "y * y2", "mod": "id % 7"}
+_KS = [3, 5, 7, 10]
+
+
+def _moderated(spark, sf, k):
+    """The sample with strata, four standardised moderators, four of two values and five outcomes."""
+    s = S.qcut(B.sample(spark, sf), "ps", k, "stratum").withColumns({n: F.expr(e).cast("double") for n, e in {**_MODERATORS, **_FLAGS, **_OUTCOMES}.items()})
+    return L.standardise(s, list(_MODERATORS))
+
+
+def _moderation_sql(k):
+    """Coefficients of d, m and dm within strata: sums of centred products by stratum, added up, then Cramer's rule."""
+    v = ["d", "m", "dm"]
+    cells = {f"c{i}{j}": f"covar_pop({a}, {b}) * count(*)" for i, a in enumerate(v) for j, b in enumerate(v)} | {f"y{i}": f"covar_pop({a}, v) * count(*)" for i, a in enumerate(v)}
+    below = [[f"c{i}{j}" for j in range(3)] for i in range(3)]
+    cramer = lambda at: f"{_det3(*[[f'y{i}' if j == at else f'c{i}{j}' for j in range(3)] for i in range(3)])} / {_det3(*below)}"
+    scaled = [f"({e} - avg({e}) OVER ()) / stddev_pop({e}) OVER ()" for e in _MODERATORS.values()] + [f"({e})::INT::DOUBLE" for e in _FLAGS.values()]
+    return f"""WITH {E._strata_sql(k)}, a AS (SELECT stratum, d::DOUBLE AS d, unnest({[*_MODERATORS, *_FLAGS]}) AS moderator, unnest([{", ".join(scaled)}]) AS m, {", ".join(f"({e})::DOUBLE AS o_{n}" for n, e in _OUTCOMES.items())} FROM st),
+b AS (SELECT stratum, d, moderator, m, d * m AS dm, unnest({list(_OUTCOMES)}) AS outcome, unnest([{", ".join(f"o_{n}" for n in _OUTCOMES)}]) AS v FROM a WHERE stratum IS NOT NULL),
+s AS (SELECT moderator, outcome, stratum, {", ".join(f"{e} AS {n}" for n, e in cells.items())} FROM b GROUP BY ALL), w AS (SELECT moderator, outcome, {", ".join(f"sum({n}) AS {n}" for n in cells)} FROM s GROUP BY ALL),
+r AS (SELECT moderator, outcome, {cramer(0)} AS beta_d, {cramer(2)} AS beta_dxm FROM w)"""
+
+
+@query("m03_moderation", f"{_moderation_sql(5)} SELECT moderator, outcome, round(beta_d, 6) AS beta_d, round(beta_dxm, 6) AS beta_dxm FROM r")
 def m03(spark, sf):
-    s = L.standardise(S.qcut(B.sample(spark, sf), "ps", 5, "stratum"), ["l_quantity"]).withColumn("dxm", F.col("d") * F.col("l_quantity"))
-    o = L.ols(s.withColumn("s", F.col("stratum").cast("double")), ["d", "dxm", "l_quantity", "s"], "y", ["d", "dxm"])
-    return _rounded(o)
+    found = D.moderation(_moderated(spark, sf, 5), [*_MODERATORS, *_FLAGS], list(_OUTCOMES))
+    return _rounded(found.select("moderator", "outcome", "beta_d", "beta_dxm"))
 
 
-@query("m04_net_effects")
+@query("m03_moderation_intervals")
+def m03b(spark, sf):
+    return _rounded(D.moderation(_moderated(spark, sf, 5), [*_MODERATORS, *_FLAGS], list(_OUTCOMES), replicates=200))
+
+
+@query("m04_net_effects", " UNION ALL ".join(f"(SELECT * FROM ({_moderation_sql(k)} SELECT {k} AS k, moderator, round(beta_d, 6) AS beta_d, round(beta_dxm, 6) AS beta_dxm, round(beta_d + beta_dxm, 6) AS net FROM r WHERE outcome = 'y' AND moderator IN ({', '.join(repr(m) for m in _FLAGS)})))" for k in _KS))
 def m04(spark, sf):
-    o = {r.variable: r.beta for r in m03(spark, sf).collect()}  # two rows
-    return spark.createDataFrame([(o["d"], o["dxm"], o["d"] + o["dxm"])], "beta_d double, beta_dxm double, net double")
+    """The grid of strata: effects with and without each moderator of two values."""
+    out = None
+    for k in _KS:
+        part = D.moderation(_moderated(spark, sf, k), list(_FLAGS), ["y"]).select(F.lit(k).alias("k"), "moderator", "beta_d", "beta_dxm", (F.col("beta_d") + F.col("beta_dxm")).alias("net"))
+        out = part if out is None else out.unionByName(part)
+    return _rounded(out)
 
 
 @query("m07_cluster_betas", f"WITH v AS (SELECT label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS y FROM embeddings), {_solve_sql('s', 'v', ['a', 'b'], 'y', 'label')} SELECT label::INT AS label, round(ba, 6) AS beta_a, round(bb_, 6) AS beta_b, round((ba * ay + bb_ * by_) / yy, 6) AS r2 FROM s")
