@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.llm import bpe, counts, exact, lm, mixing, neardup, quality, substrings, toxicity, urls
+from threadloom.llm import alignment, bpe, counts, divergence, exact, lm, mixing, neardup, packing, quality, substrings, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_lm_scores": lm.op9_lm_scores,
     "op10_token_counts": counts.op10_token_counts,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_packing": packing.op12_packing,
+    "op13_alignment": alignment.op13_alignment,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality.OP1_SQL,
@@ -23,4 +26,5 @@ ORACLE_SQL = {
     "op4_exact_dedup": exact.OP4_SQL,
     "op5_repeated_passages": substrings.OP5_SQL,
     "op8_source_mixing": mixing.OP8_SQL,
+    "op11_source_divergence": divergence.OP11_SQL,
 }
