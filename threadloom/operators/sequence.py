@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadloom.operators.scan import scan
+
 
 def first_per_key(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in a total order; null sorts last if the order says so."""
@@ -80,9 +82,9 @@ def map_snapshot_events(entries: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 
 def carry_forward(rows: DataFrame, key: str, order: list[str], value: str, default: Column) -> DataFrame:
-    """The last known value up to each row, else a default."""
-    w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(w), default))
+    """The last known value up to each row, else a default; a key of any size is spread over ranges of the order."""
+    out = scan(rows.withColumn("__default", default), [key], order, {value: ("last", F.col(value))})
+    return out.withColumn(value, F.coalesce(value, "__default")).select(*rows.columns)
 
 
 def mark_exits(events: DataFrame, current: DataFrame, key: str) -> DataFrame:

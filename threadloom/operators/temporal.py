@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions.scalar import DAY, HOUR, day, hour, safe_div, weekday
+from threadloom.operators.scan import next_time, scan, totals_before, window_measures
+from threadloom.operators.stats import meet
 
 # Namespaces counted apart, look-back days, outcome windows (days after the question), tags counted.
 NAMESPACES = {"mainspace": 0, "userpage": 2, "usertalk": 3, "project": 4, "draft": 118}
@@ -43,17 +45,16 @@ def as_of(probe: DataFrame, history: DataFrame, key: str, value: str, clamp: boo
     """probe with the history's latest value at or before its time `us`, per key; null values of the history are passed over.
 
     Both sides are put in one sequence per key, where a history row at a probe's time comes first, and the last value is carried
-    forward: one shuffle by key, no pairs. clamp: a probe before the first value gets the first one.
+    forward by scan(): no pairs, and a key of any size is spread over ranges. Of values at one time the greatest counts. clamp: a
+    probe before the first value gets the first one. Null keys meet null keys.
     """
     columns = [c for c in probe.columns if c not in (key, "us")]
-    left = probe.select(key, "us", F.lit(1).alias("__side"), F.struct(*(columns or [F.lit(0).alias("__none")])).alias("__row"), F.lit(None).cast(history.schema[value].dataType).alias("__v"))
-    right = history.select(key, "us", F.lit(0).alias("__side"), F.lit(None).cast(left.schema["__row"].dataType).alias("__row"), F.col(value).alias("__v"))
-    sequence = W.partitionBy(key).orderBy("us", "__side")
-    found = F.last("__v", ignorenulls=True).over(sequence.rowsBetween(W.unboundedPreceding, 0))
-    if clamp:
-        found = F.coalesce(found, F.first("__v", ignorenulls=True).over(sequence.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    out = left.unionByName(right).withColumn("__found", found).filter("__side = 1")
-    return out.select(key, "us", *[F.col(f"__row.{c}").alias(c) for c in columns], F.col("__found").alias(value))
+    left = probe.select(key, "us", F.lit(1).alias("__side"), F.xxhash64(*(columns or ["us"])).alias("__tie"), F.struct(F.lit(0).alias("__none"), *columns).alias("__row"), F.lit(None).cast(history.schema[value].dataType).alias("__v"))
+    known = history.filter(F.col(value).isNotNull()).groupBy(key, "us").agg(F.max(value).alias("__v"))
+    right = known.select(key, "us", F.lit(0).alias("__side"), F.lit(0).cast("long").alias("__tie"), F.lit(None).cast(left.schema["__row"].dataType).alias("__row"), "__v")
+    out = scan(left.unionByName(right), [key], ["us", "__side", "__tie"], {"__found": ("last", F.col("__v"))}, whole={"__first": ("first", F.col("__v"))} if clamp else None).filter("__side = 1")
+    found = F.coalesce("__found", "__first") if clamp else F.col("__found")
+    return out.select(key, "us", *[F.col(f"__row.{c}").alias(c) for c in columns], found.alias(value))
 
 
 def pool(weight: Column) -> Column:
@@ -106,6 +107,54 @@ def lookback_features(days: list[int] = LOOKBACK, pages: str = "title") -> dict[
     return out
 
 
+def lookback_table(questions: DataFrame, edits: DataFrame, days: list[int] = LOOKBACK, pages: str = "title", user: str = "user_id", size_type: str = "decimal(20,6)") -> DataFrame:
+    """The measures of lookback_features() for each question (user, q), from running totals instead of a join with histories.
+
+    Sizes are added up as size_type, so that differences of totals are exact.
+    """
+    one = lambda c: c.cast("long")
+    sums = {
+        "n": F.lit(1).cast("long"), "main": one(F.col("ns") == 0), "usertalk": one(F.col("ns") == 3), "draft": one(F.col("ns") == 118),
+        "smaller": one(F.col("sizediff") < 0), "sized": one(F.col("sizediff").isNotNull()), "size": F.col("sizediff").cast(size_type),
+    }
+    t = window_measures(questions, edits, user, "q", "us", {f"{w}d": (-w * DAY, 0) for w in days}, sums, {"ns": F.col("ns"), "pages": F.col(pages)})
+    out = {}
+    for w in days:
+        c = lambda k, w=w: F.col(f"{k}_{w}d")
+        out |= {
+            f"n_edits_{w}d": c("n"), f"n_mainspace_{w}d": c("main"), f"n_usertalk_{w}d": c("usertalk"), f"n_draft_{w}d": c("draft"), f"n_unique_ns_{w}d": c("ns"),
+            f"mainspace_ratio_{w}d": safe_div(c("main"), c("n")), f"draft_ratio_{w}d": safe_div(c("draft"), c("n")), f"avg_sizediff_{w}d": safe_div(c("size").cast("double"), c("sized")),
+            f"neg_sizediff_ratio_{w}d": safe_div(c("smaller"), c("n")), f"n_unique_articles_{w}d": c("pages"),
+        }
+    return t.select(user, "q", *[c.alias(k) for k, c in out.items()])
+
+
+def recency_table(questions: DataFrame, edits: DataFrame, days: list[int] = (7, 1), user: str = "user_id") -> DataFrame:
+    """The counts of recency_counts() for each question, from running totals."""
+    return window_measures(questions, edits, user, "q", "us", {f"{w}d": (1 - (w + 1) * DAY, 0) for w in days}, {"n_recent": F.lit(1).cast("long")})
+
+
+def retention_table(questions: DataFrame, edits: DataFrame, windows: dict[str, tuple[int, int]] = RETENTION, user: str = "user_id") -> DataFrame:
+    """The outcomes of retention_outcomes() for each question, from running totals; a window that starts at q leaves q itself out."""
+    even = F.col("ns") % 2 == 0
+    spans = {k: (max(a * DAY, 1), b * DAY) for k, (a, b) in windows.items()}
+    t = window_measures(questions, edits, user, "q", "us", spans, {"n": even.cast("long")}, {"days": F.when(even, day(F.col("us")))})
+    out = {}
+    for k in windows:
+        n, days = F.col(f"n_{k}"), F.col(f"days_{k}")
+        out |= {k: (n >= 1).cast("int"), f"{k}_count": n, f"{k}_5plus": (n >= 5).cast("int"), f"{k}_active_days": days, f"{k}_crossday": (days >= 2).cast("int")}
+    return t.select(user, "q", *[c.alias(k) for k, c in out.items()])
+
+
+def anchor_window_table(anchors: DataFrame, edits: DataFrame, user: str = "user_id") -> DataFrame:
+    """The flags of anchor_windows() for each (user, anchor), from running totals of main-space events."""
+    spans = {f"{w}d": (0, w) for w in (7, 14, 21, 28, 30, 60, 180)} | {"15_28d": (14, 28), "29_60d": (28, 60), "61_180d": (60, 180)}
+    t = window_measures(anchors, edits, user, "anchor", "us", {k: (a * DAY + 1, b * DAY + 1) for k, (a, b) in spans.items()}, {"n": (F.col("ns") == 0).cast("long")})
+    flag = lambda k, least: (F.col(f"n_{k}") >= least).cast("int")
+    out = {f"mainspace_{k}" if a == 0 else f"th_{least}plus_{k}": flag(k, least) for k, (a, _) in spans.items() for least in ((1,) if a == 0 else (1, 5))}
+    return t.select(user, "anchor", *[c.alias(k) for k, c in out.items()])
+
+
 def history_features() -> dict[str, Column]:
     """Measures over all events before q: counts, sizes, recency (-1 without events), span and time patterns."""
     inside = F.col("us") < F.col("q")
@@ -250,29 +299,36 @@ def abuse_counts() -> dict[str, Column]:
 def mentor_history(conversations: DataFrame) -> DataFrame:
     """For each conversation (id, mentor, mentee, us, replied) its mentor's record strictly before it, and over the last 30 days.
 
-    Running sums over each mentor's conversations in time give all. A mentee counts once from its first conversation on; for the last
-    30 days (elapsed whole days) it counts from each conversation until its next one or the window's end, as a step up and a step down in the
-    same order. Peers at the same time do not count.
+    Running totals of each mentor's conversations, at each conversation and 31 days before it, give all. A mentee counts once from its
+    first conversation on; for the last 30 days (elapsed whole days) it counts from each conversation until its next one or the window's
+    end, as a step up and a step down. Peers at the same time do not count. A mentor of any size is spread over ranges.
     """
-    mentee = W.partitionBy("mentor", "mentee").orderBy("us", "id")
-    base = conversations.select("id", "mentor", "us", F.col("us").alias("at"), F.col("replied").cast("long").alias("replied"), F.lit(0).cast("long").alias("step"), (F.row_number().over(mentee) == 1).cast("long").alias("__first"), F.lead("us").over(mentee).alias("__next"))
-    end = F.col("us") + 31 * DAY - 1
-    steps = F.array(F.struct((F.col("us") + 1).alias("at"), F.lit(1).cast("long").alias("step")), F.struct((F.least(end, F.col("__next")) + 1).alias("at"), F.lit(-1).cast("long").alias("step")))
-    more = base.select("mentor", F.explode(steps).alias("s")).select("mentor", "s.at", "s.step")
-    w = W.partitionBy("mentor").orderBy("at")
-    before, so_far = w.rangeBetween(W.unboundedPreceding, -1), w.rangeBetween(W.unboundedPreceding, 0)
-    recent = w.rangeBetween(-31 * DAY + 1, -1)
-    n, n30 = F.count("id").over(before), F.count("id").over(recent)
-    return base.drop("__next").unionByName(more, allowMissingColumns=True).select(
+    window = 31 * DAY - 1
+    marked = next_time(conversations.select("id", "mentor", "mentee", "us", "replied"), ["mentor", "mentee"], "us", "id", "__next")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    here = F.struct(F.col("us").alias("at"), one.alias("n"), F.col("replied").cast("long").alias("replied"), zero.alias("mentees"), one.alias("step"))
+    gone = F.struct(F.least(F.col("__next"), F.col("us") + window).alias("at"), zero.alias("n"), zero.alias("replied"), zero.alias("mentees"), F.lit(-1).cast("long").alias("step"))
+    met_first = conversations.groupBy("mentor", "mentee").agg(F.min("us").alias("at"))
+    events = marked.select("mentor", F.explode(F.array(here, gone)).alias("e")).select("mentor", "e.*")
+    events = events.unionByName(met_first.select("mentor", "at", zero.alias("n"), zero.alias("replied"), one.alias("mentees"), zero.alias("step")))
+    probes = conversations.select("mentor", "id", "us", F.explode(F.array(F.col("us"), F.col("us") - window)).alias("at"))
+    began = conversations.groupBy("mentor").agg(F.min("us").alias("__began"))
+    totals = totals_before(events, probes, ["mentor"], "at", ["n", "replied", "mentees", "step"])
+    now, old = F.col("at") == F.col("us"), F.col("at") < F.col("us")
+    value = lambda c, when: F.sum(F.when(when, F.col(c)))  # noqa: E731  one row each
+    out = totals.groupBy("id", "mentor", "us").agg(*[value(c, w).alias(f"{c}_{k}") for c in ("n", "replied", "mentees", "step") for k, w in (("now", now), ("old", old))])
+    out = meet(out, began, ["mentor"], "left")
+    recent, replied = F.col("n_now") - F.col("n_old"), F.col("replied_now") - F.col("replied_old")
+    return out.select(
         "id",
-        F.coalesce(F.sum("__first").over(before), F.lit(0)).alias("m_prior_mentees"),
-        n.alias("m_prior_conversations"),
-        safe_div(F.sum("replied").over(before), n).alias("m_prior_reply_rate"),
-        F.coalesce(F.floor((F.col("us") - F.min("us").over(before)) / DAY), F.lit(0)).alias("m_days_active"),
-        F.sum("step").over(so_far).alias("m_mentees_30d"),
-        n30.alias("m_conversations_30d"),
-        safe_div(F.sum("replied").over(recent), n30).alias("m_reply_rate_30d"),
-    ).filter("id IS NOT NULL")
+        F.col("mentees_now").alias("m_prior_mentees"),
+        F.col("n_now").alias("m_prior_conversations"),
+        safe_div(F.col("replied_now"), F.col("n_now")).alias("m_prior_reply_rate"),
+        F.when(F.col("n_now") > 0, F.floor((F.col("us") - F.col("__began")) / DAY)).otherwise(0).alias("m_days_active"),
+        F.col("step_now").alias("m_mentees_30d"),
+        recent.alias("m_conversations_30d"),
+        safe_div(replied, recent).alias("m_reply_rate_30d"),
+    )
 
 
 def entropy_of(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
@@ -299,5 +355,8 @@ def returned_after_gap(days: DataFrame, keys: list[str], gap: int = 7, date: str
 def aggregate_all(rows: DataFrame, keys: list[str], *groups: dict[str, Column], digits: int = 9) -> DataFrame:
     """One aggregation with all groups of measures; doubles are rounded so that results do not depend on the order of sums."""
     columns = reduce(lambda a, b: a | b, groups)
-    out = rows.groupBy(*keys).agg(*[c.alias(k) for k, c in columns.items()])
-    return out.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+    return rounded(rows.groupBy(*keys).agg(*[c.alias(k) for k, c in columns.items()]), digits)
+
+
+def rounded(rows: DataFrame, digits: int = 9) -> DataFrame:
+    return rows.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])

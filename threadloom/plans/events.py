@@ -91,7 +91,7 @@ def _lookback_sql(days):
 
 @query("e17_lookback_windows", _AROUND + f" SELECT user_id, {_lookback_sql(T.LOOKBACK)} FROM x GROUP BY user_id")
 def e17(spark, sf):
-    return T.aggregate_all(around(spark, sf), ["user_id"], T.lookback_features())
+    return T.rounded(T.lookback_table(B.asked(spark, sf), B.edits(spark, sf))).drop("q")
 
 
 _HIST_SQL = """count(*) FILTER (us < q) AS n_edits_all, count(DISTINCT ns) FILTER (us < q) AS n_unique_ns_all,
@@ -135,7 +135,7 @@ def e11(spark, sf):
 
 @query("e18_recency_counts", _AROUND + " SELECT user_id, " + ", ".join(f"count(*) FILTER (us < q AND (q - us) // {DAY} <= {w}) AS n_recent_{w}d" for w in (7, 1)) + " FROM x GROUP BY user_id")
 def e18(spark, sf):
-    return T.aggregate_all(around(spark, sf), ["user_id"], T.recency_counts())
+    return T.recency_table(B.asked(spark, sf), B.edits(spark, sf)).drop("q")
 
 
 def _ret_sql(windows):
@@ -149,7 +149,7 @@ def _ret_sql(windows):
 
 @query("e19_retention", _LONG_AROUND + f" SELECT user_id, {_ret_sql(T.RETENTION)} FROM x GROUP BY user_id")
 def e19(spark, sf):
-    return T.aggregate_all(long_around(spark, sf), ["user_id"], T.retention_outcomes())
+    return T.retention_table(B.long_asked(spark, sf), B.long_edits(spark, sf)).drop("q")
 
 
 @query(
@@ -223,7 +223,7 @@ _TH = {"15_28d": (14, 28), "29_60d": (28, 60), "61_180d": (60, 180)}
     + ", ".join(f"(count(*) FILTER (ns = 0 AND {_win(a, b)}) >= {k})::INT AS th_{k}plus_{n}" for n, (a, b) in _TH.items() for k in (1, 5)) + " FROM x GROUP BY user_id",
 )
 def e24(spark, sf):
-    return T.aggregate_all(long_around(spark, sf).withColumn("anchor", F.col("q")), ["user_id"], T.anchor_windows())
+    return T.anchor_window_table(B.long_asked(spark, sf).withColumnRenamed("q", "anchor"), B.long_edits(spark, sf)).drop("anchor")
 
 
 @query(
