@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -99,10 +100,10 @@ def ablation(
     spark = rows.sparkSession
     columns = list(dict.fromkeys(c for u in unions.values() for c in u))
     at = {name: [columns.index(c) for c in u] for name, u in unions.items()}
-    fold = F.pmod(F.xxhash64(F.col(id_column), F.lit(42)), F.lit(folds)).cast("int")
-    z = L.standardise(rows.withColumns({c: F.col(c).cast("double") for c in columns}), columns)
-    betas = dict(zip(unions, L.logistic_subsets(z, columns, "d", list(at.values()), folds, fold)))
-    base = z.select(F.col(cluster).alias("cluster"), F.col("d").cast("int").alias("d"), F.col(outcome).cast("double").alias("y"), fold.alias("fold"), L._vector(columns).alias("v"))
+    z = L.stratified_folds(L.standardise(rows.withColumns({c: F.col(c).cast("double") for c in columns}), columns), folds, "d", id_column, out="__fold")
+    z = cut(z.select(F.col(cluster).alias("cluster"), F.col("d").cast("int").alias("d"), F.col(outcome).cast("double").alias("y"), "__fold", *columns))
+    betas = dict(zip(unions, L.logistic_subsets(z, columns, "d", list(at.values()), folds, F.col("__fold"))))
+    base = z.select("cluster", "d", "y", F.col("__fold").alias("fold"), L._vector(columns).alias("v"))
 
     def scores(v, own, name):
         """Out-of-fold scores of one set."""
@@ -159,3 +160,36 @@ def ablation(
     ci = S.cluster_bootstrap(binned, ["y"], replicates=replicates, keys=["model"]).select("model", "ci_low", "ci_high")
     out = spark.createDataFrame(above, "model string, p int, smd_above int").join(S.auc(scored, "ps", ["model"]), "model").join(att, "model").join(ci, "model", "left")
     return out.select("model", "p", "auc", "att", "ci_low", "ci_high", S.significant(F.col("ci_low"), F.col("ci_high")).alias("sig"), "smd_above")
+
+
+def group_effects(
+    rows: DataFrame, columns: Sequence[str], groups: dict[str, Column], outcomes: Sequence[str], id_column: str = "id", cluster: str = "cluster",
+    strata: int = 5, folds: int = 5, least: int = 50, replicates: int = 500, bound: float = 0.1,
+) -> tuple[DataFrame, DataFrame]:
+    """Effects within overlapping groups from propensities refitted in each: a table by subgroup and outcome, and one of diagnostics.
+
+    Effects: n, treated, control, control_mean, treated_mean, att, ci_low, ci_high (clustered bootstrap), cohen_d, sig. Diagnostics: n,
+    treated, control, auc, k and smd_above. A group has min(strata, max(3, controls / 30)) strata by quantiles of its own scores;
+    groups with less than `least` rows in either arm are left out. All groups share the passes over the rows.
+    """
+    label = "subgroup"
+    scored = cut(L.group_propensity(rows, columns, groups, folds=folds, id_column=id_column, least=least, label=label).filter("ps IS NOT NULL"))
+    sizes = {r[label]: (r.n, r.t) for r in scored.groupBy(label).agg(F.count("*").alias("n"), F.sum("d").alias("t")).collect()}  # a row for each group
+    wanted: dict[int, list[str]] = {}
+    for name, (n, t) in sizes.items():
+        wanted.setdefault(min(strata, max(3, (n - t) // 30)), []).append(name)
+    parts = [S.qcut(scored.filter(F.col(label).isin(names)), "ps", k, "stratum", [label]) for k, names in wanted.items()]
+    binned = cut(reduce(DataFrame.unionByName, parts)) if parts else scored.withColumn("stratum", F.lit(None).cast("int"))
+    sums = S.stratum_sums(binned, list(outcomes), [label])
+    keys = [label, "outcome"]
+    means = S.naive_difference(sums, keys).select(*keys, "control_mean", "treated_mean", "control_sd")
+    ci = S.cluster_bootstrap(binned, list(outcomes), cluster, replicates=replicates, keys=[label]).select(*keys, "ci_low", "ci_high")
+    counts = binned.groupBy(label).agg(F.count("*").alias("n"), F.sum("d").alias("treated"), F.sum(1 - F.col("d")).alias("control"))
+    effects = S.strat_att(sums, keys).join(means, keys).join(ci, keys, "left").join(counts, label)
+    effects = effects.select(
+        *keys, "n", "treated", "control", "control_mean", "treated_mean", "att", "ci_low", "ci_high",
+        F.when(F.col("control_sd") > 0, F.col("att") / F.col("control_sd")).otherwise(0.0).alias("cohen_d"), S.significant(F.col("ci_low"), F.col("ci_high")).alias("sig"),
+    )
+    smd = S.balance(binned, columns, group=[label]).groupBy(label).agg(F.count_if(F.col("strat") > bound).alias("smd_above"))
+    k = binned.groupBy(label).agg(F.count_distinct("stratum").alias("k"))
+    return effects, counts.join(S.auc(scored, "ps", [label]), label).join(k, label).join(smd, label)

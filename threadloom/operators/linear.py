@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadloom.operators.scan import scan
 from threadloom.operators.stats import quantiles
 from threadloom.sources.io import cut
 
@@ -188,18 +189,43 @@ def strat_dr(rows: DataFrame, covariates: Sequence[str], outcomes: Sequence[str]
     return rows.sparkSession.createDataFrame(out, "outcome string, dr double")
 
 
+def stratified_folds(rows: DataFrame, folds: int = 5, treatment: str = "d", id_column: str = "id", group: Sequence[str] = (), seed: int = 42, out: str = "fold") -> DataFrame:
+    """rows with a fold from 0 on, shuffled and stratified by treatment within groups: both the sizes of the folds of a group and their
+    treated rows differ by one at most.
+
+    Rows of a group are numbered by treatment, then by the md5 of seed and id (ties by the id), and dealt in turn. The numbers come
+    from ranges (scan()), so no task sees a whole group. Rows without a treatment are dealt first; repeated ids go one after another.
+    """
+    marked = rows.withColumn("__md5", F.md5(F.concat_ws("-", F.lit(seed), F.col(id_column))))
+    ranked = scan(marked, list(group), [treatment, "__md5", id_column], {"__place": ("sum", F.lit(1).cast("long"))})
+    return ranked.withColumn(out, F.pmod(F.col("__place") - 1, F.lit(folds)).cast("int")).drop("__md5", "__place")
+
+
 def logistic_subsets(
-    rows: DataFrame, columns: Sequence[str], y: str, subsets: Sequence[Sequence[int]], folds: int, fold: Column, c: float = 1.0, steps: int = 25, tolerance: float = 1e-8
+    rows: DataFrame, columns: Sequence[str], y: str, subsets: Sequence[Sequence[int]], folds: int, fold: Column, c: float = 1.0, steps: int = 100, tolerance: float = 1e-8
 ) -> list[list[np.ndarray]]:
-    """L2 logistic regressions by Newton steps (intercept last, not penalised): for each subset of the columns one over the rows outside of each fold.
+    """L2 logistic regressions by Newton steps (intercept last, not penalised): for each subset of the columns one over the rows outside of each fold."""
+    return [x[None] for x in logistic_groups(rows, columns, y, subsets, folds, fold, None, [None], c, steps, tolerance)]
 
-    A step is one pass for all that have not settled: a task adds up gradients and second derivatives of its rows as matrices.
+
+def logistic_groups(
+    rows: DataFrame, columns: Sequence[str], y: str, subsets: Sequence[Sequence[int]], folds: int, fold: Column, group: Column | None, names: Sequence, c: float = 1.0, steps: int = 100, tolerance: float = 1e-8
+) -> list[dict]:
+    """For each subset of the columns and each named group, L2 logistic regressions over the group's rows outside of each fold (a list by fold).
+
+    The rows are cut once; a step is one pass for all models that have not settled: a task adds up gradients and second derivatives
+    of its rows as matrices. A step is halved until the likelihood does not fall, and a model that has not settled after `steps` is an error.
     """
-    p = len(columns) + 1
-    base = rows.select(_vector([*columns, F.lit(1.0), y]).alias("v"), fold.cast("int").alias("fold"))
-    models = [(np.array([*s, p - 1]), k) for s in subsets for k in range(folds)]
-    betas = [np.zeros(len(at)) for at, _ in models]
-    widths = [len(at) + len(at) * (len(at) + 1) // 2 for at, _ in models]
+    p, places = len(columns) + 1, {n: i for i, n in enumerate(names)}
+    number = F.lit(0)
+    if group is not None:
+        number = F.lit(-1)
+        for n, i in places.items():
+            number = F.when(group == F.lit(n), i).otherwise(number)
+    base = cut(rows.select(_vector([*columns, F.lit(1.0), y]).alias("v"), fold.cast("int").alias("fold"), number.cast("int").alias("group")))
+    models = [(np.array([*s, p - 1]), g, k) for s in subsets for g in range(len(places)) for k in range(folds)]
+    betas = [np.zeros(len(at)) for at, _, _ in models]
+    widths = [1 + len(at) + len(at) * (len(at) + 1) // 2 for at, _, _ in models]
 
     def run_with(open_now, betas):
         def run(batches):
@@ -208,20 +234,23 @@ def logistic_subsets(
             total = {i: np.zeros(widths[i]) for i in open_now}
             for batch in batches:
                 v = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, p + 1)
-                own = batch.column(1).to_numpy(zero_copy_only=False)
+                own, which = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
                 fine = ~np.isnan(v).any(1)
-                parts = {k: v[fine & (own != k)] for k in {models[i][1] for i in open_now}}
+                parts = {(g, k): v[fine & (which == g) & (own != k)] for _, g, k in {(0, *models[i][1:]) for i in open_now}}
                 for i in open_now:
-                    at, k = models[i]
-                    x, q = parts[k][:, at], len(at)
-                    m = 1 / (1 + np.exp(-np.clip(x @ betas[i], -700, 700)))
-                    total[i][:q] += x.T @ (parts[k][:, p] - m)
-                    total[i][q:] += (x.T @ (x * (m * (1 - m))[:, None]))[np.triu_indices(q)]
+                    at, g, k = models[i]
+                    part = parts[g, k]
+                    x, q = part[:, at], len(at)
+                    z = np.clip(x @ betas[i], -700, 700)
+                    m = 1 / (1 + np.exp(-z))
+                    total[i][0] += (part[:, p] * z - np.logaddexp(0, z)).sum()
+                    total[i][1 : 1 + q] += x.T @ (part[:, p] - m)
+                    total[i][1 + q :] += (x.T @ (x * (m * (1 - m))[:, None]))[np.triu_indices(q)]
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(list(total.values()))], pa.list_(pa.float64()))], names=["g"])
 
         return run
 
-    open_now = list(range(len(models)))
+    open_now, last = list(range(len(models))), {}  # last: likelihood, coefficients and move of the step that is being tried
     for _ in range(steps):
         row = _added(base, "g array<double>", run_with(open_now, betas), []).first()
         sums = np.split(np.array(row.g if row and row.g else [0.0] * sum(widths[i] for i in open_now)), np.cumsum([widths[i] for i in open_now])[:-1])
@@ -229,35 +258,68 @@ def logistic_subsets(
         for i, g in zip(open_now, sums):
             q = len(betas[i])
             penalty = np.diag([1.0 / c] * (q - 1) + [0.0])
-            move = np.linalg.solve(unpack(g[q:], q) + penalty + 1e-12 * np.eye(q), g[:q] - penalty @ betas[i])
+            value = g[0] - betas[i] @ penalty @ betas[i] / 2
+            if i in last and value < last[i][0] - 1e-9 * max(1, abs(value)):
+                move = last[i][2] / 2
+                last[i] = (last[i][0], last[i][1], move)
+                betas[i] = last[i][1] + move
+                still.append(i)
+                continue
+            move = np.linalg.solve(unpack(g[1 + q :], q) + penalty + 1e-12 * np.eye(q), g[1 : 1 + q] - penalty @ betas[i])
+            last[i] = (value, betas[i], move)
             betas[i] = betas[i] + move
             if np.abs(move).max() >= tolerance:
                 still.append(i)
         open_now = still
         if not open_now:
             break
-    return [betas[i : i + folds] for i in range(0, len(models), folds)]
+    if open_now:
+        raise ArithmeticError(f"{len(open_now)} of {len(models)} logistic regressions have not settled after {steps} steps")
+    at = iter(betas)
+    return [{n: [next(at) for _ in range(folds)] for n in places} for _ in subsets]
 
 
-def logistic_betas(rows: DataFrame, columns: Sequence[str], y: str, folds: int, fold: Column, c: float = 1.0, steps: int = 25, tolerance: float = 1e-8) -> list[np.ndarray]:
+def logistic_betas(rows: DataFrame, columns: Sequence[str], y: str, folds: int, fold: Column, c: float = 1.0, steps: int = 100, tolerance: float = 1e-8) -> list[np.ndarray]:
     """L2 logistic regressions on all columns, each over the rows that are not in its fold."""
     return logistic_subsets(rows, columns, y, [range(len(columns))], folds, fold, c, steps, tolerance)[0]
 
 
-def logistic_beta(rows: DataFrame, columns: Sequence[str], y: str, c: float = 1.0, steps: int = 25, tolerance: float = 1e-8) -> np.ndarray:
+def logistic_beta(rows: DataFrame, columns: Sequence[str], y: str, c: float = 1.0, steps: int = 100, tolerance: float = 1e-8) -> np.ndarray:
     """L2 logistic regression over all rows (intercept last, not penalised)."""
     return logistic_betas(rows, columns, y, 1, F.lit(-1), c, steps, tolerance)[0]
 
 
 def propensity(rows: DataFrame, columns: Sequence[str], treatment: str = "d", folds: int = 5, c: float = 1.0, id_column: str = "id") -> DataFrame:
-    """rows with ps, the out-of-fold probability of treatment. Columns are standardised once; folds come from a hash of the id within classes."""
-    z = standardise(rows, columns).withColumn("__fold", F.pmod(F.xxhash64(F.col(id_column), F.lit(42)), F.lit(folds)))
+    """rows with ps, the out-of-fold probability of treatment. Columns are standardised once; folds are those of stratified_folds()."""
+    z = cut(stratified_folds(standardise(rows, columns), folds, treatment, id_column, out="__fold"))
     score = F.lit(None).cast("double")
     for k, beta in enumerate(logistic_betas(z, columns, treatment, folds, F.col("__fold"), c)):
         score = F.when(F.col("__fold") == k, 1 / (1 + F.exp(-linear_value(columns, beta)))).otherwise(score)
     return z.withColumn("ps", score).drop("__fold")
 
 
+def group_propensity(rows: DataFrame, columns: Sequence[str], groups: dict[str, Column], treatment: str = "d", folds: int = 5, c: float = 1.0, id_column: str = "id", least: int = 50, label: str = "subgroup") -> DataFrame:
+    """A row for each row and group it is in (groups may overlap): the row, the group's name, its fold there, and ps, the probability
+    of treatment by models of that group alone, out of fold.
+
+    Columns are scaled within the group, folds stratified within it, and the regressions of all groups and folds take their steps in
+    the same passes. Groups with less than `least` treated or untreated rows are left out. The columns keep their own values; rows with a null
+    among them have no ps.
+    """
+    long = rows.withColumn(label, F.explode(F.array_compact(F.array(*[F.when(rule, F.lit(n)) for n, rule in groups.items()]))))
+    sizes = long.groupBy(label).agg(F.sum(treatment).alias("t"), F.count(treatment).alias("n")).collect()  # a row for each group
+    names = sorted(r[label] for r in sizes if r.t >= least and r.n - r.t >= least)
+    scaled = [f"__z_{k}" for k in range(len(columns))]
+    kept = long.filter(F.col(label).isin(names)).withColumns({z: F.col(c) for z, c in zip(scaled, columns)})
+    z = cut(stratified_folds(standardise(kept, scaled, [label]), folds, treatment, id_column, [label]))
+    score = F.lit(None).cast("double")
+    if names:
+        for n, betas in logistic_groups(z, scaled, treatment, [range(len(columns))], folds, F.col("fold"), F.col(label), names, c)[0].items():
+            for k, beta in enumerate(betas):
+                score = F.when((F.col(label) == n) & (F.col("fold") == k), 1 / (1 + F.exp(-linear_value(scaled, beta)))).otherwise(score)
+    return z.withColumn("ps", score).drop(*scaled)
+
+
 def pca(rows: DataFrame, vector: str, k: int, out: str) -> DataFrame:
     """First k principal components of an array column, centred, not scaled; a component's largest loading is positive.
 

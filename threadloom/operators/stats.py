@@ -129,21 +129,22 @@ def strata_table(rows: DataFrame, stratum: str = "stratum", score: str = "ps") -
     return rows.groupBy(stratum).agg(n.alias("n"), t.alias("treated"), (n - t).alias("control"), F.bround(100 * t / n, 1).alias("treated_pct"), F.min(score).alias("ps_min"), F.max(score).alias("ps_max"))
 
 
-def balance(rows: DataFrame, covariates: list[str], stratum: str = "stratum", signed: bool = False) -> DataFrame:
-    """Standardised mean differences per covariate, raw and within strata (weighted by stratum size); pooled spread of 0 gives 0."""
+def balance(rows: DataFrame, covariates: list[str], stratum: str = "stratum", signed: bool = False, group: list[str] = ()) -> DataFrame:
+    """Standardised mean differences per covariate (by groups if given), raw and within strata (weighted by stratum size); pooled spread of 0 gives 0."""
+    group = list(group)
     parts = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in covariates])
-    long = rows.select(stratum, "d", F.explode(parts).alias("c")).select(stratum, "d", "c.*")
+    long = rows.select(*group, stratum, "d", F.explode(parts).alias("c")).select(*group, stratum, "d", "c.*")
     arm = lambda d: F.when(F.col("d") == d, F.col("x"))
-    by = long.groupBy("variable", stratum).agg(
+    by = long.groupBy(*group, "variable", stratum).agg(
         F.count("*").alias("n"), F.avg(arm(1)).alias("t"), F.avg(arm(0)).alias("c"), F.count(arm(1)).alias("n_t"), F.count(arm(0)).alias("n_c"),
     )
-    whole = long.groupBy("variable").agg(F.avg(arm(1)).alias("mt"), F.avg(arm(0)).alias("mc"), F.sqrt((F.var_pop(arm(1)) + F.var_pop(arm(0))) / 2).alias("pooled"))
+    whole = long.groupBy(*group, "variable").agg(F.avg(arm(1)).alias("mt"), F.avg(arm(0)).alias("mc"), F.sqrt((F.var_pop(arm(1)) + F.var_pop(arm(0))) / 2).alias("pooled"))
     fine = (F.col("n_t") > 0) & (F.col("n_c") > 0)
-    within = by.groupBy("variable").agg((F.sum(F.when(fine, F.col("n") * (F.col("t") - F.col("c")))) / F.sum(F.when(fine, F.col("n")))).alias("within"))
-    out = whole.join(within, "variable")
+    within = by.groupBy(*group, "variable").agg((F.sum(F.when(fine, F.col("n") * (F.col("t") - F.col("c")))) / F.sum(F.when(fine, F.col("n")))).alias("within"))
+    out = meet(whole, within, [*group, "variable"])
     size = (lambda x: x) if signed else F.abs
     scaled = lambda x: F.when(F.col("pooled") > 0, F.coalesce(size(x) / F.col("pooled"), F.lit(0.0))).otherwise(0.0)
-    return out.select("variable", scaled(F.col("mt") - F.col("mc")).alias("raw"), scaled(F.col("within")).alias("strat"))
+    return out.select(*group, "variable", scaled(F.col("mt") - F.col("mc")).alias("raw"), scaled(F.col("within")).alias("strat"))
 
 
 def auc(rows: DataFrame, score: str = "ps", group: list[str] = ()) -> DataFrame:

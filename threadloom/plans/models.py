@@ -40,6 +40,43 @@ def j16(spark, sf):
     return _rounded(L.standardise(c, ["lag"]))
 
 
+_FOLDS = f"WITH {B.SAMPLE}, r AS (SELECT id, d, row_number() OVER (ORDER BY d, md5('42-' || id), id) - 1 AS place FROM sample)"
+
+
+@query("j02_stratified_folds", _FOLDS + " SELECT id, d, (place % 5)::INT AS fold FROM r")
+def j02_folds(spark, sf):
+    return L.stratified_folds(B.sample(spark, sf).select("id", "d"))
+
+
+#: Eight overlapping groups, as rules over the sample.
+EIGHT = {"full": "true", "large": "l_quantity > 25", "small": "l_quantity <= 25", "cheap": "l_discount < 0.05", "dear": "l_extendedprice > 30000", "taxed": "l_tax > 0.04", "untaxed": "l_tax <= 0.04", "odd": "id % 2 = 1"}
+
+
+@query(
+    "j11_group_folds",
+    f"WITH {B.SAMPLE}, g AS (SELECT id, d, unnest(list_filter([{', '.join(f"CASE WHEN {r} THEN '{n}' END" for n, r in EIGHT.items())}], lambda z: z IS NOT NULL)) AS subgroup FROM sample) SELECT subgroup, id, ((row_number() OVER (PARTITION BY subgroup ORDER BY d, md5('42-' || id), id) - 1) % 5)::INT AS fold FROM g",
+)
+def j11_folds(spark, sf):
+    s = B.sample(spark, sf)
+    long = s.select("id", "d", F.explode(F.array_compact(F.array(*[F.when(F.expr(r), F.lit(n)) for n, r in EIGHT.items()]))).alias("subgroup"))
+    return L.stratified_folds(long, group=["subgroup"]).select("subgroup", "id", "fold")
+
+
+def _refits(spark, sf, replicates=500):
+    s = B.sample(spark, sf).drop("ps").withColumns({"week": (F.col("id") % 7).cast("double"), "price": F.log("l_extendedprice")})
+    return D.group_effects(s, [*X3, "week", "price"], {n: F.expr(r) for n, r in EIGHT.items()}, ["y", "y2"], replicates=replicates)
+
+
+@query("j11_subgroup_refits")
+def j11_refits(spark, sf):
+    return _rounded(_refits(spark, sf)[0])
+
+
+@query("j11_subgroup_diagnostics")
+def j11_diagnostics(spark, sf):
+    return _rounded(_refits(spark, sf)[1])
+
+
 @query("j02_propensity")
 def j02(spark, sf):
     s = B.sample(spark, sf).drop("ps")
