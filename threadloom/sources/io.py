@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,17 +83,28 @@ def shared_folder(spark: SparkSession) -> str:
     return found or FALLBACK_CHECKPOINTS
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's file system client delete a path that exists when its JVM ends, whether or not the session was stopped before."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    path = f"{shared_folder(spark)}/threadloom-{name}-{uuid.uuid4().hex}"
-    if path.startswith(FALLBACK_CHECKPOINTS):
-        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
-    return path
+    """A new path in the shared folder; it goes when the driver ends."""
+    folder = f"{shared_folder(spark)}/threadloom-{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+    delete_at_exit(spark, folder)
+    return f"{folder}/data"
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """rows without their lineage, by a checkpoint in the shared folder: for loops that build on their own results."""
+    """rows without their lineage, by a checkpoint in the shared folder that goes when the driver ends: for loops that build on their own results."""
     spark = rows.sparkSession
     if shared_folder(spark) == FALLBACK_CHECKPOINTS:
         spark.sparkContext.setCheckpointDir(FALLBACK_CHECKPOINTS)
-    return rows.checkpoint()
+    out = rows.checkpoint()
+    file = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        delete_at_exit(spark, file.get())
+    return out
