@@ -572,3 +572,49 @@ def test_pipeline_takes_odd_rows_and_none(spark, tmp_path, rows):
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     # Equal texts: the largest doc_id stays; "a b" and "A  B" have the same words.
     assert got == ({2, 4, 5, 6, 8, 9, 10} if rows else set())
+
+
+# -- names ----------------------------------------------------------------------------------------------------------------------
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["k", "key", "row", "order", "digest", "content", "__row", "__id", "kept_id", "__t", "__g", "n_words", "text_digest", "__mixing_cut", "plan_cut", "plan_source", "Plan_Passes", "a.b", "m", "stratum"]
+    docs = documents(spark, ODD[:10]).drop("n_words", "digest")
+    docs = docs.select("*", *[F.concat(F.lit(f"{n}="), F.col("doc_id").cast("string")).alias(n) for n in names])
+    kept = exact.drop_copies(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.filter("doc_id < 8").collect()) == [2, 4, 5, 6, 7]
+    near, mixed = neardup.drop_near_copies(docs), mixing.mix_sources(docs)
+    assert near.columns == docs.columns and near.filter("doc_id = 1").count() == 1 and near.filter("doc_id = 2").count() == 0
+    assert mixed.columns == [*docs.columns, "pass", "block"]
+    for out in (kept, near, mixed):
+        for r in out.filter("doc_id IS NOT NULL").collect():
+            assert all(r[n] == f"{n}={r.doc_id}" for n in names)
+    features = quality.text_features(docs)
+    assert set(quality.FEATURES) <= set(features.columns) and len(features.columns) == len(set(features.columns))
+    assert all(r["__t"] == f"__t={r.doc_id}" for r in features.filter("doc_id IS NOT NULL").collect())
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.judge_quality(docs, labels, stratum="stratum").count() == docs.count()
+
+
+# -- copies prove nothing -------------------------------------------------------------------------------------------------------
+
+
+def test_copies_admit_no_cutoff_that_one_text_does_not(spark):
+    rng = random.Random(11)
+    good, bad = prose(rng, 70), " ".join(w + "$#" for w in prose(rng, 70).split())
+    schema = "doc_id long, text string, lang string"
+    for n, m in ((1, 1), (2000, 30)):
+        rows = [(k, good, "en") for k in range(n)] + [(n + k, bad, "en") for k in range(m)]
+        labels = [(i, int(i < n), 0) for i, _, _ in rows] * 2
+        out = quality.judge_quality(spark.createDataFrame(rows, schema), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+        assert out.filter("NOT kept").count() == 0
+
+
+def test_levels_are_not_clamped(spark):
+    """Only documents whose words are far longer than those of any good one are rejected, though good ones lie above ten characters a word."""
+    rng = random.Random(12)
+    word = lambda size: "".join(rng.choice("abcdefghijklmnop") for _ in range(size))
+    rows = [(k, " ".join(word(40 if k % 5 == 0 else 14) for _ in range(60)), "en") for k in range(3000)]
+    labels = [(k, int(k % 5 > 0), 0) for k, _, _ in rows]
+    out = quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {r.doc_id % 5 for r in out.filter("NOT kept").collect()} == {0} and out.filter("NOT kept").count() == 600

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import re
-import shutil
 import sys
 import tempfile
 import uuid
@@ -14,6 +12,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.sources.io import delete_at_exit
+
 #: Used only on a local master whose session names no shared folder, as in tests on one machine.
 FALLBACK_DIR = "file:///tmp/checkpoints/threadloom"
 
@@ -39,10 +39,6 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/threadloom-{name}-{uuid.uuid4().hex}"
-    if path.startswith(FALLBACK_DIR):  # one machine: its files can be removed without Spark
-        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
-    else:
-        atexit.register(_delete, spark, path)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")  # the table takes the place of the shuffle files that led to it
     try:
@@ -52,21 +48,33 @@ def saved(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
+    delete_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
     return out
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete tables of saved() that nothing reads any more; those still left go when the driver ends."""
+    """Delete tables of saved() that nothing reads any more; those still left go when the driver's JVM ends."""
     for t in tables:
-        _delete(t.sparkSession, t.saved_path)
+        spark = t.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(t.saved_path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:  # stopped sessions delete nothing
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before those that columns have, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
 
 
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import documents, saved, text_or_empty
+from threadloom.llm.common import documents, quoted, saved, text_or_empty
 
 #: Into how many parts the rows of one digest are dealt before they are combined.
 SALTS = 16
@@ -65,23 +65,32 @@ def exact_groups(docs: DataFrame, salts: int = SALTS, id_column: str = "doc_id",
 
 
 def drop_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """docs without the rows whose text a row with a larger doc_id has too; columns unchanged.
+    """docs without the rows whose text a row with a larger doc_id has too; columns unchanged, whatever their names.
 
     The surviving row itself travels as the aggregate's value, so that no join is needed: rows are grouped by digest
-    and text as in winners(), and of rows with equal id and text one stays.
+    and text as in winners(). Null text counts as empty, and a row that stays keeps its null; a null doc_id loses to any other;
+    of rows with equal id and text one stays, chosen by a hash of
+    the other columns; an empty table stays empty.
     """
     columns = [c for c in docs.columns if c not in ("doc_id", "text")]
+    values = [F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(columns) if not _unordered(docs.schema[c].dataType)]
+    others = F.struct(F.lit(0).alias("none"), *[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(columns)])
+    order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 62))).alias("key"), F.xxhash64(F.col("doc_id"), *values).alias("tie"))
     rows = docs.select(
-        F.sha2(text_or_empty(), 256).alias("__digest"),
-        F.col("text").isNull().alias("__null"),
-        text_or_empty().alias("__content"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("__salt"),
-        F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 62))).alias("k"), "doc_id", *columns).alias("__row"),
+        F.sha2(text_or_empty(), 256).alias("digest"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"),
+        text_or_empty().alias("content"),
+        F.struct(order.alias("order"), F.col("doc_id").alias("id"), F.col("text").isNull().alias("no_text"), others.alias("others")).alias("row"),
     )
-    best = rows.groupBy("__digest", "__salt", "__content").agg(F.max_by(F.struct("__row", "__null"), "__row.k").alias("__best"))
-    best = best.groupBy("__digest", "__content").agg(F.max_by("__best", "__best.__row.k").alias("__best"))
-    kept = best.select("__best.__row.*", F.when(~F.col("__best.__null"), F.col("__content")).alias("text"))
-    return kept.select(*docs.columns)
+    best = rows.groupBy("digest", "salt", "content").agg(F.max_by("row", "row.order").alias("row"))
+    best = best.groupBy("digest", "content").agg(F.max_by("row", "row.order").alias("row"))
+    place = {c: k for k, c in enumerate(columns)}
+    own = {"doc_id": F.col("row.id"), "text": F.when(~F.col("row.no_text"), F.col("content"))}
+    return best.select(*[(own[c] if c in own else F.col(f"row.others.c{place[c]}")).alias(c) for c in docs.columns])
+
+
+def _unordered(kind) -> bool:
+    return "map<" in kind.simpleString() or "variant" in kind.simpleString()
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import WORD_GAP, documents, saved, text_or_empty
+from threadloom.llm.common import WORD_GAP, documents, free, quoted, saved, text_or_empty
 
 #: No document is used more often than this by the registered query.
 MAX_REPEATS = 2.0
@@ -124,17 +124,13 @@ def mix_sources(docs: DataFrame, seed: int = SEED, tokens: Column | None = None,
     docs = docs.drop("pass", "block")
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
     sizes = saved(docs.select("doc_id", key.alias("source"), (word_count() if tokens is None else tokens).alias("tokens")), "sizes")
-    of_source = source_plan(sizes, seed=seed, **plan).select(*[F.col(c).alias(_own(c)) for c in ("source", "passes", "cut")])
-    rows = docs.withColumn(_own("source"), key)
-    rows = rows.join(F.broadcast(of_source) if of_source.count() <= BROADCAST_SOURCES else of_source, _own("source"))
-    last = (place("doc_id", F.col(_own("passes")) + 1, seed) < F.col(_own("cut"))).cast("long")
-    rows = rows.withColumn("pass", F.explode(_passes(F.col(_own("passes")) + last)))
-    return rows.withColumn("block", F.floor(place("doc_id", F.col("pass"), seed) / BLOCKS)).select(*docs.columns, "pass", "block")
-
-
-def _own(column: str) -> str:
-    """The name of a column of the plan beside those of documents."""
-    return f"__mixing_{column}"
+    source, passes, cut = own = free(docs.columns, "plan_source", "plan_passes", "plan_cut")
+    of_source = source_plan(sizes, seed=seed, **plan).select(*[F.col(c).alias(n) for c, n in zip(("source", "passes", "cut"), own)])
+    rows = docs.withColumn(source, key)
+    rows = rows.join(F.broadcast(of_source) if of_source.count() <= BROADCAST_SOURCES else of_source, source)
+    last = (place("doc_id", F.col(passes) + 1, seed) < F.col(cut)).cast("long")
+    rows = rows.withColumn("pass", F.explode(_passes(F.col(passes) + last)))
+    return rows.withColumn("block", F.floor(place("doc_id", F.col("pass"), seed) / BLOCKS)).select(*map(quoted, docs.columns), "pass", "block")
 
 
 def _passes(n: Column) -> Column:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import documents, release, saved, ship
+from threadloom.llm.common import documents, free, release, saved, ship
 from threadloom.llm.text import grams, mix, pieces
 
 #: Sorted orders, and the MinHash values by which each is sorted.
@@ -473,9 +473,14 @@ def near_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Da
 
 
 def drop_near_copies(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; columns unchanged."""
-    kept = near_groups(docs, size, percent).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(saved(kept, "kept"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """docs without the rows whose component has a smaller doc_id; columns unchanged, whatever their names.
+
+    Null and empty texts and null doc_ids are linked with nothing and stay; rows that share a doc_id stay if any of them does; an
+    empty table stays empty.
+    """
+    (name,) = free(docs.columns, "kept_id")
+    kept = near_groups(docs, size, percent).filter("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(saved(kept, "kept"), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

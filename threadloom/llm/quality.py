@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import WORD_GAP, documents, saved, text_or_empty
+from threadloom.llm.common import WORD_GAP, documents, quoted, saved, text_or_empty
 
 #: Good documents of a stratum that may be rejected in all, as a share, and the chance that this fails anywhere.
 ALPHA, DELTA = 0.03, 0.05
-#: Values of a rule's measure are counted on so many levels.
-LEVELS = 200
 #: Tables of thresholds up to so many strata are broadcast.
 BROADCAST_STRATA = 10_000
-#: name -> (SQL of the measure, scale to levels). A document is rejected above the cutoff.
+#: name -> (SQL of the measure, levels a unit). Levels are whole numbers without a bound; a document is rejected above the cutoff.
 MEASURES = {
     "symbols": ("n_symbols / greatest(n_words, 1)", 100),
     "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", 200),
@@ -22,12 +21,16 @@ MEASURES = {
     "short_words": ("greatest(0, 10 - word_chars / greatest(n_words, 1))", 20),
 }
 
+FEATURES = ("word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", "n_repeat_words", "text_digest")
+
 _SPACES = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
 
 
 def text_features(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (long) instead of the text.
+    """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (long) and text_digest (binary) instead of the text.
+
+    Columns of docs with these names are replaced, all others kept, whatever their names.
 
     All are computed within a row, so nothing is shuffled and a copied or common line makes no group. Null and empty
     texts have zeros. n_repeat_words counts words in 3-word windows that occur twice or more in their text: the
@@ -38,8 +41,10 @@ def text_features(docs: DataFrame, text_column: str = "text") -> DataFrame:
     trimmed = F.btrim(text, F.lit(_SPACES))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_GAP))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_SPACES)) != "")
+    kept = [c for c in docs.columns if c != text_column and c.lower() not in FEATURES]
     out = docs.select(
-        *[c for c in docs.columns if c != text_column],
+        *[F.col(quoted(c)).alias(f"__column{k}") for k, c in enumerate(kept)],
+        F.unhex(F.md5(text)).alias("text_digest"),
         F.length(F.translate(text, _SPACES, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("long").alias("n_symbols"),
         once(F.struct(words.alias("w"), lines.alias("l"))).alias("__t"),
@@ -74,7 +79,8 @@ def text_features(docs: DataFrame, text_column: str = "text") -> DataFrame:
     covered = F.expr(
         "aggregate(__p, named_struct('n', 0L, 'e', 0), (a, x) -> named_struct('n', a.n + (x + 3 - greatest(x, a.e)), 'e', x + 3), a -> a.n)"
     )
-    return out.select(*keep, covered.alias("n_repeat_words"))
+    own = {f"__column{k}": c for k, c in enumerate(kept)}
+    return out.select(*[F.col(c).alias(own.get(c, c)) for c in keep], covered.alias("n_repeat_words"))
 
 
 def base_failed() -> Column:
@@ -83,7 +89,7 @@ def base_failed() -> Column:
 
 def _level(name: str) -> Column:
     sql, scale = MEASURES[name]
-    return F.least(F.floor(F.expr(sql) * scale), F.lit(LEVELS)).cast("int")
+    return F.floor(F.expr(sql) * scale).cast("long")
 
 
 def binomial_tail_sql(k: str, n: str, p: float) -> str:
@@ -106,30 +112,27 @@ def select_cutoffs(features: DataFrame, labels: DataFrame, stratum: str = "lang"
     documents is admitted if P(Bin(n, alpha / measures) <= k) <= delta / (strata * measures): the exact upper bound
     of its false-rejection rate is then at most alpha / measures. A cutoff is admitted only if all looser ones are (k
     grows as cutoffs fall), so that each sequence is tested in a fixed order and needs no correction in itself; over
-    strata and measures Bonferroni's correction holds, for all at once with probability 1 - delta. Of the admitted cutoffs the one with the largest surplus of bad over
-    good rejections is chosen, the loosest on ties, none without a surplus. Strata too small to prove anything get
-    none. A labelled document counts once per label row; null labels are ignored; null strata form one stratum.
+    strata and measures Bonferroni's correction holds, for all at once with probability 1 - delta. Of the admitted cutoffs the one with the
+    largest surplus of bad over good rejections is chosen, the loosest on ties, none without a surplus. Strata too small to
+    prove anything get none.
+
+    A text counts once in a stratum, however many copies and label rows it has, as a bound for independent trials asks: as good if
+    any of its labels says so. (Near copies still count each.) Null labels are ignored; null strata form one stratum.
     """
-    good = labels.filter(F.col("quality").isNotNull()).select("doc_id", "quality")
-    seen = features.filter(~base_failed()).join(good, "doc_id")
+    known = labels.filter(F.col("quality").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("quality").alias("__quality"))
+    seen = features.filter(~base_failed()).join(known, F.col("doc_id") == F.col("__id"))
+    texts = seen.groupBy(F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), "text_digest").agg(F.max("__quality").alias("quality"), *[F.max(_level(m)).alias(m) for m in MEASURES])
     counts = (
-        seen.select(
-            F.coalesce(F.col(stratum), F.lit("")).alias("stratum"),
-            "quality",
-            F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), _level(m).alias("level")) for m in MEASURES])).alias("m"),
-        )
+        texts.select("stratum", "quality", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("level")) for m in MEASURES])).alias("m"))
         .groupBy("stratum", "m.measure", "m.level")
         .agg(F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") == 0).cast("long")).alias("bad"))
     )
-    # Cutoff c rejects levels above c. Per stratum and measure there are LEVELS + 1 rows at most.
-    grid = counts.groupBy("stratum", "measure").agg(
-        F.map_from_entries(F.collect_list(F.struct("level", F.struct("good", "bad")))).alias("at"), F.sum("good").alias("n")
-    )
-    grid = grid.select("stratum", "measure", "n", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("cut"), "at")
-    above = "aggregate(filter(map_entries(at), e -> e.key > cut), 0L, (a, e) -> a + e.value.{0})"
-    grid = grid.select("stratum", "measure", "cut", "n", F.expr(above.format("good")).alias("k"), F.expr(above.format("bad")).alias("hit"))
+    # What rejects from a level on; between two levels that occur the loosest cutoff stands. A row for each level that occurs.
+    of_measure = W.partitionBy("stratum", "measure")
+    from_here = of_measure.orderBy(F.col("level").desc()).rowsBetween(W.unboundedPreceding, 0)
+    grid = counts.select("stratum", "measure", (F.col("level") - 1).alias("cut"), F.sum("good").over(of_measure).alias("n"), F.sum("good").over(from_here).alias("k"), F.sum("bad").over(from_here).alias("hit"))
     strata = counts.select("stratum").distinct().agg(F.greatest(F.count("*"), F.lit(1)).alias("n_strata"))
-    admitted = grid.withColumn("tail", F.expr(binomial_tail_sql("k", "n", alpha / len(MEASURES)))).filter("hit > k AND n > 0")
+    admitted = grid.filter("hit > k AND n > 0").withColumn("tail", F.expr(binomial_tail_sql("k", "n", alpha / len(MEASURES))))
     admitted = admitted.join(F.broadcast(strata), F.col("tail") * F.col("n_strata") <= F.lit(delta / len(MEASURES)))  # one row
     best = admitted.groupBy("stratum", "measure").agg(F.max_by("cut", F.struct(F.col("hit") - F.col("k"), "cut")).alias("cut"))
     return best.groupBy("stratum").agg(*[F.max(F.when(F.col("measure") == m, F.col("cut"))).alias(f"cut_{m}") for m in MEASURES])
@@ -142,11 +145,11 @@ def judge_quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alp
     as empty and fail the base rules; repeated rows are each judged; without labels only the base rules reject.
     Columns of docs other than doc_id, text and the stratum's are ignored.
     """
-    features = saved(text_features(docs.select("doc_id", F.col(stratum), "text")), "quality-features")
-    cuts = saved(select_cutoffs(features, labels, stratum, alpha, delta), "quality-cutoffs")
+    features = saved(text_features(docs.select("doc_id", F.col(stratum).alias("of_stratum"), "text")), "quality-features")
+    cuts = saved(select_cutoffs(features, labels, "of_stratum", alpha, delta), "quality-cutoffs")
     if cuts.count() <= BROADCAST_STRATA:
         cuts = F.broadcast(cuts)
-    judged = features.join(cuts, F.coalesce(F.col(stratum), F.lit("")) == F.col("stratum"), "left")
+    judged = features.join(cuts, F.coalesce(F.col("of_stratum"), F.lit("")) == F.col("stratum"), "left")
     fine = F.lit(True)
     for m in MEASURES:
         fine = fine & F.coalesce(_level(m) <= F.col(f"cut_{m}"), F.lit(True))
@@ -160,14 +163,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def _measure_sql() -> str:
-    return ", ".join(f"('{m}', least(floor(({sql}) * {scale}), {LEVELS}))" for m, (sql, scale) in MEASURES.items())
-
-
 OP1_SQL = f"""
 WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
 f0 AS (
-  SELECT doc_id, lang, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  SELECT doc_id, lang, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
          list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') AS l,
          length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
          length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols FROM t),
@@ -176,17 +175,18 @@ tri AS (SELECT doc_id, i, w AS a, lead(w) OVER o AS b, lead(w, 2) OVER o AS c FR
 dup AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) > 1 AS d FROM tri WHERE c IS NOT NULL),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM dup, (VALUES (0), (1), (2)) v(k) WHERE d GROUP BY doc_id),
 f AS (
-  SELECT f0.doc_id, lang, len(w)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, len(l) AS n_lines,
+  SELECT f0.doc_id, lang, text, len(w)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, len(l) AS n_lines,
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
   FROM f0 LEFT JOIN rep USING (doc_id)),
 g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
-m AS (SELECT doc_id, coalesce(lang, '') AS stratum, base_failed, unnest([{', '.join(f"{{'m': '{m}', 'v': least(floor(({sql}) * {scale}), {LEVELS})}}" for m, (sql, scale) in MEASURES.items())}]) AS x FROM g),
-s AS (SELECT stratum, x.m AS m, x.v AS v, quality FROM m JOIN labels USING (doc_id) WHERE NOT base_failed AND quality IS NOT NULL),
-cuts AS (SELECT stratum, m, cut, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND v > cut) AS k, count(*) FILTER (quality = 0 AND v > cut) AS hit
-  FROM s, range({LEVELS}) r(cut) GROUP BY ALL),
+m AS (SELECT doc_id, coalesce(lang, '') AS stratum, text, base_failed, unnest([{', '.join(f"{{'m': '{m}', 'v': floor(({sql}) * {scale})::BIGINT}}" for m, (sql, scale) in MEASURES.items())}]) AS x FROM g),
+s AS (SELECT stratum, text, x.m AS m, any_value(x.v) AS v, max(quality) AS quality FROM m JOIN labels USING (doc_id) WHERE NOT base_failed AND quality IS NOT NULL GROUP BY stratum, text, x.m),
+level AS (SELECT stratum, m, v, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad FROM s GROUP BY ALL),
+cuts AS (SELECT stratum, m, v - 1 AS cut, (sum(good) OVER (PARTITION BY stratum, m))::BIGINT AS n, (sum(good) OVER o)::BIGINT AS k, (sum(bad) OVER o)::BIGINT AS hit
+  FROM level WINDOW o AS (PARTITION BY stratum, m ORDER BY v DESC)),
 ok AS (SELECT *, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
       + i * ln({ALPHA / len(MEASURES)}) + (n - i) * ln(1 - {ALPHA / len(MEASURES)})))) AS tail FROM cuts WHERE hit > k AND n > 0 AND k <= n * {ALPHA / len(MEASURES)}),
-best AS (SELECT stratum, m, max_by(cut, (hit - k) * 1000 + cut) AS cut FROM ok
+best AS (SELECT stratum, m, max_by(cut, (hit - k)::HUGEINT * 1000000000 + cut) AS cut FROM ok
   WHERE tail * (SELECT count(DISTINCT stratum) FROM s) <= {DELTA / len(MEASURES)} GROUP BY stratum, m),
 bad AS (SELECT DISTINCT doc_id FROM m JOIN best ON best.stratum = m.stratum AND best.m = m.x.m AND m.x.v > best.cut)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
