@@ -24,7 +24,9 @@ TOKENS, END_ID = 4096, 1
 #: Pieces in a shard, shards that hand their emptiest sequences to one task of the next level, and how many each hands on.
 SHARD, FAN_IN, HANDED = 20_000, 16, 64
 #: A worker remembers the ids of so many new words before it forgets those it has not met since.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
+#: Texts are encoded in groups of about so many bytes, so that a word of many texts is looked for once.
+GROUP_BYTES = 1 << 22
 #: Words that are encoded by one call.
 TOGETHER = 256
 
@@ -115,7 +117,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, tokens: int = TOKENS, end_id:
     Only documents of more tokens are cut, into full pieces and a rest. tokenizer: the path of a tokenizers file whose
     pre-tokens hold no white space, read on the driver and sent to the executors. piece_key tells rows apart, also of repeated
     documents. Null counts as an empty text, which is one piece of the end id; other columns are ignored; an empty table gives an
-    empty result. A task holds a group of texts of about 1 MB or one longer text, with its words.
+    empty result. A task holds a group of texts of about 4 MB or one longer text, with its words, and the words it remembers.
     """
     import os
 
@@ -134,7 +136,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, tokens: int = TOKENS, end_id:
         next_key = TaskContext.get().partitionId() << 33
         for batch in batches:
             raw = pc.fill_null(batch.column(1).cast(pa.binary()), b"")
-            for a, b in groups(pc.binary_length(raw).to_pylist()):
+            for a, b in groups(pc.binary_length(raw).to_pylist(), GROUP_BYTES):
                 owner, piece, start, length, crc, ids = [], [], [], [], [], []
                 for row, found in enumerate(encoder.encode_batch(raw.slice(a, b - a).to_pylist()), a):
                     view = memoryview(found + end)
