@@ -9,6 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Steps of the integrals of p-values.
+P_STEPS = 2000
+
+
 def meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """left with right's other columns, where the keys are equal or both null; without keys right is one row."""
     if not keys:
@@ -160,11 +164,33 @@ def average_ranks(rows: DataFrame, x: str, out: str, group: list[str] = ()) -> D
 
 
 def spearman(rows: DataFrame, x: str, y: str, group: list[str] = ()) -> DataFrame:
-    """Rank correlation with average ranks for ties; constant input gives null. Ranks are joined by value, so no task sorts a whole group."""
+    """Rank correlation with average ranks for ties, the number of rows and the two-sided p-value by Student's t; constant input gives null,
+    and so do fewer than three rows for p. Ranks are joined by value, so no task sorts a whole group."""
     r = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, F.col(x).alias("__u"), F.col(y).alias("__v"))
     r = average_ranks(average_ranks(r, "__u", "__x", group), "__v", "__y", group)
     rho = F.try_divide(F.covar_pop("__x", "__y"), F.stddev_pop("__x") * F.stddev_pop("__y"))
-    return r.groupBy(*group).agg(rho.alias("rho"), F.count("*").alias("n"))
+    out = r.groupBy(*group).agg(rho.alias("rho"), F.count("*").alias("n"))
+    return out.withColumn("p_value", correlation_p(F.col("rho"), F.col("n")))
+
+
+def correlation_p(rho: Column, n: Column) -> Column:
+    """Two-sided p-value of a correlation of n pairs by Student's t with n - 2 degrees of freedom.
+
+    With t = sqrt(df) tan(a) the tail is a ratio of integrals of cos(a) ** (df - 1), here of a = z / sqrt(df) by Simpson's rule on P_STEPS
+    steps, up to z = 40 or the end of the range. Null without a correlation or with fewer than three pairs.
+    """
+    df = (n - 2).cast("double")
+    root = F.sqrt(df)
+    end = F.least(root * F.lit(math.pi / 2), F.lit(40.0))
+    start = F.least(F.when(F.abs(rho) >= 1 - 1e-15, end).otherwise(root * F.asin(F.least(F.abs(rho), F.lit(1.0)))), end)
+
+    def integral(a: Column) -> Column:
+        h = (end - a) / P_STEPS
+        f = lambda k: F.pow(F.greatest(F.cos((a + k * h) / root), F.lit(0.0)), df - 1)
+        weight = lambda k: F.when((k == 0) | (k == P_STEPS), 1).when(k % 2 == 1, 4).otherwise(2)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(P_STEPS)), F.lit(0.0), lambda s, k: s + weight(k) * f(k)) * h / 3
+
+    return F.when(rho.isNotNull() & (n > 2), integral(start) / integral(F.lit(0.0)))
 
 
 def e_value(att: Column, low: Column) -> dict[str, Column]:
@@ -210,7 +236,7 @@ def anchor_lags(lags: DataFrame, units: DataFrame, draws: int = 20) -> DataFrame
     spread = ranked.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor((F.col("high") - 1) / block))))
     kinds = [("sample", 0), *(("mean20", k) for k in range(1, draws + 1))]
     drawn = units.select("id", F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), F.lit(k).alias("draw")) for s, k in kinds])).alias("k"))
-    drawn = drawn.withColumn("rank", F.pmod(F.xxhash64("id", "k.draw"), F.lit(max(size, 1)))).withColumn("block", F.floor(F.col("rank") / block))
+    drawn = drawn.withColumn("rank", F.floor(uniform(F.col("id"), F.col("k.draw")) * max(size, 1)).cast("long")).withColumn("block", F.floor(F.col("rank") / block))
     sampled = drawn.join(spread, (drawn["block"] == spread["block"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")), "left").select("id", "k.strategy", "k.draw", F.col("lag").cast("double").alias("lag"))
     found = quantiles(lags, "lag", [0.5, 0.25, 0.75]).first()
     middle = list(found[0]) if found else [None] * 3
@@ -218,12 +244,21 @@ def anchor_lags(lags: DataFrame, units: DataFrame, draws: int = 20) -> DataFrame
     return sampled.union(units.select("id", F.explode(fixed).alias("k")).select("id", "k.strategy", "k.draw", "k.lag"))
 
 
-def cluster_bootstrap(rows: DataFrame, outcomes: list[str], cluster: str = "cluster", stratum: str = "stratum", replicates: int = 500, seed: int = 42, least_finite: int = 50, keys: list[str] = ()) -> DataFrame:
-    """95 % intervals of strat_att(), by keys if given, under resampling of clusters with replacement; strata stay as they are.
+#: Thresholds of Poisson(1): a uniform number's multiplicity is how many of them it reaches.
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
+
+
+def uniform(*parts: Column) -> Column:
+    """A number in [0, 1) from the md5 of the parts, joined by hyphens: its first 13 digits."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", *[p.cast("string") for p in parts])), 1, 13), 16, 10).cast("long") / F.lit(float(16**13))
+
 
-    Rows are summed by cluster, stratum and arm first. A cluster's multiplicity in a replicate is a Poisson(1) draw from a hash of (seed,
+def bootstrap_effects(rows: DataFrame, outcomes: list[str], cluster: str = "cluster", stratum: str = "stratum", replicates: int = 500, seed: int = 42, keys: list[str] = ()) -> DataFrame:
+    """(keys, outcome, r, att): strat_att() of each replicate under resampling of clusters with replacement; strata stay as they are.
+
+    Rows are summed by cluster, stratum and arm first. A cluster's multiplicity in a replicate is a Poisson(1) draw from the md5 of (seed,
     replicate, cluster), the large-sample form of drawing as many clusters as there are: every cluster draws for itself, so
-    nothing is gathered and the replicates are an explode over the sums. Deterministic by seed.
+    nothing is gathered, and all keys share a draw. Replicates without an effect are left out; a null cluster is one of its own.
     """
     parts = F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).cast("double").alias("y")) for o in outcomes])
     long = rows.select(*keys, F.col(cluster).alias("c"), F.col(stratum).alias("s"), "d", F.explode(parts).alias("o")).filter(F.col("o.y").isNotNull() & F.col("s").isNotNull())
@@ -231,18 +266,48 @@ def cluster_bootstrap(rows: DataFrame, outcomes: list[str], cluster: str = "clus
     sums = long.groupBy(*keys, "c", "s", F.col("o.outcome").alias("outcome")).agg(
         F.count_if(arm(1)).alias("n_t"), F.count_if(arm(0)).alias("n_c"), F.coalesce(F.sum(F.when(arm(1), F.col("o.y"))), F.lit(0.0)).alias("y_t"), F.coalesce(F.sum(F.when(arm(0), F.col("o.y"))), F.lit(0.0)).alias("y_c"),
     )
-    u = F.pmod(F.xxhash64(F.lit(seed), "r", "c"), F.lit(1 << 40)) / (1 << 40)
-    times, total, p = F.lit(0), 0.0, math.exp(-1)
-    for k in range(8):
-        total += p
-        times = times + (u >= total).cast("int")
-        p /= k + 1
-    drawn = sums.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("m", times).filter("m > 0")
+    # A cluster's sums travel as one row, so that it draws once for each replicate.
+    held = sums.groupBy("c").agg(F.collect_list(F.struct(*keys, "s", "outcome", "n_t", "n_c", "y_t", "y_c")).alias("x"))
+    drawn = held.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("u", uniform(F.lit(seed), F.col("r"), F.col("c")))
+    drawn = drawn.withColumn("m", sum(((F.col("u") >= t).cast("int") for t in POISSON), F.lit(0))).filter("m > 0").select("r", "m", F.explode("x").alias("x")).select("r", "m", "x.*")
     by = drawn.groupBy(*keys, "outcome", "r", "s").agg(*[F.sum(F.col(c) * F.col("m")).alias(c) for c in ("n_t", "n_c", "y_t", "y_c")])
-    atts = strat_att(by, [*keys, "outcome", "r"]).filter("att IS NOT NULL")
-    return atts.groupBy(*keys, "outcome").agg(
-        F.when(F.count("*") > least_finite, F.percentile("att", F.lit(0.025))).alias("ci_low"), F.when(F.count("*") > least_finite, F.percentile("att", F.lit(0.975))).alias("ci_high"), F.count("*").alias("replicates"),
-    )
+    return strat_att(by, [*keys, "outcome", "r"]).filter("att IS NOT NULL")
+
+
+def interval(replicated: DataFrame, value: str, keys: list[str], least_finite: int = 50) -> DataFrame:
+    """ci_low, ci_high (95 %) and the number of replicates by keys; no interval from least_finite replicates or fewer."""
+    end = lambda p: F.when(F.count("*") > least_finite, F.percentile(value, F.lit(p)))
+    return replicated.groupBy(*keys).agg(end(0.025).alias("ci_low"), end(0.975).alias("ci_high"), F.count("*").alias("replicates"))
+
+
+def cluster_bootstrap(rows: DataFrame, outcomes: list[str], cluster: str = "cluster", stratum: str = "stratum", replicates: int = 500, seed: int = 42, least_finite: int = 50, keys: list[str] = ()) -> DataFrame:
+    """95 % intervals of strat_att(), by keys if given, from bootstrap_effects(). Deterministic by seed."""
+    return interval(bootstrap_effects(rows, outcomes, cluster, stratum, replicates, seed, keys), "att", [*keys, "outcome"], least_finite)
+
+
+def effect_difference(rows: DataFrame, outcomes: list[str], half: Column, cluster: str = "cluster", stratum: str = "stratum", replicates: int = 500, seed: int = 42, least_finite: int = 50) -> DataFrame:
+    """By outcome att_low and att_high (rows where half is false, true), delta (low less high), its 95 % interval and sig, whether that excludes 0.
+
+    Both halves of a replicate share one draw of clusters, so that the interval is of the paired difference. Rows whose half is null
+    are left out; a replicate counts if both halves have an effect in it.
+    """
+    parts = rows.withColumn("__half", half.cast("boolean")).filter("__half IS NOT NULL")
+    low, high = (F.max(F.when(F.col("__half") == h, F.col("att"))) for h in (False, True))
+    atts = strat_att(stratum_sums(parts, outcomes, ["__half"], stratum), ["__half", "outcome"]).groupBy("outcome").agg(low.alias("att_low"), high.alias("att_high"))
+    each = bootstrap_effects(parts, outcomes, cluster, stratum, replicates, seed, ["__half"]).groupBy("outcome", "r").agg((low - high).alias("delta")).filter("delta IS NOT NULL")
+    out = atts.join(interval(each, "delta", ["outcome"], least_finite), "outcome", "left")
+    return out.select("outcome", "att_low", "att_high", (F.col("att_low") - F.col("att_high")).alias("delta"), "ci_low", "ci_high", ((F.col("ci_low") > 0) | (F.col("ci_high") < 0)).alias("sig"))
+
+
+def effect_table(rows: DataFrame, outcomes: list[str], keys: list[str] = (), cluster: str = "cluster", stratum: str = "stratum", replicates: int = 500) -> DataFrame:
+    """By keys and outcome: n, treated, control_mean, treated_mean, att, ci_low, ci_high and sig."""
+    by = [*keys, "outcome"]
+    sums = stratum_sums(rows, outcomes, list(keys), stratum)
+    counts = sums.groupBy(*by).agg(F.sum(F.col("n_t") + F.col("n_c")).alias("n"), F.sum("n_t").alias("treated"))
+    means = naive_difference(sums, by).select(*by, "control_mean", "treated_mean")
+    out = meet(meet(counts, means, by), strat_att(sums, by), by)
+    out = meet(out, cluster_bootstrap(rows, outcomes, cluster, stratum, replicates, keys=list(keys)), by, "left")
+    return out.select(*by, "n", "treated", "control_mean", "treated_mean", "att", "ci_low", "ci_high", significant(F.col("ci_low"), F.col("ci_high")).alias("sig"))
 
 
 def common_support(rows: DataFrame, score: str = "ps") -> DataFrame:

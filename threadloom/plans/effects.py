@@ -148,9 +148,26 @@ def e38(spark, sf):
     return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *[F.round(c, 9).alias(k) for k, c in e.items()])
 
 
-@query("e39_cluster_bootstrap")
+def _poisson(u):
+    return " + ".join(f"({u} >= {t!r})::INT" for t in S.POISSON)
+
+
+def _boot_sql(long, keys=(), replicates=500):
+    """CTEs from `long` (keys, cluster, stratum, d, outcome, v) to `atts` (keys, outcome, r, att): sums of clusters, draws, effects."""
+    k = "".join(f"{c}, " for c in keys)
+    return f"""cs AS (SELECT {k}cluster, outcome, stratum, count(*) FILTER (d = 1) AS n_t, count(*) FILTER (d = 0) AS n_c, coalesce(sum(v) FILTER (d = 1), 0) AS y_t, coalesce(sum(v) FILTER (d = 0), 0) AS y_c FROM {long} WHERE stratum IS NOT NULL AND v IS NOT NULL GROUP BY ALL),
+ du AS (SELECT cluster, r, ('0x' || substr(md5('42-' || r || '-' || cluster), 1, 13))::BIGINT / {float(16**13)!r} AS u FROM (SELECT DISTINCT cluster FROM cs), range(1, {replicates + 1}) t(r)),
+ dr AS (SELECT cluster, r, {_poisson('u')} AS m FROM du),
+ bs AS (SELECT {k}outcome, r, stratum, sum(n_t * m) AS n_t, sum(n_c * m) AS n_c, sum(y_t * m) AS y_t, sum(y_c * m) AS y_c FROM cs JOIN dr USING (cluster) WHERE m > 0 GROUP BY ALL),
+ atts AS (SELECT {k}outcome, r, {_ATT} AS att FROM bs GROUP BY ALL)"""
+
+
+_LONG = "long AS (SELECT stratum, cluster, d, unnest(['y', 'y2']) AS outcome, unnest([y, y2]) AS v FROM st)"
+
+
+@query("e39_cluster_bootstrap", f"WITH {_strata_sql()}, {_LONG}, {_boot_sql('long')} SELECT outcome, round(quantile_cont(att, 0.025), 8) AS ci_low, round(quantile_cont(att, 0.975), 8) AS ci_high, count(*) AS replicates FROM atts WHERE att IS NOT NULL GROUP BY 1")
 def e39(spark, sf):
-    return S.cluster_bootstrap(_strata(spark, sf), ["y", "y2"], replicates=100)
+    return _r(S.cluster_bootstrap(_strata(spark, sf), ["y", "y2"]), "ci_low", "ci_high")
 
 
 _GROUPS = "g AS (SELECT st.*, unnest(list_filter(['full', CASE WHEN l_quantity > 25 THEN 'large' END, CASE WHEN l_discount < 0.05 THEN 'cheap' END], lambda z: z IS NOT NULL)) AS subgroup FROM st)"
@@ -192,16 +209,29 @@ def j03(spark, sf):
     return _r(S.auc(B.sample(spark, sf)), "auc", digits=9)
 
 
-@query("j18_spearman", "WITH r AS (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2 AS x, rank() OVER (PARTITION BY lang ORDER BY doc_id % 17) + (count(*) OVER (PARTITION BY lang, doc_id % 17) - 1) / 2 AS y FROM documents) SELECT lang, round(corr(x, y), 8) AS rho, count(*) AS n FROM r GROUP BY 1")
+def _p_sql(rho, n):
+    """The p-value of a correlation by the same integrals as correlation_p()."""
+    root, steps = f"sqrt(({n} - 2)::DOUBLE)", S.P_STEPS
+    end = f"least({root} * pi() / 2, 40)"
+    start = f"least(CASE WHEN abs({rho}) >= 1 - 1e-15 THEN {end} ELSE {root} * asin(least(abs({rho}), 1)) END, {end})"
+
+    def integral(a):
+        h = f"(({end} - {a}) / {steps})"
+        return f"list_sum(list_transform(range(0, {steps + 1}), lambda k: CASE WHEN k = 0 OR k = {steps} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(greatest(cos(({a} + k * {h}) / {root}), 0), {n} - 3))) * {h} / 3"
+
+    return f"CASE WHEN {n} > 2 THEN ({integral(start)}) / ({integral('0::DOUBLE')}) END"
+
+
+@query("j18_spearman", "WITH r AS (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2 AS x, rank() OVER (PARTITION BY lang ORDER BY doc_id % 17) + (count(*) OVER (PARTITION BY lang, doc_id % 17) - 1) / 2 AS y FROM documents), c AS (SELECT lang, corr(x, y) AS rho, count(*) AS n FROM r GROUP BY 1) " + f"SELECT lang, round(rho, 8) AS rho, n, round({_p_sql('rho', 'n')}, 7) AS p_value FROM c")
 def j18(spark, sf):
     d = t(spark, sf, "documents").select("lang", "n_chars", (F.col("doc_id") % 17).alias("k"))
-    return _r(S.spearman(d, "n_chars", "k", ["lang"]), "rho")
+    return _r(_r(S.spearman(d, "n_chars", "k", ["lang"]), "rho"), "p_value", digits=7)
 
 
-@query("m05_direction_correlations", "WITH l AS (SELECT vec_id, unnest(['first', 'second']) AS feature, unnest([embedding[1]::DOUBLE, embedding[2]::DOUBLE]) AS x, label FROM embeddings), r AS (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2 AS x, rank() OVER (PARTITION BY feature ORDER BY label) + (count(*) OVER (PARTITION BY feature, label) - 1) / 2 AS y FROM l) SELECT feature, round(corr(x, y), 8) AS rho, round(abs(corr(x, y)), 8) AS abs_rho FROM r GROUP BY 1")
+@query("m05_direction_correlations", "WITH l AS (SELECT vec_id, unnest(['first', 'second']) AS feature, unnest([embedding[1]::DOUBLE, embedding[2]::DOUBLE]) AS x, label FROM embeddings), r AS (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2 AS x, rank() OVER (PARTITION BY feature ORDER BY label) + (count(*) OVER (PARTITION BY feature, label) - 1) / 2 AS y FROM l), c AS (SELECT feature, corr(x, y) AS rho, count(*) AS n FROM r GROUP BY 1) " + f"SELECT feature, round(rho, 8) AS rho, round(abs(rho), 8) AS abs_rho, round({_p_sql('rho', 'n')}, 7) AS p_value FROM c")
 def m05(spark, sf):
     e = t(spark, sf, "embeddings").select("label", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.get("embedding", F.lit(k)).cast("double").alias("x")) for k, n in enumerate(("first", "second"))])).alias("f")).select("label", "f.*")
-    return S.spearman(e, "x", "label", ["feature"]).select("feature", F.round("rho", 8).alias("rho"), F.round(F.abs("rho"), 8).alias("abs_rho"))
+    return S.spearman(e, "x", "label", ["feature"]).select("feature", F.round("rho", 8).alias("rho"), F.round(F.abs("rho"), 8).alias("abs_rho"), F.round("p_value", 7).alias("p_value"))
 
 
 @query("j08_anchor_fixed", f"WITH {B.EDITS}, {B.ASKED}, r AS (SELECT a.user_id AS id, min(e.us) FILTER (e.us > q AND ns = 3) - any_value(q) AS lag FROM asked a LEFT JOIN edits e USING (user_id) GROUP BY 1), s AS (SELECT quantile_cont(lag, 0.5) AS median, quantile_cont(lag, 0.25) AS p25, quantile_cont(lag, 0.75) AS p75 FROM r) SELECT id, unnest(['median', 'p25', 'p75', 'zero']) AS strategy, round(unnest([median, p25, p75, 0]), 3) AS lag FROM r, s")
@@ -211,7 +241,16 @@ def j08(spark, sf):
     return out.filter("strategy IN ('median', 'p25', 'p75', 'zero')").select("id", "strategy", F.round("lag", 3).alias("lag"))
 
 
-@query("j08_anchor_sampled")
+_DRAWS = "kinds AS (SELECT CASE WHEN k = 0 THEN 'sample' ELSE 'mean20' END AS strategy, k::INT AS draw FROM range(0, 21) t(k))"
+
+
+@query(
+    "j08_anchor_sampled",
+    f"""WITH {B.EDITS}, {B.ASKED}, r AS (SELECT a.user_id AS id, min(e.us) FILTER (e.us > q AND ns = 3) - any_value(q) AS lag FROM asked a LEFT JOIN edits e USING (user_id) GROUP BY 1),
+ o AS (SELECT lag, row_number() OVER (ORDER BY lag) - 1 AS place FROM r WHERE lag IS NOT NULL), {_DRAWS},
+ u AS (SELECT id, strategy, draw, floor(('0x' || substr(md5(id || '-' || draw), 1, 13))::BIGINT / {float(16**13)!r} * (SELECT count(*) FROM o))::BIGINT AS place FROM r, kinds)
+ SELECT id, strategy, draw, lag::DOUBLE AS lag FROM u LEFT JOIN o USING (place)""",
+)
 def j08b(spark, sf):
     x = B.asked(spark, sf).join(B.edits(spark, sf), "user_id", "left").groupBy(F.col("user_id").alias("id")).agg((F.min(F.when((F.col("us") > F.col("q")) & (F.col("ns") == 3), F.col("us"))) - F.first("q")).alias("lag"))
     return S.anchor_lags(x.filter("lag IS NOT NULL"), x.select("id")).filter("strategy IN ('sample', 'mean20')")
@@ -240,24 +279,29 @@ def j10(spark, sf):
     return _r(S.strat_att(S.stratum_sums(grid, ["y"], ["k"]), ["k"]), "att")
 
 
+_EFFECTS = f"""sums AS (SELECT KEYS outcome, stratum, count(*) FILTER (d = 1) AS n_t, count(*) FILTER (d = 0) AS n_c, coalesce(sum(v) FILTER (d = 1), 0) AS y_t, coalesce(sum(v) FILTER (d = 0), 0) AS y_c FROM long GROUP BY ALL),
+ e AS (SELECT KEYS outcome, (sum(n_t) + sum(n_c))::BIGINT AS n, sum(n_t)::BIGINT AS treated, sum(y_c) / sum(n_c) AS control_mean, sum(y_t) / sum(n_t) AS treated_mean, {_ATT} AS att FROM sums GROUP BY ALL),
+ ci AS (SELECT KEYS outcome, quantile_cont(att, 0.025) AS ci_low, quantile_cont(att, 0.975) AS ci_high FROM atts WHERE att IS NOT NULL GROUP BY ALL),
+ t AS (SELECT e.*, ci_low, ci_high, CASE WHEN ci_low > 0 OR ci_high < 0 THEN '*' ELSE '' END AS sig FROM e JOIN ci USING (KEYS outcome))"""
+_ROUNDED = "n, treated, round(control_mean, 8) AS control_mean, round(treated_mean, 8) AS treated_mean, round(att, 8) AS att, round(ci_low, 8) AS ci_low, round(ci_high, 8) AS ci_high, sig"
+_NUMBERS = ("control_mean", "treated_mean", "att", "ci_low", "ci_high")
+_SPANS = ((0, 60), (60, 180), (180, 365), (365, 730))
 _PERSISTENCE = f"""WITH {B.LONG}, {B.LONG_ASKED}, x AS (SELECT a.user_id, a.q, e.us, e.ns FROM asked a LEFT JOIN edits e USING (user_id)),
- o AS (SELECT user_id, user_id % 2 AS d, user_id % 5 AS stratum, """ + ", ".join(f"(count(*) FILTER (ns = 0 AND us > q + {a}::BIGINT * 86400000000 AND us <= q + {b}::BIGINT * 86400000000) >= {k})::INT::DOUBLE AS o{k}_{b}" for a, b in ((0, 60), (60, 180), (180, 365), (365, 730)) for k in (1, 2)) + """ FROM x GROUP BY 1),
- l AS (SELECT d, stratum, unnest([""" + ", ".join(f"'o{k}_{b}'" for _, b in ((0, 60), (60, 180), (180, 365), (365, 730)) for k in (1, 2)) + "]) AS outcome, unnest([" + ", ".join(f"o{k}_{b}" for _, b in ((0, 60), (60, 180), (180, 365), (365, 730)) for k in (1, 2)) + f"""]) AS v FROM o),
- sums AS (SELECT outcome, stratum, count(*) FILTER (d = 1) AS n_t, count(*) FILTER (d = 0) AS n_c, coalesce(sum(v) FILTER (d = 1), 0) AS y_t, coalesce(sum(v) FILTER (d = 0), 0) AS y_c FROM l GROUP BY ALL) SELECT outcome, round({_ATT}, 8) AS att FROM sums GROUP BY 1"""
+ o AS (SELECT user_id, user_id % 2 AS d, user_id % 5 AS stratum, """ + ", ".join(f"(count(*) FILTER (ns = 0 AND us > q + {a}::BIGINT * 86400000000 AND us <= q + {b}::BIGINT * 86400000000) >= {k})::INT::DOUBLE AS o{k}_{b}" for a, b in _SPANS for k in (1, 2)) + """ FROM x GROUP BY 1),
+ long AS (SELECT user_id AS cluster, d, stratum, unnest([""" + ", ".join(f"'o{k}_{b}'" for _, b in _SPANS for k in (1, 2)) + "]) AS outcome, unnest([" + ", ".join(f"o{k}_{b}" for _, b in _SPANS for k in (1, 2)) + f"""]) AS v FROM o),
+ {_boot_sql('long')}, {_EFFECTS.replace('KEYS ', '')} SELECT outcome, {_ROUNDED} FROM t"""
 
 
 @query("j12_persistence", _PERSISTENCE)
 def j12(spark, sf):
-    x = B.long_asked(spark, sf).join(B.long_edits(spark, sf), "user_id", "left")
+    from threadloom.operators.scan import window_measures
+
     day = 86_400_000_000
-    names, cols = [], []
-    for a, b in ((0, 60), (60, 180), (180, 365), (365, 730)):
-        for k in (1, 2):
-            names.append(f"o{k}_{b}")
-            e = F.col("us") - F.col("q")
-            cols.append((F.count_if((F.col("ns") == 0) & (e > a * day) & (e <= b * day)) >= k).cast("double").alias(names[-1]))
-    o = x.groupBy("user_id").agg(*cols).withColumns({"d": F.col("user_id") % 2, "stratum": F.col("user_id") % 5})
-    return _r(S.strat_att(S.stratum_sums(o, names), ["outcome"]), "att")
+    spans = {str(b): (a * day + 1, b * day + 1) for a, b in _SPANS}
+    n = window_measures(B.long_asked(spark, sf), B.long_edits(spark, sf), "user_id", "q", "us", spans, {"n": (F.col("ns") == 0).cast("long")})
+    names = {f"o{k}_{b}": (F.col(f"n_{b}") >= k).cast("double") for b in spans for k in (1, 2)}
+    o = n.select("user_id", *[c.alias(m) for m, c in names.items()]).withColumns({"d": F.col("user_id") % 2, "stratum": F.col("user_id") % 5})
+    return _r(S.effect_table(o, list(names), cluster="user_id"), *_NUMBERS)
 
 
 @query("j22_interaction_grid", f"WITH e AS (SELECT list_sort(list_distinct([quantile_cont(l_quantity, 0), quantile_cont(l_quantity, 1 / 3), quantile_cont(l_quantity, 2 / 3), quantile_cont(l_quantity, 1)])) AS a, list_sort(list_distinct([quantile_cont(l_extendedprice, 0), quantile_cont(l_extendedprice, 1 / 3), quantile_cont(l_extendedprice, 2 / 3), quantile_cont(l_extendedprice, 1)])) AS b FROM lineitem) SELECT len(list_filter(a[2:len(a) - 1], lambda z: z < l_quantity))::INT AS t1, len(list_filter(b[2:len(b) - 1], lambda z: z < l_extendedprice))::INT AS t2, count(*) AS n, round(avg(l_tax), 8) AS tax FROM lineitem, e GROUP BY ALL")
@@ -266,14 +310,40 @@ def j22(spark, sf):
     return l.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.round(F.avg("l_tax"), 8).alias("tax"))
 
 
-@query("m01_att_by_tertile", f"WITH {_strata_sql()}, e AS (SELECT list_sort(list_distinct([quantile_cont(l_extendedprice, 0), quantile_cont(l_extendedprice, 1 / 3), quantile_cont(l_extendedprice, 2 / 3), quantile_cont(l_extendedprice, 1)])) AS b FROM sample), s2 AS (SELECT st.*, len(list_filter(b[2:len(b) - 1], lambda z: z < l_extendedprice))::INT AS tertile FROM st, e), sums AS (SELECT tertile, stratum, count(*) FILTER (d = 1) AS n_t, count(*) FILTER (d = 0) AS n_c, coalesce(sum(y) FILTER (d = 1), 0) AS y_t, coalesce(sum(y) FILTER (d = 0), 0) AS y_c FROM s2 GROUP BY ALL) SELECT tertile, round({_ATT}, 8) AS att FROM sums GROUP BY 1")
+_TERTILES = f"""{_strata_sql()}, te AS (SELECT list_sort(list_distinct([quantile_cont(l_extendedprice, 0), quantile_cont(l_extendedprice, 1 / 3), quantile_cont(l_extendedprice, 2 / 3), quantile_cont(l_extendedprice, 1)])) AS b FROM sample),
+ s3 AS (SELECT st.*, len(list_filter(b[2:len(b) - 1], lambda z: z < l_extendedprice))::INT AS tertile FROM st, te)"""
+_COVARIATES = ["l_quantity", "l_discount", "l_tax"]
+_SMD = f"""lx AS (SELECT tertile, stratum, d, unnest({_COVARIATES!r}) AS variable, unnest([{', '.join(_COVARIATES)}]) AS x FROM s3),
+ bx AS (SELECT tertile, variable, stratum, count(*) AS n, avg(x) FILTER (d = 1) AS t, avg(x) FILTER (d = 0) AS c FROM lx GROUP BY ALL),
+ wx AS (SELECT tertile, variable, sum(CASE WHEN t IS NOT NULL AND c IS NOT NULL THEN n * (t - c) END) / sum(CASE WHEN t IS NOT NULL AND c IS NOT NULL THEN n END) AS within FROM bx GROUP BY ALL),
+ px AS (SELECT tertile, variable, sqrt((var_pop(x) FILTER (d = 1) + var_pop(x) FILTER (d = 0)) / 2) AS pooled FROM lx GROUP BY ALL),
+ smd AS (SELECT tertile, count(*) FILTER (abs(within) / pooled > 0.1) AS smd_above FROM wx JOIN px USING (tertile, variable) GROUP BY ALL)"""
+_AUCS = "ra AS (SELECT tertile, d, rank() OVER (PARTITION BY tertile ORDER BY ps) + (count(*) OVER (PARTITION BY tertile, ps) - 1) / 2 AS r FROM s3), au AS (SELECT tertile, (sum(r) FILTER (d = 1) - count(*) FILTER (d = 1) * (count(*) FILTER (d = 1) + 1) / 2) / (count(*) FILTER (d = 1)::DOUBLE * count(*) FILTER (d = 0)) AS auc FROM ra GROUP BY 1)"
+
+
+@query(
+    "m01_att_by_tertile",
+    f"WITH {_TERTILES}, long AS (SELECT tertile, stratum, cluster, d, unnest(['y', 'y2']) AS outcome, unnest([y, y2]) AS v FROM s3), {_boot_sql('long', ['tertile'])}, {_EFFECTS.replace('KEYS', 'tertile,')}, {_AUCS}, {_SMD} SELECT tertile, outcome, {_ROUNDED}, round(auc, 8) AS auc, smd_above FROM t JOIN au USING (tertile) JOIN smd USING (tertile)",
+)
 def m01(spark, sf):
     s = S.qcut(_strata(spark, sf), "l_extendedprice", 3, "tertile")
-    return _r(S.strat_att(S.stratum_sums(s, ["y"], ["tertile"]), ["tertile"]), "att")
+    smd = S.balance(s, _COVARIATES, group=["tertile"]).groupBy("tertile").agg(F.count_if(F.col("strat") > 0.1).alias("smd_above"))
+    out = S.effect_table(s, ["y", "y2"], ["tertile"]).join(S.auc(s, "ps", ["tertile"]), "tertile").join(smd, "tertile")
+    return _r(out, *_NUMBERS, "auc")
+
+
+_FIVE = {"y": "y", "y2": "y2", "both": "y * y2", "price": "l_extendedprice / 10000", "taxed": "(l_tax > 0.04)::INT::DOUBLE"}
 
 
-@query("m02_att_difference")
+@query(
+    "m02_att_difference",
+    f"""WITH {_strata_sql()}, long AS (SELECT l_quantity > 25 AS half, stratum, cluster, d, unnest({list(_FIVE)!r}) AS outcome, unnest([{', '.join(_FIVE.values())}]) AS v FROM st), {_boot_sql('long', ['half'])},
+ sums AS (SELECT half, outcome, stratum, count(*) FILTER (d = 1) AS n_t, count(*) FILTER (d = 0) AS n_c, coalesce(sum(v) FILTER (d = 1), 0) AS y_t, coalesce(sum(v) FILTER (d = 0), 0) AS y_c FROM long GROUP BY ALL),
+ e AS (SELECT half, outcome, {_ATT} AS att FROM sums GROUP BY ALL), f AS (SELECT outcome, max(att) FILTER (NOT half) AS att_low, max(att) FILTER (half) AS att_high FROM e GROUP BY 1),
+ dd AS (SELECT outcome, r, max(att) FILTER (NOT half) - max(att) FILTER (half) AS delta FROM atts GROUP BY ALL), ci AS (SELECT outcome, quantile_cont(delta, 0.025) AS ci_low, quantile_cont(delta, 0.975) AS ci_high FROM dd WHERE delta IS NOT NULL GROUP BY 1)
+ SELECT outcome, round(att_low, 8) AS att_low, round(att_high, 8) AS att_high, round(att_low - att_high, 8) AS delta, round(ci_low, 8) AS ci_low, round(ci_high, 8) AS ci_high, ci_low > 0 OR ci_high < 0 AS sig FROM f JOIN ci USING (outcome)""",
+)
 def m02(spark, sf):
-    s = _strata(spark, sf)
-    parts = [S.cluster_bootstrap(s.filter(c), ["y"], replicates=60).withColumn("part", F.lit(p)) for p, c in (("low", "l_quantity <= 25"), ("high", "l_quantity > 25"))]
-    return parts[0].unionByName(parts[1])
+    made = {"both": F.col("y") * F.col("y2"), "price": F.col("l_extendedprice") / 10000, "taxed": (F.col("l_tax") > 0.04).cast("double")}
+    out = S.effect_difference(_strata(spark, sf).withColumns(made), list(_FIVE), F.col("l_quantity") > 25)
+    return _r(out, "att_low", "att_high", "delta", "ci_low", "ci_high")

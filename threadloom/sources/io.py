@@ -99,12 +99,9 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """rows without their lineage, by a checkpoint in the shared folder that goes when the driver ends: for loops that build on their own results."""
-    spark = rows.sparkSession
-    if shared_folder(spark) == FALLBACK_CHECKPOINTS:
-        spark.sparkContext.setCheckpointDir(FALLBACK_CHECKPOINTS)
-    out = rows.checkpoint()
-    file = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
-    if file.isDefined():
-        delete_at_exit(spark, file.get())
-    return out
+    """rows without their lineage, as a table in the shared folder that goes when the driver ends: for loops that build on their own results.
+
+    A table's statistics are its size. (Those of a checkpoint are carried on from the plan, and grow beyond all bounds in loops of joins.)
+    """
+    rows.write.parquet(path := scratch(rows.sparkSession, "cut"))
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
