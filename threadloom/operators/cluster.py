@@ -76,73 +76,139 @@ def profile(rows: DataFrame, label: str, outcomes: list[str], text: str, key: st
     return means.join(picked, label).withColumn("samples", F.array_join("t", " ||| ")).drop("t")
 
 
-def sub_cells(rows: DataFrame, label: str, columns: list[str], key: str, seed: int = 42, least: int = 40, per_cell: int = 20, most: int = 5, starts: int = 10, steps: int = 30) -> DataFrame:
-    """k-means cells within each label of at least so many rows; k = min(max(2, n / per_cell), most); others have one cell.
-
-    All labels and all starts take their steps together: a step is one pass in which each task adds up its rows by nearest centre. A
-    start's centres are rows of the least hashes; of the starts the one with the least sum of squares counts. The driver
-    holds the centres: labels x starts x k points.
+def sub_cells(
+    rows: DataFrame, label: str, columns: list[str], key: str, seed: int = 42, least: int = 40, per_cell: int = 20, most: int = 5, starts: int = 10, steps: int = 300, whole: int = 100_000, together: int = 500
+) -> DataFrame:
+    """rows with their columns standardised and cell, k-means cells within each label of at least so many rows: k = min(max(2, n / per_cell), most);
+    other labels have one cell.
+
+    Start s begins with the k rows from place s * k on in the order of a hash of the key (ties by the key; from the first again where a label has fewer); of the
+    starts the one with the least sum of squares counts, the first on ties. A label of up to `whole` rows is one task's; larger ones
+    take their steps together, `together` labels at a time, each task adding up its own rows by nearest centre. Null labels are a
+    label; rows with a null among the columns are left out; an empty table gives an empty result. Steps that have not settled are told by a warning.
     """
     import numpy as np
 
     from threadloom.operators.linear import standardise
 
-    z = standardise(rows.withColumns({c: F.col(c).cast("double") for c in columns}), columns).withColumn("__x", F.array(*columns))
-    sizes = {r[0]: r[1] for r in z.groupBy(label).count().collect()}  # a row for each label
-    many = {k: min(max(2, n // per_cell), most) for k, n in sizes.items() if n >= least}
-    if not many:
-        return z.withColumn("cell", F.lit(0)).drop("__x")
-    p, kind = len(columns), z.schema[label].dataType.simpleString()
-    order = W.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
-    first: dict = {}
-    for r in z.filter(F.col(label).isin(list(many))).withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= most * starts).select(label, "__r", "__x").collect():
-        first.setdefault(r[0], {})[r["__r"] - 1] = r["__x"]
-    # A start takes the next k rows; they begin again where a label has fewer.
-    centres = {g: np.array([[first[g][(s * k + j) % len(first[g])] for j in range(k)] for s in range(starts)]) for g, k in many.items()}
-
-    def nearest(x, c):
-        return ((x[:, None, None, :] - c[None]) ** 2).sum(-1)  # rows x starts x cells
-
-    def step(centres):
-        def run(batches):
+    p = len(columns)
+    z = standardise(rows.withColumns({c: F.col(c).cast("double") for c in columns}), columns).dropna(subset=columns)
+    z = cut(z.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key))))
+    size = z.groupBy(label).agg(F.count("*").alias("__n"))
+    parts = meet(z, size, [label])
+    cells_of = lambda n: min(max(2, n // per_cell), most)
+    out_schema = z.drop("__h").withColumn("cell", F.lit(0)).schema
+
+    def squares(x, c):
+        """rows x starts x cells"""
+        return np.maximum((x * x).sum(1)[:, None, None] + (c * c).sum(2)[None] - 2 * np.einsum("np,skp->nsk", x, c), 0)
+
+    def sums(x, c):
+        """Of the rows of each start's cells: sums, numbers, squares to the centre."""
+        total = np.zeros((starts, c.shape[1], p + 2))
+        for a in range(0, len(x), 20_000):
+            part = x[a : a + 20_000]
+            d = squares(part, c)
+            one = (d.argmin(2)[:, :, None] == np.arange(c.shape[1])).astype(float)
+            total[:, :, :p] += np.einsum("nsk,np->skp", one, part)
+            total[:, :, p] += one.sum(0)
+            total[:, :, p + 1] += (one * d).sum(0)
+        return total
+
+    def moved(total, c):
+        return np.where(total[:, :, p, None] > 0, total[:, :, :p] / np.maximum(total[:, :, p, None], 1), c)
+
+    def begin(x, k):
+        m = min(len(x), most * starts)
+        return np.array([[x[(s * k + j) % m] for j in range(k)] for s in range(starts)])
+
+    def one_label(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        n = table.num_rows
+        cell = np.zeros(n, np.int32)
+        if n >= least:
+            table = table.take(pc.sort_indices(table, [("__h", "ascending"), (key, "ascending")]))
+            x = np.stack([table.column(c).to_numpy() for c in columns], axis=1)
+            c = begin(x, cells_of(n))
+            for _ in range(steps):
+                total = sums(x, c)
+                new = moved(total, c)
+                still = np.allclose(new, c, atol=1e-9)
+                c = new
+                if still:
+                    break
+            best = c[total[:, :, p + 1].sum(1).round(9).argmin()]
+            cell = squares(x, best[None])[:, 0].argmin(1).astype(np.int32)
+        return table.drop_columns(["__h"]).append_column("cell", pa.array(cell))
+
+    small = parts.filter(F.col("__n") <= whole).drop("__n").groupBy(label).applyInArrow(one_label, out_schema)
+    large = [r[0] for r in size.filter(F.col("__n") > whole).select(label).collect()]  # at most rows / whole
+    for a in range(0, len(large), together):
+        some = large[a : a + together]
+        mine = F.lit(False)
+        for g in some:
+            mine = mine | F.col(label).eqNullSafe(F.lit(g))
+        own = cut(parts.filter(mine).withColumn("__x", F.array(*columns)))
+        first = W.partitionBy(label).orderBy("__h", key)
+        heads = own.withColumn("__r", F.row_number().over(first)).filter(F.col("__r") <= most * starts).select(label, "__r", "__x", "__n").collect()  # so many rows of each label
+        centres = {}
+        for g in some:
+            mine = sorted((r["__r"], r["__x"], r["__n"]) for r in heads if r[label] == g)
+            centres[g] = begin(np.array([x for _, x, _ in mine]), cells_of(mine[0][2]))
+
+        def add_up(centres):
+            def run(batches):
+                import pyarrow as pa
+
+                held, kind = {}, None
+                for batch in batches:
+                    kind = batch.column(0).type
+                    codes = batch.column(0).dictionary_encode()
+                    names, x = [*codes.dictionary.to_pylist(), None], batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+                    at = codes.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False)
+                    order = np.argsort(at, kind="stable")
+                    for place in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+                        if len(place):
+                            g = names[at[place[0]]]
+                            held[g] = held.get(g, 0) + sums(x[place], centres[g])
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(held), kind), pa.array([h.ravel() for h in held.values()], pa.list_(pa.float64()))], names=["label", "g"])
+
+            return run
+
+        kind, settled = z.schema[label].dataType.simpleString(), False
+        for _ in range(steps):
+            added = own.select(F.col(label).alias("label"), "__x").mapInArrow(add_up(centres), f"label {kind}, g array<double>").select("label", F.posexplode("g").alias("k", "x")).groupBy("label", "k").agg(F.sum("x").alias("x"))
+            totals = {r[0]: np.array(r[1]).reshape(starts, -1, p + 2) for r in added.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"])).collect()}  # a row for each label
+            new = {g: moved(t, centres[g]) for g, t in totals.items()}
+            settled = all(np.allclose(new[g], centres[g], atol=1e-9) for g in new)
+            centres = new
+            if settled:
+                break
+        if not settled:
+            import warnings
+
+            warnings.warn(f"k-means of {len(some)} labels has not settled after {steps} steps", stacklevel=2)
+        best = {g: c[totals[g][:, :, p + 1].sum(1).round(9).argmin()] for g, c in centres.items()}
+
+        def assign(batches, best=best):
             import pyarrow as pa
 
-            held, kind = {g: np.zeros((starts, c.shape[1], p + 2)) for g, c in centres.items()}, None
             for batch in batches:
-                kind = batch.column(0).type
-                labels, x = np.array(batch.column(0).to_pylist()), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
-                for g, c in centres.items():
-                    own = x[labels == g]
-                    for a in range(0, len(own), 10_000):
-                        part = own[a : a + 10_000]
-                        d = nearest(part, c)
-                        at = d.argmin(2)
-                        for s in range(starts):
-                            one = (at[:, s, None] == np.arange(c.shape[1])).astype(float)
-                            held[g][s, :, :p] += one.T @ part
-                            held[g][s, :, p] += one.sum(0)
-                            held[g][s, :, p + 1] += one.T @ d[:, s].min(1)
-            if kind is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), kind), pa.array([h.ravel() for h in held.values()], pa.list_(pa.float64()))], names=[label, "g"])
-
-        return run
-
-    part = z.filter(F.col(label).isin(list(many))).select(label, "__x")
-    for _ in range(steps):
-        cells = part.mapInArrow(step(centres), f"`{label}` {kind}, g array<double>").select(label, F.posexplode("g").alias("k", "x")).groupBy(label, "k").agg(F.sum("x").alias("x"))
-        sums = {r[0]: np.array(r[1]).reshape(starts, -1, p + 2) for r in cells.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"])).collect()}
-        new = {g: np.where(h[:, :, p, None] > 0, h[:, :, :p] / np.maximum(h[:, :, p, None], 1), centres[g]) for g, h in sums.items()}
-        still = all(np.allclose(new[g], centres[g], atol=1e-9) for g in new)
-        centres = new
-        if still:
-            break
-    best = {g: centres[g][sums[g][:, :, p + 1].sum(1).argmin()] for g in centres}
-    distance = lambda c: sum(((F.col(k) - float(v)) * (F.col(k) - float(v)) for k, v in zip(columns, c)), F.lit(0.0))
-    cell = F.lit(0)
-    for g, c in best.items():
-        d = F.array(*[distance(x) for x in c])
-        cell = F.when(F.col(label) == g, F.array_position(d, F.array_min(d)).cast("int") - 1).otherwise(cell)
-    return z.withColumn("cell", cell).drop("__x")
+                at = batch.schema.get_field_index(label)
+                labels = np.array(batch.column(at).to_pylist(), dtype=object)
+                x = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in columns], axis=1)
+                cell = np.zeros(len(x), np.int32)
+                for g, c in best.items():
+                    own = np.flatnonzero(labels == g) if g is not None else np.flatnonzero([v is None for v in labels])
+                    if len(own):
+                        cell[own] = squares(x[own], c[None])[:, 0].argmin(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
+
+        small = small.unionByName(own.drop("__h", "__n", "__x").mapInArrow(assign, out_schema))
+    return small
 
 
 def hash_tables(least: float, bits: int, miss: float = 1e-4) -> int:

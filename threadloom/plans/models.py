@@ -351,6 +351,13 @@ def m08(spark, sf):
     return _rounded(C.matched_groups(v, ["label"], ["a", "b"], F.col("a") > 0, "vec_id"))
 
 
+@query("j24_density_clusters")
+def j24(spark, sf):
+    from threadloom.operators.density import density_clusters
+
+    return density_clusters(_vectors(spark, sf), "vec_id", "embedding")
+
+
 @query("a12_a13_i08_i09_plugins", "SELECT d.doc_id, l.toxic::DOUBLE AS toxicity, 0::DOUBLE AS compound FROM documents d LEFT JOIN labels l USING (doc_id)")
 def plugins(spark, sf):
     from threadloom.functions.plugins import table_scores, zero_scores
