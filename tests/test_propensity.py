@@ -110,3 +110,36 @@ def test_models_that_do_not_settle_are_an_error(units):
 def test_no_group_is_large_enough(units):
     effects, diagnostics = D.group_effects(units, COLUMNS, {"tiny": F.expr("id < 40")}, ["y"], replicates=5)
     assert effects.count() == diagnostics.count() == 0
+
+
+def test_betas_of_groups_equal_numpy(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, None if i % 5 == 4 else i % 5, rng.normal(size=4).tolist(), float(rng.normal())) for i in range(400)] + [(1000, 99, [1.0, 2.0, 3.0, 4.0], 1.0)]
+    df = spark.createDataFrame(rows, "id long, g int, v array<double>, y double")
+    got = {r.g: r for r in L.group_betas(df, F.col("v"), 4, "y", "g").collect()}
+    assert sorted(got, key=str) == sorted([0, 1, 2, 3, 99, None], key=str) and got[99].beta is None
+    for g in (0, 1, 2, 3, None):
+        own = [r for r in rows if r[1] == g]
+        x, y = np.array([[*r[2], 1.0] for r in own]), np.array([r[3] for r in own])
+        beta = np.linalg.lstsq(x, y, rcond=None)[0]
+        assert got[g].n == len(own) and got[g].beta == pytest.approx(beta[:4]) and got[g].intercept == pytest.approx(beta[4])
+        assert got[g].r2 == pytest.approx(1 - ((y - x @ beta) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+
+
+def test_covariance_matches_equal_brute_force(spark):
+    from threadloom.operators import cluster as C
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 6)) @ rng.normal(size=(6, 6))
+    age = rng.normal(size=300)
+    df = spark.createDataFrame([(i, f"c{i % 4}", v.tolist(), float(a)) for i, (v, a) in enumerate(zip(x, age))], "id long, cell string, v array<double>, age double")
+    got = C.covariance_matches(df, ["cell"], "v", 6, F.col("id") % 3 == 0, "id", "age", tiers=2, n=4).collect()
+    inverse, tier = np.linalg.inv(np.cov(x.T, bias=True)), (age > np.median(age)).astype(int)
+    want = []
+    for c in range(4):
+        for t in (0, 1):
+            own = [i for i in range(300) if i % 4 == c and tier[i] == t]
+            anchor = min(i for i in own if i % 3 == 0)
+            far = {i: float(np.sqrt((x[i] - x[anchor]) @ inverse @ (x[i] - x[anchor]))) for i in own}
+            want += [(f"c{c}", t, anchor, i, pytest.approx(far[i], abs=1e-9), k) for k, i in enumerate(sorted(own, key=lambda i: (far[i], i))[:4], 1)]
+    assert sorted((tuple(r) for r in got), key=lambda r: (r[0], r[1], r[5])) == want

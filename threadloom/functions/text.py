@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.scalar import safe_div
@@ -61,10 +61,16 @@ def _flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("int")
 
 
-def text_features(text: Column, prefix: str) -> dict[str, Column]:
-    """The thirty text features of a message; empty and null texts have zeros."""
+def text_parts(text: Column) -> Column:
+    """What text_features() uses again and again: the text, its words, its lower case and its number of sentences, as one struct."""
     t = F.coalesce(text, F.lit(""))
-    w, lower, sentences = words(t), F.lower(t), sentence_count(t)
+    return F.struct(t.alias("t"), words(t).alias("w"), F.lower(t).alias("lower"), sentence_count(t).alias("sentences"))
+
+
+def text_features(text: Column, prefix: str, parts: Column | None = None) -> dict[str, Column]:
+    """The thirty text features of a message; empty and null texts have zeros. parts: text_parts() of it, where that is a column already."""
+    parts = text_parts(text) if parts is None else parts
+    t, w, lower, sentences = (parts.getField(k) for k in ("t", "w", "lower", "sentences"))
     n = F.size(w)
     out = {
         "words": n.cast("long"),
@@ -87,6 +93,13 @@ def text_features(text: Column, prefix: str) -> dict[str, Column]:
     return {f"{prefix}_{k}": c for k, c in out.items()}
 
 
+def with_text_features(rows: DataFrame, text: str, prefix: str) -> DataFrame:
+    """rows with the features of a column; words and lower case are made once a row, as a generator is not merged into what uses it."""
+    name = f"__{prefix}_parts"
+    made = rows.withColumn(name, F.explode(F.array(text_parts(F.col(text)))))
+    return made.select(*rows.columns, *[c.alias(k) for k, c in text_features(F.col(text), prefix, F.col(name)).items()])
+
+
 def is_english(text: Column, share: float = 0.8) -> Column:
     """Whether Latin letters A-Z make up this share of all letters; true for texts of under three characters or without letters."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
@@ -108,6 +121,12 @@ def pronoun_counts(text: Column, pronouns: dict[str, list[str]] | None = None) -
     return {f"n_{k}": among(v) for k, v in (pronouns or PRONOUNS).items()}
 
 
+def pronoun_rates(text: Column, pronouns: dict[str, list[str]] | None = None) -> dict[str, Column]:
+    """pronoun_counts() and, as rate_k, each over the number of words (one at least)."""
+    counts, n = pronoun_counts(text, pronouns), F.greatest(F.size(words(text)), F.lit(1))
+    return counts | {f"rate_{k[2:]}": c / n for k, c in counts.items()}
+
+
 def syllables(word: Column) -> Column:
     """Vowel groups of a word, less a final e; one at least. Words of one or two letters have one."""
     w = strip(F.lower(word))

@@ -266,3 +266,21 @@ def matched_groups(rows: DataFrame, cell: list[str], columns: list[str], anchor:
     near = rows.join(first, cell).crossJoin(F.broadcast(spread)).withColumn("distance", F.sqrt(d2))  # one row of variances
     w = W.partitionBy(*cell).orderBy("distance", key)
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select(*cell, key, "distance", "rank")
+
+
+def covariance_matches(rows: DataFrame, cell: list[str], vector: str, p: int, anchor: Column, key: str, age: str | None = None, tiers: int = 3, n: int = 3) -> DataFrame:
+    """For the anchor of each cell (the row where anchor is true, of the least key) the n nearest rows by Mahalanobis distance with the full covariance.
+
+    With age, rows match only within quantile tiers of it (over all rows), so that a tier is part of the cell. The n nearest of a task go
+    on, so no task sorts a whole cell. An anchor is its own nearest row; ties go by key; cells without an anchor have no rows.
+    """
+    from threadloom.operators.linear import whitened
+    from threadloom.operators.stats import qcut
+
+    rows = qcut(rows, age, tiers, "tier") if age else rows
+    cell = [*cell, "tier"] if age else list(cell)
+    w = whitened(rows, vector, p, "__w").filter("__w IS NOT NULL")
+    first = w.filter(anchor).groupBy(*cell).agg(F.min(F.struct(key, "__w")).alias("__a"))
+    near = meet(w.select(*cell, key, "__w"), first, cell).withColumn("distance", F.sqrt(F.aggregate(F.zip_with("__w", "__a.__w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)))
+    order = W.partitionBy(*cell).orderBy("distance", key)
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select(*cell, F.col(f"__a.{key}").alias("anchor"), key, "distance", "rank")

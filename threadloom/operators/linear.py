@@ -89,6 +89,66 @@ def unpack(g: Sequence[float], p: int) -> np.ndarray:
     return out + np.triu(out, 1).T
 
 
+def group_betas(rows: DataFrame, vector: Column, p: int, y: str, group: str, alpha: float = 0.0) -> DataFrame:
+    """(group, n, beta, intercept, r2): least squares (or ridge) of y on an array column's p cells within each group; a singular system has nulls.
+
+    Gram matrices are added up by group, and each is solved in the task that has its row: nothing is gathered, however many groups there are. Rows
+    with a null among the cells are left out.
+    """
+    q = p + 2
+    whole = F.concat(vector.cast("array<double>"), _vector([F.lit(1.0), y]))
+    sums = gram_of(rows.withColumn("__group", F.col(group)), whole, q, ["__group"])
+
+    def solve(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for cells in batch.column(1).to_pylist():
+                g = unpack(cells, q)
+                try:
+                    beta = np.linalg.solve(g[: p + 1, : p + 1] + alpha * np.diag([1.0] * p + [0.0]), g[: p + 1, p + 1])
+                    rss = g[q - 1, q - 1] - 2 * beta @ g[: p + 1, q - 1] + beta @ g[: p + 1, : p + 1] @ beta
+                    tss = g[q - 1, q - 1] - g[p, q - 1] ** 2 / g[p, p]
+                    out.append((int(g[p, p]), beta[:p].tolist(), float(beta[p]), float(1 - rss / tss) if tss > 0 else None))
+                except np.linalg.LinAlgError:
+                    out.append((int(g[p, p]), None, None, None))
+            columns = list(zip(*out)) or [()] * 4
+            kinds = (pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), k) for c, k in zip(columns, kinds)]], names=[group, "n", "beta", "intercept", "r2"])
+
+    kind = sums.schema["__group"].dataType.simpleString()
+    return sums.mapInArrow(solve, f"`{group}` {kind}, n long, beta array<double>, intercept double, r2 double")
+
+
+def whitened(rows: DataFrame, vector: str, p: int, out: str) -> DataFrame:
+    """rows with an array column's p cells times the inverse Cholesky factor of their covariance (population): Euclidean distances of the result are
+    Mahalanobis distances. Rows with a null among the cells have null; a singular covariance is an error."""
+    row = gram_of(rows, F.concat(F.col(vector).cast("array<double>"), _vector([F.lit(1.0)])), p + 1).first()
+    if row is None:
+        return rows.withColumn(out, F.lit(None).cast("array<double>"))
+    g = unpack(row.g, p + 1)
+    n, mean = g[p, p], g[p, :p] / g[p, p]
+    inverse = np.linalg.inv(np.linalg.cholesky(g[:p, :p] / n - np.outer(mean, mean)))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at = batch.schema.get_field_index("__white_in")
+            flat = [None if v is None or None in v else v for v in batch.column(at).to_pylist()]
+            fine = [k for k, v in enumerate(flat) if v is not None]
+            made: list = [None] * len(flat)
+            if fine:
+                for k, z in zip(fine, (np.array([flat[k] for k in fine]) @ inverse.T).tolist()):
+                    made[k] = z
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.float64()))], names=[*batch.schema.names, "__white_out"])
+
+    cast = rows.withColumn("__white_in", F.col(vector).cast("array<double>"))
+    made = cast.mapInArrow(run, cast.withColumn("__white_out", F.col("__white_in")).schema)
+    return made.withColumn(out, F.col("__white_out")).drop("__white_in", "__white_out")
+
+
 def student_tail(t: float, df: float) -> float:
     """Two-sided p-value of Student's t, by the continued fraction of the incomplete beta function."""
     if not math.isfinite(t) or df <= 0:

@@ -335,14 +335,32 @@ def m04(spark, sf):
 
 @query("m07_cluster_betas", f"WITH v AS (SELECT label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS y FROM embeddings), {_solve_sql('s', 'v', ['a', 'b'], 'y', 'label')} SELECT label::INT AS label, round(ba, 6) AS beta_a, round(bb_, 6) AS beta_b, round((ba * ay + bb_ * by_) / yy, 6) AS r2 FROM s")
 def m07(spark, sf):
-    v = _vectors(spark, sf).withColumns({"a": F.get("embedding", F.lit(0)), "b": F.get("embedding", F.lit(1)), "y": F.get("embedding", F.lit(2))})
-    rows = []
-    for r in L.gram(v, ["a", "b"], "y", ["label"]).collect():  # a row for each label
-        g = L.unpack(r.g, 4)
-        beta = L.np.linalg.solve(g[:3, :3], g[:3, 3])
-        rss, tss = g[3, 3] - beta @ g[:3, 3], g[3, 3] - g[2, 3] ** 2 / g[2, 2]
-        rows.append((int(r.label), round(float(beta[0]), 6), round(float(beta[1]), 6), round(float(1 - rss / tss), 6)))
-    return spark.createDataFrame(rows, "label int, beta_a double, beta_b double, r2 double")
+    v = _vectors(spark, sf).withColumn("y", F.get("embedding", F.lit(2)))
+    out = L.group_betas(v, F.slice("embedding", 1, 2), 2, "y", "label")
+    return _rounded(out.select(F.col("label").cast("int").alias("label"), F.get("beta", F.lit(0)).alias("beta_a"), F.get("beta", F.lit(1)).alias("beta_b"), "r2"))
+
+
+def _cluster_betas(spark, sf):
+    """The last dimension on all others, within each cluster; ridge, as clusters may be smaller than the vectors are long."""
+    v = _vectors(spark, sf).withColumn("y", F.element_at("embedding", -1))
+    return L.group_betas(v, F.slice("embedding", 1, 63), 63, "y", "label", 1.0)
+
+
+@query("m07_beta_vectors")
+def m07_vectors(spark, sf):
+    b = _cluster_betas(spark, sf)
+    return b.select("label", "n", F.round("intercept", 6).alias("intercept"), F.round("r2", 6).alias("r2"), F.posexplode("beta").alias("k", "beta")).withColumn("beta", F.round("beta", 6))
+
+
+@query("m07_beta_cosines")
+def m07_cosines(spark, sf):
+    return _rounded(C.cosine_matrix(_cluster_betas(spark, sf).withColumnRenamed("beta", "centroid"), "label"))
+
+
+@query("m08_covariance_matches")
+def m08_covariance(spark, sf):
+    v = _vectors(spark, sf).withColumn("age", F.get("embedding", F.lit(0)) * 100 + F.col("vec_id") % 13)
+    return _rounded(C.covariance_matches(v, ["label"], "embedding", 64, F.col("vec_id") % 5 == 0, "vec_id", age="age"))
 
 
 @query("m08_matched_groups", "WITH v AS (SELECT vec_id, label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings), s AS (SELECT var_pop(a) AS va, var_pop(b) AS vb FROM v), f AS (SELECT label, arg_min(a, vec_id) AS fa, arg_min(b, vec_id) AS fb FROM v WHERE a > 0 GROUP BY 1), d AS (SELECT label, vec_id, sqrt((a - fa) * (a - fa) / va + (b - fb) * (b - fb) / vb) AS distance FROM v JOIN f USING (label), s) SELECT label, vec_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id)::INT AS rank FROM d QUALIFY rank <= 3")

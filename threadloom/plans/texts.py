@@ -276,7 +276,8 @@ _TF = f"""SELECT doc_id, len(w)::BIGINT AS q_words, length(t) AS q_chars, ({_SEN
 
 @query("i01_text_features", _D + " " + _TF)
 def i01(spark, sf):
-    return _docs(spark, sf).select("doc_id", *_round(X.text_features(F.col("t"), "q")))
+    out = X.with_text_features(_docs(spark, sf), "t", "q").drop("t")
+    return out.select("doc_id", *_round({c: F.col(c) for c in out.columns if c != "doc_id"}))
 
 
 _WIKI = """CASE doc_id % 4 WHEN 0 THEN ':: ' WHEN 1 THEN ' *' ELSE '' END || coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN ' [[WP:A]] and [[Help:B|b]] wp:c' ELSE ' [[A]]' END || CASE WHEN doc_id % 5 = 0 THEN ' {{tl|x}} HTTP://a.b' ELSE '' END
@@ -298,13 +299,23 @@ def i03(spark, sf):
     return t(spark, sf, "conversations").select("conv_id", "turn", *[c.alias(k) for k, c in X.politeness(F.col("text")).items()])
 
 
-_PRON = ", ".join(f"len(list_filter(list_transform(regexp_extract_all(' ' || lower(replace(t, chr(10), ' ')) || ' ', '[^a-z'']([a-z'']+)', 1), lambda z: z), lambda z: z IN ({', '.join(chr(39) + x + chr(39) for x in v)})))::BIGINT AS n_{k}" for k, v in {"a": ["the", "of"], "b": ["and"]}.items())
+_CHAIN = "[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+(?:''+[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+)*"
+_PRON = ", ".join(f"len(list_filter(c, lambda z: z IN ({', '.join(chr(39) + x + chr(39) for x in v)})))::BIGINT AS n_{k}" for k, v in X.PRONOUNS.items())
 
 
-@query("i04_pronouns", f"WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z'' ]', ' ', 'g') AS t FROM documents) SELECT doc_id, {_PRON} FROM d")
+@query(
+    "i04_pronouns",
+    f"WITH d AS (SELECT conv_id, turn, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS n, regexp_extract_all(lower(coalesce(text, '')), '{_CHAIN}') AS c FROM conversations), p AS (SELECT conv_id, turn, n, {_PRON} FROM d) SELECT conv_id, turn, n_you, n_i, n_we, "
+    + ", ".join(f"round(n_{k} / greatest(n, 1), 9) AS rate_{k}" for k in X.PRONOUNS) + " FROM p",
+)
 def i04(spark, sf):
-    d = _docs(spark, sf).withColumn("t", F.regexp_replace("t", "[^A-Za-z' ]", " "))
-    return d.select("doc_id", *[c.alias(k) for k, c in X.pronoun_counts(F.col("t"), {"a": ["the", "of"], "b": ["and"]}).items()])
+    found = X.pronoun_rates(F.col("text"))
+    return t(spark, sf, "conversations").select("conv_id", "turn", *[(F.round(c, 9) if k.startswith("rate") else c).alias(k) for k, c in found.items()])
+
+
+@query("i04_pronouns_documents", f"WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_CHAIN}') AS c FROM documents) SELECT doc_id, {_PRON} FROM d")
+def i04_documents(spark, sf):
+    return _docs(spark, sf).select("doc_id", *[c.alias(k) for k, c in X.pronoun_counts(F.col("t")).items()])
 
 
 def _syl(w):
