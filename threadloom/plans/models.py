@@ -376,6 +376,14 @@ def j24(spark, sf):
     return density_clusters(_vectors(spark, sf), "vec_id", "embedding")
 
 
+@query("j23_neighbour_embedding")
+def j23(spark, sf):
+    from threadloom.operators.embedding import neighbour_embedding
+
+    y = neighbour_embedding(_vectors(spark, sf), "vec_id", "embedding")
+    return y.select("vec_id", F.round(F.get("y", F.lit(0)), 3).alias("y0"), F.round(F.get("y", F.lit(1)), 3).alias("y1"))
+
+
 @query("a12_a13_i08_i09_plugins", "SELECT d.doc_id, l.toxic::DOUBLE AS toxicity, 0::DOUBLE AS compound FROM documents d LEFT JOIN labels l USING (doc_id)")
 def plugins(spark, sf):
     from threadloom.functions.plugins import table_scores, zero_scores
