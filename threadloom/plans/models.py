@@ -392,6 +392,26 @@ def plugins(spark, sf):
     return zero_scores(table_scores(t(spark, sf, "documents").select("doc_id"), scores, "doc_id", ["toxicity"]), ["compound"])
 
 
+@query(
+    "k05_a13_bounded_calls",
+    "WITH d AS (SELECT doc_id, len(coalesce(text, '')) AS n FROM documents) SELECT doc_id, CASE WHEN n % 5 > 0 THEN n::DOUBLE END AS chars, CASE WHEN n % 5 = 0 THEN 'no answer' END AS error, CASE WHEN n % 5 = 0 THEN 2 ELSE 0 END AS tries FROM d",
+)
+def k05(spark, sf):
+    """A service that fails for some texts, called twice over: what it has answered is not asked again, the rest are dead letters."""
+    from threadloom.functions.plugins import resumed_scores
+    from threadloom.sources.io import scratch
+
+    def service(text):
+        if len(text) % 5 == 0:
+            raise ValueError("no answer")
+        return {"chars": len(text)}
+
+    docs, path = t(spark, sf, "documents").select("doc_id", "text"), scratch(spark, "calls")
+    resumed_scores(docs.filter("doc_id % 2 = 0"), "text", "doc_id", ["chars"], service, path, tries=2, waits=(0.0,))
+    scored, dead = resumed_scores(docs, "text", "doc_id", ["chars"], service, path, tries=2, waits=(0.0,))
+    return scored.withColumns({"error": F.lit(None).cast("string"), "tries": F.lit(0)}).unionByName(dead.withColumn("chars", F.lit(None).cast("double")))
+
+
 def _streamed(spark, sf, name):
     """A table as a file stream."""
     path = f"{sf}/{name}.parquet"

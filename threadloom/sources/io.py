@@ -83,6 +83,11 @@ def shared_folder(spark: SparkSession) -> str:
     return found or FALLBACK_CHECKPOINTS
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def delete_at_exit(spark: SparkSession, path: str) -> None:
     """Have the driver's file system client delete a path that exists when its JVM ends, whether or not the session was stopped before."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
