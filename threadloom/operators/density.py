@@ -53,13 +53,14 @@ def _sorted_runs(nodes: DataFrame, handle, schema: str, columns: list[str], orde
 
     def compare(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         def runs():
             held, at = None, None
             for batch in batches:
                 t = pa.Table.from_batches([batch])
                 for order in sorted(set(t.column("order").to_pylist())):
-                    part = t.filter(pa.compute.equal(t.column("order"), order))
+                    part = t.filter(pc.equal(t.column("order"), order))
                     if at != order and held is not None:
                         yield held
                         held = None
@@ -78,8 +79,6 @@ def _sorted_runs(nodes: DataFrame, handle, schema: str, columns: list[str], orde
                 if found is not None and len(found[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], names=["a", "b", "d"])
 
-    import pyarrow.compute  # noqa: F401  binds pa.compute
-
     rest = [f"`{c}` {nodes.schema[c].dataType.simpleString()}" for c in columns]
     spread = nodes.select("node", "v", *columns).mapInArrow(codes, ", ".join(["order int", "code long", "node long", "v array<double>", *rest]))
     ranges = max(1, -(-nodes.count() * orders // (RUNS * run)))
