@@ -107,8 +107,11 @@ def window_measures(
         down = {w: F.least(F.col("__next"), F.col("__t") + w) for w in widths}
         marks = [F.struct(F.col("__t").alias("__t"), *[F.lit(1).cast("long").alias(f"__d_{name}_{w}") for w in widths])]
         marks += [F.struct(down[w].alias("__t"), *[F.lit(-1 if v == w else 0).cast("long").alias(f"__d_{name}_{v}") for v in widths]) for w in widths]
-        steps.append(seen.select("__k", F.explode(F.array(*marks)).alias("__m")).select("__k", "__m.*").groupBy("__k", "__t").agg(*[F.sum(f"__d_{name}_{w}").alias(f"__d_{name}_{w}") for w in widths]))
-        columns += [f"__d_{name}_{w}" for w in widths]
+        own = [f"__d_{name}_{w}" for w in widths]
+        at_once = seen.select("__k", F.explode(F.array(*marks)).alias("__m")).select("__k", "__m.*").groupBy("__k", "__t").agg(*[F.sum(c).alias(c) for c in own])
+        # Where a value comes again inside of a window its step down meets the next step up, and nothing is left to count.
+        steps.append(at_once.filter(" OR ".join(f"{c} <> 0" for c in own)))
+        columns += own
     rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [base, *steps])
     rows = rows.select("__k", "__t", *[F.coalesce(F.col(c), F.lit(0)).cast(rows.schema[c].dataType).alias(c) for c in columns])
     asked = questions.select(F.col(key).alias("__k"), F.col(at).alias("__q")).distinct()

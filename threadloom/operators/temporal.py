@@ -107,15 +107,15 @@ def lookback_features(days: list[int] = LOOKBACK, pages: str = "title") -> dict[
     return out
 
 
-def lookback_table(questions: DataFrame, edits: DataFrame, days: list[int] = LOOKBACK, pages: str = "title", user: str = "user_id", size_type: str = "decimal(20,6)") -> DataFrame:
+def lookback_table(questions: DataFrame, edits: DataFrame, days: list[int] = LOOKBACK, pages: str = "title", user: str = "user_id", size_unit: float = 1e-6) -> DataFrame:
     """The measures of lookback_features() for each question (user, q), from running totals instead of a join with histories.
 
-    Sizes are added up as size_type, so that differences of totals are exact.
+    Sizes are added up as whole numbers of size_unit, so that differences of totals are exact.
     """
     one = lambda c: c.cast("long")
     sums = {
         "n": F.lit(1).cast("long"), "main": one(F.col("ns") == 0), "usertalk": one(F.col("ns") == 3), "draft": one(F.col("ns") == 118),
-        "smaller": one(F.col("sizediff") < 0), "sized": one(F.col("sizediff").isNotNull()), "size": F.col("sizediff").cast(size_type),
+        "smaller": one(F.col("sizediff") < 0), "sized": one(F.col("sizediff").isNotNull()), "size": F.round(F.col("sizediff") / size_unit).cast("long"),
     }
     t = window_measures(questions, edits, user, "q", "us", {f"{w}d": (-w * DAY, 0) for w in days}, sums, {"ns": F.col("ns"), "pages": F.col(pages)})
     out = {}
@@ -123,7 +123,7 @@ def lookback_table(questions: DataFrame, edits: DataFrame, days: list[int] = LOO
         c = lambda k, w=w: F.col(f"{k}_{w}d")
         out |= {
             f"n_edits_{w}d": c("n"), f"n_mainspace_{w}d": c("main"), f"n_usertalk_{w}d": c("usertalk"), f"n_draft_{w}d": c("draft"), f"n_unique_ns_{w}d": c("ns"),
-            f"mainspace_ratio_{w}d": safe_div(c("main"), c("n")), f"draft_ratio_{w}d": safe_div(c("draft"), c("n")), f"avg_sizediff_{w}d": safe_div(c("size").cast("double"), c("sized")),
+            f"mainspace_ratio_{w}d": safe_div(c("main"), c("n")), f"draft_ratio_{w}d": safe_div(c("draft"), c("n")), f"avg_sizediff_{w}d": safe_div(c("size") * size_unit, c("sized")),
             f"neg_sizediff_ratio_{w}d": safe_div(c("smaller"), c("n")), f"n_unique_articles_{w}d": c("pages"),
         }
     return t.select(user, "q", *[c.alias(k) for k, c in out.items()])
