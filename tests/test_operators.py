@@ -357,3 +357,24 @@ def test_mixed_models_of_many_outcomes_equal_single_ones(spark):
         assert (both[y].beta, both[y].se, both[y].icc) == pytest.approx((one.beta, one.se, one.icc))
     assert both["y"].icc > 0.4 and both["z"].icc < 0.1
     assert L.mixed_models(df.filter("false"), ["x"], ["y"], "g").count() == 0
+
+
+def test_reply_lag_without_reply_and_at_halves(spark, tmp_path):
+    """A question without a reply has a clipped lag of 0; lags just short of a half round as the SQL does."""
+    import datetime
+
+    from oracle import connection, rows_of_spark, rows_of_sql
+    from threadloom.plans import registry
+
+    start = datetime.datetime(2024, 2, 1)
+    lags = [None, *(datetime.timedelta(microseconds=900_000_000_000 + 9 * k) for k in range(400))]
+    rows = [(2 * u, u, "signup", start, 1.0, "{}") for u in range(len(lags))]
+    rows += [(2 * u + 1, u, "purchase", start + lag, 1.0, "{}") for u, lag in enumerate(lags) if lag is not None]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp_ntz, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    name = "i10_reply_lag"
+    assert rows_of_sql(connection(str(tmp_path)), "SELECT * FROM (" + registry.oracle_sql()[name] + ") WHERE lag_hours IS NULL")[1]
+    c = connection(str(tmp_path))
+    exact = lambda rows: sorted((tuple(r) for r in rows), key=repr)
+    q = registry.queries()[name](spark, str(tmp_path))
+    assert exact(q.collect()) == exact(c.sql(f"SELECT {', '.join(q.columns)} FROM ({registry.oracle_sql()[name]})").fetchall())
+    assert rows_of_spark(q) == rows_of_sql(c, registry.oracle_sql()[name])

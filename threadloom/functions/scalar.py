@@ -72,6 +72,14 @@ def stars(p: Column) -> Column:
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
 
 
+def scaled_round(value: Column, digits: int) -> Column:
+    """A double rounded as SQL engines do that scale it in binary first: halves of the scaled double go away from zero.
+
+    F.round() rounds the shortest decimal instead, which differs where the product falls just short of a half.
+    """
+    return F.round(value * F.lit(10.0**digits)) / F.lit(10.0**digits)
+
+
 def reply_lag_hours(asked: Column, replied: Column) -> Column:
     """Signed hours between two microsecond columns; null where either is missing."""
     return (replied - asked) / HOUR
