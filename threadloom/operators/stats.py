@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadloom.operators.draws import POISSON, added_sums, weighted_sums  # noqa: F401  the SQL takes the thresholds from here
 
 #: Steps of the integrals of p-values.
 P_STEPS = 2000
@@ -244,10 +245,6 @@ def anchor_lags(lags: DataFrame, units: DataFrame, draws: int = 20) -> DataFrame
     return sampled.union(units.select("id", F.explode(fixed).alias("k")).select("id", "k.strategy", "k.draw", "k.lag"))
 
 
-#: Thresholds of Poisson(1): a uniform number's multiplicity is how many of them it reaches.
-POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
-
-
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) from the md5 of the parts, joined by hyphens: its first 13 digits."""
     return F.conv(F.substring(F.md5(F.concat_ws("-", *[p.cast("string") for p in parts])), 1, 13), 16, 10).cast("long") / F.lit(float(16**13))
@@ -258,20 +255,26 @@ def bootstrap_effects(rows: DataFrame, outcomes: list[str], cluster: str = "clus
 
     Rows are summed by cluster, stratum and arm first. A cluster's multiplicity in a replicate is a Poisson(1) draw from the md5 of (seed,
     replicate, cluster), the large-sample form of drawing as many clusters as there are: every cluster draws for itself, so
-    nothing is gathered, and all keys share a draw. Replicates without an effect are left out; a null cluster is one of its own.
+    nothing is gathered, and all keys share a draw. A task multiplies its clusters' draws and sums as matrices, and hands on one row for
+    each of its keys and strata. Replicates without an effect are left out; a null cluster is one of its own.
     """
-    parts = F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).cast("double").alias("y")) for o in outcomes])
-    long = rows.select(*keys, F.col(cluster).alias("c"), F.col(stratum).alias("s"), "d", F.explode(parts).alias("o")).filter(F.col("o.y").isNotNull() & F.col("s").isNotNull())
-    arm = lambda d: F.col("d") == d
-    sums = long.groupBy(*keys, "c", "s", F.col("o.outcome").alias("outcome")).agg(
-        F.count_if(arm(1)).alias("n_t"), F.count_if(arm(0)).alias("n_c"), F.coalesce(F.sum(F.when(arm(1), F.col("o.y"))), F.lit(0.0)).alias("y_t"), F.coalesce(F.sum(F.when(arm(0), F.col("o.y"))), F.lit(0.0)).alias("y_c"),
-    )
-    # A cluster's sums travel as one row, so that it draws once for each replicate.
-    held = sums.groupBy("c").agg(F.collect_list(F.struct(*keys, "s", "outcome", "n_t", "n_c", "y_t", "y_c")).alias("x"))
-    drawn = held.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("u", uniform(F.lit(seed), F.col("r"), F.col("c")))
-    drawn = drawn.withColumn("m", sum(((F.col("u") >= t).cast("int") for t in POISSON), F.lit(0))).filter("m > 0").select("r", "m", F.explode("x").alias("x")).select("r", "m", "x.*")
-    by = drawn.groupBy(*keys, "outcome", "r", "s").agg(*[F.sum(F.col(c) * F.col("m")).alias(c) for c in ("n_t", "n_c", "y_t", "y_c")])
-    return strat_att(by, [*keys, "outcome", "r"]).filter("att IS NOT NULL")
+    names = [f"__k{i}" for i in range(len(keys))]
+    ys = [f"__y{i}" for i in range(len(outcomes))]
+    narrow = rows.select(F.col(cluster).alias("__c"), F.col(stratum).alias("__s"), F.col("d").alias("__d"), *[F.col(k).alias(n) for k, n in zip(keys, names)], *[F.col(o).cast("double").alias(y) for o, y in zip(outcomes, ys)])
+    narrow = narrow.filter(F.col("__s").isNotNull() & F.coalesce(*[F.col(y) for y in ys]).isNotNull())
+    arm = lambda d, y: F.when(F.col("__d") == d, F.col(y))
+    cells = [c for y in ys for c in (F.count(arm(1, y)).cast("double"), F.count(arm(0, y)).cast("double"), F.coalesce(F.sum(arm(1, y)), F.lit(0.0)), F.coalesce(F.sum(arm(0, y)), F.lit(0.0)))]
+    # One exchange, by cluster: its sums and its draws are made where its rows are.
+    sums = narrow.repartition("__c").groupBy("__c", *names, "__s").agg(*[c.alias(f"__v{i}") for i, c in enumerate(cells)])
+    held = sums.sortWithinPartitions("__c").select(F.col("__c").cast("string").alias("__c"), *names, "__s", F.array(*[f"__v{i}" for i in range(len(cells))]).alias("v"))
+    by, width = [*names, "__s"], len(cells)
+    kinds = ", ".join(f"{c} {held.schema[c].dataType.simpleString()}" for c in by)
+    drawn = held.mapInArrow(lambda batches: weighted_sums(batches, by, replicates, seed), f"{kinds}, g array<double>")
+    added = drawn.repartition(*by).mapInArrow(lambda batches: added_sums(batches, by, width), f"{kinds}, r int, v array<double>")
+    parts = [F.struct(F.lit(o).alias("outcome"), *[F.get("v", F.lit(4 * i + j)).alias(c) for j, c in enumerate(("n_t", "n_c", "y_t", "y_c"))]) for i, o in enumerate(outcomes)]
+    each = added.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "r", F.col("__s").alias("s"), F.explode(F.array(*parts)).alias("o")).select(*keys, "r", "s", "o.*")
+    whole = each.groupBy(*keys, "outcome", "r", "s").agg(*[F.sum(c).alias(c) for c in ("n_t", "n_c", "y_t", "y_c")])
+    return strat_att(whole, [*keys, "outcome", "r"]).filter("att IS NOT NULL")
 
 
 def interval(replicated: DataFrame, value: str, keys: list[str], least_finite: int = 50) -> DataFrame:
