@@ -378,3 +378,20 @@ def test_reply_lag_without_reply_and_at_halves(spark, tmp_path):
     q = registry.queries()[name](spark, str(tmp_path))
     assert exact(q.collect()) == exact(c.sql(f"SELECT {', '.join(q.columns)} FROM ({registry.oracle_sql()[name]})").fetchall())
     assert rows_of_spark(q) == rows_of_sql(c, registry.oracle_sql()[name])
+
+
+def test_threshold_groups_hold_no_pairs(spark):
+    """Many vectors that are all alike, in tiles of a few rows: one group, found without a row for each pair of them."""
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(size=6) + np.zeros((150, 6)), rng.normal(size=6) + np.zeros((150, 6))]) + rng.normal(size=(300, 6)) * 0.02
+    table = spark.createDataFrame([(i, [float(z) for z in x]) for i, x in enumerate(v)], "i long, v array<double>")
+    written, real = [], C.cut
+    C.cut = lambda rows: written.append(real(rows)) or written[-1]
+    try:
+        got = {r.i: r.merged for r in C.threshold_groups(table, "i", "v", least=0.95, bits=2, tile=40).collect()}
+    finally:
+        C.cut = real
+    assert [got[i] for i in range(300)] == [0] * 150 + [1] * 150
+    edges = [t for t in written if set(t.columns) == {"a", "b"}]
+    tables, tiles = C.hash_tables(0.95, 2), 300 // 40 + 1
+    assert len(edges) == 1 and edges[0].count() <= 300 * tables * tiles and edges[0].count() < 150 * 149 / 2

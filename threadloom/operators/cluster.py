@@ -219,12 +219,14 @@ def hash_tables(least: float, bits: int, miss: float = 1e-4) -> int:
     return max(1, math.ceil(math.log(miss) / math.log(1 - together)))
 
 
-def threshold_groups(rows: DataFrame, key: str, vector: str, least: float = 0.9, bits: int = 12, miss: float = 1e-4, seed: int = 5) -> DataFrame:
+def threshold_groups(rows: DataFrame, key: str, vector: str, least: float = 0.9, bits: int = 12, miss: float = 1e-4, seed: int = 5, tile: int = 8192) -> DataFrame:
     """A stand-in for density clustering: components of the graph of rows whose cosine is at least so much.
 
     Equal vectors are one node first, so that copies make no pairs. Signs of random projections give blocks; there are as many tables of
-    blocks as it takes to miss a link at the bound with a chance of miss at most. Neighbours are confirmed by the exact cosine. Where very many
-    different vectors are alike, a block's pairs are many: take more bits.
+    blocks as it takes to miss a link at the bound with a chance of miss at most. A task multiplies a block's vectors with each other and hands
+    on a forest of the links it finds, one edge for a row at most: neither candidates nor links are ever rows. Blocks over `tile` rows
+    are dealt to pairs of tiles, so that a task holds two of them. Where very many different vectors are alike, products are many: take
+    more bits.
     """
     import numpy as np
 
@@ -247,12 +249,38 @@ def threshold_groups(rows: DataFrame, key: str, vector: str, least: float = 0.9,
             code = (signs << np.arange(bits)).sum(2) + (np.arange(tables) << bits)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), tables)), pa.array(code.ravel())], names=["__k", "block"])
 
+    def forest(table):
+        import pyarrow as pa
+
+        keys, side = table.column("__k").to_numpy(), table.column("side").to_numpy()
+        x = table.column("__v").combine_chunks().flatten().to_numpy().reshape(len(keys), -1)
+        x = x / (np.sqrt((x * x).sum(1)) + 1e-12)[:, None]
+        own = np.arange(len(keys))
+        left, right = (own, own) if (side == 0).all() else (own[side == 1], own[side == 2])
+        root = own.copy()
+        for a in range(0, len(left), 512):
+            at, to = np.nonzero(x[left[a : a + 512]] @ x[right].T >= least)
+            at, to = left[a + at], right[to]
+            while True:
+                one, other = root[at], root[to]
+                apart = one != other
+                if not apart.any():
+                    break
+                at, to, one, other = at[apart], to[apart], one[apart], other[apart]
+                np.minimum.at(root, np.maximum(one, other), np.minimum(one, other))
+                while (root != root[root]).any():
+                    root = root[root]
+        linked = root != own
+        return pa.table({"a": pa.array(keys[linked], table.schema.field("__k").type), "b": pa.array(keys[root[linked]], table.schema.field("__k").type)})
+
     kind = nodes.schema["__k"].dataType.simpleString()
     blocks = nodes.select("__k", "__v").mapInArrow(run, f"__k {kind}, block long")
-    pairs = blocks.join(blocks.select(F.col("__k").alias("__o"), "block"), "block").filter(F.col("__k") < F.col("__o")).select("__k", "__o").distinct()
-    unit = nodes.select("__k", F.transform("__v", lambda x: x / norm(F.col("__v"))).alias("u"))
-    near = pairs.join(unit, "__k").join(unit.select(F.col("__k").alias("__o"), F.col("u").alias("w")), "__o").filter(dot(F.col("u"), F.col("w")) >= least)
-    edges = near.select(F.col("__k").alias("a"), F.col("__o").alias("b"))
+    sizes = blocks.groupBy("block").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    placed = meet(meet(blocks, sizes, ["block"]), nodes.select("__k", "__v"), ["__k"]).withColumn("own", F.pmod(F.xxhash64("__k"), "tiles").cast("int"))
+    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    order = F.when(F.col("own") == F.col("with"), 0).when(F.col("own") < F.col("with"), 1).otherwise(2)
+    placed = placed.select("block", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "__k", "__v", order.alias("side"))
+    edges = cut(placed.groupBy("block", "i", "j").applyInArrow(forest, f"a {kind}, b {kind}").distinct())
     groups = merged_labels(nodes.select(F.col("__k").alias("label")), edges, "label")
     named = nodes.join(groups, nodes["__k"] == groups["label"]).select("__v", "merged")
     return v.join(named, "__v").select(F.col("__key").alias(key), "merged")
