@@ -143,3 +143,18 @@ def test_covariance_matches_equal_brute_force(spark):
             far = {i: float(np.sqrt((x[i] - x[anchor]) @ inverse @ (x[i] - x[anchor]))) for i in own}
             want += [(f"c{c}", t, anchor, i, pytest.approx(far[i], abs=1e-9), k) for k, i in enumerate(sorted(own, key=lambda i: (far[i], i))[:4], 1)]
     assert sorted((tuple(r) for r in got), key=lambda r: (r[0], r[1], r[5])) == want
+
+
+def test_overlapping_folds_sort_each_row_once(spark, monkeypatch):
+    """The folds of each group as its own stratified folds, from one sorted table of as many rows as there are."""
+    from threadloom.operators import scan as scans
+
+    rows = spark.range(700).selectExpr("id % 650 AS id", "CASE WHEN id % 41 <> 0 THEN CAST(id % 3 = 0 AS int) END AS d", "CASE WHEN id % 37 <> 0 THEN id % 10 END AS x")
+    groups = {"all": F.lit(True), "low": F.col("x") < 6, "even": F.col("x") % 2 == 0, "none": F.col("x") > 99}
+    written, real = [], scans.cut
+    monkeypatch.setattr(scans, "cut", lambda t: written.append(real(t)) or written[-1])
+    got = L.overlapping_folds(rows, groups, keep=["id", "d"]).collect()
+    assert [t.count() for t in written] == [700] and got[0].asDict().keys() == {"id", "d", "folds"}
+    for i, (name, rule) in enumerate(groups.items()):
+        want = sorted(((r.id, r.fold) for r in L.stratified_folds(rows.filter(rule)).collect()), key=repr)
+        assert sorted(((r.id, r.folds[i]) for r in got if r.folds[i] is not None), key=repr) == want, name

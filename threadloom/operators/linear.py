@@ -256,11 +256,33 @@ def stratified_folds(rows: DataFrame, folds: int = 5, treatment: str = "d", id_c
     Rows of a group are numbered by treatment, then by the md5 of seed and id (ties by the id), and dealt in turn. The numbers come
     from ranges (scan()), so no task sees a whole group. Rows without a treatment are dealt first; repeated ids go one after another.
     """
-    marked = rows.withColumn("__md5", F.md5(F.concat_ws("-", F.lit(seed), F.col(id_column))))
+    marked = rows.withColumn("__md5", _shuffled(id_column, seed))
     ranked = scan(marked, list(group), [treatment, "__md5", id_column], {"__place": ("sum", F.lit(1).cast("long"))})
     return ranked.withColumn(out, F.pmod(F.col("__place") - 1, F.lit(folds)).cast("int")).drop("__md5", "__place")
 
 
+def _shuffled(id_column: str, seed: int) -> Column:
+    """The md5 of seed and id as bytes, which order as its digits do."""
+    return F.unhex(F.md5(F.concat_ws("-", F.lit(seed), F.col(id_column))))
+
+
+def overlapping_folds(rows: DataFrame, groups: dict[str, Column], folds: int = 5, treatment: str = "d", id_column: str = "id", seed: int = 42, out: str = "folds", keep: Sequence[str] | None = None) -> DataFrame:
+    """rows (or their columns `keep`) with the folds of stratified_folds() in each of several groups that may overlap: an array in the groups' order,
+    null where a row is not in a group. Rows are put in order once, not once for each group, as all groups go by the same order."""
+    keep = rows.columns if keep is None else list(keep)
+    inside = [F.coalesce(rule.cast("boolean"), F.lit(False)) for rule in groups.values()]
+    bits = sum((F.when(c, F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(inside)), F.lit(0)).cast("long")
+    marked = rows.withColumns({"__md5": _shuffled(id_column, seed), "__in": bits}).select("__md5", "__in", *dict.fromkeys([treatment, id_column, *keep]))
+    member = [F.col("__in").bitwiseAND(F.lit(1 << i)) != 0 for i in range(len(inside))]
+    ranked = scan(marked, [], [treatment, "__md5", id_column], {f"__p{i}": ("sum", m.cast("byte")) for i, m in enumerate(member)})
+    each = [F.when(m, F.pmod(F.col(f"__p{i}") - 1, F.lit(folds)).cast("int")) for i, m in enumerate(member)]
+    return ranked.select(*keep, F.array(*each).alias(out))
+
+
+#: The fold of a row in a group that it is not in.
+OUTSIDE = -2
+
+
 def logistic_subsets(
     rows: DataFrame, columns: Sequence[str], y: str, subsets: Sequence[Sequence[int]], folds: int, fold: Column, c: float = 1.0, steps: int = 100, tolerance: float = 1e-8
 ) -> list[list[np.ndarray]]:
@@ -277,13 +299,16 @@ def logistic_groups(
     of its rows as matrices. A step is halved until the likelihood does not fall, and a model that has not settled after `steps` is an error.
     """
     p, places = len(columns) + 1, {n: i for i, n in enumerate(names)}
-    number = F.lit(0)
-    if group is not None:
-        number = F.lit(-1)
-        for n, i in places.items():
-            number = F.when(group == F.lit(n), i).otherwise(number)
-    base = cut(rows.select(_vector([*columns, F.lit(1.0), y]).alias("v"), fold.cast("int").alias("fold"), number.cast("int").alias("group")))
+    own = [fold.cast("int") if group is None else F.when(group == F.lit(n), fold.cast("int")) for n in names]
+    base = cut(rows.select(_vector([*columns, F.lit(1.0), y]).alias("v"), F.array(*[F.coalesce(f, F.lit(OUTSIDE)) for f in own]).alias("folds")))
     models = [(np.array([*s, p - 1]), g, k) for s in subsets for g in range(len(places)) for k in range(folds)]
+    at = iter(logistic_models(base, p, models, None, c, steps, tolerance))
+    return [{n: [next(at) for _ in range(folds)] for n in places} for _ in subsets]
+
+
+def logistic_models(base: DataFrame, p: int, models: Sequence[tuple[np.ndarray, int, int]], scales: Sequence[tuple[np.ndarray, np.ndarray]] | None = None, c: float = 1.0, steps: int = 100, tolerance: float = 1e-8) -> list[np.ndarray]:
+    """The regressions of logistic_groups() over a stored table: v, an array of the columns, 1 and y, and folds, the row's fold in each group (OUTSIDE
+    where it is in none). A model is its cells of v, a group and the fold that it leaves out; scales are means and deviations of v by group."""
     betas = [np.zeros(len(at)) for at, _, _ in models]
     widths = [1 + len(at) + len(at) * (len(at) + 1) // 2 for at, _, _ in models]
 
@@ -294,9 +319,11 @@ def logistic_groups(
             total = {i: np.zeros(widths[i]) for i in open_now}
             for batch in batches:
                 v = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, p + 1)
-                own, which = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+                own = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
                 fine = ~np.isnan(v).any(1)
-                parts = {(g, k): v[fine & (which == g) & (own != k)] for _, g, k in {(0, *models[i][1:]) for i in open_now}}
+                parts = {(g, k): v[fine & (own[:, g] != OUTSIDE) & (own[:, g] != k)] for _, g, k in {(0, *models[i][1:]) for i in open_now}}
+                for (g, _), part in parts.items() if scales else ():
+                    part[:, :p] = (part[:, :p] - scales[g][0]) / scales[g][1]
                 for i in open_now:
                     at, g, k = models[i]
                     part = parts[g, k]
@@ -335,8 +362,7 @@ def logistic_groups(
             break
     if open_now:
         raise ArithmeticError(f"{len(open_now)} of {len(models)} logistic regressions have not settled after {steps} steps")
-    at = iter(betas)
-    return [{n: [next(at) for _ in range(folds)] for n in places} for _ in subsets]
+    return betas
 
 
 def logistic_betas(rows: DataFrame, columns: Sequence[str], y: str, folds: int, fold: Column, c: float = 1.0, steps: int = 100, tolerance: float = 1e-8) -> list[np.ndarray]:

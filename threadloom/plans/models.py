@@ -58,8 +58,9 @@ EIGHT = {"full": "true", "large": "l_quantity > 25", "small": "l_quantity <= 25"
 )
 def j11_folds(spark, sf):
     s = B.sample(spark, sf)
-    long = s.select("id", "d", F.explode(F.array_compact(F.array(*[F.when(F.expr(r), F.lit(n)) for n, r in EIGHT.items()]))).alias("subgroup"))
-    return L.stratified_folds(long, group=["subgroup"]).select("subgroup", "id", "fold")
+    folded = L.overlapping_folds(s, {n: F.expr(r) for n, r in EIGHT.items()}, keep=["id"])
+    long = folded.select("id", F.posexplode("folds").alias("k", "fold")).filter("fold IS NOT NULL")
+    return long.select(F.get(F.array(*[F.lit(n) for n in EIGHT]), F.col("k")).alias("subgroup"), "id", "fold")
 
 
 def _refits(spark, sf, replicates=500):
