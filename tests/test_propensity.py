@@ -158,3 +158,24 @@ def test_overlapping_folds_sort_each_row_once(spark, monkeypatch):
     for i, (name, rule) in enumerate(groups.items()):
         want = sorted(((r.id, r.fold) for r in L.stratified_folds(rows.filter(rule)).collect()), key=repr)
         assert sorted(((r.id, r.folds[i]) for r in got if r.folds[i] is not None), key=repr) == want, name
+
+
+def test_score_ranks_equal_numpy(spark):
+    """AUC with ties and exact quantiles of several scores, from ranges much smaller than the table."""
+    from threadloom.operators import stats as S
+
+    rng = np.random.default_rng(4)
+    x = np.stack([rng.normal(size=3000), rng.integers(5, size=3000) / 4, np.where(rng.random(3000) < 0.4, np.nan, rng.normal(size=3000)), np.full(3000, np.nan)], axis=1)
+    d = rng.integers(2, size=3000)
+    table = spark.createDataFrame([(int(k), [float(v) for v in r]) for k, r in zip(d, x)], "d int, x array<double>")
+
+    def scores(batch, these):
+        return batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, 4)[:, these]
+
+    got = S.score_ranks(table, scores, ["a", "b", "c", "none"], [0.0, 0.2, 0.5, 1.0], size=100, together=3)
+    assert got["none"] == (None, [])
+    for k, name in enumerate("abc"):
+        own = ~np.isnan(x[:, k])
+        ones, zeros = x[own & (d == 1), k], x[own & (d == 0), k]
+        auc = (ones[:, None] > zeros).mean() + (ones[:, None] == zeros).mean() / 2
+        assert abs(got[name][0] - auc) < 1e-12 and np.allclose(got[name][1], np.quantile(x[own, k], [0, 0.2, 0.5, 1]), atol=1e-12)

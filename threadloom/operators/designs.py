@@ -97,55 +97,92 @@ def ablation(
     set, of an id, the outcome and the score); the balance is a pass in which each task adds up the columns by set, stratum and arm. The
     driver holds coefficients and edges. Rows with a null among the cells are left out.
     """
-    spark = rows.sparkSession
     columns = list(dict.fromkeys(c for u in unions.values() for c in u))
     at = {name: [columns.index(c) for c in u] for name, u in unions.items()}
-    z = L.stratified_folds(L.standardise(rows.withColumns({c: F.col(c).cast("double") for c in columns}), columns), folds, "d", id_column, out="__fold")
-    z = cut(z.select(F.col(cluster).alias("cluster"), F.col("d").cast("int").alias("d"), F.col(outcome).cast("double").alias("y"), "__fold", *columns))
-    betas = dict(zip(unions, L.logistic_subsets(z, columns, "d", list(at.values()), folds, F.col("__fold"))))
-    base = z.select("cluster", "d", "y", F.col("__fold").alias("fold"), L._vector(columns).alias("v"))
+    z = L.stratified_folds(L.standardise(rows.withColumns({c: F.col(c).cast("double") for c in columns}), columns).select(id_column, F.col(cluster).alias("cluster"), "d", F.col(outcome).cast("double").alias("y"), *columns), folds, "d", id_column, out="__fold")
+    z = cut(z.filter("d IS NOT NULL").select("cluster", F.col("d").cast("int").alias("d"), L._vector([*columns, F.lit(1.0), "d"]).alias("v"), F.array("__fold").alias("folds"), F.array("y").alias("ys")))
+    p, names = len(columns) + 1, list(unions)
+    models = [(np.array([*at[name], p - 1]), 0, k) for name in names for k in range(folds)]
+    betas = np.zeros((len(names), folds, p))
+    for (cells, _, k), m, beta in zip(models, np.repeat(range(len(names)), folds), L.logistic_models(z, p, models)):
+        betas[m, k, cells] = beta
+
+    def scores(batch, these):
+        v, own, d = _cells(batch)
+        s = np.full((len(v), len(these)), np.nan)
+        for k in range(folds):
+            mine = (own[:, 0] == k) & ~np.isnan(v).any(1)
+            s[mine] = _expit(v[mine, :p] @ betas[these, k].T)
+        return d, s
+
+    facts, binned, above = _families(z, scores, names, {n: strata for n in names}, at, bound)
+    long = binned(["y"], "model")
+    att = S.strat_att(S.stratum_sums(long, ["y"], ["model"]), ["model"])
+    ci = S.cluster_bootstrap(long, ["y"], replicates=replicates, keys=["model"], placed=True).select("model", "ci_low", "ci_high")
+    table = rows.sparkSession.createDataFrame([(n, len(at[n]), facts[n][0], above[n][2]) for n in names], "model string, p int, auc double, smd_above int")
+    out = table.join(att, "model").join(ci, "model", "left")
+    return out.select("model", "p", "auc", "att", "ci_low", "ci_high", S.significant(F.col("ci_low"), F.col("ci_high")).alias("sig"), "smd_above")
+
+
+def _expit(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+
+
+def _cells(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """v, folds and d of a batch of (cluster, d, v, folds, ys)."""
+    n = batch.num_rows
+    v = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+    return v, batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(n, -1), batch.column(1).to_numpy(zero_copy_only=False)
+
 
-    def scores(v, own, name):
-        """Out-of-fold scores of one set."""
-        x, b = v[:, at[name]], np.array(betas[name])[own]
-        return 1 / (1 + np.exp(-np.clip((x * b[:, :-1]).sum(1) + b[:, -1], -700, 700)))
+def _families(base: DataFrame, scores, names: list[str], strata: dict[str, int], at: dict[str, list[int]], bound: float):
+    """Of many scores of a stored table (cluster, d, v, folds, ys): AUC and edges of each; a function to rows of (cluster, d, outcomes, score's name, stratum),
+    which stand by cluster; and by score n, treated and how many of its columns differ by more than the bound within strata.
 
-    def cells(batch):
-        v = batch.column(4).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(columns))
-        return v, batch.column(3).to_numpy(zero_copy_only=False), ~np.isnan(v).any(1)
+    The table is exchanged by cluster with a number of a stratum for each score; only a task's own memory ever has a row for each score.
+    """
+    steps = sorted({i / k for k in strata.values() for i in range(k + 1)})
+    facts, edges = S.score_ranks(base, scores, names, steps), []
+    for n in names:
+        own = list(dict.fromkeys(facts[n][1][steps.index(i / strata[n])] + 0.0 for i in range(strata[n] + 1))) if facts[n][1] else []
+        edges.append(np.array(own))
+    most, every = max(strata.values(), default=1), list(range(len(names)))
+
+    def strata_of(batch):
+        d, s = scores(batch, every)
+        found = np.full(s.shape, -1, np.int8)
+        for m, e in enumerate(edges):
+            fine = ~np.isnan(s[:, m])
+            found[fine, m] = np.searchsorted(e[1:-1], s[fine, m], side="left") if len(e) > 1 else -2
+        return d, found
 
-    def score(batches):
+    def number(batches):
         import pyarrow as pa
 
         for batch in batches:
-            v, own, fine = cells(batch)
-            kept, v, own = batch.filter(pa.array(fine)), v[fine], own[fine]
-            for name in at:
-                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), pa.array([name] * len(v), pa.string()), pa.array(scores(v, own, name))], names=["cluster", "d", "y", "model", "ps"])
-
-    kind = base.schema["cluster"].dataType.simpleString()
-    scored = cut(base.mapInArrow(score, f"cluster {kind}, d int, y double, model string, ps double"))
-    edges = {r.model: np.array(r.edges)[1:-1] for r in S.qcut_edges(scored, "ps", strata, ["model"]).collect()}  # a row for each set
+            codes = strata_of(batch)[1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(list(codes), pa.list_(pa.int8()))], names=["cluster", "d", "ys", "codes"])
 
     def arms(batches):
         import pyarrow as pa
 
-        held = {name: np.zeros((strata, 2, 1 + 2 * len(c))) for name, c in at.items()}
+        held = {n: np.zeros((most + 1, 2, 1 + 2 * len(c))) for n, c in at.items()}
         for batch in batches:
-            v, own, fine = cells(batch)
-            v, own, d = v[fine], own[fine], batch.column(1).to_numpy(zero_copy_only=False)[fine]
-            for name, c in at.items():
-                place = 2 * np.searchsorted(edges[name], scores(v, own, name), side="left") + d
-                x = v[:, c]
+            v = _cells(batch)[0]
+            d, codes = strata_of(batch)
+            for m, n in enumerate(names):
+                fine = codes[:, m] != -1
+                place = 2 * np.where(codes[fine, m] < 0, most, codes[fine, m]) + d[fine]
+                x = v[fine][:, at[n]]
                 one = np.concatenate([np.ones((len(x), 1)), x, x * x], axis=1)
                 for k in np.unique(place).tolist():
-                    held[name][k // 2, k % 2] += one[place == k].sum(0)
+                    held[n][k // 2, k % 2] += one[place == k].sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([h.ravel() for h in held.values()], pa.list_(pa.float64()))], names=["model", "g"])
 
-    above = []
-    for r in L._added(base, "model string, g array<double>", arms, ["model"]).collect():  # a row for each set
+    above = {}
+    for r in L._added(base, "model string, g array<double>", arms, ["model"]).collect():  # a row for each score
         p = len(at[r.model])
-        g = np.array(r.g).reshape(strata, 2, 1 + 2 * p)
+        g = np.array(r.g).reshape(most + 1, 2, 1 + 2 * p)
         n, s = g[:, :, 0], g[:, :, 1 : 1 + p]
         whole = g.sum(0)
         mean = whole[:, 1 : 1 + p] / np.maximum(whole[:, :1], 1)
@@ -154,12 +191,15 @@ def ablation(
         weight = n.sum(1)[both]
         means = s[both] / n[both][:, :, None]
         within = np.abs((weight[:, None] * (means[:, 1] - means[:, 0])).sum(0)) / max(weight.sum(), 1)
-        above.append((r.model, p, int((within[pooled > 1e-12] / pooled[pooled > 1e-12] > bound).sum())))
-    binned = S.qcut(scored, "ps", strata, "stratum", ["model"])
-    att = S.strat_att(S.stratum_sums(binned, ["y"], ["model"]), ["model"])
-    ci = S.cluster_bootstrap(binned, ["y"], replicates=replicates, keys=["model"]).select("model", "ci_low", "ci_high")
-    out = spark.createDataFrame(above, "model string, p int, smd_above int").join(S.auc(scored, "ps", ["model"]), "model").join(att, "model").join(ci, "model", "left")
-    return out.select("model", "p", "auc", "att", "ci_low", "ci_high", S.significant(F.col("ci_low"), F.col("ci_high")).alias("sig"), "smd_above")
+        above[r.model] = (int(n.sum()), int(n[:, 1].sum()), int((within[pooled > 1e-12] / pooled[pooled > 1e-12] > bound).sum()), int((n.sum(1)[:most] > 0).sum()))
+    kind, ys = base.schema["cluster"].dataType.simpleString(), base.schema["ys"].dataType.simpleString()
+    wide = cut(base.mapInArrow(number, f"cluster {kind}, d int, ys {ys}, codes array<tinyint>"))
+
+    def binned(outcomes, label):
+        each = wide.repartition("cluster").select("cluster", "d", *[F.get("ys", F.lit(i)).alias(o) for i, o in enumerate(outcomes)], F.posexplode("codes").alias("__m", "stratum")).filter("stratum <> -1")
+        return each.withColumn("stratum", F.when(F.col("stratum") >= 0, F.col("stratum").cast("int"))).withColumn(label, F.get(F.array(*[F.lit(n) for n in names]), F.col("__m"))).drop("__m")
+
+    return facts, binned, above
 
 
 def group_effects(
@@ -173,23 +213,48 @@ def group_effects(
     groups with less than `least` rows in either arm are left out. All groups share the passes over the rows.
     """
     label = "subgroup"
-    scored = cut(L.group_propensity(rows, columns, groups, folds=folds, id_column=id_column, least=least, label=label).filter("ps IS NOT NULL"))
-    sizes = {r[label]: (r.n, r.t) for r in scored.groupBy(label).agg(F.count("*").alias("n"), F.sum("d").alias("t")).collect()}  # a row for each group
-    wanted: dict[int, list[str]] = {}
-    for name, (n, t) in sizes.items():
-        wanted.setdefault(min(strata, max(3, (n - t) // 30)), []).append(name)
-    parts = [S.qcut(scored.filter(F.col(label).isin(names)), "ps", k, "stratum", [label]) for k, names in wanted.items()]
-    binned = cut(reduce(DataFrame.unionByName, parts)) if parts else scored.withColumn("stratum", F.lit(None).cast("int"))
-    sums = S.stratum_sums(binned, list(outcomes), [label])
-    keys = [label, "outcome"]
+    rules = {n: F.coalesce(r.cast("boolean"), F.lit(False)) for n, r in groups.items()}
+    sizes = rows.agg(*[F.count_if(r & (F.col("d") == k)).alias(f"{k}_{i}") for i, r in enumerate(rules.values()) for k in (0, 1)]).first()
+    names = sorted(n for i, n in enumerate(groups) if min(sizes[f"0_{i}"], sizes[f"1_{i}"]) >= least)
+    if not names:
+        means = ", ".join(f"{c} double" for c in ("control_mean", "treated_mean", "att", "ci_low", "ci_high", "cohen_d"))
+        counts = "n long, treated long, control long"
+        return tuple(rows.sparkSession.createDataFrame([], f"{label} string, {rest}") for rest in (f"outcome string, {counts}, {means}, sig string", f"{counts}, auc double, k long, smd_above long"))
+    p, ys = len(columns) + 1, [F.col(o).cast("double") for o in outcomes]
+    picked = rows.select(F.col(id_column).alias("__id"), F.col(cluster).alias("cluster"), F.col("d").cast("int").alias("d"), L._vector([*columns, F.lit(1.0), "d"]).alias("v"), F.array(*ys).alias("ys"), *[rules[n].alias(f"__r{i}") for i, n in enumerate(names)])
+    folded = L.overlapping_folds(picked, {n: F.col(f"__r{i}") for i, n in enumerate(names)}, folds, "d", "__id", keep=["cluster", "d", "v", "ys"])
+    base = cut(folded.filter("d IS NOT NULL").select("cluster", "d", "v", F.transform("folds", lambda k: F.coalesce(k, F.lit(L.OUTSIDE))).alias("folds"), "ys"))
+    member = lambda i, c: F.when(F.get("folds", F.lit(i)) >= 0, F.get("v", F.lit(c)))
+    stats = base.agg(*[f(member(i, c)).alias(f"{k}_{i}_{c}") for i in range(len(names)) for c in range(p - 1) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    or_zero = lambda x: 0.0 if x is None else x
+    scales = []
+    for i in range(len(names)):
+        mean, spread = ([or_zero(stats[f"{k}_{i}_{c}"]) for c in range(p - 1)] for k in "ms")
+        scales.append((np.array([*mean, 0.0]), np.array([*[s if s > 1e-12 else 1.0 for s in spread], 1.0])))
+    models = [(np.arange(p), g, k) for g in range(len(names)) for k in range(folds)]
+    betas = np.array(L.logistic_models(base, p, models, scales)).reshape(len(names), folds, p)
+
+    def scores(batch, these):
+        v, own, d = _cells(batch)
+        fine, s = ~np.isnan(v).any(1), np.full((len(v), len(these)), np.nan)
+        for j, g in enumerate(these):
+            mine = fine & (own[:, g] >= 0)
+            s[mine, j] = _expit((((v[mine, :p] - scales[g][0]) / scales[g][1]) * betas[g, own[mine, g]]).sum(1))
+        return d, s
+
+    sound = F.forall("v", lambda x: x.isNotNull())
+    found = base.filter(sound).agg(*[F.count_if((F.get("folds", F.lit(i)) >= 0) & (F.col("d") == 0)).alias(f"n_{i}") for i in range(len(names))]).first()
+    wanted = {n: min(strata, max(3, found[f"n_{i}"] // 30)) for i, n in enumerate(names)}
+    facts, binned, above = _families(base, scores, names, wanted, {n: list(range(p - 1)) for n in names}, bound)
+    long, keys = binned(list(outcomes), label), [label, "outcome"]
+    sums = S.stratum_sums(long, list(outcomes), [label])
     means = S.naive_difference(sums, keys).select(*keys, "control_mean", "treated_mean", "control_sd")
-    ci = S.cluster_bootstrap(binned, list(outcomes), cluster, replicates=replicates, keys=[label]).select(*keys, "ci_low", "ci_high")
-    counts = binned.groupBy(label).agg(F.count("*").alias("n"), F.sum("d").alias("treated"), F.sum(1 - F.col("d")).alias("control"))
-    effects = S.strat_att(sums, keys).join(means, keys).join(ci, keys, "left").join(counts, label)
+    ci = S.cluster_bootstrap(long, list(outcomes), replicates=replicates, keys=[label], placed=True).select(*keys, "ci_low", "ci_high")
+    spark = rows.sparkSession
+    diagnostics = spark.createDataFrame([(n, above[n][0], above[n][1], above[n][0] - above[n][1], facts[n][0], above[n][3], above[n][2]) for n in names], f"{label} string, n long, treated long, control long, auc double, k long, smd_above long")
+    effects = S.strat_att(sums, keys).join(means, keys).join(ci, keys, "left").join(diagnostics.select(label, "n", "treated", "control"), label)
     effects = effects.select(
         *keys, "n", "treated", "control", "control_mean", "treated_mean", "att", "ci_low", "ci_high",
         F.when(F.col("control_sd") > 0, F.col("att") / F.col("control_sd")).otherwise(0.0).alias("cohen_d"), S.significant(F.col("ci_low"), F.col("ci_high")).alias("sig"),
     )
-    smd = S.balance(binned, columns, group=[label]).groupBy(label).agg(F.count_if(F.col("strat") > bound).alias("smd_above"))
-    k = binned.groupBy(label).agg(F.count_distinct("stratum").alias("k"))
-    return effects, counts.join(S.auc(scored, "ps", [label]), label).join(k, label).join(smd, label)
+    return effects, diagnostics

@@ -309,6 +309,7 @@ def logistic_groups(
 def logistic_models(base: DataFrame, p: int, models: Sequence[tuple[np.ndarray, int, int]], scales: Sequence[tuple[np.ndarray, np.ndarray]] | None = None, c: float = 1.0, steps: int = 100, tolerance: float = 1e-8) -> list[np.ndarray]:
     """The regressions of logistic_groups() over a stored table: v, an array of the columns, 1 and y, and folds, the row's fold in each group (OUTSIDE
     where it is in none). A model is its cells of v, a group and the fold that it leaves out; scales are means and deviations of v by group."""
+    base = base.select("v", "folds")
     betas = [np.zeros(len(at)) for at, _, _ in models]
     widths = [1 + len(at) + len(at) * (len(at) + 1) // 2 for at, _, _ in models]
 

@@ -250,13 +250,13 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("-", *[p.cast("string") for p in parts])), 1, 13), 16, 10).cast("long") / F.lit(float(16**13))
 
 
-def bootstrap_effects(rows: DataFrame, outcomes: list[str], cluster: str = "cluster", stratum: str = "stratum", replicates: int = 500, seed: int = 42, keys: list[str] = ()) -> DataFrame:
+def bootstrap_effects(rows: DataFrame, outcomes: list[str], cluster: str = "cluster", stratum: str = "stratum", replicates: int = 500, seed: int = 42, keys: list[str] = (), placed: bool = False) -> DataFrame:
     """(keys, outcome, r, att): strat_att() of each replicate under resampling of clusters with replacement; strata stay as they are.
 
     Rows are summed by cluster, stratum and arm first. A cluster's multiplicity in a replicate is a Poisson(1) draw from the md5 of (seed,
     replicate, cluster), the large-sample form of drawing as many clusters as there are: every cluster draws for itself, so
     nothing is gathered, and all keys share a draw. A task multiplies its clusters' draws and sums as matrices, and hands on one row for
-    each of its keys and strata. Replicates without an effect are left out; a null cluster is one of its own.
+    each of its keys and strata. placed: rows stand by cluster already. Replicates without an effect are left out; a null cluster is one of its own.
     """
     names = [f"__k{i}" for i in range(len(keys))]
     ys = [f"__y{i}" for i in range(len(outcomes))]
@@ -265,7 +265,7 @@ def bootstrap_effects(rows: DataFrame, outcomes: list[str], cluster: str = "clus
     arm = lambda d, y: F.when(F.col("__d") == d, F.col(y))
     cells = [c for y in ys for c in (F.count(arm(1, y)).cast("double"), F.count(arm(0, y)).cast("double"), F.coalesce(F.sum(arm(1, y)), F.lit(0.0)), F.coalesce(F.sum(arm(0, y)), F.lit(0.0)))]
     # One exchange, by cluster: its sums and its draws are made where its rows are.
-    sums = narrow.repartition("__c").groupBy("__c", *names, "__s").agg(*[c.alias(f"__v{i}") for i, c in enumerate(cells)])
+    sums = (narrow if placed else narrow.repartition("__c")).groupBy("__c", *names, "__s").agg(*[c.alias(f"__v{i}") for i, c in enumerate(cells)])
     held = sums.sortWithinPartitions("__c").select(F.col("__c").cast("string").alias("__c"), *names, "__s", F.array(*[f"__v{i}" for i in range(len(cells))]).alias("v"))
     by, width = [*names, "__s"], len(cells)
     kinds = ", ".join(f"{c} {held.schema[c].dataType.simpleString()}" for c in by)
@@ -277,15 +277,138 @@ def bootstrap_effects(rows: DataFrame, outcomes: list[str], cluster: str = "clus
     return strat_att(whole, [*keys, "outcome", "r"]).filter("att IS NOT NULL")
 
 
+def score_ranks(base: DataFrame, scores, names: list[str], at: list[float], size: int = 1_000_000, together: int = 4) -> dict[str, tuple[float | None, list[float]]]:
+    """For each of many scores of a stored table's rows its AUC and its exact, linear-interpolated quantiles.
+
+    scores: from an Arrow batch and some of the names' numbers to the arms (0 or 1) and an array of rows x scores, NaN where a row has none. Scores
+    are never rows: a task hands on its distinct ones with their counts, as arrays cut at the bounds of ranges of about `size` rows, and a range is
+    counted on its own. Bounds come from order statistics of all rows; `together` scores are exchanged at a time. The driver has a row for
+    each range, and 256 numbers for each task and score.
+    """
+    import numpy as np
+
+    found: dict = {}
+    for start in range(0, len(names), together):
+        these = list(range(start, min(start + together, len(names))))
+
+        def outline(batches, these=these):
+            import pyarrow as pa
+
+            held = {m: ([], []) for m in these}
+            for batch in batches:
+                s = scores(batch, these)[1]
+                for j, m in enumerate(these):
+                    x = np.sort(s[:, j][~np.isnan(s[:, j])])
+                    if len(x):
+                        k = min(64, len(x))
+                        held[m][0].append(x[((np.arange(k) + 0.5) * len(x) / k).astype(int)])
+                        held[m][1].append(np.full(k, len(x) / k))
+            for m, (x, n) in held.items():
+                if x:
+                    x, n = np.concatenate(x), np.concatenate(n)
+                    order = np.argsort(x)
+                    ends = np.cumsum(n[order])
+                    picked = x[order][np.minimum(np.searchsorted(ends, (np.arange(256) + 0.5) * ends[-1] / 256), len(x) - 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([ends[-1]], pa.float64()), pa.array([picked], pa.list_(pa.float64()))], names=["m", "n", "x"])
+
+        seen: dict = {m: [] for m in these}
+        for r in base.mapInArrow(outline, "m int, n double, x array<double>").collect():  # a row for each task and score
+            seen[r.m].append((r.n, r.x))
+        bounds = {}
+        for m, parts in seen.items():
+            x = np.array([v for _, own in parts for v in own])
+            n = np.array([k / 256 for k, own in parts for _ in own])
+            order, pieces = np.argsort(x), max(1, int(np.ceil(n.sum() / size)))
+            ends = np.cumsum(n[order])
+            bounds[m] = np.unique(x[order][np.searchsorted(ends, np.arange(1, pieces) * ends[-1] / pieces)]) if pieces > 1 else np.zeros(0)
+
+        def counted(wanted, these=these, bounds=bounds):
+            def out(held):
+                import pyarrow as pa
+
+                rows = []
+                for j, m in enumerate(these):
+                    x, d = np.concatenate([s[:, j] for _, s in held]), np.concatenate([d for d, _ in held])
+                    values, where = np.unique(x[~np.isnan(x)], return_inverse=True)
+                    n1 = np.bincount(where, d[~np.isnan(x)] == 1, len(values)).astype(np.int32)
+                    n = np.bincount(where, minlength=len(values)).astype(np.int32)
+                    cuts = np.searchsorted(values, bounds[m], side="left")
+                    for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(values)])):
+                        if b > a and (wanted is None or (m, k) in wanted):
+                            rows.append((m, k, values[a:b], n1[a:b], n[a:b] - n1[a:b]))
+                kinds = [pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+                columns = list(zip(*rows)) or [()] * 5
+                return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds)], names=["m", "k", "x", "n1", "n0"])
+
+            def run(batches):
+                held, rows = [], 0
+                for batch in batches:
+                    held.append(scores(batch, these))
+                    rows += len(held[-1][0])
+                    if rows > 200_000:
+                        yield out(held)
+                        held, rows = [], 0
+                if held:
+                    yield out(held)
+
+            return base.mapInArrow(run, "m int, k int, x array<double>, n1 array<int>, n0 array<int>").groupBy("m", "k")
+
+        def merged(table):
+            x, n1, n0 = (table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("x", "n1", "n0"))
+            values, where = np.unique(x, return_inverse=True)
+            return values, np.bincount(where, n1), np.bincount(where, n0)
+
+        def pairs(table):
+            import pyarrow as pa
+
+            _, n1, n0 = merged(table)
+            return pa.table({"m": table.column("m")[:1], "k": table.column("k")[:1], "n1": [float(n1.sum())], "n0": [float(n0.sum())], "u": [float((n1 * (np.cumsum(n0) - n0 / 2)).sum())]})
+
+        ranges = sorted(counted(None).applyInArrow(pairs, "m int, k int, n1 double, n0 double, u double").collect())  # a row for each range
+        wanted: dict = {}
+        for m in these:
+            own = [r for r in ranges if r.m == m]
+            ones, zeros, below, total = sum(r.n1 for r in own), sum(r.n0 for r in own), 0.0, 0.0
+            places = {int(f(q * (ones + zeros - 1))) for q in at for f in (np.floor, np.ceil)} if own else set()
+            lower = 0
+            for r in own:
+                total, below = total + r.u + r.n1 * below, below + r.n0
+                for place in places:
+                    if lower <= place < lower + r.n1 + r.n0:
+                        wanted.setdefault((m, r.k), []).append((place, int(place - lower)))
+                lower += r.n1 + r.n0
+            found[m] = (total / (ones * zeros) if ones * zeros else None, ones + zeros)
+
+        def ranked(table):
+            import pyarrow as pa
+
+            values, n1, n0 = merged(table)
+            m, k = table.column("m")[0].as_py(), table.column("k")[0].as_py()
+            ends = np.cumsum(n1 + n0)
+            places = wanted[m, k]
+            return pa.table({"m": pa.array([m] * len(places), pa.int32()), "place": pa.array([p for p, _ in places], pa.int64()), "x": values[np.searchsorted(ends, [p for _, p in places], side="right")]})
+
+        at_place = {(r.m, r.place): r.x for r in counted(wanted).applyInArrow(ranked, "m int, place long, x double").collect()} if wanted else {}  # two rows for each quantile
+        for m in these:
+            auc_of, n = found[m]
+            cells = []
+            for q in at if n else ():
+                p = q * (n - 1)
+                low, high = at_place[m, int(np.floor(p))], at_place[m, int(np.ceil(p))]
+                cells.append(low if low == high else (np.ceil(p) - p) * low + (p - np.floor(p)) * high)
+            found[m] = (auc_of, cells)
+    return {name: found[m] for m, name in enumerate(names)}
+
+
 def interval(replicated: DataFrame, value: str, keys: list[str], least_finite: int = 50) -> DataFrame:
     """ci_low, ci_high (95 %) and the number of replicates by keys; no interval from least_finite replicates or fewer."""
     end = lambda p: F.when(F.count("*") > least_finite, F.percentile(value, F.lit(p)))
     return replicated.groupBy(*keys).agg(end(0.025).alias("ci_low"), end(0.975).alias("ci_high"), F.count("*").alias("replicates"))
 
 
-def cluster_bootstrap(rows: DataFrame, outcomes: list[str], cluster: str = "cluster", stratum: str = "stratum", replicates: int = 500, seed: int = 42, least_finite: int = 50, keys: list[str] = ()) -> DataFrame:
+def cluster_bootstrap(rows: DataFrame, outcomes: list[str], cluster: str = "cluster", stratum: str = "stratum", replicates: int = 500, seed: int = 42, least_finite: int = 50, keys: list[str] = (), placed: bool = False) -> DataFrame:
     """95 % intervals of strat_att(), by keys if given, from bootstrap_effects(). Deterministic by seed."""
-    return interval(bootstrap_effects(rows, outcomes, cluster, stratum, replicates, seed, keys), "att", [*keys, "outcome"], least_finite)
+    return interval(bootstrap_effects(rows, outcomes, cluster, stratum, replicates, seed, keys, placed), "att", [*keys, "outcome"], least_finite)
 
 
 def effect_difference(rows: DataFrame, outcomes: list[str], half: Column, cluster: str = "cluster", stratum: str = "stratum", replicates: int = 500, seed: int = 42, least_finite: int = 50) -> DataFrame:
