@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -258,3 +260,7 @@ def group_effects(
         F.when(F.col("control_sd") > 0, F.col("att") / F.col("control_sd")).otherwise(0.0).alias("cohen_d"), S.significant(F.col("ci_low"), F.col("ci_high")).alias("sig"),
     )
     return effects, diagnostics
+
+
+# What tasks call travels with them: executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+from pyspark import cloudpickle
 
 #: Thresholds of Poisson(1): a uniform number's multiplicity is how many of them it reaches.
 POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
@@ -160,3 +162,7 @@ def added_sums(batches: Iterator, names: Sequence[str], width: int, most: int =
             yield from out()
             held.clear()
     yield from out()
+
+
+# What tasks call travels with them: executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
