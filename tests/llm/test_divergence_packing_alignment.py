@@ -4,6 +4,7 @@ import os
 import random
 import re
 import struct
+import subprocess
 import sys
 import zlib
 from fractions import Fraction
@@ -281,6 +282,27 @@ def test_blocks_share_counts(spark):
     assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
 
 
+def test_blocks_end_by_bytes():
+    """A block of few but long units, or of texts that are kept as a whole, ends by what it holds."""
+    aligner = alignment.Aligner(*alignment.default_tokenizers())
+    block, n = alignment.Block(aligner), 0
+    while not block.full() and n < 200:
+        block.add([f"{n}-" + "word-and-" * 20_000])
+        n += 1
+    assert block.full() and len(block.texts) == n and block.total == n
+    held = sum(map(len, block.texts)) + sum(map(len, block.at)) + block.codes.nbytes + sum(x.nbytes for x in block.seen)
+    assert held <= block.bytes < alignment.BLOCK_BYTES + 2e6
+
+
+def test_tokenizers_keep_to_one_thread():
+    """A task has one core. In a process of its own, as the library reads the setting when it starts its threads."""
+    for module, made in (("alignment", "x.Aligner(*x.default_tokenizers()).align([f' w{k}' for k in range(20000)])"),):
+        code = f"import os\nfrom threadloom.llm import {module} as x\nbefore = len(os.listdir('/proc/self/task'))\n{made}\nprint(len(os.listdir('/proc/self/task')) - before)"
+        env = {k: v for k, v in os.environ.items() if k not in ("TOKENIZERS_PARALLELISM", "RAYON_NUM_THREADS")}
+        out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, env=env, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+        assert out.stdout.strip() == "0", (module, out)
+
+
 def test_linked_pairs(spark):
     texts = random_texts(10, 40)
     got = {(r.a, r.b): (r.docs, r.best) for r in alignment.linked_pairs(frame(spark, texts), *alignment.default_tokenizers()).collect()}

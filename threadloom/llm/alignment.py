@@ -21,14 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm.bpe import byte_characters, groups
-from threadloom.llm.common import documents, saved, ship
+from threadloom.llm.common import documents, one_thread, saved, ship
 
 #: A unit is white space and what follows, up to a space or a line break behind something else than white space.
 UNIT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+")
 # The same where there is no other white space.
 _PLAIN, _OTHER_SPACE = re.compile(r"[ \n]*[^ \n]+|[ \n]+"), re.compile(r"[^\S \n]")
-#: A block of documents ends once it has so many units, or so many distinct ones.
-BLOCK_UNITS, BLOCK_DISTINCT = 1 << 22, 1 << 19
+#: A block of documents ends once it has so many units, or what it holds takes about so many bytes.
+BLOCK_UNITS, BLOCK_BYTES = 1 << 22, 1 << 26
+#: What a distinct unit takes besides its characters, groups and links.
+_UNIT_BYTES = 200
 #: Units that are encoded as one string, and such strings that are aligned at once.
 TOGETHER, AT_ONCE = 64, 256
 #: Stands before units that are encoded, as no unit but a text's first one starts a text.
@@ -82,6 +84,7 @@ class Aligner:
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
+        one_thread()
         self.a = Tokenizer.from_file(path_a)
         self.a.no_truncation()
         self.a.no_padding()
@@ -167,7 +170,14 @@ class Block:
 
     def __init__(self, aligner: Aligner):
         self.aligner, self.at, self.texts, self.total = aligner, {}, [], 0
-        self.counts, self.codes, self.seen = np.zeros((0, 4), np.int64), np.zeros(0, np.int64), []
+        # Codes of natural vocabularies fit 4 bytes.
+        self.kind = np.uint32 if len(aligner.size_a) * aligner.code < 1 << 32 else np.int64
+        self.counts, self.codes, self.seen, self.bytes = np.zeros((0, 4), np.int64), np.zeros(0, self.kind), [], 0
+
+    def _keep(self, counts: np.ndarray, texts: list[bytes], codes: np.ndarray, characters: int = 0) -> None:
+        self.texts += texts
+        self.counts, self.codes = np.concatenate([self.counts, counts]), np.concatenate([self.codes, codes.astype(self.kind)])
+        self.bytes += _UNIT_BYTES * len(texts) + sum(map(len, texts)) + self.codes.itemsize * len(codes) + characters
 
     def learn(self, wanted: Iterable[str]) -> None:
         new = [u for u in wanted if u not in self.at]
@@ -175,10 +185,8 @@ class Block:
         for part, together in (([u for u in new if not u[-1].isspace()], TOGETHER), ([u for u in new if u[-1].isspace()], 1)):
             for k in range(0, len(part), TOGETHER * AT_ONCE):
                 some = part[k : k + TOGETHER * AT_ONCE]
-                counts, texts, codes = self.aligner.align(some, together)
                 self.at.update(zip(some, range(len(self.texts), len(self.texts) + len(some))))
-                self.texts += texts
-                self.counts, self.codes = np.concatenate([self.counts, counts]), np.concatenate([self.codes, codes])
+                self._keep(*self.aligner.align(some, together), sum(map(len, some)))
 
     def add(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
         """Rows (n_a, n_b, n_groups, n_links) and groups_sha256 of each text, the places of all texts' units, and how many each has."""
@@ -193,8 +201,7 @@ class Block:
                     self.at.pop(" " + text, None)
                     counts, written, codes = self.aligner.align([" " + text], 1)
                     at[k] = [len(self.texts)] if counts[0, 3] else []
-                    self.texts += written
-                    self.counts, self.codes = np.concatenate([self.counts, counts]), np.concatenate([self.codes, codes])
+                    self._keep(counts, written, codes)
         sizes = np.array([len(x) for x in at], np.int64)
         flat, owner = np.fromiter(chain.from_iterable(at), np.int64, int(sizes.sum())), np.repeat(np.arange(len(texts)), sizes)
         sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(self.counts[flat], axis=0)])
@@ -205,12 +212,12 @@ class Block:
         unit, links = once & 0xFFFFFFFF, self.counts[:, 3]
         ends, each = np.cumsum(links), links[unit]
         use = np.repeat(ends[unit] - each - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-        self.seen.append(_distinct(np.repeat(once >> 32, each) << 40 | self.codes[use]) & ((1 << 40) - 1))
-        self.total += len(flat)
+        self.seen.append(_distinct(np.repeat(once >> 32, each) << 40 | self.codes[use].astype(np.int64)) & ((1 << 40) - 1))
+        self.total, self.bytes = self.total + len(flat), self.bytes + self.seen[-1].nbytes
         return sums[to] - sums[to - sizes], groups, flat, sizes
 
     def full(self) -> bool:
-        return self.total >= BLOCK_UNITS or len(self.texts) >= BLOCK_DISTINCT
+        return self.total >= BLOCK_UNITS or self.bytes >= BLOCK_BYTES
 
     def closed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct codes, the documents of each, and the units' links: numbers of links, and places among the codes."""
@@ -218,7 +225,7 @@ class Block:
         first = np.flatnonzero(np.r_[True, seen[1:] != seen[:-1]]) if len(seen) else np.zeros(0, np.int64)
         codes, docs = seen[first], np.diff(np.r_[first, len(seen)])
         # Links of units whose texts do not come back may lack a code; no document reads them.
-        return codes, docs, self.counts[:, 3], np.minimum(np.searchsorted(codes, self.codes), max(len(codes) - 1, 0))
+        return codes, docs, self.counts[:, 3], np.minimum(np.searchsorted(codes.astype(self.kind), self.codes), max(len(codes) - 1, 0))
 
 
 _aligners: dict[str, Aligner] = {}
@@ -324,7 +331,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_column: str =
 
     Null and empty texts, and texts that B does not give back byte for byte (as with U+2581), have no tokens: zeros, and an empty
     groups_sha256. Repeated rows are documents of their own; other columns are ignored; an empty table gives an empty result. A
-    task holds one block (BLOCK_UNITS units, BLOCK_DISTINCT distinct ones) and a group of texts of about 1 MB or one longer text.
+    task holds one block (BLOCK_UNITS units, about BLOCK_BYTES of distinct ones) and a group of texts of about 1 MB or one longer text.
     """
     from pyspark.sql.pandas.types import to_arrow_type
     from sentencepiece import SentencePieceProcessor
