@@ -296,7 +296,7 @@ def test_blocks_end_by_bytes():
 
 def test_tokenizers_keep_to_one_thread():
     """A task has one core. In a process of its own, as the library reads the setting when it starts its threads."""
-    for module, made in (("alignment", "x.Aligner(*x.default_tokenizers()).align([f' w{k}' for k in range(20000)])"),):
+    for module, made in (("alignment", "x.Aligner(*x.default_tokenizers()).align([f' w{k}' for k in range(20000)])"), ("packing", "list(x.WordEncoder(open(x.default_tokenizer()).read()).encode_batch([b'w%d' % k for k in range(20000)]))")):
         code = f"import os\nfrom threadloom.llm import {module} as x\nbefore = len(os.listdir('/proc/self/task'))\n{made}\nprint(len(os.listdir('/proc/self/task')) - before)"
         env = {k: v for k, v in os.environ.items() if k not in ("TOKENIZERS_PARALLELISM", "RAYON_NUM_THREADS")}
         out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, env=env, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))

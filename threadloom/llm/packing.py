@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm.bpe import groups
-from threadloom.llm.common import documents, saved, ship
+from threadloom.llm.common import documents, one_thread, saved, ship
 
 #: The query's sequences, and the id that ends each document.
 TOKENS, END_ID = 4096, 1
@@ -41,6 +41,7 @@ class WordEncoder:
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
+        one_thread()
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
