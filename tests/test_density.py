@@ -113,6 +113,25 @@ def test_no_rows_few_rows_and_nulls(spark):
     assert D.density_clusters(rows.limit(0), "id", "v").count() == 0
 
 
+@pytest.mark.parametrize("bounded", [True, False])
+def test_one_task_joins_parts_as_rounds_do(spark, bounded, monkeypatch):
+    """The same forest and parts, ties and parts that may take no edge included; few edges need few tables."""
+    rng = np.random.default_rng(11)
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, 120, (400, 2)).tolist() if a != b})
+    edges = spark.createDataFrame([(a, b, float(rng.integers(1, 30))) for a, b in pairs], "a long, b long, w double")
+    labels = spark.createDataFrame([(i, i) for i in range(125)], "node long, part long")
+    bounds = spark.createDataFrame([(i, float(rng.integers(3, 25))) for i in range(118)], "node long, bound double") if bounded else None
+    tables, kept = [], D.cut
+    monkeypatch.setattr(D, "cut", lambda rows: tables.append(1) or kept(rows))
+    found = {}
+    for limit in (0, 150, None):
+        tables.clear()
+        tree, parts = D.spanning_forest(labels, edges, bounds, at_once=limit)
+        found[limit] = sorted(map(tuple, tree.collect())), sorted(map(tuple, parts.collect())), len(tables)
+    assert found[0][:2] == found[150][:2] == found[None][:2] and len(found[0][0]) > 60
+    assert found[None][2] <= 4 < found[0][2]
+
+
 def test_recall_of_neighbours(spark):
     """Of the ten nearest rows of every 50th row, over runs far smaller than the table."""
     x = np.random.default_rng(5).normal(0, 1, (4000, 16)) + np.repeat(np.random.default_rng(6).normal(0, 3, (20, 16)), 200, axis=0)

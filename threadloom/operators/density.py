@@ -6,7 +6,10 @@ cluster: the forest is contracted level by level, and a contracted part is one r
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,11 +21,16 @@ from threadloom.sources.io import cut
 
 #: Sorted orders of the rows, rows of an order that are compared with each other, and edges of the forest that one task condenses.
 ORDERS, RUN, LIMIT = 12, 1024, 100_000
+#: Edges between parts that one task joins, all remaining rounds at once.
+EDGES = 1 << 20
 #: Runs that one task compares, about.
 RUNS = 32
 #: The least distance that counts as one; closer rows have its density.
 CLOSEST = 1e-12
 
+# What tasks call travels with them: executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def nodes_of(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """(node, v, weight): each distinct vector, its least key and how many rows have it. Null vectors are left out."""
@@ -87,7 +95,10 @@ def _sorted_runs(nodes: DataFrame, handle, schema: str, columns: list[str], orde
 
 def _distances(x: np.ndarray) -> np.ndarray:
     q = (x * x).sum(1)
-    out = np.sqrt(np.maximum(q[:, None] + q[None] - 2 * x @ x.T, 0))
+    out = q[:, None] + q[None]
+    out -= 2 * x @ x.T
+    np.maximum(out, 0, out=out)
+    np.sqrt(out, out=out)
     np.fill_diagonal(out, np.inf)
     return out
 
@@ -131,18 +142,91 @@ def reachability(near: DataFrame, cores: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", F.greatest("d", "core_a", "core_b", F.lit(CLOSEST)).alias("w"))
 
 
-def spanning_forest(labels: DataFrame, edges: DataFrame, bounds: DataFrame | None = None, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+def joined_parts(pa: np.ndarray, pb: np.ndarray, w: np.ndarray, a: np.ndarray, b: np.ndarray, parts: np.ndarray, bounds: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Boruvka's rounds in one task, as spanning_forest() has them: the places of the taken edges, and the name of each part after.
+
+    parts are sorted; bounds has one for each part, NaN for none, which takes no edge.
+    """
+    order = np.lexsort((b, a, w))
+    x, y = np.searchsorted(parts, pa[order]), np.searchsorted(parts, pb[order])
+    weight, left = w[order], np.arange(len(order))
+    name, bound, taken = np.arange(len(parts)), bounds, []
+    while len(left):
+        # Edges stand in order: of the edges of a part the first one is the least.
+        least = np.full(len(parts), len(order))
+        np.minimum.at(least, x[left], left)
+        np.minimum.at(least, y[left], left)
+        own = np.flatnonzero(least < len(order))
+        if bound is not None:
+            own = own[weight[least[own]] <= bound[own]]
+        if not len(own):
+            break
+        edge = least[own]
+        taken.append(np.unique(edge))
+        up = np.arange(len(parts))
+        up[own] = x[edge] + y[edge] - own
+        # Of two parts that chose the same edge the lesser one is the root.
+        root = (up[up] == np.arange(len(parts))) & (np.arange(len(parts)) < up)
+        up[root] = np.flatnonzero(root)
+        while (up[up] != up).any():
+            up = up[up]
+        if bound is not None:
+            new = np.full(len(parts), np.nan)
+            np.fmin.at(new, up, bound)
+            bound = new
+        name, x, y = up[name], up[x], up[y]
+        left = left[x[left] != y[left]]
+    return order[np.concatenate([np.zeros(0, np.int64), *taken])], parts[name]
+
+
+def _at_once(open_edges: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """joined_parts() of bounded edges (a, b, w, pa, pb) with the parts' bounds (part, bound): the taken edges, and (part, up)."""
+    bounded = known is not None
+
+    def run(edges, limits):
+        import pyarrow as pa
+
+        edges = {c: edges.column(c).to_numpy() for c in ("pa", "pb", "w", "a", "b")}
+        parts = np.unique(np.concatenate([edges["pa"], edges["pb"]]))
+        bounds = None
+        if bounded:
+            bounds = np.full(len(parts), np.nan)
+            bounds[np.searchsorted(parts, limits.column("part").to_numpy())] = limits.column("bound").to_numpy()
+        taken, names = joined_parts(*edges.values(), parts, bounds)
+        moved = np.flatnonzero(parts != names)
+        ends = [pa.chunked_array([pa.array(edges[c][taken], k), pa.nulls(len(moved), k)]) for c, k in (("a", pa.int64()), ("b", pa.int64()), ("w", pa.float64()))]
+        ups = [pa.chunked_array([pa.nulls(len(taken), pa.int64()), pa.array(x[moved], pa.int64())]) for x in (parts, names)]
+        return pa.table([*ends, *ups], names=["a", "b", "w", "part", "up"])
+
+    one = F.lit(0).alias("one")
+    if not bounded:
+        limits = open_edges.select(F.col("pa").alias("part"), F.lit(None).cast("double").alias("bound"), one).limit(0)
+    else:  # of the parts that have edges
+        ends = open_edges.select(F.col("pa").alias("part")).union(open_edges.select("pb")).distinct()
+        limits = known.join(ends, "part").select("part", "bound", one)
+    out = cut(open_edges.select("*", one).groupBy("one").cogroup(limits.groupBy("one")).applyInArrow(run, "a long, b long, w double, part long, up long"))
+    return out.filter("a IS NOT NULL").select("a", "b", "w"), out.filter("part IS NOT NULL").select("part", "up")
+
+
+def spanning_forest(labels: DataFrame, edges: DataFrame, bounds: DataFrame | None = None, rounds: int | None = None, at_once: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The edges (a, b, w) of least forests that join the parts in labels (node, part), and the labels after.
 
     Boruvka's rounds: every part takes its least edge to another part (ties by its ends, so that no circle closes), parts that are so
     joined get one name by following pointers, and edges within a part go. bounds: (node, bound), the least w that an edge of the node may have
     which is not among the edges; a part whose least edge lies above one of its bounds takes none. The number of
-    rounds grows as the logarithm of the nodes.
+    rounds grows as the logarithm of the nodes; without a limit to them, once at most at_once (EDGES) edges lie between parts, a task takes those that remain.
     """
+    at_once = EDGES if at_once is None else at_once
     names = {x: labels.select(F.col("node").alias(x), F.col("part").alias(f"p{x}")) for x in "ab"}
     open_edges = cut(edges.join(names["a"], "a").join(names["b"], "b").filter("pa <> pb"))
     taken = None
     while rounds is None or rounds > 0:
+        if rounds is None and open_edges.count() <= at_once:
+            known = None if bounds is None else labels.join(bounds, "node").groupBy("part").agg(F.min("bound").alias("bound"))
+            more, up = _at_once(open_edges, known)
+            taken = more if taken is None else taken.unionByName(more)
+            labels = cut(labels.join(up, "part", "left").select("node", F.coalesce("up", "part").alias("part")))
+            break
         both = open_edges.select(F.col("pa").alias("part"), F.col("pb").alias("to"), "w", "a", "b").unionByName(open_edges.select(F.col("pb").alias("part"), F.col("pa").alias("to"), "w", "a", "b"))
         best = both.groupBy("part").agg(F.min(F.struct("w", "a", "b", "to")).alias("x")).select("part", "x.*")
         if bounds is not None:
