@@ -254,6 +254,70 @@ def test_automaton():
             assert a.first_documents(query, size) == want
 
 
+def test_held_sequences_are_not_matched_again():
+    rng = random.Random(8)
+    texts = [[rng.choice("ab") for _ in range(rng.randint(1, 30))] for _ in range(40)] + [["a"] * 25, ["a"] * 9, []]
+    a = substrings.SuffixAutomaton()
+    paths = [a.add(t, k % 7) for k, t in enumerate(texts)]
+    assert paths == [[state for state, _ in a.matches(t)] for t in texts]
+    a.close(4)
+    for size in (4, 6):
+        assert [a.first_documents_held(p, size) for p in paths] == [a.first_documents(t, size) for t in texts]
+    assert a.first_documents(["c"] * 6 + ["a"] * 6, 6)[:6] == [None] * 6
+
+
+def test_least_places():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for width in (1, 2, 3, 7, 8, 9, 13):
+        x = rng.integers(0, 6, 200).astype(np.uint64)
+        assert substrings._least_places(x, width).tolist() == [k + int(np.argmin(x[k : k + width])) for k in range(201 - width)]
+
+
+def test_anchors_travel_packed(monkeypatch):
+    """A block hands on a row for a bucket, not one for an anchor; the anchors of two documents come out, each with all of them."""
+    import numpy as np
+    import pyarrow as pa
+
+    class Table:
+        """Takes down the functions that tasks get."""
+
+        tasks: list = []
+
+        def mapInArrow(self, function, schema):
+            self.tasks.append(function)
+            return self
+
+        def __getattr__(self, name):
+            return lambda *a: self
+
+    monkeypatch.setattr(substrings, "BUCKET_BITS", 3)
+    monkeypatch.setattr(substrings, "PASSED", 50)
+    monkeypatch.setattr(substrings, "BLOCK", 400)
+    emit, meet = substrings.shared_anchors(Table(), 13, 5).tasks
+    rng = random.Random(9)
+    rows = [(k, t or "") for k, t in passages(rng)] + [(500 + k, "so " * 40 + "one common line of words that very many of the documents have in them") for k in range(70)]
+    rng.shuffle(rows)
+    held: dict = {}
+    for i, t in rows:
+        words = next(substrings.pieces(pa.array([t]), False))[2]
+        for x in substrings.owners(words, 13, 5)[3].view(np.int64).tolist():
+            held.setdefault(x, set()).add(i)
+    want = {(i, x) for x, ids in held.items() if len(ids) > 1 for i in ids}
+    batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in part]), pa.array([t for _, t in part])], names=["doc_id", "text"]) for part in (rows[:60], rows[60:90], rows[90:])]
+    sent = [b for part in (batches[:1], batches[1:]) for b in emit(iter(part))]
+    assert list(emit(iter([batches[0].slice(0, 0)]))) == list(emit(iter([]))) == []
+    short = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["too few", ""])], names=["doc_id", "text"])
+    assert sum(map(len, emit(iter([short])))) == 0
+    assert sum(map(len, sent)) < sum(map(len, held.values())) / 10
+    table = pa.Table.from_batches(sent).sort_by("bucket").combine_chunks()
+    assert min(table["bucket"].to_pylist()) < 0 <= max(table["bucket"].to_pylist()) < 8
+    for size in (1, 3, 1000):
+        got = [(i, x) for b in meet(iter(table.to_batches(max_chunksize=size))) for i, x in zip(*(c.to_pylist() for c in b.columns))]
+        assert set(got) == want
+
+
 # -- toxicity -------------------------------------------------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,12 @@ from threadloom.llm.text import SEEDS, Words, grams, mix, pieces
 WINDOW, ANCHOR = 13, 5
 #: Anchors of a task are compared among themselves in blocks of so many.
 BLOCK = 1_000_000
-#: Into how many parts the rows of an anchor that is known to be shared are dealt.
-SALTS = 64
-#: An automaton takes in shards until it has so many words.
-SHARD_WORDS = 30_000
+#: Anchors are dealt by so many of their first bits; a block's anchors of one such bucket travel as one row.
+BUCKET_BITS = 16
+#: Anchors that are known to be shared and stand for no others travel in rows of so many.
+PASSED = 4_000
+#: Results of shards are handed on together, in batches of so many segments.
+BATCH = 4_000
 #: Anchors with more distinct segments are matched window by window.
 HEAVY = 2_000
 
@@ -51,34 +54,44 @@ class SuffixAutomaton:
         link[q] = clone
         return clone
 
-    def add(self, words: list, document: int) -> None:
-        """Take in a sequence of a document; sequences may come in any order."""
+    def add(self, words: list, document: int) -> list[int]:
+        """Take in a sequence of a document; sequences may come in any order.
+
+        Returns the state of each prefix. It stays the state of the longest match at that word whatever is added later, as
+        splits take a state's shorter strings away and leave it its longest one.
+        """
         nxt, link, length, least = self.next, self.link, self.length, self.least
-        last = 0
+        last, path = 0, []
         for word in words:
             q = nxt[last].get(word)
             if q is not None:
                 last = q if length[q] == length[last] + 1 else self._split(last, q, word)
+                if least[last] is None or document < least[last]:
+                    least[last] = document
             else:
-                new, p = self._state(length[last] + 1), last
-                while p >= 0 and word not in nxt[p]:
-                    nxt[p][word] = new
+                new, p = len(length), last
+                nxt.append({})
+                length.append(length[last] + 1)
+                least.append(document)
+                link.append(0)
+                while p >= 0:
+                    to = nxt[p]
+                    q = to.get(word)
+                    if q is not None:
+                        link[new] = q if length[q] == length[p] + 1 else self._split(p, q, word)
+                        break
+                    to[word] = new
                     p = link[p]
-                if p < 0:
-                    link[new] = 0
-                else:
-                    q = nxt[p][word]
-                    link[new] = q if length[q] == length[p] + 1 else self._split(p, q, word)
                 last = new
-            if least[last] is None or document < least[last]:
-                least[last] = document
+            path.append(last)
+        return path
 
-    def close(self) -> None:
-        """Hand every state's least document to the suffixes of its strings."""
-        least, link = self.least, self.link
-        for s in sorted(range(1, len(least)), key=self.length.__getitem__, reverse=True):
+    def close(self, shortest: int = 1) -> None:
+        """Hand every state's least document to the suffixes of its strings that have so many words or more."""
+        least, link, length = self.least, self.link, self.length
+        for s in sorted((s for s in range(1, len(least)) if length[link[s]] >= shortest), key=length.__getitem__, reverse=True):
             p = link[s]
-            if p > 0 and least[s] is not None and (least[p] is None or least[s] < least[p]):
+            if least[s] is not None and (least[p] is None or least[s] < least[p]):
                 least[p] = least[s]
 
     def matches(self, words: list) -> Iterator[tuple[int, int]]:
@@ -98,16 +111,18 @@ class SuffixAutomaton:
 
     def first_documents(self, words: list, size: int) -> list:
         """For each window of size words, the least document that has it, or None."""
-        link, length, out = self.link, self.length, []
-        for k, (state, matched) in enumerate(self.matches(words)):
-            if k + 1 < size:
-                continue
-            if matched < size:
-                out.append(None)
-                continue
-            while length[link[state]] >= size:
+        return self._least_of((state if matched >= size else 0 for state, matched in self.matches(words)), size)
+
+    def first_documents_held(self, path: list[int], size: int) -> list:
+        """The same for a sequence that was taken in, from the states that add() gave for it: its matches are its prefixes."""
+        return self._least_of(path, size)
+
+    def _least_of(self, states, size: int) -> list:
+        link, length, least, out = self.link, self.length, self.least, []
+        for state in islice(states, size - 1, None):
+            while state and length[link[state]] >= size:
                 state = link[state]
-            out.append(self.least[state])
+            out.append(least[state])
         return out
 
 
@@ -124,13 +139,8 @@ def owners(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarr
         return none, none, none, none.view(_U)
     g = grams(h, anchor)
     rank = mix(g ^ _U(0x5851F42D4C957F2D))
-    best, at = rank[:n].copy(), np.zeros(n, np.int64)
-    for o in range(1, window - anchor + 1):
-        other = rank[o : o + n]
-        less = other < best
-        best[less], at[less] = other[less], o
-    at += np.arange(n)
-    text = np.searchsorted(words.first, np.arange(n), side="right") - 1
+    at = _least_places(rank, window - anchor + 1)
+    text = np.repeat(np.arange(len(words)), np.diff(words.first))[:n]
     fine = np.arange(n) + window <= words.first[text + 1]
     starts = fine.copy()
     starts[1:] &= (at[1:] != at[:-1]) | ~fine[:-1] | (text[1:] != text[:-1])
@@ -140,28 +150,71 @@ def owners(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarr
     return text[first], first, last, g[at[first]]
 
 
+def _least_places(rank: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least value (the first on ties) of each run of width values: runs twice as long from pairs of runs."""
+    best, at, span = rank, np.arange(len(rank)), 1
+    while span < width:
+        step = min(span, width - span)
+        less = best[step:] < best[:-step]
+        best, at = np.minimum(best[step:], best[:-step]), np.where(less, at[step:], at[:-step])
+        span += step
+    return at
+
+
 def shared_anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """(doc_id, anchor) for the anchors of each document that another document has too.
 
-    A task first compares the anchors of its own documents. Only anchors of one document in the block need to meet the other
-    tasks' rows, with one row for each block; those already known to be shared pass through, dealt by a salt.
+    A task first compares the anchors of its own documents. One document of each anchor in the block meets the other tasks',
+    packed with the rest of its bucket; the other documents of an anchor, which is then known to be shared, pass through.
     """
+    names, kind = ["bucket", "anchors", "docs", "known"], "bucket int, anchors binary, docs binary, known binary"
 
     def rows(anchors: list, ids: list):
         a, d = np.concatenate(anchors), np.concatenate(ids)
-        order = np.lexsort((d, a))
+        order = np.argsort(a)
         a, d = a[order], d[order]
         new = np.ones(len(a), bool)
+        new[1:] = a[1:] != a[:-1]
+        starts = np.flatnonzero(new)
+        several = np.repeat(np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts), np.diff(np.append(starts, len(a))))
+        # Of an anchor of one document one row is enough; only the others need to be in the order of documents.
+        many = np.flatnonzero(several)
+        many = many[np.lexsort((d[many], a[many]))]
+        place = np.flatnonzero(new | several)
+        place[several[place]] = many
+        a, d = a[place], d[place]
+        new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])
         a, d = a[new], d[new]
         first = np.ones(len(a), bool)
         first[1:] = a[1:] != a[:-1]
         known = ~first
         known[:-1] |= ~first[1:]
-        salt = np.where(first, 0, 1 + mix(d.astype(_U)) % _U(SALTS)).astype(np.int32)
-        for k in range(0, len(a), 100_000):
-            s = slice(k, k + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(a[s].view(np.int64)), pa.array(salt[s]), pa.array(d[s]), pa.array(known[s])], names=["anchor", "salt", "doc_id", "known"])
+        passed = np.flatnonzero(~first)
+        for k in range(0, len(passed), PASSED):
+            at = passed[k : k + PASSED]
+            yield packed(-1 - mix(a[at[:1]]).view(np.int64) % (1 << 30), np.array([0, len(at)]), a[at], d[at], known[at])
+        a, d, known = a[first], d[first], known[first]
+        bucket = (a >> _U(64 - BUCKET_BITS)).astype(np.int64)
+        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(a)])
+        for k in range(0, len(starts), 10_000):
+            cuts = np.append(starts, len(a))[k : k + 10_001]
+            at = slice(cuts[0], cuts[-1])
+            yield packed(bucket[cuts[:-1]], cuts - cuts[0], a[at], d[at], known[at])
+
+    def packed(bucket, cuts, a, d, known):
+        columns = [pa.array(bucket.astype(np.int32))]
+        for x in (a, d, known):
+            offsets = pa.py_buffer((cuts * x.itemsize).astype(np.int32))
+            columns.append(pa.Array.from_buffers(pa.binary(), len(bucket), [None, offsets, pa.py_buffer(np.ascontiguousarray(x))]))
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def unpacked(column, dtype):
+        """The values of all rows, one after another, and how many each has."""
+        column = column.cast(pa.large_binary())
+        _, offsets, data = column.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+        return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(dtype), np.diff(offsets) // np.dtype(dtype).itemsize
 
     def emit(batches):
         anchors, ids, held = [], [], 0
@@ -179,33 +232,38 @@ def shared_anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             yield from rows(anchors, ids)
 
     def meet(batches):
-        """Rows sorted by anchor and salt; those of the last group wait for the next batch."""
+        """Rows sorted by bucket; those of the last bucket wait for the next batch."""
         rest = None
         for batch in _and_none(batches):
-            if batch is not None:
-                part = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            if batch is not None and len(batch):
+                a, sizes = unpacked(batch.column(1), np.uint64)
+                bucket = np.repeat(batch.column(0).to_numpy(), sizes)
+                part = [bucket, a, unpacked(batch.column(2), np.int64)[0], unpacked(batch.column(3), bool)[0]]
+                if bucket[0] < 0:
+                    through = bucket < 0
+                    yield shared_rows(part[1][through], part[2][through])
+                    part = [x[~through] for x in part]
                 rest = part if rest is None else [np.concatenate([x, y]) for x, y in zip(rest, part)]
             if rest is None or not len(rest[0]):
                 continue
-            a, salt, d, known = rest
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (salt[1:] != salt[:-1])
-            starts = np.flatnonzero(new)
-            if batch is not None:
-                if len(starts) == 1:
-                    continue
-                cut = starts[-1]
-                rest = [x[cut:] for x in rest]
-                a, d, known, starts = a[:cut], d[:cut], known[:cut], starts[:-1]
-            else:
-                rest = None
+            cut = len(rest[0]) if batch is None else int(np.searchsorted(rest[0], rest[0][-1]))
+            if cut == 0:
+                continue
+            _, a, d, known = (x[:cut] for x in rest)
+            rest = [x[cut:] for x in rest]
+            order = np.argsort(a)
+            a, d, known = a[order], d[order], known[order]
+            starts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
             sizes = np.diff(np.append(starts, len(a)))
             shared = np.logical_or.reduceat(known, starts) | (np.maximum.reduceat(d, starts) != np.minimum.reduceat(d, starts))
             fine = np.repeat(shared, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(d[fine]), pa.array(a[fine])], names=["doc_id", "anchor"])
+            yield shared_rows(a[fine], d[fine])
 
-    found = docs.select("doc_id", "text").mapInArrow(emit, "anchor long, salt int, doc_id long, known boolean")
-    found = found.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
+    def shared_rows(a, d):
+        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.view(np.int64))], names=["doc_id", "anchor"])
+
+    found = docs.select("doc_id", "text").mapInArrow(emit, kind)
+    found = found.repartition("bucket").sortWithinPartitions("bucket")
     return found.mapInArrow(meet, "doc_id long, anchor long")
 
 
@@ -263,9 +321,9 @@ def segments(docs: DataFrame, anchors: DataFrame, window: int, anchor: int) -> D
 
 def _run_hash(h: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
     """A hash of each run of words, from the words' hashes."""
-    code = length.astype(_U)
+    code, least = length.astype(_U), int(length.min(initial=1 << 30))
     for k in range(int(length.max(initial=0))):
-        more = k < length
+        more = slice(None) if k < least else np.flatnonzero(k < length)
         code[more] = mix(code[more] * _U(0xC2B2AE3D27D4EB4F) + h[first[more] + k])
     return mix(code).view(np.int64)
 
@@ -285,30 +343,29 @@ def first_of_segments(references: DataFrame, window: int) -> DataFrame:
     """(segment, other, firsts): for each window of a segment the least document that has it.
 
     references: (segment, other, shard, words, least), distinct by segment, other and words. Rows are dealt and sorted by shard; a task
-    builds the automaton of a few whole shards, streams their segments through it and lets it go.
+    builds one shard's automaton after another and reads each segment's matching statistics from the states it went through. Equal
+    windows are of one shard, so that an automaton never needs two.
     """
 
-    def run(batches):
-        shards: list[list] = []
-        held, current = 0, None
+    def rows_of(batches):
         for batch in batches:
-            for segment, other, shard, words, least in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if held >= SHARD_WORDS and shard != current:
-                    yield from statistics(shards)
-                    shards, held = [], 0
-                current = shard
-                shards.append((segment, other, words.split(b" "), least))
-                held += len(shards[-1][2])
-        if shards:
-            yield from statistics(shards)
-
-    def statistics(rows):
-        automaton = SuffixAutomaton()
-        for _, _, words, least in rows:
-            automaton.add(words, least)
-        automaton.close()
-        firsts = [automaton.first_documents(words, window) for _, _, words, _ in rows]
-        yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)), pa.array(firsts, pa.list_(pa.int64()))], names=["segment", "other", "firsts"])
+            yield from zip(*(batch.column(k).to_pylist() for k in range(5)))
+
+    def run(batches):
+        out: list[tuple] = []
+        for _, shard in groupby(rows_of(batches), key=lambda r: r[2]):
+            automaton = SuffixAutomaton()
+            held = [(segment, other, automaton.add(words.split(b" "), least)) for segment, other, _, words, least in shard]
+            automaton.close(window)
+            out += [(segment, other, automaton.first_documents_held(path, window)) for segment, other, path in held]
+            if len(out) >= BATCH:
+                yield found(out)
+                out = []
+        if out:
+            yield found(out)
+
+    def found(out):
+        return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)), pa.array([r[2] for r in out], pa.list_(pa.int64()))], names=["segment", "other", "firsts"])
 
     rows = references.select("segment", "other", "shard", "words", "least").repartition("shard").sortWithinPartitions("shard")
     return rows.mapInArrow(run, "segment long, other long, firsts array<long>")
@@ -373,22 +430,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(2).to_pylist()
             counts, removed, spans, kept = [], [], [], []
-            for a, b, words in pieces(batch.column(1), False):
-                raw = words.data.tobytes()
-                for k in range(b - a):
-                    s, e = int(words.first[k]), int(words.first[k + 1])
-                    edges = _spans(lists[a + k], window)
-                    counts.append(e - s)
-                    removed.append(sum(y - x for x, y in edges))
-                    spans.append([{"start": x, "end": y} for x, y in edges])
-                    stay, at = [], s
-                    for x, y in [*((s + x, s + y) for x, y in edges), (e, e)]:
-                        if x > at:  # bytes.split() splits at the same bytes as Words
-                            stay += raw[words.starts[at] : words.ends[x - 1]].split()
-                        at = y
-                    kept.append(b" ".join(stay).decode())
+            for text, starts in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+                w = text.split()  # bytes.split() splits at the same bytes as Words
+                edges = _spans(starts, window)
+                counts.append(len(w))
+                removed.append(sum(y - x for x, y in edges))
+                spans.append([{"start": x, "end": y} for x, y in edges])
+                for x, y in reversed(edges):
+                    del w[x:y]
+                kept.append(b" ".join(w))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.string())],
                 names=["doc_id", "n_words", "n_removed", "spans", "kept_text"],
