@@ -23,6 +23,12 @@ def standardise(rows: DataFrame, columns: Sequence[str], group: list[str] = ())
     return out.withColumns(z).drop(*[f"__{k}_{c}" for c in columns for k in "ms"])
 
 
+def scales(rows: DataFrame, columns: dict[str, Column]) -> dict[str, tuple[float, float]]:
+    """(mean, population deviation) of each column, a deviation of 1 for constant ones: what standardise() takes off and divides by, as one fetched row."""
+    row = rows.agg(*[F.avg(c).alias(f"m_{n}") for n, c in columns.items()], *[F.stddev_pop(c).alias(f"s_{n}") for n, c in columns.items()]).first()
+    return {n: (row[f"m_{n}"] or 0.0, row[f"s_{n}"] if (row[f"s_{n}"] or 0) > 1e-12 else 1.0) for n in columns}
+
+
 def _added(rows: DataFrame, schema: str, run, keys: list[str]) -> DataFrame:
     """The arrays g that run() makes of each task's rows, added up cell by cell within keys."""
     cells = rows.mapInArrow(run, schema).select(*keys, F.posexplode("g").alias("k", "x"))
@@ -452,67 +458,195 @@ def independent_columns(rows: DataFrame, columns: Sequence[str], least_std: floa
     return [columns[k] for k in kept]
 
 
-def mixed_models(rows: DataFrame, columns: Sequence[str], ys: Sequence[str], group: str) -> DataFrame:
-    """For each outcome a linear model with a random intercept per group by REML: beta, se, z, p, and the share of variance between groups (icc).
+def mixed_groups(
+    rows: DataFrame, columns: dict[str, Column], ys: dict[str, Column], group: str, subgroups: dict[str, Column], products: dict[str, tuple[str, str, float, float]] | None = None, least: int = 0, label: str = "subgroup"
+) -> DataFrame:
+    """For each subgroup and outcome a linear model with a random intercept per group by REML: beta, se, z, p, and the share of variance between groups (icc).
 
-    For a variance ratio r, a group of n rows adds X'X - c (sum x)(sum x)' with c = r / (1 + n r): only Gram matrices and
-    groups' sums are needed. These are added up for the ratios of all outcomes at once, as matrices in each task; the profile is refined
-    around each outcome's best point. Rows with a null among the columns or outcomes are left out.
+    For a variance ratio r, a group of n rows adds X'X - c (sum x)(sum x)' with c = r / (1 + n r), which is the same for all groups of one size: Gram
+    matrices, and for each size that occurs the sum of (sum x)(sum x)', are all that is needed. Rows are sorted into ranges of the group once, and each
+    range adds up these for all of the (overlapping) subgroups in one pass. The profile, for the ratios of all outcomes and subgroups at once, reads the
+    table of sizes only; it is refined around each outcome's best point. A group of any size is spread over ranges: one that a range begins or ends with
+    hands on its sums. Rows with a null among the columns or outcomes are left out, subgroups of less than `least` rows (these included) too.
+
+    products: name to (a, b, mean, deviation), further columns (a * b - mean) / deviation of two of the columns; tasks multiply them, rows do not carry them.
     """
-    spark, p, q = rows.sparkSession, len(columns) + 1, len(columns) + 1 + len(ys)
-    vector = _vector([*columns, F.lit(1.0), *ys])
-    rows = rows.dropna(subset=[*columns, *ys])
-    names = [f"__s{k}" for k in range(q)]
-    shape = "outcome string, variable string, beta double, se double, z double, p double, icc double"
-    got = gram_of(rows, vector, q).first()
-    if got is None:
-        return spark.createDataFrame([], shape)
-    whole = unpack(got.g, q)
-    sums = cut(rows.groupBy(group).agg(*[F.sum(F.get(vector, F.lit(k))).alias(n) for k, n in enumerate(names)]).select(_vector(names).alias("v")))
-    upper, total = np.triu_indices(q), whole[p - 1, p - 1]
+    products = products or {}
+    if len(subgroups) > 62:
+        raise ValueError("62 subgroups at most in one call")
+    spark, xs, outcomes, own_columns = rows.sparkSession, [*columns, *products], list(ys), len(columns)
+    p, q, sent = len(xs) + 1, len(xs) + 1 + len(ys), len(columns) + 1 + len(ys)
+    left, right = ([list(columns).index(pair[at]) for pair in products.values()] for at in (0, 1))
+    mean, deviation = (np.array([pair[at] for pair in products.values()], float)[:, None] for at in (2, 3))
+    upper, n_groups = np.triu_indices(q), len(subgroups)
     n_cells = len(upper[0])
+    shape = f"outcome string, variable string, beta double, se double, z double, p double, icc double, `{label}` string"
+    near = rows.repartitionByRange(group, F.xxhash64(*rows.columns)).sortWithinPartitions(group)  # only equal rows are never split
+    picked = near.select(F.col(group).alias("__key"), _vector([*columns.values(), F.lit(1.0), *ys.values()]).alias("__v"), sum((F.when(c, F.lit(1 << k).cast("long")).otherwise(0) for k, c in enumerate(subgroups.values())), F.lit(0)).alias("__in"))
+    key_kind = picked.schema["__key"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
 
-    def profile(ratios: dict[int, list[float]]) -> list:
-        """For each outcome the best of its ratios: likelihood, ratio, beta, variance, inverse."""
-        distinct = sorted({r for rs in ratios.values() for r in rs})
+        whole, n_rows, by_size, waiting = np.zeros((n_groups, q, q)), np.zeros(n_groups, np.int64), {}, [[] for _ in range(n_groups)]
+        kind = key = None
+        carried, first, seen = np.zeros((n_groups, q)), True, False  # the sums of the key that the last batch ended with
+
+        def out(table):
+            columns = list(zip(*table))
+            kinds = (kind, pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["key", "k", "n", "m", "g", "edge"])
+
+        def edge():
+            return [(key, k, 0, 0, s, True) for k, s in enumerate(carried) if s[p - 1]]
+
+        def settle():
+            for k, found in enumerate(waiting):
+                if not found:
+                    continue
+                s = np.concatenate(found)
+                s = s[s[:, p - 1].argsort(kind="stable")]
+                sizes, starts = np.unique(s[:, p - 1], return_index=True)
+                for n, own in zip(sizes.astype(int).tolist(), np.split(s, starts[1:])):
+                    m, g = by_size.get((k, n), (0, 0))
+                    by_size[k, n] = (m + len(own), g + own.T @ own)
+                found.clear()
+
+        def sized():
+            table = [(None, k, n, m, g[upper], False) for (k, n), (m, g) in by_size.items()]
+            by_size.clear()
+            return [out(table[i : i + 2_000]) for i in range(0, len(table), 2_000)]
 
-        def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            kind, keys = batch.column(0).type, batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            turn = np.append(True, keys[1:] != keys[:-1])
+            place, n_keys = turn.cumsum() - 1, int(turn.sum())
+            marks, mark, counts = np.unique(batch.column(2).to_numpy(), return_inverse=True, return_counts=True)
+            member = (marks >> np.arange(n_groups)[:, None] & 1).astype(float)  # subgroups by sets of subgroups
+            n_rows += (member @ counts).astype(np.int64)
+            order = mark.argsort(kind="stable")
+            given = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, sent).T[:, order]
+            x = np.concatenate([given[:own_columns], (given[left] * given[right] - mean) / deviation, given[own_columns:]])
+            fine = ~np.isnan(x).any(0)
+            x, mark, place = (x, mark[order], place[order]) if fine.all() else (x[:, fine], mark[order][fine], place[order][fine])
+            sums, bounds = np.zeros((n_groups, q, n_keys)), np.searchsorted(mark, np.arange(len(marks) + 1))
+            step = max(1, 4 * len(batch) // n_keys)  # sets at a time, each row being in one
+            for at in range(0, len(marks), step):
+                sets = min(step, len(marks) - at)
+                own = slice(bounds[at], bounds[at + sets])
+                cell = (mark[own] - at) * n_keys + place[own]
+                cells = np.array([np.bincount(cell, c, sets * n_keys) for c in x[:, own]]).reshape(q, sets, n_keys)
+                sums += np.tensordot(member[:, at : at + sets], cells, (1, 1))
+            grams = np.array([x[:, a:b] @ x[:, a:b].T for a, b in zip(bounds[:-1], bounds[1:])])
+            whole += np.tensordot(member, grams, (1, 0))
+            sums = sums.transpose(0, 2, 1)
+            begins, ends = batch.column(0)[0].as_py(), batch.column(0)[len(batch) - 1].as_py()
+            if seen and begins == key:
+                sums[:, 0] += carried
+            elif seen:
+                if first:
+                    if ready := edge():
+                        yield out(ready)
+                    first = False
+                else:
+                    for k in range(n_groups):
+                        waiting[k].append(carried[k : k + 1])
+            if n_keys > 1 and first:
+                key, carried = begins, sums[:, 0]
+                if ready := edge():
+                    yield out(ready)
+                first, sums = False, sums[:, 1:]
+            for k in range(n_groups):
+                done = sums[k, :-1]
+                waiting[k].append(done[done[:, p - 1] > 0])
+            seen, key, carried = True, ends, sums[:, -1].copy()
+            if sum(len(s) for found in waiting for s in found) > 100_000:
+                settle()
+                if len(by_size) * q * q > 20_000_000:
+                    yield from sized()
+        if seen:
+            settle()
+            yield from sized()
+            yield out(edge() + [(None, k, -1, int(n_rows[k]), whole[k][upper], False) for k in range(n_groups) if n_rows[k]])
+
+    parts = cut(picked.mapInArrow(run, f"key {key_kind}, k int, n long, m long, g array<double>, edge boolean"))
+
+    def met(table):
+        """A group that lies in several ranges: its sums are added up, which is a size like those of all other groups."""
+        import pyarrow as pa
+
+        ks, parts = table["k"].to_numpy(), table["g"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, q)
+        found = np.unique(ks).tolist()
+        sums = [parts[ks == k].sum(0) for k in found]
+        squares = pa.array([np.outer(s, s)[upper] for s in sums], pa.list_(pa.float64()))
+        return pa.table([pa.array(found, pa.int32()), pa.array([int(s[p - 1]) for s in sums], pa.int64()), pa.array([1] * len(sums), pa.int64()), squares], names=["k", "n", "m", "g"])
+
+    def added(table):
+        import pyarrow as pa
+
+        g = table["g"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n_cells).sum(0)
+        return pa.table([table["k"][:1], table["n"][:1], pa.array([table["m"].to_numpy().sum()], pa.int64()), pa.array([g], pa.list_(pa.float64()))], names=["k", "n", "m", "g"])
+
+    cells = "k int, n long, m long, g array<double>"
+    over = parts.filter("edge").groupBy("key").applyInArrow(met, cells)
+    sizes = cut(parts.filter("NOT edge").select("k", "n", "m", "g").unionByName(over).groupBy("k", "n").applyInArrow(added, cells))
+    whole = {r.k: unpack(r.g, q) for r in sizes.filter("n = -1").collect() if r.m >= least}
+    whole = {k: g for k, g in whole.items() if g[p - 1, p - 1]}
+    if not whole:
+        return spark.createDataFrame([], shape)
+    sizes = sizes.filter("n > 0")
+
+    def profile(ratios: dict[tuple[int, int], list[float]]) -> dict:
+        """For each subgroup and outcome the best of its ratios: likelihood, ratio, beta, variance, inverse."""
+        distinct = {k: sorted({r for (of, _), rs in ratios.items() if of == k for r in rs}) for k in whole}
+
+        def weigh(batches):
             import pyarrow as pa
 
-            out = np.zeros((len(distinct), n_cells + 1))
+            out: dict = {}
             for batch in batches:
-                s = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, q)
-                for i, r in enumerate(distinct):
-                    out[i, :n_cells] += (s.T @ (s * (r / (1 + s[:, p - 1] * r))[:, None]))[upper]
-                    out[i, n_cells] += np.log1p(s[:, p - 1] * r).sum()
-            yield pa.RecordBatch.from_arrays([pa.array([out.ravel()], pa.list_(pa.float64()))], names=["g"])
-
-        cells, best = np.array(_added(sums, "g array<double>", run, []).first().g).reshape(len(distinct), n_cells + 1), []
-        for j in range(len(ys)):
-            found = []
-            for r in ratios[j]:
-                own = cells[distinct.index(r)]
-                g, y = whole - unpack(own[:n_cells], q), p + j
+                ks, n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                g = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, n_cells)
+                for k in set(ks.tolist()) & set(distinct):
+                    r, at = np.array(distinct[k])[:, None], ks == k
+                    out[k] = out.get(k, 0) + np.hstack([(r / (1 + n[at] * r)) @ g[at], np.log1p(n[at] * r) @ m[at, None]])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([x.ravel() for x in out.values()], pa.list_(pa.float64()))], names=["__k", "g"])
+
+        sums = {r["__k"]: np.array(r.g).reshape(-1, n_cells + 1) for r in _added(sizes, "__k int, g array<double>", weigh, ["__k"]).collect()}
+        best = {}
+        for (k, j), rs in ratios.items():
+            found, total, y = [], whole[k][p - 1, p - 1], p + j
+            for r in rs:
+                own = sums[k][distinct[k].index(r)]
+                g = whole[k] - unpack(own[:n_cells], q)
                 beta = np.linalg.solve(g[:p, :p], g[:p, y])
                 s2 = max((g[y, y] - beta @ g[:p, y]) / (total - p), 1e-300)
                 value = -0.5 * ((total - p) * math.log(s2) + own[n_cells] + np.linalg.slogdet(g[:p, :p])[1])
                 found.append((value, r, beta, s2, np.linalg.inv(g[:p, :p])))
-            best.append(max(found, key=lambda x: x[0]))
+            best[k, j] = max(found, key=lambda x: x[0])
         return best
 
-    best = profile({j: [0.0, *(10.0**k for k in range(-6, 3))] for j in range(len(ys))})
+    best = profile({(k, j): [0.0, *(10.0**e for e in range(-6, 3))] for k in whole for j in range(len(ys))})
     for _ in range(4):
-        finer = profile({j: [b[1] * f for f in (0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0)] if b[1] else [0.0, 1e-7] for j, b in enumerate(best)})
-        best = [max(a, b, key=lambda x: x[0]) for a, b in zip(best, finer)]
-    out = []
-    for y, (_, r, beta, s2, inverse) in zip(ys, best):
-        for k, c in enumerate(columns):
+        finer = profile({at: [b[1] * f for f in (0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0)] if b[1] else [0.0, 1e-7] for at, b in best.items()})
+        best = {at: max(b, finer[at], key=lambda x: x[0]) for at, b in best.items()}
+    out, names = [], list(subgroups)
+    for (at, j), (_, r, beta, s2, inverse) in sorted(best.items(), key=lambda x: x[0]):
+        for k, c in enumerate(xs):
             se = math.sqrt(max(inverse[k, k] * s2, 0))
             z = beta[k] / se if se else float("nan")
-            out.append((y, c, float(beta[k]), se, float(z), math.erfc(abs(z) / math.sqrt(2)), float(r / (1 + r))))
+            out.append((outcomes[j], c, float(beta[k]), se, float(z), math.erfc(abs(z) / math.sqrt(2)), float(r / (1 + r)), names[at]))
     return spark.createDataFrame(out, shape)
 
 
+def mixed_models(rows: DataFrame, columns: Sequence[str], ys: Sequence[str], group: str) -> DataFrame:
+    """mixed_groups() of all rows: for each outcome beta, se, z, p and icc."""
+    return mixed_groups(rows, {c: F.col(c) for c in columns}, {y: F.col(y) for y in ys}, group, {"all": F.lit(True)}).drop("subgroup")
+
+
 def mixed_model(rows: DataFrame, columns: Sequence[str], y: str, group: str) -> DataFrame:
     """mixed_models() of one outcome."""
     return mixed_models(rows, columns, [y], group).drop("outcome")

@@ -159,17 +159,13 @@ _GROUPS = {"all": "true", "large": "l_quantity > 25", "small": "l_quantity <= 25
 @query("j17_associations")
 def j17(spark, sf):
     """Six outcomes on 21 features (six columns and their products), over all rows and in six subgroups of 200 rows at least."""
-    joined = cut(B.sample(spark, sf).drop("ps"))  # joined once, not once for each pass of each subgroup
-    s = L.standardise(joined.withColumns({k: F.expr(e).cast("double") for k, e in _BASE.items()}), list(_BASE))
-    pairs = {f"{a}_{b}": F.col(a) * F.col(b) for i, a in enumerate(_BASE) for b in list(_BASE)[i + 1 :]}
-    ys = {"y3": F.col("l_extendedprice") * (1 - F.col("l_discount")) / 10_000, "y4": F.col("y") * F.col("y2"), "y5": F.log1p("l_extendedprice"), "y6": (F.col("id") % 5).cast("double")}
-    s, out = L.standardise(s.withColumns(pairs | ys), list(pairs)), None
-    for name, rule in _GROUPS.items():
-        own = s.filter(rule)
-        if own.count() < 200:
-            continue
-        part = L.mixed_models(own, [*_BASE, *pairs], ["y", "y2", *ys], "cluster").withColumn("subgroup", F.lit(name))
-        out = part if out is None else out.unionByName(part)
+    s = cut(B.sample(spark, sf).drop("ps", "d"))  # joined once, not for each pass
+    raw = {k: F.expr(e).cast("double") for k, e in _BASE.items()}
+    base = {k: (raw[k] - mean) / deviation for k, (mean, deviation) in L.scales(s, raw).items()}
+    pairs = {f"{a}_{b}": (a, b) for i, a in enumerate(_BASE) for b in list(_BASE)[i + 1 :]}
+    found = L.scales(s, {k: base[a] * base[b] for k, (a, b) in pairs.items()})
+    made = {"y3": F.col("l_extendedprice") * (1 - F.col("l_discount")) / 10_000, "y4": F.col("y") * F.col("y2"), "y5": F.log1p("l_extendedprice"), "y6": (F.col("id") % 5).cast("double")}
+    out = L.mixed_groups(s, base, {"y": F.col("y"), "y2": F.col("y2")} | made, "cluster", {n: F.expr(r) for n, r in _GROUPS.items()}, {k: (*pairs[k], *found[k]) for k in pairs}, least=200)
     return _rounded(out.withColumn("stars", stars(F.col("p"))), 5)
 
 
